@@ -10,6 +10,11 @@ rounds of grouped minima, each written to the shared folder.
 
 The sample only places the vantage points. A bad sample makes shards uneven, not wrong.
 
+Near copies of a similarity of 0.8 over five-word shingles differ in a seventh of their bits or so. No vantage point can
+exclude anything at such a radius (unrelated texts are a half apart, give or take a sixteenth), so near_classes() takes
+wider fingerprints and meets candidates in tables of sampled bits; the exact distance check, the forests and the
+components are the same.
+
 Defined cases: a text without words (null, blank) has fingerprint zero and is linked like any other; fewer words than a
 shingle make one shingle; repeated rows share their component; a component without any identifier has a null one.
 """
@@ -36,6 +41,10 @@ MIN_DEPTH, MAX_DEPTH = 9, 12
 LEAF = 256
 CANDIDATES = 12
 MAX_ROUNDS = 60
+#: Of near_classes(): words a shingle, least similarity, bits that may differ of WIDE, bits a table samples at least, and
+#: the chance to miss a pair of just that similarity.
+NEAR_SHINGLE, SIMILARITY, WIDE, NEAR_BITS, SAMPLED, MISS = 5, 0.8, 128, 25, 16, 0.02
+PAIR_ROWS = 1_000_000
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 BLANKS = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 
@@ -120,7 +129,7 @@ def route(fps: np.ndarray, points: np.ndarray, radii: np.ndarray) -> tuple[np.nd
 
 
 class Forest:
-    """Union-find over positions."""
+    """Union-find over positions; pairs come in arrays, and those that are tied already cost no step of their own."""
 
     def __init__(self, n: int) -> None:
         self.up = np.arange(n)
@@ -132,8 +141,17 @@ class Forest:
             i = up[i]
         return i
 
+    def flatten(self) -> np.ndarray:
+        while not np.array_equal(up := self.up[self.up], self.up):
+            self.up = up
+        return self.up
+
     def join(self, left: np.ndarray, right: np.ndarray) -> None:
-        for a, b in zip(left.tolist(), right.tolist(), strict=True):
+        if not len(left):
+            return
+        up = self.flatten()
+        apart = up[left] != up[right]
+        for a, b in zip(left[apart].tolist(), right[apart].tolist(), strict=True):
             a, b = self.root(a), self.root(b)
             if a != b:
                 self.up[max(a, b)] = min(a, b)
@@ -167,7 +185,7 @@ def link_shard(fps: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarra
                 i, j = some[i], others[j]
                 apart = i != j
                 forest.join(i[apart], j[apart])
-    roots = np.array([forest.root(i) for i in range(len(fps))], dtype=np.int64)
+    roots = forest.flatten()
     tied = roots != np.arange(len(fps))
     return fps[tied], fps[roots[tied]]
 
@@ -227,17 +245,108 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp, component_id): component_id is the smallest identifier that links reach, its own included."""
     marked = cut(fingerprints(documents, id_col, text_col, size), "fingerprints")
     nodes = cut(marked.groupBy("fp").agg(F.min("id").alias("first_id")), "nodes")
-    rooted = cut(components(links(nodes.select("fp"))), "roots")
-    joined = nodes.join(rooted, nodes["fp"] == rooted["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    whole = joined.join(named, "root").select("fp", "component_id")
-    return marked.join(whole, "fp").select("id", "fp", "component_id")
+    return named(marked, nodes, links(nodes.select("fp")), "fp").select("id", "fp", "component_id")
+
+
+def wide_fingerprint(text: str | None, size: int = NEAR_SHINGLE) -> bytes:
+    """WIDE bits over the distinct shingles; all zero without words."""
+    found = [w for w in (text or "").translate(UPPER).translate(BLANKS).split(" ") if w]
+    if not found:
+        return bytes(WIDE // 8)
+    shingles = {" ".join(found)} if len(found) <= size else set(map(" ".join, zip(*(found[i:] for i in range(size)), strict=False)))
+    digest, n, ones = xxhash.xxh3_128_digest, len(shingles), np.zeros(WIDE, np.int64)
+    rows = np.frombuffer(b"".join([digest(s.encode("utf-8", "surrogatepass")) for s in shingles]), np.uint8).reshape(n, WIDE // 8)
+    for at in range(0, n, 65_536):
+        ones += np.unpackbits(rows[at : at + 65_536], axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n).tobytes()
+
+
+def tables(n: int, similarity: float = SIMILARITY, miss: float = MISS) -> tuple[int, int]:
+    """(bits a table samples, tables): buckets stay small as n grows, and tables are enough to miss few pairs."""
+    bits = max(SAMPLED, n.bit_length() - 2)
+    same = 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return bits, int(np.ceil(np.log(miss) / np.log1p(-(same**bits))))
+
+
+def link_buckets(keys: np.ndarray, high: np.ndarray, low: np.ndarray, most: int = NEAR_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of a spanning forest's pairs: rows of one key that differ in `most` bits or fewer. All rows are compared
+    with the next, then with the next but one, and so on while their keys agree."""
+    order = np.argsort(keys, kind="stable")
+    keys, high, low = keys[order], high[order], low[order]
+    forest, left, step = Forest(len(keys)), np.arange(len(keys)), 0
+    while True:
+        step += 1
+        left = left[left + step < len(keys)]
+        left = left[keys[left] == keys[left + step]]
+        if not len(left):
+            break
+        right = left + step
+        near = np.bitwise_count(high[left] ^ high[right]).astype(np.int16) + np.bitwise_count(low[left] ^ low[right]) <= most
+        forest.join(left[near], right[near])
+    roots = forest.flatten()
+    tied = np.flatnonzero(roots != np.arange(len(keys)))
+    return order[tied], order[roots[tied]]
+
+
+def near_links(distinct: DataFrame) -> DataFrame:
+    """(a, b): forests of links between the wide fingerprints (node, high, low), all different."""
+    ship(distinct.sparkSession)
+    n = distinct.count()
+    bits, count = tables(n)
+    rng = np.random.default_rng(SEED)
+    chosen = [np.sort(rng.choice(WIDE, bits, replace=False)) for _ in range(count)]
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, high, low = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            words = np.stack([high, low], axis=1).astype(">i8").view(np.uint8).reshape(len(node), WIDE // 8)
+            spread = np.unpackbits(words, axis=1)
+            for i, places in enumerate(chosen):
+                key = np.zeros(len(node), np.int64)
+                for p in places:
+                    key = key * 2 + spread[:, p]
+                yield pa.RecordBatch.from_arrays([pa.array(key * count + i), *b.columns], names=["key", "node", "high", "low"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+        if parts:
+            key, node, high, low = (np.concatenate(x) for x in zip(*parts, strict=True))
+            i, j = link_buckets(key, high.view(np.uint64), low.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
+
+    rows = distinct.select("node", "high", "low").mapInArrow(dealt, "key long, node long, high long, low long")
+    return rows.repartition(max(12, n * count // PAIR_ROWS), "key").mapInArrow(linked, "a long, b long")
+
+
+def near_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = NEAR_SHINGLE) -> DataFrame:
+    """(id, component_id) over the links of documents whose wide fingerprints differ in NEAR_BITS bits or fewer."""
+    ship(documents.sparkSession)
+    kind = documents.schema[id_col].dataType.simpleString()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = b"".join([wide_fingerprint(t, size) for t in b.column(1).to_pylist()])
+            words = np.frombuffer(found, ">i8").astype(np.int64).reshape(b.num_rows, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy())], names=["id", "high", "low"])
+
+    marked = documents.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(each, f"id {kind}, high long, low long").withColumn("node", F.xxhash64("high", "low"))
+    marked = cut(marked, "wide-fingerprints")
+    nodes = cut(marked.groupBy("node", "high", "low").agg(F.min("id").alias("first_id")), "nodes")
+    return named(marked, nodes, near_links(nodes), "node")
+
+
+def named(marked: DataFrame, nodes: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Add component_id to `marked`: the smallest first_id of the component of its node."""
+    rooted = cut(components(found), "roots").withColumnRenamed("node", "__node")
+    joined = nodes.join(rooted, F.col(key) == F.col("__node"), "left").select(key, "first_id", F.coalesce("root", key).alias("root"))
+    least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return marked.join(joined.join(least, "root").select(key, "component_id"), key)
 
 
-def representatives(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """The rows of `documents` with the smallest identifier of each component; one row of those that repeat it. Rows
-    without an identifier can't stand for a component and stay."""
-    found = classes(documents, id_col, text_col, size)
+def representatives(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `documents` with the smallest identifier of each near_classes() component; one row of those that repeat
+    it. Rows without an identifier can't stand for a component and stay."""
+    found = near_classes(documents, id_col, text_col)
     kept = found.where("id = component_id").select(F.col("id").alias(id_col)).distinct()
     one = documents.join(kept, id_col, "left_semi").dropDuplicates([id_col])
     return one.unionByName(documents.where(F.col(id_col).isNull()))
