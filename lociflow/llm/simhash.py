@@ -43,7 +43,8 @@ CANDIDATES = 12
 MAX_ROUNDS = 60
 #: Of near_classes(): words a shingle, least similarity, bits that may differ of WIDE, bits a table samples at least, and
 #: the chance to miss a pair of just that similarity.
-NEAR_SHINGLE, SIMILARITY, WIDE, NEAR_BITS, SAMPLED, MISS = 5, 0.8, 128, 25, 16, 0.02
+NEAR_SHINGLE, SIMILARITY, WIDE, NEAR_BITS, SAMPLED, MISS = 5, 0.8, 256, 50, 16, 0.02
+WORDS = tuple(f"w{i}" for i in range(WIDE // 64))
 PAIR_ROWS = 1_000_000
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 BLANKS = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
@@ -254,10 +255,13 @@ def wide_fingerprint(text: str | None, size: int = NEAR_SHINGLE) -> bytes:
     if not found:
         return bytes(WIDE // 8)
     shingles = {" ".join(found)} if len(found) <= size else set(map(" ".join, zip(*(found[i:] for i in range(size)), strict=False)))
-    digest, n, ones = xxhash.xxh3_128_digest, len(shingles), np.zeros(WIDE, np.int64)
-    rows = np.frombuffer(b"".join([digest(s.encode("utf-8", "surrogatepass")) for s in shingles]), np.uint8).reshape(n, WIDE // 8)
-    for at in range(0, n, 65_536):
-        ones += np.unpackbits(rows[at : at + 65_536], axis=1).sum(axis=0, dtype=np.int64)
+    digest, data, ones = xxhash.xxh3_128_digest, [s.encode("utf-8", "surrogatepass") for s in shingles], []
+    for seed in range(WIDE // 128):
+        half, rows = np.zeros(128, np.int64), np.frombuffer(b"".join([digest(x, seed) for x in data]), np.uint8).reshape(-1, 16)
+        for at in range(0, len(rows), 65_536):
+            half += np.unpackbits(rows[at : at + 65_536], axis=1).sum(axis=0, dtype=np.int64)
+        ones.append(half)
+    n, ones = len(data), np.concatenate(ones)
     return np.packbits(2 * ones > n).tobytes()
 
 
@@ -268,11 +272,11 @@ def tables(n: int, similarity: float = SIMILARITY, miss: float = MISS) -> tuple[
     return bits, int(np.ceil(np.log(miss) / np.log1p(-(same**bits))))
 
 
-def link_buckets(keys: np.ndarray, high: np.ndarray, low: np.ndarray, most: int = NEAR_BITS) -> tuple[np.ndarray, np.ndarray]:
+def link_buckets(keys: np.ndarray, words: np.ndarray, most: int = NEAR_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Positions of a spanning forest's pairs: rows of one key that differ in `most` bits or fewer. All rows are compared
     with the next, then with the next but one, and so on while their keys agree."""
     order = np.argsort(keys, kind="stable")
-    keys, high, low = keys[order], high[order], low[order]
+    keys, words = keys[order], words[order]
     forest, left, step = Forest(len(keys)), np.arange(len(keys)), 0
     while True:
         step += 1
@@ -281,7 +285,7 @@ def link_buckets(keys: np.ndarray, high: np.ndarray, low: np.ndarray, most: int
         if not len(left):
             break
         right = left + step
-        near = np.bitwise_count(high[left] ^ high[right]).astype(np.int16) + np.bitwise_count(low[left] ^ low[right]) <= most
+        near = np.bitwise_count(words[left] ^ words[right]).sum(axis=1, dtype=np.int16) <= most
         forest.join(left[near], right[near])
     roots = forest.flatten()
     tied = np.flatnonzero(roots != np.arange(len(keys)))
@@ -289,7 +293,7 @@ def link_buckets(keys: np.ndarray, high: np.ndarray, low: np.ndarray, most: int
 
 
 def near_links(distinct: DataFrame) -> DataFrame:
-    """(a, b): forests of links between the wide fingerprints (node, high, low), all different."""
+    """(a, b): forests of links between the wide fingerprints (node, WORDS), all different."""
     ship(distinct.sparkSession)
     n = distinct.count()
     bits, count = tables(n)
@@ -298,23 +302,23 @@ def near_links(distinct: DataFrame) -> DataFrame:
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, high, low = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            words = np.stack([high, low], axis=1).astype(">i8").view(np.uint8).reshape(len(node), WIDE // 8)
-            spread = np.unpackbits(words, axis=1)
+            words = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]], axis=1).astype(">i8")
+            spread = np.unpackbits(words.view(np.uint8).reshape(b.num_rows, WIDE // 8), axis=1)
             for i, places in enumerate(chosen):
-                key = np.zeros(len(node), np.int64)
+                key = np.zeros(b.num_rows, np.int64)
                 for p in places:
                     key = key * 2 + spread[:, p]
-                yield pa.RecordBatch.from_arrays([pa.array(key * count + i), *b.columns], names=["key", "node", "high", "low"])
+                yield pa.RecordBatch.from_arrays([pa.array(key * count + i), *b.columns], names=["key", "node", *WORDS])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
         if parts:
-            key, node, high, low = (np.concatenate(x) for x in zip(*parts, strict=True))
-            i, j = link_buckets(key, high.view(np.uint64), low.view(np.uint64))
+            key, node, *words = (np.concatenate(x) for x in zip(*parts, strict=True))
+            i, j = link_buckets(key, np.stack(words, axis=1).view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
 
-    rows = distinct.select("node", "high", "low").mapInArrow(dealt, "key long, node long, high long, low long")
+    kinds = ", ".join(f"{w} long" for w in WORDS)
+    rows = distinct.select("node", *WORDS).mapInArrow(dealt, f"key long, node long, {kinds}")
     return rows.repartition(max(12, n * count // PAIR_ROWS), "key").mapInArrow(linked, "a long, b long")
 
 
@@ -326,12 +330,13 @@ def near_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = b"".join([wide_fingerprint(t, size) for t in b.column(1).to_pylist()])
-            words = np.frombuffer(found, ">i8").astype(np.int64).reshape(b.num_rows, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy())], names=["id", "high", "low"])
+            words = np.frombuffer(found, ">i8").astype(np.int64).reshape(b.num_rows, len(WORDS))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(words[:, i].copy()) for i in range(len(WORDS)))], names=["id", *WORDS])
 
-    marked = documents.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(each, f"id {kind}, high long, low long").withColumn("node", F.xxhash64("high", "low"))
-    marked = cut(marked, "wide-fingerprints")
-    nodes = cut(marked.groupBy("node", "high", "low").agg(F.min("id").alias("first_id")), "nodes")
+    kinds = ", ".join(f"{w} long" for w in WORDS)
+    marked = documents.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(each, f"id {kind}, {kinds}")
+    marked = cut(marked.withColumn("node", F.xxhash64(*WORDS)), "wide-fingerprints")
+    nodes = cut(marked.groupBy("node", *WORDS).agg(F.min("id").alias("first_id")), "nodes")
     return named(marked, nodes, near_links(nodes), "node")
 
 

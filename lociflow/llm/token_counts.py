@@ -31,6 +31,15 @@ MEMORY = 400_000
 SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
+#: Code points that the regex module takes for letters or digits and the tokenizer's older Unicode data do not.
+NEWER = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 "
+    "10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 "
+    "16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 "
+    "191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE "
+    "1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD "
+    "323B0-33479 3D000-3FC3F "
+)
 #: Small letters that newer Unicode data give to capitals which Python's do not know yet.
 NEW_SMALL = {0xA7CB: 0x0264, 0xA7DC: 0x019B}
 
@@ -56,7 +65,8 @@ class PairMerger:
         self.vocabulary = frozenset(model["vocab"])
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.pattern = regex.compile(f"'s|'t|'re|'ve|'m|'ll|'d|\\p{{L}}+|\\p{{N}}|[^{SPACE}\\p{{L}}\\p{{N}}]+")
+        newer = "".join("-".join(f"\\U{int(x, 16):08x}" for x in part.split("-")) for part in NEWER.split())
+        self.pattern = regex.compile(f"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\\p{{L}}--[{newer}]]+|[\\p{{N}}--[{newer}]]|[[^{SPACE}\\p{{L}}\\p{{N}}]||[{newer}]]+")
         self.blank = re.compile(f"[{SPACE}]+")
         self.symbols = byte_symbols()
         self.words: dict[str, int] = {}
