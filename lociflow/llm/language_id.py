@@ -37,7 +37,7 @@ ORDERS = (1, 2, 3, 4)
 PENALTY = 12.0
 SCRIPT_SHARE = 0.01
 SMOOTHING = 0.5
-#: Words whose scores a worker remembers; a full memory is emptied.
+#: Words whose scores a worker remembers, besides those of the batch at hand; a full memory is emptied.
 MEMORY = 300_000
 UNKNOWN = "und"
 #: First code points of script ranges, and their scripts; what follows a range is the next one.
@@ -54,10 +54,24 @@ def script_of(letter: str) -> str:
     return SCRIPTS[bisect.bisect_right(STARTS, ord(letter)) - 1]
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of a word's character n-grams, its ends marked."""
-    data = f"^{word.lower()}$"
-    return [zlib.crc32(data[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for n in ORDERS for i in range(len(data) - n + 1)]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the word, bucket) of all character n-grams of all words, their ends marked: one pass over all their
+    characters for each order."""
+    codes = np.frombuffer(("^" + "$\n^".join(words).lower() + "$").encode("utf-32-le", "surrogatepass"), np.uint32)
+    breaks = codes == 10
+    number = np.cumsum(breaks)
+    number[breaks] = -1
+    where, buckets = [], []
+    mixed = np.zeros(len(codes), np.uint32)
+    for n in range(1, max(ORDERS) + 1):
+        mixed = mixed[: len(codes) - n + 1] * np.uint32(0x01000193) ^ codes[n - 1 :]
+        if n in ORDERS:
+            held = (number[: len(mixed)] == number[n - 1 :]) & (number[: len(mixed)] >= 0)
+            h = mixed[held]
+            h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+            where.append(number[: len(mixed)][held])
+            buckets.append(((h ^ (h >> np.uint32(13))) % np.uint32(BUCKETS)).astype(np.int64))
+    return np.concatenate(where), np.concatenate(buckets)
 
 
 @dataclass
@@ -91,8 +105,10 @@ def learn(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 found.setdefault(lang, Counter()).update(WORD.findall(text))
             for lang, words in found.items():
                 total = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                if words:
+                    where, buckets = grams(list(words))
+                    total += np.bincount(buckets, np.fromiter(words.values(), np.float64, len(words))[where], BUCKETS).astype(np.int64)
                 for word, n in words.items():
-                    np.add.at(total, grams(word), n)
                     scripts[lang, script_of(word[0])] += n * len(word)
         for lang, total in sums.items():
             used = np.flatnonzero(total)
@@ -115,20 +131,25 @@ def learn(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def best_path(emission: np.ndarray, penalty: float) -> np.ndarray:
-    """Viterbi: the label of each row that maximizes the sum of emissions less `penalty` for each change."""
-    n, k = emission.shape
-    back = np.zeros((n, k), np.int16)
-    score, stay = emission[0].astype(np.float64), np.arange(k)
-    for t in range(1, n):
-        top = int(score.argmax())
-        switch = score[top] - penalty > score
-        back[t] = np.where(switch, top, stay)
-        score = np.where(switch, score[top] - penalty, score) + emission[t]
-    path = np.empty(n, np.int64)
-    path[-1] = int(score.argmax())
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
+    """Viterbi: the label of each row that maximizes the sum of emissions less `penalty` for each change.
+
+    All switches come from the row's best label, so a row keeps that one and who would switch to it.
+    """
+    rows = emission.tolist()
+    score, tops, switched = rows[0], [], []
+    for row in rows[1:]:
+        best = max(score)
+        least = best - penalty
+        tops.append(score.index(best))
+        switched.append([x < least for x in score])
+        score = [(least if x < least else x) + e for x, e in zip(score, row, strict=True)]
+    at = score.index(max(score))
+    path = [at]
+    for top, moved in zip(reversed(tops), reversed(switched), strict=True):
+        if moved[at]:
+            at = top
+        path.append(at)
+    return np.array(path[::-1])
 
 
 def labels(emission: np.ndarray, penalty: float) -> np.ndarray:
@@ -150,31 +171,43 @@ class Labeller:
         self.known: dict[str, int] = {}
         self.table = np.zeros((4_096, len(self.model.languages)), np.float32)
 
-    def score(self, word: str) -> np.ndarray:
-        out = self.model.scores[:, grams(word)].mean(axis=1) * len(word)
-        fits = self.model.scripts.get(Counter(map(script_of, word)).most_common(1)[0][0])
-        if fits is not None and fits.any():
-            out = np.where(fits, out, out.min() - self.penalty)
+    def score(self, words: list[str]) -> np.ndarray:
+        """Mean log probability of each word's n-grams times its length; languages of other scripts fall behind."""
+        where, buckets = grams(words)
+        held = np.bincount(where, minlength=len(words))
+        length = np.fromiter(map(len, words), np.float64, len(words))
+        out = np.stack([np.bincount(where, row[buckets], len(words)) for row in self.model.scores], axis=1) * (length / held)[:, None]
+        first = np.searchsorted(STARTS, np.fromiter((ord(w[0]) for w in words), np.int64, len(words)), "right") - 1
+        for i in set(first.tolist()):
+            fits = self.model.scripts.get(SCRIPTS[i])
+            if fits is not None and fits.any() and not fits.all():
+                rows = first == i
+                out[rows] = np.where(fits, out[rows], out[rows].min(axis=1, keepdims=True) - self.penalty)
         return out
 
-    def rows(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) + len(words) > max(MEMORY, len(words)) and len(known) > MEMORY // 2:
+    def learn(self, found: list[list[str]]) -> None:
+        """Score the words of some texts that are not known yet, all at once."""
+        if len(self.known) > MEMORY:
             self.clear()
-            known = self.known
-        for w in set(words).difference(known):
-            i = known[w] = len(known)
-            if i >= len(self.table):
+        new = list(set().union(*found).difference(self.known))
+        if new:
+            first = len(self.known)
+            self.known.update(zip(new, range(first, first + len(new)), strict=True))
+            while len(self.table) < len(self.known):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[i] = self.score(w)
-        return self.table[[known[w] for w in words]]
+            self.table[first : first + len(new)] = self.score(new)
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        return self.table[list(map(self.known.__getitem__, words))]
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
         """(start, end, language) of the runs of words, in code points."""
         found = list(WORD.finditer(text or ""))
         if not found or not self.model.languages:
             return []
-        path, out = labels(self.rows([m[0] for m in found]), self.penalty), []
+        words = [m[0] for m in found]
+        self.learn([words])
+        path, out = labels(self.rows(words), self.penalty), []
         for m, label in zip(found, path, strict=True):
             if out and out[-1][2] == self.model.languages[label]:
                 out[-1] = (out[-1][0], m.end(), out[-1][2])
@@ -182,14 +215,20 @@ class Labeller:
                 out.append((m.start(), m.end(), self.model.languages[label]))
         return out
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall(text or "")
-        if not words or not self.model.languages:
-            return UNKNOWN, 0.0
-        path = labels(self.rows(words), self.penalty)
-        held = np.bincount(path, weights=np.fromiter(map(len, words), np.int64, len(words)), minlength=len(self.model.languages))
-        top = int(held.argmax())
-        return self.model.languages[top], float(held[top] / held.sum())
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        found, out = [WORD.findall(t or "") for t in texts], []
+        if not self.model.languages:
+            return [(UNKNOWN, 0.0)] * len(found)
+        self.learn(found)
+        for words in found:
+            if not words:
+                out.append((UNKNOWN, 0.0))
+                continue
+            path = labels(self.rows(words), self.penalty)
+            held = np.bincount(path, weights=np.fromiter(map(len, words), np.int64, len(words)), minlength=len(self.model.languages))
+            top = int(held.argmax())
+            out.append((self.model.languages[top], float(held[top] / held.sum())))
+        return out
 
 
 def predict(documents: DataFrame, model: Model, text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
@@ -201,7 +240,7 @@ def predict(documents: DataFrame, model: Model, text_col: str = "text", penalty:
     def label(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         labeller = Labeller(sent.value, penalty)
         for texts in parts:
-            yield pd.DataFrame([labeller.predict(t) for t in texts], columns=["lang_pred", "score"])
+            yield pd.DataFrame(labeller.predict(texts.tolist()), columns=["lang_pred", "score"])
 
     columns = documents.columns
     return documents.withColumn("__label", label(F.col(text_col))).select(*columns, "__label.lang_pred", "__label.score")
