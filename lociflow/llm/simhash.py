@@ -29,11 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.llm.shared import cut, ship
+from lociflow.llm.shared import cut, ship, uniform
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
+#: Fingerprints that are expected in the sample.
 SAMPLE = 32_768
 #: A shard is to hold so many fingerprints of its own at most, as long as the sample allows; there are MIN_DEPTH levels at least.
 SHARD = 8_192
@@ -196,7 +197,8 @@ def links(distinct: DataFrame) -> DataFrame:
     spark = distinct.sparkSession
     ship(spark)
     n = distinct.count()
-    drawn = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64)
+    # a share by hash, not the first by order: no task sends more than its part of the sample
+    drawn = distinct.where(uniform(F.lit(SEED), F.col("fp")) < SAMPLE / max(1, n)).select("fp").toPandas()["fp"].to_numpy(np.int64)
     depth = MIN_DEPTH
     while depth < MAX_DEPTH and n > SHARD * 2**depth:
         depth += 1
