@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.sources import abif
+from lociflow.sources.shipping import ship
 
 #: Bodies over the parameter names; Catalyst inlines them, so they cost what the plain expressions cost.
 SQL_FUNCTIONS = {
@@ -21,6 +22,7 @@ SQL_FUNCTIONS = {
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     for name, (parameters, kind, body) in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
 

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociflow.sources.shipping import ship
+
 UNIT = 1024
 MAX_CELLS = 100_000_000
 LOW = -(1 << 60)
@@ -219,6 +221,7 @@ def align_read(query: str, profiles: list, first_call: int, bases: str, circular
 def align_reads(reads: DataFrame, bases: str, circular: bool = False, scoring: Scoring | None = None, keys: tuple[str, ...] = ("read",)) -> DataFrame:
     """Align rows (keys, query, profiles, first_call). The reference, of bounded length, goes along with the function; a
     read's work is its own, so rows stay in their partitions."""
+    ship(reads.sparkSession)
     scoring, names = scoring or Scoring(), [x.split(" ")[0] for x in ALIGNMENT.split(", ")]
     kinds = ", ".join(f"`{k}` {reads.schema[k].dataType.simpleString()}" for k in keys)
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lociflow.sources import abif
+from lociflow.sources.shipping import ship
 
 LETTERS, CODES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
 
@@ -24,6 +25,7 @@ def sequences(spark: SparkSession, folder: str, length: int = 120, least: int =
 
 def trace_files(spark: SparkSession, folder: str, mixed_call: int = 5, height: int = 400) -> DataFrame:
     """(path, content): a trace of each sequence with an A of `height` at one call; the vendor says the bases."""
+    ship(spark)
 
     @F.pandas_udf("binary")
     def write(bases: pd.Series) -> pd.Series:
