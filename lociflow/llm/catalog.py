@@ -19,7 +19,7 @@ def op1_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc_bundles.page_archive(table(spark, sf_dir, "pages"))
+    return warc_bundles.page_archive(table(spark, sf_dir, "pages")).drop("bundle", "frame", "frame_offset")
 
 
 def op3_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,45 @@ SELECT page_id, host, path, rule, coalesce(action, CASE WHEN canonical IN (SELEC
 FROM longest
 """
 
-SQL = {"op5_url_bloom_filter": OP5_SQL}
+OP2_SQL = """
+WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)
+"""
+
+OP3_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, lang, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM docs),
+places AS (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8),
+windows AS (SELECT r, i, array_to_string(words[i:i + 7], ' ') AS k FROM places),
+again AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, k) > 1),
+covered AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 8)) AS j FROM again) GROUP BY r),
+lines AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM docs),
+c AS (SELECT r, length(t) AS n, length(t) - length(regexp_replace(t, '[a-z]', '', 'g')) AS c0, length(t) - length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS c1, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS c2,
+  length(t) - length(regexp_replace(t, '[.,;:!?''"()-]', '', 'g')) AS c3, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS c4, length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) AS c5, length(t) - length(regexp_replace(t, '\p{L}', '', 'g')) AS cl FROM docs),
+base AS (SELECT w.r, doc_id, lang, words, len(words) AS n_words, c.n - c1 AS word_chars, c4 AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  [c0, c1, c2, c3, c4, c5, cl - c0 - c2, c.n - c1 - c3 - c4 - c5 - cl] AS counts, c.n AS chars, len(words) < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * len(words) AS base_failed
+  FROM w JOIN lines USING (r) JOIN c USING (r) LEFT JOIN covered USING (r)),
+totals AS (SELECT lang, sum(n_words) AS n FROM base WHERE lang IS NOT NULL GROUP BY lang HAVING sum(n_words) > 0 ORDER BY n DESC, lang LIMIT 64),
+cells AS (SELECT r, lang, unnest(range(1, 9)) AS b, unnest(counts) AS x, chars FROM base),
+class_ref AS (SELECT lang, b, sum(x) / sum(chars) AS q FROM cells JOIN totals USING (lang) GROUP BY lang, b),
+class_js AS (SELECT r, d.lang, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2 AS js FROM (SELECT r, b, x / nullif(chars, 0) AS p FROM cells) e JOIN class_ref d USING (b) GROUP BY r, d.lang),
+class_d AS (SELECT r, sqrt(greatest(0, min(js))) AS class_distance FROM class_js GROUP BY r),
+short AS (SELECT r, lang, lower(x) AS word, n_words FROM (SELECT r, lang, n_words, unnest(words) AS x FROM base) WHERE length(x) <= 6),
+counted AS (SELECT lang, word, count(*) AS k FROM short JOIN totals USING (lang) GROUP BY lang, word),
+vocabulary AS (SELECT DISTINCT word FROM counted JOIN totals USING (lang) WHERE k >= n * 0.0025),
+word_ref AS (SELECT t.lang, v.word, coalesce(k, 0) / n AS q FROM totals t CROSS JOIN vocabulary v LEFT JOIN counted USING (lang, word)),
+have AS (SELECT r, word, count(*) / any_value(n_words) AS p FROM short JOIN vocabulary USING (word) GROUP BY r, word),
+pairs AS (SELECT b.r, f.lang, coalesce(p, 0) AS p, q FROM (SELECT r FROM base WHERE n_words >= 50 AND NOT base_failed) b CROSS JOIN word_ref f LEFT JOIN have h ON h.r = b.r AND h.word = f.word),
+bins AS (SELECT r, lang, p, q FROM pairs UNION ALL SELECT r, lang, greatest(0, 1 - sum(p)), greatest(0, 1 - sum(q)) FROM pairs GROUP BY r, lang),
+word_js AS (SELECT r, lang, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2 AS js FROM bins GROUP BY r, lang),
+word_d AS (SELECT r, sqrt(greatest(0, min(js))) AS word_distance FROM word_js GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (n_words < 50 OR (coalesce(class_distance, 0) <= 0.30 AND coalesce(word_distance, 0) <= 0.45)) AS kept
+FROM base LEFT JOIN class_d USING (r) LEFT JOIN word_d USING (r)
+"""
+
+SQL = {"op2_warc_bundles": OP2_SQL, "op3_distribution_divergence": OP3_SQL, "op5_url_bloom_filter": OP5_SQL}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
 
