@@ -66,7 +66,7 @@ def _pivot(a: Column, b: Column, seed: int) -> Column:
         )
 
     step = F.struct(raise_a.alias("ta"), raise_b.alias("tb"), draw.alias("draw"))
-    return let(let(step, moved), lambda x: x)
+    return let(step, moved)
 
 
 def _fold(units: Column, id_type: str, seed: int) -> Column:
