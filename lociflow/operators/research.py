@@ -14,11 +14,9 @@ from lociflow.functions import expressions as X
 
 
 def grouping_summary(rows: DataFrame, keys: Sequence[str], value: str, fit: str) -> DataFrame:
-    """Overall, those used to fit, and each group: one pass of grouping sets, since all scopes are combinable aggregates."""
-    out = rows.cube(*keys).agg(F.grouping_id().alias("__g"), F.count("*").alias("rows"), F.count(value).alias("n"), F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max"), F.count_if(F.col(fit)).alias("fit_rows"), F.avg(F.when(F.col(fit), F.col(value))).alias("fit_mean"))
-    whole = (1 << len(keys)) - 1
-    scope = F.when(F.col("__g") == whole, "overall").when(F.col("__g") == 0, "group")
-    return out.withColumn("scope", scope).where("scope IS NOT NULL").drop("__g")
+    """Overall and each group, with the rows used to fit beside all: one pass over two grouping sets."""
+    out = rows.groupingSets([[], list(keys)], *keys).agg(F.grouping_id().alias("__g"), F.count("*").alias("rows"), F.count(value).alias("n"), F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max"), F.count_if(F.col(fit)).alias("fit_rows"), F.avg(F.when(F.col(fit), F.col(value))).alias("fit_mean"))
+    return out.withColumn("scope", F.when(F.col("__g") == 0, "group").otherwise("overall")).drop("__g")
 
 
 def strata_bounds(rows: DataFrame, strata: Sequence[str], value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
