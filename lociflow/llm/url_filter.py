@@ -130,8 +130,8 @@ def judge(pages: DataFrame, listed: DataFrame, rules: tuple[Rule, ...] = RULES,
     return both.select(F.col("id").alias(id_col), "host", "path", F.get(names, F.col("i")).alias("rule"), F.coalesce(F.get(verdicts, F.col("i")), method).alias("verdict"), "listed")
 
 
-#: Hosts whose pages make up the list of the page query.
-LISTED_HOSTS = "^spam-farm\\."
+#: Hosts whose pages make up the list of the page query: `spam-farm.*` and all subdomains.
+LISTED_HOSTS = "(^|\\.)spam-farm\\."
 
 
 def page_verdicts(pages: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -277,6 +278,16 @@ def test_url_verdicts(pages):
     assert pages.where("false").transform(url_filter.page_verdicts).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
+def test_url_list_decides_verdicts(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    spam = {i for (i, url) in pages.select("page_id", "url").collect() if re.search(r"://([^/?#]*\.)?spam-farm\.", url or "")}
+    got = {r.page_id: r for r in pages.transform(url_filter.page_verdicts).collect()}
+    assert len(spam) == 20
+    assert {i for i, r in got.items() if r.rule is None and r.verdict == "block"} == {i for i in spam if got[i].rule is None}
+    assert sum(got[i].rule is None for i in spam) == 13
+
+
 def test_filter_has_no_false_negatives(spark):
     listed = spark.range(3_000).select(F.concat(F.lit("h/"), F.col("id")).alias("canonical"))
     probed = url_filter.maybe_listed(spark.range(20_000).select(F.concat(F.lit("h/"), F.col("id")).alias("canonical"), "id"), *url_filter.build_filter(listed))
