@@ -12,8 +12,8 @@ The sample only places the vantage points. A bad sample makes shards uneven, not
 
 Near copies of a similarity of 0.8 over five-word shingles differ in a seventh of their bits or so. No vantage point can
 exclude anything at such a radius (unrelated texts are a half apart, give or take a sixteenth), so near_classes() takes
-wider fingerprints and meets candidates in tables of sampled bits; the exact distance check, the forests and the
-components are the same.
+no fingerprints but the shingle sets: candidates share a shingle of their prefixes, which misses no pair of that
+similarity, and each link is the exact similarity of two sets. The components are the same.
 
 Defined cases: a text without words (null, blank) has fingerprint zero and is linked like any other; fewer words than a
 shingle make one shingle; repeated rows share their component; a component without any identifier has a null one.
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.llm.shared import cut, ship, uniform
@@ -42,10 +42,13 @@ MIN_DEPTH, MAX_DEPTH = 9, 12
 LEAF = 256
 CANDIDATES = 12
 MAX_ROUNDS = 60
-#: Of near_classes(): words a shingle, least similarity, bits that may differ of WIDE, bits a table samples at least, and
-#: the chance to miss a pair of just that similarity.
-NEAR_SHINGLE, SIMILARITY, WIDE, NEAR_BITS, SAMPLED, MISS = 5, 0.8, 256, 50, 16, 0.02
-WORDS = tuple(f"w{i}" for i in range(WIDE // 64))
+#: Of near_classes(): words a shingle and least similarity (the code counts it as 4/5).
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Sets expected in the sample that tells common shingles (a sixteenth of all if that is more), the count that makes one
+#: common, and how many common ones are told at most. They order the shingles and do not change what is found.
+SAMPLE_SETS, OFTEN, COMMON = 8_192, 4, 1 << 19
+#: Rows that a bucket's row is compared with before the links are known.
+NEIGHBOURS = 1
 PAIR_ROWS = 1_000_000
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 BLANKS = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
@@ -251,95 +254,178 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return named(marked, nodes, links(nodes.select("fp")), "fp").select("id", "fp", "component_id")
 
 
-def wide_fingerprint(text: str | None, size: int = NEAR_SHINGLE) -> bytes:
-    """WIDE bits over the distinct shingles; all zero without words."""
+def shingle_set(text: str | None, size: int = NEAR_SHINGLE) -> np.ndarray:
+    """Sorted XXH64 values of the distinct shingles; none without words."""
     found = [w for w in (text or "").translate(UPPER).translate(BLANKS).split(" ") if w]
     if not found:
-        return bytes(WIDE // 8)
+        return np.zeros(0, np.int64)
     shingles = {" ".join(found)} if len(found) <= size else set(map(" ".join, zip(*(found[i:] for i in range(size)), strict=False)))
-    digest, data, ones = xxhash.xxh3_128_digest, [s.encode("utf-8", "surrogatepass") for s in shingles], []
-    for seed in range(WIDE // 128):
-        half, rows = np.zeros(128, np.int64), np.frombuffer(b"".join([digest(x, seed) for x in data]), np.uint8).reshape(-1, 16)
-        for at in range(0, len(rows), 65_536):
-            half += np.unpackbits(rows[at : at + 65_536], axis=1).sum(axis=0, dtype=np.int64)
-        ones.append(half)
-    n, ones = len(data), np.concatenate(ones)
-    return np.packbits(2 * ones > n).tobytes()
-
-
-def tables(n: int, similarity: float = SIMILARITY, miss: float = MISS) -> tuple[int, int]:
-    """(bits a table samples, tables): buckets stay small as n grows, and tables are enough to miss few pairs."""
-    bits = max(SAMPLED, n.bit_length() - 2)
-    same = 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return bits, int(np.ceil(np.log(miss) / np.log1p(-(same**bits))))
-
-
-def link_buckets(keys: np.ndarray, words: np.ndarray, most: int = NEAR_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of a spanning forest's pairs: rows of one key that differ in `most` bits or fewer. All rows are compared
-    with the next, then with the next but one, and so on while their keys agree."""
-    order = np.argsort(keys, kind="stable")
-    keys, words = keys[order], words[order]
-    forest, left, step = Forest(len(keys)), np.arange(len(keys)), 0
-    while True:
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(s.encode("utf-8", "surrogatepass"), SEED) for s in shingles), np.uint64, len(shingles)).view(np.int64))
+
+
+def listed(sets: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), pa.array(flat))
+
+
+def node_of(shingles: np.ndarray) -> int:
+    return int(np.array(xxhash.xxh3_64_intdigest(shingles.tobytes()), np.uint64).view(np.int64))
+
+
+def shingle_sets(texts: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
+    """(node, tokens): the shingle set of each row's column `text` and a key of it."""
+    ship(texts.sparkSession)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, size) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in sets], pa.int64()), listed(sets)], names=["node", "tokens"])
+
+    return texts.select("text").mapInArrow(each, "node long, tokens array<long>")
+
+
+def common_shingles(texts: DataFrame, size: int = NEAR_SHINGLE) -> np.ndarray:
+    """Shingles that are common in a sample of the texts, the rarer first; COMMON at most."""
+    share = max(1 / 16, SAMPLE_SETS / max(1, texts.count()))
+    drawn = shingle_sets(texts.where(uniform(F.lit(SEED), F.col("key")) < share), size).select(F.explode("tokens").alias("token"))
+    found = drawn.groupBy("token").count().where(f"count >= {OFTEN}").orderBy(F.desc("count"), "token").limit(COMMON)
+    return found.select("token").toPandas()["token"].to_numpy(np.int64)[::-1].copy()
+
+
+def prefixes(lengths: np.ndarray, tokens: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, token) of each set's prefix in an order common to all sets: rare shingles by value, then `common`.
+
+    Two sets of n and m shingles with a similarity of 4/5 share ceil(4n/5) and ceil(4m/5) at least, so each has a shared
+    one among its first n - ceil(4n/5) + 1. Any order will do; this one keeps popular passages out of the prefixes."""
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    rank = np.zeros(len(tokens), np.int64)
+    if len(common) and len(tokens):
+        by_value = np.argsort(common)
+        at = np.minimum(np.searchsorted(common, tokens, sorter=by_value), len(common) - 1)
+        rank = np.where(common[by_value[at]] == tokens, by_value[at] + 1, 0)
+    order = np.argsort(row * (len(common) + 1) + rank, kind="stable")
+    place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    first = place < np.repeat(lengths - -(-4 * lengths // 5) + 1, lengths)
+    return row[first], place[first], tokens[order[first]]
+
+
+def similar(inter: Column, left: Column, right: Column) -> Column:
+    """Whether sets of two sizes with so many shingles in common have a similarity of SIMILARITY = 4/5 or more."""
+    return 5 * inter >= 4 * (left + right - inter)
+
+
+def bucket_pairs(token: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes of one token and of different roots that may be similar by their sizes and the token's places. Each
+    row is compared with the next in order of size, then with the next but one, and so on, `most` times or until sizes differ
+    too much."""
+    order = np.lexsort((node, n, token))
+    token, node, n, place, root = (x[order] for x in (token, node, n, place, root))
+    left, step = np.arange(len(token)), 0
+    while most is None or step < most:
         step += 1
-        left = left[left + step < len(keys)]
-        left = left[keys[left] == keys[left + step]]
+        left = left[left + step < len(token)]
+        left = left[(token[left] == token[left + step]) & (4 * n[left + step] <= 5 * n[left])]
         if not len(left):
             break
         right = left + step
-        near = np.bitwise_count(words[left] ^ words[right]).sum(axis=1, dtype=np.int16) <= most
-        forest.join(left[near], right[near])
-    roots = forest.flatten()
-    tied = np.flatnonzero(roots != np.arange(len(keys)))
-    return order[tied], order[roots[tied]]
+        # a pair's first common shingle leaves no more than this; it has to reach ceil(4 (n + m) / 9)
+        reach = np.minimum(n[left] - place[left], n[right] - place[right])
+        may = (root[left] != root[right]) & (9 * reach >= 4 * (n[left] + n[right]))
+        yield np.minimum(node[left[may]], node[right[may]]), np.maximum(node[left[may]], node[right[may]])
 
 
-def near_links(distinct: DataFrame) -> DataFrame:
-    """(a, b): forests of links between the wide fingerprints (node, WORDS), all different."""
-    ship(distinct.sparkSession)
-    n = distinct.count()
-    bits, count = tables(n)
-    rng = np.random.default_rng(SEED)
-    chosen = [np.sort(rng.choice(WIDE, bits, replace=False)) for _ in range(count)]
+def marked_prefixes(texts: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
+    """(id, key, node, n, prefix): a key and the size of each text's shingle set, and the set's prefix in order. A task gives
+    a node's prefix once, or seldom."""
+    ship(texts.sparkSession)
+    kind = texts.schema["id"].dataType.simpleString()
+    sent = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, size))  # 8 COMMON bytes at most
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            words = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]], axis=1).astype(">i8")
-            spread = np.unpackbits(words.view(np.uint8).reshape(b.num_rows, WIDE // 8), axis=1)
-            for i, places in enumerate(chosen):
-                key = np.zeros(b.num_rows, np.int64)
-                for p in places:
-                    key = key * 2 + spread[:, p]
-                yield pa.RecordBatch.from_arrays([pa.array(key * count + i), *b.columns], names=["key", "node", *WORDS])
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+            sets = [shingle_set(t, size) for t in b.column(2).to_pylist()]
+            node, n = [node_of(x) for x in sets], np.array([len(x) for x in sets], np.int64)
+            row, _, token = prefixes(n, np.concatenate(sets) if sets else np.zeros(0, np.int64), sent.value)
+            found = np.split(token, np.searchsorted(row, np.arange(1, len(sets)))) if sets else []
+            for i, x in enumerate(node):
+                if x in seen:
+                    found[i] = found[i][:0]
+                seen.add(x)
+            if len(seen) > 200_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(n.astype(np.int32)), listed(found)], names=["id", "key", "node", "n", "prefix"])
+
+    return texts.select("id", "key", "text").mapInArrow(each, f"id {kind}, key long, node long, n int, prefix array<long>")
+
+
+def shared_buckets(marked: DataFrame) -> DataFrame:
+    """(token, node, n, place): the prefixes' shingles that two nodes or more have."""
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        token, node, n, place = (np.concatenate([b.column(i).to_numpy() for b in parts]) for i in range(4))
+        order = np.lexsort((node, token))
+        token, node, n, place = token[order], node[order], n[order], place[order]
+        again = np.zeros(len(token), bool)
+        again[1:] = (token[1:] == token[:-1]) & (node[1:] == node[:-1])
+        token, node, n, place = token[~again], node[~again], n[~again], place[~again]
+        same = token[1:] == token[:-1]
+        held = np.append(same, False) | np.append(False, same)
+        yield pa.RecordBatch.from_arrays([pa.array(x[held]) for x in (token, node, n, place)], names=["token", "node", "n", "place"])
+
+    rows = marked.select("node", "n", F.posexplode("prefix").alias("place", "token")).select("token", "node", "n", "place")
+    parts = (marked.select(F.sum(F.size("prefix"))).first()[0] or 0) // PAIR_ROWS
+    return rows.repartition(max(12, parts), "token").mapInArrow(shared, "token long, node long, n int, place int")
+
+
+def near_pairs(buckets: DataFrame, most: int | None) -> DataFrame:
+    """(a, b), a < b: bucket_pairs() of all buckets (token, node, n, place, root)."""
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
         if parts:
-            key, node, *words = (np.concatenate(x) for x in zip(*parts, strict=True))
-            i, j = link_buckets(key, np.stack(words, axis=1).view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
+            token, node, n, place, root = (np.concatenate([b.column(i).to_numpy() for b in parts]) for i in range(5))
+            for a, b in bucket_pairs(token, node, n.astype(np.int64), place.astype(np.int64), root, most):
+                for at in range(0, len(a), PAIR_ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array(a[at : at + PAIR_ROWS]), pa.array(b[at : at + PAIR_ROWS])], names=["a", "b"])
 
-    kinds = ", ".join(f"{w} long" for w in WORDS)
-    rows = distinct.select("node", *WORDS).mapInArrow(dealt, f"key long, node long, {kinds}")
-    return rows.repartition(max(12, n * count // PAIR_ROWS), "key").mapInArrow(linked, "a long, b long")
+    kept = buckets.select("token", "node", "n", "place", "root")
+    return kept.repartition(max(12, kept.count() // PAIR_ROWS), "token").mapInArrow(paired, "a long, b long").distinct()
 
 
-def near_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = NEAR_SHINGLE) -> DataFrame:
-    """(id, component_id) over the links of documents whose wide fingerprints differ in NEAR_BITS bits or fewer."""
-    ship(documents.sparkSession)
-    kind = documents.schema[id_col].dataType.simpleString()
+def verified(pairs: DataFrame, marked: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """The pairs whose sets have a similarity of SIMILARITY or more, by their exact intersection. The sets are made again
+    from one text of each node that a pair names."""
+    pairs = cut(pairs, "pairs")
+    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    keys = marked.join(named, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key")
+    held = cut(shingle_sets(texts.join(keys, "key", "left_semi").dropDuplicates(["key"]), size), "sets-of-pairs")
+    both = pairs.join(held.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
+    return cut(both.where(similar(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"), "links")
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = b"".join([wide_fingerprint(t, size) for t in b.column(1).to_pylist()])
-            words = np.frombuffer(found, ">i8").astype(np.int64).reshape(b.num_rows, len(WORDS))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(words[:, i].copy()) for i in range(len(WORDS)))], names=["id", *WORDS])
-
-    kinds = ", ".join(f"{w} long" for w in WORDS)
-    marked = documents.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(each, f"id {kind}, {kinds}")
-    marked = cut(marked.withColumn("node", F.xxhash64(*WORDS)), "wide-fingerprints")
-    nodes = cut(marked.groupBy("node", *WORDS).agg(F.min("id").alias("first_id")), "nodes")
-    return named(marked, nodes, near_links(nodes), "node")
+
+def near_links(marked: DataFrame, texts: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
+    """(a, b): links that tie the same nodes as all pairs of a similarity of SIMILARITY or more do.
+
+    Near neighbours in each bucket are verified first. Then all the other pairs are whose nodes those links do not tie
+    yet, so a large group of near copies costs few pairs, and none is missed that would tie what is apart."""
+    buckets = cut(shared_buckets(marked), "buckets")
+    some = verified(near_pairs(buckets.withColumn("root", F.col("node")), NEIGHBOURS), marked, texts, size)
+    rooted = components(some).withColumnRenamed("node", "__node")
+    apart = buckets.join(rooted, F.col("node") == F.col("__node"), "left").withColumn("root", F.coalesce("root", "node"))
+    return some.unionByName(verified(near_pairs(apart, None), marked, texts, size))
+
+
+def near_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = NEAR_SHINGLE) -> DataFrame:
+    """(id, component_id) over the links of documents whose shingle sets have a similarity of SIMILARITY or more."""
+    texts = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    marked = cut(marked_prefixes(texts, size), "prefixes")
+    nodes = cut(marked.groupBy("node").agg(F.min("id").alias("first_id")), "nodes")
+    return named(marked.select("id", "node"), nodes, near_links(marked, texts, size), "node")
 
 
 def named(marked: DataFrame, nodes: DataFrame, found: DataFrame, key: str) -> DataFrame:

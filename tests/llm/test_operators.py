@@ -438,6 +438,44 @@ def test_near_copies(spark):
     assert sorted(x for x in kept if x is not None) == [100 * k for k in range(40)] and kept.count(None) == 1
 
 
+def shingles_of(text):
+    w = words_of("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_copies_around_the_limit(spark):
+    rng = np.random.default_rng(11)
+    passage = [f"p{i}" for i in rng.integers(0, 5_000, 60)]
+    texts = [None, "", "a b", "A  B", "a b c", *(" ".join(passage[:i]) for i in (40, 45, 50, 60))]
+    for k in range(80):  # near copies on both sides of 0.8, and texts that share a passage only
+        words = [f"w{i}" for i in rng.integers(0, 5_000, int(rng.integers(30, 250)))]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            changed = list(words)
+            for i in rng.integers(0, len(words), int(len(words) * rng.uniform(0.01, 0.05))):
+                changed[i] = f"c{rng.integers(10_000)}"
+            texts.append(" ".join(changed[: int(len(words) * rng.uniform(0.85, 1.0))]))
+        if k % 2:
+            texts.append(" ".join(words[:20] + passage))
+    sets = [shingles_of(t) for t in texts]
+    up, near = list(range(len(sets))), 0
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(x & sets[j])
+            near += 0.75 < both / max(1, len(x | sets[j])) < 0.85
+            if 5 * both >= 4 * len(x | sets[j]):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r.component_id for r in simhash.near_classes(table).collect()}
+    assert near > 50 and got == {i: root(i) for i in range(len(texts))}
+
+
 # --- op9
 
 
