@@ -493,10 +493,11 @@ SELECT DISTINCT sample, 'SNV' AS kind, CAST(p AS INT) AS position, substr(ref, p
 UNION ALL SELECT DISTINCT sample, 'INS', CAST(p AS INT), substr(ref, p, 1), substr(ref, p, 1) || 'C' FROM t, r WHERE k = 1
 UNION ALL SELECT sample, 'DEL', CAST(CASE WHEN a = 1 THEN 80 ELSE a - 1 END AS INT), substr(ref, CASE WHEN a = 1 THEN 80 ELSE a - 1 END, 1) || substr(ref, a, b - a + 1), substr(ref, CASE WHEN a = 1 THEN 80 ELSE a - 1 END, 1) FROM g, r""")
 def token_events(spark, d):
-    o = B.table(spark, d, "orders").where("o_orderkey < 300")
+    o = B.table(spark, d, "orders")
+    sample = F.concat("o_orderpriority", F.lit("/"), F.floor(F.col("o_orderkey") / 300).cast("string"))  # few orders a sample, so islands end
     p = (1 + F.col("o_custkey") % 60).cast("string")
     token = F.when(F.col("o_orderkey") % 3 == 0, F.concat(p, F.lit("G"))).when(F.col("o_orderkey") % 3 == 1, F.concat(p, F.lit(".1C"))).otherwise(F.concat(p, F.lit("DEL")))
-    return R.reviewer_events(o.select(F.col("o_orderpriority").alias("sample"), token.alias("token")), "sample", F.col("token"), "ACGT" * 20)
+    return R.reviewer_events(o.select(sample.alias("sample"), token.alias("token")), "sample", F.col("token"), "ACGT" * 20)
 
 
 @query("""WITH e AS (SELECT user_id, event_id, event_type, json_extract_string(props, '$.k')::INT AS k FROM events), r AS (SELECT *, sum(CAST(event_type = 'signup' AS INT)) OVER (PARTITION BY user_id ORDER BY event_id) AS read_no FROM e)
