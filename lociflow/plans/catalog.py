@@ -474,15 +474,15 @@ def profile_evaluation(spark, d):
 @query(B.with_sql("segments") + ", p AS (SELECT sample, read, seg_start AS position FROM segments WHERE read % 10 = 0), i AS (SELECT * FROM segments WHERE read % 10 = 1) SELECT p.sample, p.read AS event, count(*) AS memberships FROM p JOIN i ON p.sample = i.sample AND p.position >= i.seg_start AND p.position < i.seg_end GROUP BY ALL")
 def footprint_join(spark, d):
     s = B.segments(spark, d)
-    points = s.where("read % 10 = 0").select("sample", F.col("read").alias("event"), F.col("seg_start").alias("position"))
-    held = S.interval_join(points, s.where("read % 10 = 1").select("sample", "seg_start", "seg_end"), ["sample"], "position", "seg_start", "seg_end", 64)
+    points = s.select("sample", F.col("read").alias("event"), F.col("seg_start").alias("position"))
+    held = S.interval_join(points, s.select("sample", "seg_start", "seg_end"), ["sample"], "position", "seg_start", "seg_end", 64)
     return held.groupBy("sample", "event").agg(F.count("*").alias("memberships"))
 
 
 @query("""WITH c AS (SELECT c_mktsegment AS difference, o_orderpriority AS partition, count(*) AS observations FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 97 = 0 GROUP BY ALL), g AS (SELECT * FROM (SELECT DISTINCT c_mktsegment AS difference FROM customer) CROSS JOIN (VALUES ('1-URGENT'), ('2-HIGH'), ('9-NONE')) p(partition))
 SELECT difference, partition, coalesce(observations, 0) AS observations FROM g LEFT JOIN c USING (difference, partition)""")
 def readiness_grid(spark, d):
-    joined = B.table(spark, d, "orders").where("o_orderkey % 97 = 0").join(B.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    joined = B.table(spark, d, "orders").join(B.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     counts = joined.groupBy(F.col("c_mktsegment").alias("difference"), F.col("o_orderpriority").alias("partition")).agg(F.count("*").alias("observations"))
     return R.readiness_grid(["1-URGENT", "2-HIGH", "9-NONE"], B.table(spark, d, "customer").select(F.col("c_mktsegment").alias("difference")), counts, ["difference"])
 

@@ -9,6 +9,8 @@ from lociflow.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 CUTS = {
+    "footprint_join": [(" WHERE read % 10 = 0", ""), (" WHERE read % 10 = 1", "")],
+    "readiness_grid": [(" WHERE o_orderkey % 97 = 0", "")],
     "token_events": [("o_orderpriority AS sample FROM orders WHERE o_orderkey < 300", "o_orderpriority || '/' || (o_orderkey // 300) AS sample FROM orders")],
 }
 
