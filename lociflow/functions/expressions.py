@@ -1,6 +1,6 @@
 """Column expressions for bases, profiles and positions.
 
-Four-vectors are arrays in the order A, C, G, T. A locus without signal has a null profile, never a uniform one.
+Four-vectors are arrays in the order A, C, G, T. A locus without any height has a null profile, never a uniform one.
 """
 
 from __future__ import annotations
@@ -151,11 +151,45 @@ def locus_state(kind: Column, base: Column, reference: Column) -> Column:
     return F.when(kind == "deletion", "deletion").when(~canonical(base), "unresolved").when(base == reference, "reference").otherwise("alternate")
 
 
-def nearest_rank(value: Column, p: float) -> Column:
-    """Exact quantile without interpolation: the value of rank max(1, ceil(p * n))."""
-    return F.expr(f"percentile_disc({p}D) WITHIN GROUP (ORDER BY {value if isinstance(value, str) else value._jc.toString()})")
+def nearest_rank(name: str, p: float) -> Column:
+    """Exact quantile of a column without interpolation: the value of rank max(1, ceil(p * n))."""
+    return F.expr(f"percentile_disc({p}D) WITHIN GROUP (ORDER BY `{name.replace('`', '``')}`)")
 
 
 def vector_columns(vector: str, prefix: str) -> list[Column]:
     """A four-vector as four columns with the suffixes _a, _c, _g and _t."""
     return [F.get(F.col(vector), F.lit(i)).alias(f"{prefix}_{b.lower()}") for i, b in enumerate(BASES)]
+
+
+def sample_name(name: Column) -> Column:
+    """1 to 128 letters, digits, `_`, `.` or `-` of ASCII, a letter or digit first."""
+    return F.coalesce(name.rlike("^[A-Za-z0-9][A-Za-z0-9_.-]{0,127}\\z"), F.lit(False))
+
+
+def case_name(name: Column) -> Column:
+    return F.coalesce(name.rlike("^[A-Za-z0-9][A-Za-z0-9_.-]*\\z"), F.lit(False))
+
+
+def sha256_name(name: Column) -> Column:
+    return F.coalesce(name.rlike("^[0-9a-f]{64}\\z"), F.lit(False))
+
+
+def finite(value: Column) -> Column:
+    """Whether a number is null or neither infinite nor no number."""
+    return value.isNull() | (~F.isnan(value) & (F.abs(value) < float("inf")))
+
+
+def contribution(state: Column, weights: Column) -> Column:
+    """What a retained observation adds to a locus's nucleotides."""
+    return F.when(state == "deletion", "deletion_event").when(weights.isNotNull(), "eligible").otherwise("missing_profile")
+
+
+def vendor_quality_applies(qualities: Column, index: Column, agrees: Column) -> Column:
+    """Whether the vendor says a quality for a call (one byte each) and both call the same base."""
+    return F.coalesce((index < F.octet_length(qualities)) & agrees, F.lit(False))
+
+
+def reference_segments(start: Column, end: Column, length: int) -> Column:
+    """One half-open interval of a placed read, or two where it runs over the origin of a circle."""
+    one = lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"))
+    return F.when(end > length, F.array(one(start, F.lit(length)), one(F.lit(0), end - length))).otherwise(F.array(one(start, end)))

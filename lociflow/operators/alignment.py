@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociflow.functions import expressions as X
 from lociflow.sources.shipping import ship
 
 UNIT = 1024
@@ -122,32 +123,35 @@ def total(columns: list[tuple[int, int]], scores: np.ndarray, reference: np.ndar
 
 
 def move_gaps(place: Placement, query: str, bases: str, scores: np.ndarray, reference: np.ndarray, scoring: Scoring, turn: int | None) -> None:
-    """Move the rightmost gap that can go one column to the right while the score stays, again and again."""
-    moved = True
-    while moved:
-        moved = False
-        columns = place.columns
-        kinds = [1 if q < 0 else 2 if r < 0 else 0 for q, r in columns]
-        ends = [i for i, k in enumerate(kinds) if k and (i + 1 == len(kinds) or kinds[i + 1] != k)]
-        for last in reversed(ends):
-            first, after = last, last + 1
-            while first and kinds[first - 1] == kinds[last]:
-                first -= 1
-            if after >= len(columns) or kinds[after]:
-                continue
-            (q0, r0), (q1, r1) = columns[first], columns[after]
-            tried = list(columns)
-            if kinds[last] == 1:
-                if bases[r0] != bases[r1] or (turn and r0 // turn != r1 // turn):
-                    continue
-                tried[first], tried[after] = (q1, r0), (-1, r1)
+    """Move gaps to the right as long as the score stays. A gap that goes one column on gives its first base to the column
+    after it; only what that column scores before and after decides, unless a like gap follows, with which it would merge."""
+    columns = place.columns
+    kind = lambda i: 0 if i >= len(columns) else 1 if columns[i][0] < 0 else 2 if columns[i][1] < 0 else 0
+    last = len(columns) - 1
+    while last >= 0:  # the rightmost gaps first: what lies behind has come to rest
+        gap = kind(last)
+        if not gap:
+            last -= 1
+            continue
+        first = last
+        while first and kind(first - 1) == gap:
+            first -= 1
+        at, size = first, last - first + 1
+        while at + size < len(columns) and not kind(at + size):
+            (q0, r0), (q1, r1) = columns[at], columns[at + size]
+            if gap == 1:  # bases of the reference alone: the query's base moves in front of them
+                fits = bases[r0] == bases[r1] and not (turn and r0 // turn != r1 // turn)
+                change, moved = int(scores[q1, reference[r0]]) - int(scores[q1, reference[r1]]) if fits else 1, ((q1, r0), (-1, r1))
             else:
-                if query[q0] != bases[r1] or (turn and r1 % turn == 0):
-                    continue
-                tried[first], tried[after] = (q0, r1), (q1, -1)
-            if total(tried, scores, reference, scoring) == place.score:
-                place.columns, moved = tried, True
+                fits = query[q0] == bases[r1] and not (turn and r1 % turn == 0)
+                change, moved = int(scores[q0, reference[r1]]) - int(scores[q1, reference[r1]]) if fits else 1, ((q0, r1), (q1, -1))
+            if kind(at + size + 1) == gap and not change:
+                change = scoring.gap_open * -UNIT  # two gaps become one
+            if change:
                 break
+            columns[at], columns[at + size] = moved
+            at += 1
+        last = first - 1
 
 
 def placements(query: str, profiles: list, bases: str, scoring: Scoring, turn: int | None = None) -> list[Placement]:
@@ -275,18 +279,31 @@ def variants(columns: DataFrame, bases: str, circular: bool = False, longest: in
     return events.select(*keys, "kind", F.when((F.size("reasons") == 0) | (F.col("kind") == "SNV"), position).cast("int").alias("position_1based"), reference.alias("reference"), alternate.alias("alternate"), "supporting", flanking.alias("flanking"), "reasons")
 
 
+def merge_variants(found: DataFrame, keys: tuple[str, ...] = ("read",)) -> DataFrame:
+    """Equal reported events of a read become one, with the calls of all in order and each once. Excluded events have no
+    allele to be equal in and stay as they are."""
+    same = [*keys, "kind", "position_1based", "reference", "alternate"]
+    calls = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    reported = found.where(F.size("reasons") == 0).groupBy(*same).agg(calls("supporting"), calls("flanking"), F.first("reasons").alias("reasons"))
+    return reported.unionByName(found.where(F.size("reasons") > 0))
+
+
+def reference_faults(found: DataFrame, bases: str, circular: bool = False, keys: tuple[str, ...] = ("read",)) -> DataFrame:
+    """Reported events whose reference allele is not what the reference has at their position."""
+    there = F.substr(F.lit(bases + bases if circular else bases), F.col("position_1based"), F.length("reference"))
+    return found.where((F.size("reasons") == 0) & (F.col("position_1based").isNull() | (there != F.col("reference")))).select(*keys, "kind", "position_1based", "reference", there.alias("expected"))
+
+
 def filter_variants(found: DataFrame, calls: DataFrame, regions: list[tuple[int, int]], least_peak: int = 150, quality: int = 30, keys: tuple[str, ...] = ("read",)) -> DataFrame:
-    """Add exclusion reasons in their fixed order: outside the regions, low peak, low quality, mixed signal (SNV only).
-    Deletions have no calls of their own to judge. `calls` has (keys, call_index, highest_peak, relative_quality, n_qualifying)."""
-    each = found.withColumn("__id", F.monotonically_increasing_id())
-    support = each.select(*keys, "__id", F.explode("supporting").alias("call_index")).join(calls, [*keys, "call_index"])
-    judged = support.groupBy("__id").agg(F.bool_or(F.col("highest_peak") < least_peak).alias("low_peak"), F.bool_or(F.col("relative_quality") <= quality).alias("low_quality"), F.bool_or(F.col("n_qualifying") > 1).alias("mixed"))
-    inside = F.lit(False)
-    for a, b in regions:
-        inside = inside | F.col("position_1based").between(a, b)
+    """Add exclusion reasons in their fixed order: outside the regions, low peak, low quality, mixed calls (SNV only).
+    Deletions have no calls of their own to judge. `calls` has (keys, call_index, highest_peak, relative_quality, n_qualifying).
+    A variant is known by all that it holds, so nothing is numbered; equal rows of it become one."""
+    support = found.withColumn("call_index", F.explode_outer("supporting")).join(calls.select(*keys, "call_index", "highest_peak", "relative_quality", "n_qualifying"), [*keys, "call_index"], "left")
+    judged = support.groupBy(*found.columns).agg(F.bool_or(F.col("highest_peak") < least_peak).alias("low_peak"), F.bool_or(F.col("relative_quality") <= quality).alias("low_quality"), F.bool_or(F.col("n_qualifying") > 1).alias("mixed"))
+    inside = X.in_regions(F.col("position_1based"), regions)
     counted = F.col("kind") != "DEL"
-    reasons = F.array_compact(F.array(
-        F.when(~inside, "outside_configured_region"), F.when(counted & F.col("low_peak"), "peak_below_minimum"),
-        F.when(counted & F.col("low_quality"), "relative_quality_not_above_threshold"), F.when((F.col("kind") == "SNV") & F.col("mixed"), "mixed_supporting_signal"),
-    ))
-    return each.join(judged, "__id", "left").withColumn("exclusion_reasons", F.when(F.size("reasons") > 0, F.col("reasons")).otherwise(reasons)).drop("__id", "low_peak", "low_quality", "mixed", "reasons")
+    reasons = X.flags(
+        ("outside_configured_region", ~inside), ("peak_below_minimum", counted & F.col("low_peak")), ("relative_quality_not_above_threshold", counted & F.col("low_quality")),
+        ("mixed_supporting_signal", (F.col("kind") == "SNV") & F.col("mixed")),  # names of reasons are fixed values
+    )
+    return judged.withColumn("exclusion_reasons", F.when(F.size("reasons") > 0, F.col("reasons")).otherwise(reasons)).drop("low_peak", "low_quality", "mixed", "reasons")

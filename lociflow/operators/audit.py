@@ -56,7 +56,7 @@ def mixed_audit(loci: DataFrame, observations: DataFrame, keys: Sequence[str], e
 def case_audit(reads: DataFrame, mixed: DataFrame, case: str, metrics: Sequence[str], flags: Sequence[str]) -> DataFrame:
     """A case's reads: count, least, greatest and 95th nearest-rank value of each metric, how many carry each flag, and its
     mixed loci."""
-    out = reads.groupBy(case).agg(F.count("*").alias("reads"), *[x for m in metrics for x in (F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max"), X.nearest_rank(F.col(m), 0.95).alias(f"{m}_p95"))], *[F.count_if(F.col(f)).alias(f"{f}_reads") for f in flags])
+    out = reads.groupBy(case).agg(F.count("*").alias("reads"), *[x for m in metrics for x in (F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max"), X.nearest_rank(m, 0.95).alias(f"{m}_p95"))], *[F.count_if(F.col(f)).alias(f"{f}_reads") for f in flags])
     return out.join(mixed.groupBy(case).agg(F.count("*").alias("mixed_loci"), F.count_if("edge_discordant").alias("edge_discordant_loci")), case, "left").fillna(0, ["mixed_loci", "edge_discordant_loci"])
 
 

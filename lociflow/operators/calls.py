@@ -1,160 +1,215 @@
-"""Base calls and locus evidence of traces, as expressions over a trace's arrays.
+"""Base calls and locus evidence of traces.
 
-The channels never leave their row: calls are built by higher-order functions and exploded without the samples.
+A trace is one row, and its channels never leave it: a worker reads them from Arrow's buffers into numpy, finds peaks, ranks
+and medians of all its calls at once, and gives back one row a call. What is no more than a formula over a call stays a
+column expression.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.functions import expressions as X
+from lociflow.sources.shipping import ship
 
-
-def _let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
+KEYS = ("input_name", "input_sha256")
+#: Rows of runs or loci whose samples are gathered at a time.
+BLOCK = 8_192
+PEAK = pa.struct([("height", pa.int32()), ("position", pa.int32()), ("source", pa.string())])
+CALL = "call_index int, ploc int, w_start int, w_end int, peaks array<struct<height:int,position:int,source:string>>, ranks array<int>, primary_pos int, primary_heights array<int>"
+RUN = "w_start int, w_end int, min_snr double, max_secondary_snr double"
+EVIDENCE = "call_index int, ploc int, w_start int, w_end int, ctx_call_start int, ctx_call_end int, ctx_sample_start int, ctx_sample_end int, event_position int, heights array<int>, baselines array<double>, noise_sigmas array<double>, corrected array<double>"
+NOISE_SCALE = 0.67448975 * 2**0.5
 
 
 def _median(values: Column) -> Column:
+    ordered = F.sort_array(values)
     middle = lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2
-    return _let(F.sort_array(values), middle)
-
-
-def _samples(channel: Column, start: Column, end: Column) -> Column:
-    """Samples of a half-open interval; unlike slice(), this touches no other."""
-    return F.transform(_range(start, end - 1), lambda i: F.get(channel, i))
-
-
-def _windows(ploc: Column, n: Column) -> Column:
-    """Array of struct(p, s, e): half-open windows around the locations."""
-
-    def one(p: Column, i: Column) -> Column:
-        before, after = F.get(ploc, i - 1), F.get(ploc, i + 1)
-        start = F.when(before.isNull(), F.greatest(p - F.floor((after - p) / 2), F.lit(0))).otherwise(F.floor((before + p) / 2))
-        end = F.when(after.isNull(), F.least(p + F.ceil((p - before) / 2), n)).otherwise(F.floor((p + after) / 2))
-        return F.struct(p.alias("p"), start.cast("int").alias("s"), end.cast("int").alias("e"))
-
-    return F.transform(ploc, one)
-
-
-def _range(first: Column, last: Column) -> Column:
-    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-
-
-def _maxima(value, first: Column, last: Column) -> Column:
-    """Positions in first..last where value(i) is a positive local maximum."""
-    peak = lambda i: (value(i) > 0) & (((value(i - 1) <= value(i)) & (value(i) > value(i + 1))) | ((value(i - 1) < value(i)) & (value(i) >= value(i + 1))))
-    return F.filter(_range(first, last), peak)
-
-
-def _peak(channel: Column, w: Column, n: Column) -> Column:
-    """Highest local maximum of a window, the first of equals; else the height at the location."""
-    value = lambda i: F.get(channel, i)
-    found = F.array_max(F.transform(_maxima(value, F.greatest(w.s, F.lit(1)), F.least(w.e, n - 1) - 1), lambda i: F.struct(value(i).alias("height"), (-i).alias("at"))))
-    return _let(found, lambda x: F.struct(F.coalesce(x.height, value(w.p)).alias("height"), F.coalesce(-x["at"], w.p).alias("position"), F.when(x.isNull(), "ploc_fallback").otherwise("local_maximum").alias("source")))
-
-
-def call_bases(traces: DataFrame, ratio: float = 0.33, keys: tuple[str, ...] = ("input_name", "input_sha256")) -> DataFrame:
+    return F.transform(F.array(ordered), middle)[0]
+
+
+def windows(ploc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the half-open windows around two locations or more: halfway to the neighbours."""
+    p = ploc.astype(np.int64)
+    middle = (p[:-1] + p[1:]) // 2
+    first = max(p[0] - (p[1] - p[0]) // 2, 0)
+    last = min(p[-1] + (p[-1] - p[-2] + 1) // 2, n)
+    return np.append(first, middle), np.append(middle, last)
+
+
+def is_maximum(before: np.ndarray, value: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Positive local maxima; of a plateau both ends."""
+    return (value > 0) & (((before <= value) & (value > after)) | ((before < value) & (value >= after)))
+
+
+def peaks(channels: np.ndarray, ploc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, heights, positions, found) of the four channels' highest local maximum in each window, the first of
+    equals; the height at the location where a window has none. The last three have a row a call, a column a channel."""
+    n = channels.shape[1]
+    starts, ends = windows(ploc, n)
+    inside = np.zeros(channels.shape, bool)
+    inside[:, 1:-1] = is_maximum(channels[:, :-2], channels[:, 1:-1], channels[:, 2:])
+    # height above, place below: the greatest is the highest, then the first
+    score = np.where(inside, (channels.astype(np.int64) << 32) + (n - np.arange(n)), -1)
+    best = np.maximum.reduceat(score, np.minimum(starts, n - 1), axis=1).T if n else np.zeros((0, 4), np.int64)
+    whole = np.append(starts[1:], ends[-1])  # reduceat runs up to the next start, and the last one to the end
+    if ends[-1] < n:
+        tail = score[:, starts[-1] : ends[-1]]
+        best[-1] = tail.max(axis=1) if tail.shape[1] else -1
+    best[(starts >= ends) | (starts >= whole)] = -1
+    found = best >= 0
+    position = np.where(found, n - (best & 0xFFFFFFFF), ploc[:, None])
+    height = np.where(found, best >> 32, channels[:, ploc].T)
+    return starts, ends, height, position, found
+
+
+def noise(channel: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Median, and scaled median deviation of the steps (1 at least), of each interval of two samples or more."""
+    base, sigma = np.zeros(len(starts)), np.ones(len(starts))
+    lengths = ends - starts
+    for length in np.unique(lengths):
+        rows = np.flatnonzero(lengths == length)
+        for at in range(0, len(rows), BLOCK):
+            some = rows[at : at + BLOCK]
+            samples = channel[starts[some][:, None] + np.arange(length)].astype(np.float64)
+            steps = np.diff(samples, axis=1)
+            base[some] = np.median(samples, axis=1)
+            sigma[some] = np.median(np.abs(steps - np.median(steps, axis=1, keepdims=True)), axis=1) / NOISE_SCALE
+    return base, np.maximum(sigma, 1.0)
+
+
+def _lists(values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """A row of each row of a matrix."""
+    n, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(values).reshape(-1), kind))
+
+
+def _called(channels: np.ndarray, ploc: np.ndarray) -> list[pa.Array]:
+    starts, ends, height, position, found = peaks(channels, ploc)
+    n = len(ploc)
+    rank = np.argsort(-height, axis=1, kind="stable")
+    place = position[np.arange(n), rank[:, 0]]
+    source = pa.array(np.array(["ploc_fallback", "local_maximum"], dtype=object)[found.reshape(-1).astype(int)], pa.string())
+    flat = pa.StructArray.from_arrays([pa.array(height.reshape(-1).astype(np.int32)), pa.array(position.reshape(-1).astype(np.int32)), source], fields=list(PEAK))
+    top = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 4), flat)
+    small = lambda x: pa.array(np.asarray(x).astype(np.int32))
+    return [small(np.arange(n)), small(ploc), small(starts), small(ends), top, _lists(rank.astype(np.int32), pa.int32()), small(place), _lists(channels[:, place].T.astype(np.int32), pa.int32())]
+
+
+def _runs(channels: np.ndarray, ploc: np.ndarray, size: int) -> list[pa.Array]:
+    starts, ends, height, _, _ = peaks(channels, ploc)
+    n = len(ploc) - size + 1
+    both = [noise(c, starts[:n], ends[size - 1 :]) for c in channels]
+    base, sigma = np.stack([x[0] for x in both], axis=1), np.stack([x[1] for x in both], axis=1)
+    lowest, highest = np.full(n, np.inf), np.full(n, -np.inf)
+    for j in range(size):  # the j-th call of every run
+        above = np.maximum(height[j : j + n] - base, 0.0)
+        snr = above / sigma
+        order = np.lexsort((-snr, -above), axis=1)
+        rows = np.arange(n)
+        lowest = np.minimum(lowest, snr[rows, order[:, 0]])
+        highest = np.maximum(highest, snr[rows, order[:, 1]])
+    at = np.arange(n, dtype=np.int32)
+    return [pa.array(at), pa.array(at + np.int32(size)), pa.array(lowest), pa.array(highest)]
+
+
+def _evidence(channels: np.ndarray, ploc: np.ndarray, size: int) -> list[pa.Array]:
+    n, samples = len(ploc), channels.shape[1]
+    starts, ends = windows(ploc, samples)
+    index = np.arange(n)
+    first = np.maximum(np.minimum(np.maximum(index - (size - 1) // 2, 0), n - size), 0)
+    last = np.minimum(first + size, n) - 1
+    both = [noise(c, starts[first], ends[last]) for c in channels]
+    base, sigma = np.stack([x[0] for x in both], axis=1), np.stack([x[1] for x in both], axis=1)
+    event = np.zeros(n, np.int64)
+    low, high = np.maximum(starts, 1), np.minimum(ends, samples - 1)  # where maxima may be
+    for at in range(0, n, BLOCK):
+        some = slice(at, at + BLOCK)
+        width = int(max(0, (high[some] - low[some]).max()))
+        places = low[some][:, None] - 1 + np.arange(width + 2)
+        total = np.zeros(places.shape)
+        for k, c in enumerate(channels):
+            total += np.maximum(c[np.minimum(places, samples - 1)] - base[some, k][:, None], 0.0)
+        inner = places[:, 1:-1]
+        peak = is_maximum(total[:, :-2], total[:, 1:-1], total[:, 2:]) & (inner < high[some][:, None])
+        away = np.where(peak, np.abs(inner - ploc[some][:, None]), np.iinfo(np.int64).max)
+        nearest = away.min(axis=1, initial=np.iinfo(np.int64).max)
+        strongest = np.where(peak & (away == nearest[:, None]), total[:, 1:-1], -1.0)
+        chosen = strongest.argmax(axis=1) if width else np.zeros(len(nearest), np.int64)  # the first of equals
+        has = peak.any(axis=1)
+        event[some] = np.where(has, low[some] + chosen, ploc[some])
+    heights = channels[:, event].T
+    small = lambda x: pa.array(np.asarray(x).astype(np.int32))
+    return [
+        small(index), small(ploc), small(starts), small(ends), small(first), small(last + 1), small(starts[first]), small(ends[last]), small(event), _lists(heights.astype(np.int32), pa.int32()),
+        _lists(base, pa.float64()), _lists(sigma, pa.float64()), _lists(np.maximum(heights - base, 0.0), pa.float64()),
+    ]
+
+
+def _each_trace(traces: DataFrame, least: int, kept: Sequence[str], kind: str, work: Callable[[np.ndarray, np.ndarray], list[pa.Array]]) -> DataFrame:
+    """`work` on each good trace of `least` calls or more: one row a call, run or locus, beside the kept columns."""
+    ship(traces.sparkSession)
+    names = [*kept, *(x.split(" ")[0] for x in kind.split(", "))]
+    kinds = ", ".join(f"`{k}` {traces.schema[k].dataType.simpleString()}" for k in kept)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                flat, ploc = b.column(0)[i].values, b.column(1)[i].values.to_numpy(zero_copy_only=False).astype(np.int64)
+                channels = flat.flatten().to_numpy(zero_copy_only=False).reshape(4, -1)
+                out = work(channels, ploc)
+                same = [pa.repeat(b.column(2 + j)[i], len(out[0])) for j in range(len(kept))]
+                yield pa.RecordBatch.from_arrays([*same, *out], names=names)
+
+    good = traces.where(f"error_class IS NULL AND size(ploc) >= {max(2, least)}")
+    return good.select("channels", "ploc", *kept).mapInArrow(each, f"{kinds}, {kind}")
+
+
+def call_bases(traces: DataFrame, ratio: float = 0.33, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """One row a call: window, four peaks, primary and ambiguity letters, qualifying channels, agreement with the vendor.
 
     Channels are ranked by height, then by their order. A tie at the top, or no height, gives N. A channel qualifies if its
     own peak and its height at the strongest peak's place both reach ratio * top.
     """
-    n = F.size(F.col("channels")[0])
-    channel = lambda k: F.col("channels")[k]
-    called = F.transform(_windows(F.col("ploc"), n), lambda w, i: F.struct(i.alias("call_index"), w.p.alias("ploc"), w.s.alias("w_start"), w.e.alias("w_end"), F.array(*[_peak(channel(k), w, n) for k in range(4)]).alias("peaks")))
-    ranked = lambda peaks: F.sort_array(F.transform(peaks, lambda x, i: F.struct((-x.height).alias("h"), i.alias("i"))))
-    both = F.transform(called, lambda c: F.struct(c.alias("c"), ranked(c.peaks).alias("r")))
-    found = F.transform(
-        both, lambda x: F.struct(
-            x.c.alias("c"), x.r.alias("r"), F.get(x.c.peaks, x.r[0].i).position.alias("primary_pos"),
-            F.array(*[F.get(channel(k), F.get(x.c.peaks, x.r[0].i).position) for k in range(4)]).alias("primary_heights"),
-        ),
-    )
-    ok = traces.where("error_class IS NULL AND size(ploc) >= 2")
-    rows = ok.select(*keys, "vendor_primary", F.explode(found).alias("x")).select(*keys, "vendor_primary", "x.c.*", "x.r", "x.primary_pos", "x.primary_heights")
-    top = -F.col("r")[0].h
-    clear = (top > 0) & (F.col("r")[0].h != F.col("r")[1].h)
+    rows = _each_trace(traces, 2, [*keys, "vendor_primary"], CALL, _called)
+    height = lambda i: F.get(F.col("peaks"), F.get("ranks", F.lit(i))).height
+    top = height(0)
+    clear = (top > 0) & (top != height(1))
     reach = lambda h: (h > 0) & (h >= ratio * top)
     letter = lambda i: F.substr(F.lit("ACGT"), i + 1, F.lit(1))
-    qualifying = F.transform(F.filter("r", lambda x: reach(-x.h) & reach(F.get("primary_heights", x.i))), lambda x: letter(x.i))
+    qualifying = F.transform(F.filter("ranks", lambda i: reach(F.get("peaks", i).height) & reach(F.get("primary_heights", i))), letter)
     rows = rows.withColumn("qualifying", F.when(clear, qualifying).otherwise(F.array().cast("array<string>")))
-    strongest, k = letter(F.col("r")[0].i), F.size("qualifying")
-    rows = rows.withColumn("primary", F.when(clear & k.between(1, 3), strongest).otherwise("N"))
-    rows = rows.withColumn("ambiguity", F.when(clear & (k == 1), strongest).when(clear & (k == 2), X.iupac_code(F.col("qualifying"))).otherwise("N"))
+    strongest, k = letter(F.get("ranks", F.lit(0))), F.size("qualifying")
     vendor = F.nullif(F.substr("vendor_primary", F.col("call_index") + 1, F.lit(1)), F.lit(""))
-    rows = rows.withColumn("vendor_agrees", F.when(vendor.isNotNull(), vendor == F.col("primary")))
-    for name in ("primary_pos", "primary_heights"):
-        rows = rows.withColumn(name, F.when(clear, F.col(name)))
-    return rows.drop("vendor_primary", "r")
-
-
-def _noise(samples: Column) -> Column:
-    """struct(baseline, noise) of an array of two samples or more."""
-
-    def both(v: Column) -> Column:
-        steps = F.transform(F.sequence(F.lit(1), F.size(v) - 1), lambda i: (F.get(v, i) - F.get(v, i - 1)).cast("double"))
-        spread = _let(steps, lambda d: _let(_median(d), lambda m: _median(F.transform(d, lambda x: F.abs(x - m)))))
-        return F.struct(_median(v).alias("baseline"), F.greatest(spread / (0.67448975 * 2**0.5), F.lit(1.0)).alias("noise"))
-
-    return _let(samples, both)
+    primary = F.when(clear & k.between(1, 3), strongest).otherwise("N")
+    ambiguity = F.when(clear & (k == 1), strongest).when(clear & (k == 2), X.iupac_code(F.col("qualifying"))).otherwise("N")
+    return rows.select(
+        *keys, "call_index", "ploc", "w_start", "w_end", "peaks", F.when(clear, F.col("primary_pos")).alias("primary_pos"), F.when(clear, F.col("primary_heights")).alias("primary_heights"), "qualifying",
+        primary.alias("primary"), ambiguity.alias("ambiguity"), F.when(vendor.isNotNull(), vendor == primary).alias("vendor_agrees"),
+    )
 
 
-def signal_windows(traces: DataFrame, size: int = 10, least_snr: float = 3.0, keys: tuple[str, ...] = ("input_name", "input_sha256")) -> DataFrame:
+def call_windows(traces: DataFrame, size: int = 10, least_snr: float = 3.0, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Every run of `size` calls: lowest primary and highest secondary signal-to-noise ratio; noisy below `least_snr`."""
-    n = F.size(F.col("channels")[0])
-    channel = lambda k: F.col("channels")[k]
-    called = F.transform(_windows(F.col("ploc"), n), lambda w: F.struct(w.s.alias("s"), w.e.alias("e"), F.array(*[_peak(channel(k), w, n).height for k in range(4)]).alias("h")))
-
-    def run(calls: Column) -> Column:
-        def ranked(heights: Column, noise: Column) -> Column:
-            pairs = F.zip_with(heights, noise, lambda h, z: F.struct(X.corrected(h, z.baseline).alias("a"), (X.corrected(h, z.baseline) / z.noise).alias("snr")))
-            return F.sort_array(pairs, asc=False)
-
-        def one(i: Column) -> Column:
-            noise = F.array(*[_noise(_samples(channel(k), F.get(calls, i).s, F.get(calls, i + size - 1).e)) for k in range(4)])
-            snrs = _let(noise, lambda z: F.transform(F.sequence(i, i + size - 1), lambda j: ranked(F.get(calls, j).h, z)))
-            return _let(snrs, lambda x: F.struct(i.alias("w_start"), (i + size).alias("w_end"), X.round_metric(F.array_min(F.transform(x, lambda c: c[0].snr))).alias("min_snr"), X.round_metric(F.array_max(F.transform(x, lambda c: c[1].snr))).alias("max_secondary_snr")))
-
-        return F.transform(_range(F.lit(0), F.size(calls) - size), one)
-
-    rows = traces.where(f"error_class IS NULL AND size(ploc) >= {max(2, size)}").select(*keys, F.explode(_let(called, run)).alias("x")).select(*keys, "x.*")
+    rows = _each_trace(traces, size, keys, RUN, lambda channels, ploc: _runs(channels, ploc, size))
+    rows = rows.withColumns({c: X.round_metric(F.col(c)) for c in ("min_snr", "max_secondary_snr")})
     return rows.withColumn("noisy", F.col("min_snr") < least_snr)
 
 
-def locus_evidence(traces: DataFrame, size: int = 10, keys: tuple[str, ...] = ("input_name", "input_sha256")) -> DataFrame:
+def locus_evidence(traces: DataFrame, size: int = 10, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Evidence of each locus, independent of its call: context of `size` loci, baseline and noise of each channel there, the
-    event nearest to the location among maxima of the summed corrected signal (greater total, then lower sample on ties),
-    heights, corrected amplitudes, ratios, and the profile (null without signal)."""
-    n = F.size(F.col("channels")[0])
-    channel = lambda k: F.col("channels")[k]
-
-    def evidence(ws: Column) -> Column:
-        def one(w: Column, i: Column) -> Column:
-            first = F.greatest(F.least(F.greatest(i - (size - 1) // 2, F.lit(0)), F.size(ws) - size), F.lit(0))
-            last = F.least(first + size, F.size(ws)) - 1
-            s, e = F.get(ws, first).s, F.get(ws, last).e
-            noise = F.array(*[_noise(_samples(channel(k), s, e)) for k in range(4)])
-
-            def refined(z: Column) -> Column:
-                total = lambda j: sum((X.corrected(F.get(channel(k), j), z[k].baseline) for k in range(1, 4)), X.corrected(F.get(channel(0), j), z[0].baseline))
-                peaks = _maxima(total, F.greatest(w.s, F.lit(1)), F.least(w.e, n - 1) - 1)
-                event = F.array_min(F.transform(peaks, lambda j: F.struct(F.abs(j - w.p).alias("d"), (-total(j)).alias("t"), j.alias("j"))))
-                return _let(F.coalesce(event.j, w.p), lambda at: F.struct(
-                    i.alias("call_index"), w.p.alias("ploc"), w.s.alias("w_start"), w.e.alias("w_end"), first.alias("ctx_call_start"), (last + 1).alias("ctx_call_end"), s.alias("ctx_sample_start"), e.alias("ctx_sample_end"),
-                    at.alias("event_position"), F.array(*[F.get(channel(k), at) for k in range(4)]).alias("heights"), F.transform(z, lambda x: x.baseline).alias("baselines"), F.transform(z, lambda x: x.noise).alias("noise_sigmas"),
-                    F.array(*[X.corrected(F.get(channel(k), at), z[k].baseline) for k in range(4)]).alias("corrected"),
-                ))
-
-            return _let(noise, refined)
-
-        return F.transform(ws, one)
-
-    rows = traces.where("error_class IS NULL AND size(ploc) >= 2").select(*keys, F.explode(_let(_windows(F.col("ploc"), n), evidence)).alias("x")).select(*keys, "x.*")
+    event nearest to the location among maxima of the summed corrected heights (greater total, then lower sample on ties),
+    heights, corrected amplitudes, ratios, and the profile (null without any amplitude)."""
+    rows = _each_trace(traces, 2, keys, EVIDENCE, lambda channels, ploc: _evidence(channels, ploc, size))
     return rows.withColumn("snrs", F.zip_with("corrected", "noise_sigmas", lambda a, s: a / s)).withColumn("profile", X.profile(F.col("corrected")))
 
 
-def trace_integrity(traces: DataFrame, keys: tuple[str, ...] = ("input_name", "input_sha256")) -> DataFrame:
+def trace_integrity(traces: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Spacing of the locations, clipped samples, and lengths of the vendor's evidence against the calls."""
     steps = F.transform(F.slice("ploc", 2, F.size("ploc") - 1), lambda p, i: p - F.get("ploc", i))
     clipped = F.aggregate(F.flatten("channels"), F.lit(0), lambda a, v: a + (v.isin(32767, -32768)).cast("int"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociflow.functions import expressions as X
@@ -32,6 +32,13 @@ def windows(held: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _informs() -> tuple[Column, list[tuple[str, Column]]]:
+    """Whether a shifted observation informs, and its masses."""
+    informs = X.canonical(F.col("shifted_base")) & (F.col("shifted_base") != F.col("base"))
+    zero, moved = X.mass(F.col("weights"), F.col("base")), X.mass(F.col("weights"), F.col("shifted_base"))
+    return informs, [("mean_zero", zero), ("mean_shifted", moved), ("mean_residual", F.greatest(F.lit(0.0), 1 - zero - moved))]
+
+
 def candidates(held: DataFrame, observations: DataFrame, keys: Sequence[str], most: int = OFFSET) -> DataFrame:
     """Each window at each offset: an equi-join on the shifted distance. An observation informs if the base there is known,
     canonical and another one; means are over those, null without any."""
@@ -39,10 +46,8 @@ def candidates(held: DataFrame, observations: DataFrame, keys: Sequence[str], mo
     shifted = held.withColumn("offset", F.explode(F.lit(offsets))).withColumn("__at", F.col("distance") + F.col("offset"))
     there = observations.select(*keys, F.col("distance").alias("__at"), F.col("base").alias("shifted_base"))
     both = shifted.join(there, [*keys, "__at"], "left")
-    informs = X.canonical(F.col("shifted_base")) & (F.col("shifted_base") != F.col("base"))
-    zero, moved = X.mass(F.col("weights"), F.col("base")), X.mass(F.col("weights"), F.col("shifted_base"))
-    rest = F.greatest(F.lit(0.0), 1 - zero - moved)
-    return both.groupBy(*keys, "window", "offset").agg(F.count_if(informs).alias("informative"), *[F.avg(F.when(informs, x)).alias(n) for n, x in (("mean_zero", zero), ("mean_shifted", moved), ("mean_residual", rest))])
+    informs, masses = _informs()
+    return both.groupBy(*keys, "window", "offset").agg(F.count_if(informs).alias("informative"), *[F.avg(F.when(informs, x)).alias(n) for n, x in masses])
 
 
 def availability(tract_calls: DataFrame, after: DataFrame, keys: Sequence[str], tract_length: int, size: int = SIZE) -> DataFrame:
@@ -55,17 +60,38 @@ def availability(tract_calls: DataFrame, after: DataFrame, keys: Sequence[str],
     return rows.withColumn("status", status)
 
 
+def after_tract(observations: DataFrame, keys: Sequence[str], first: int, last: int, length: int) -> DataFrame:
+    """(keys, distance, base, call_index, weights) of what a read shows behind a tract (positions first..last of a circle):
+    called later than the tract's last call, outside the tract, at a distance from its exit in read order. `observations` has
+    (keys, reverse, position, base, call_index, weights). A read without a call in the tract has none."""
+    inside = F.col("position").between(first, last)
+    latest = F.max(F.when(inside, F.col("call_index"))).over(Window.partitionBy(*keys))
+    leaves = F.when(F.col("reverse"), F.lit(first)).otherwise(F.lit(last))
+    distance = X.oriented_distance(F.col("position"), leaves, F.col("reverse"), length)
+    behind = observations.withColumn("__latest", latest).withColumn("distance", distance).where((F.col("call_index") > F.col("__latest")) & ~inside & (F.col("distance") > 0))
+    return behind.select(*keys, "distance", "base", "call_index", "weights")
+
+
+def distance_faults(after: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distances that a read shows more than once behind a tract."""
+    return after.groupBy(*keys, "distance").agg(F.count("*").alias("n")).where("n > 1").select(*keys, "distance")
+
+
 def sensitivity(observations: DataFrame, keys: Sequence[str], sizes: Sequence[int], steps: Sequence[int], offsets: Sequence[int]) -> DataFrame:
-    """The full grid of parameters: windows are cut for each size and step and their candidates for the widest offset, then
-    each grid point takes its share. The grid is a short literal, so nothing is crossed but with it."""
-    parts = []
-    for size in sizes:
-        for step in steps:
-            held = members(observations, keys, size, step)
-            parts.append(candidates(held, observations, keys, max(offsets)).withColumn("size", F.lit(size)).withColumn("step", F.lit(step)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """The full grid of parameters. Observations are ranked once and meet their neighbours once, at the widest offset; each
+    then goes to the windows of every size and step that hold it, and each grid point takes its share of the offsets."""
+    held = observations.where(F.col("weights").isNotNull() & X.canonical(F.col("base")))
+    of = Window.partitionBy(*keys)
+    held = held.withColumn("rank", F.row_number().over(of.orderBy("distance"))).withColumn("__n", F.count("*").over(of))
+    shifted = held.withColumn("offset", F.explode(F.lit([o for o in range(-max(offsets), max(offsets) + 1) if o]))).withColumn("__at", F.col("distance") + F.col("offset"))
+    both = shifted.join(observations.select(*keys, F.col("distance").alias("__at"), F.col("base").alias("shifted_base")), [*keys, "__at"], "left")
+    grid = F.array(*[F.struct(F.lit(a).alias("size"), F.lit(b).alias("step")) for a in sizes for b in steps])
+    cells = both.withColumn("__g", F.explode(grid)).select("*", "__g.size", "__g.step").drop("__g")
+    first = F.greatest(F.ceil((F.col("rank") - F.col("size")) / F.col("step")), F.lit(0)).cast("long")
+    last = F.least(F.floor((F.col("rank") - 1) / F.col("step")), F.floor((F.col("__n") - F.col("size")) / F.col("step"))).cast("long")
+    cells = cells.withColumn("__first", first).withColumn("__last", last).where("__first <= __last").withColumn("window", F.explode(F.sequence("__first", "__last")))
+    informs, masses = _informs()
+    out = cells.groupBy(*keys, "size", "step", "window", "offset").agg(F.count_if(informs).alias("informative"), *[F.avg(F.when(informs, x)).alias(n) for n, x in masses])
     return out.withColumn("most", F.explode(F.lit(list(offsets)))).where(F.abs("offset") <= F.col("most"))
 
 
@@ -78,6 +104,12 @@ def persistence(found: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.withColumn("next_window", F.lead("window").over(w)).where("next_window IS NOT NULL")
 
 
+def trajectory(found: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Candidates of all windows by offset, and by `keys` if there are any: windows, informative observations, mean masses."""
+    means = [F.avg(n).alias(n) for n in ("mean_zero", "mean_shifted", "mean_residual")]
+    return found.groupBy(*keys, "offset").agg(F.count("*").alias("windows"), F.sum("informative").alias("informative"), *means)
+
+
 def envelope(found: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Range of each window's candidates, and the greatest share of shifted in shifted and residual mass."""
     share = X.ratio(F.col("mean_shifted"), F.nullif(F.col("mean_shifted") + F.col("mean_residual"), F.lit(0.0)))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
-from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociflow.functions import expressions as X
@@ -32,13 +33,28 @@ def tail_flags(rows: DataFrame, bounds: DataFrame, strata: Sequence[str], value:
 
 
 def curation_queue(loci: DataFrame, flagged: DataFrame) -> DataFrame:
-    """Mixed loci (case_id, position, reason) by how many cases share the position, then flagged reads (case_id, read, reason)."""
-    shared = F.size(F.collect_set("case_id").over(Window.partitionBy("position")))
-    first = loci.select(F.lit("locus").alias("item"), "case_id", F.col("position"), F.lit(None).cast("long").alias("read"), "reason", shared.alias("recurrence"))
+    """Mixed loci (case_id, position, reason) by how many cases share the position, then flagged reads (case_id, read, reason).
+    Cases are counted by groups and joined back, so a position that all cases share is no task's alone."""
+    shared = loci.select("case_id", "position").distinct().groupBy("position").agg(F.count("*").cast("int").alias("recurrence"))
+    first = loci.join(shared, "position").select(F.lit("locus").alias("item"), "case_id", F.col("position"), F.lit(None).cast("long").alias("read"), "reason", "recurrence")
     second = flagged.select(F.lit("read").alias("item"), "case_id", F.lit(None).cast("long").alias("position"), F.col("read"), "reason", F.lit(None).cast("int").alias("recurrence"))
     return first.unionByName(second)
 
 
+def queue_items(queue: DataFrame) -> DataFrame:
+    """The queue as items: one for each locus or read of a case with all its reasons in order, an identifier that follows from
+    what it is, and its place: most shared loci first, then reads."""
+    items = queue.groupBy("item", "case_id", "position", "read").agg(F.array_join(F.array_sort(F.collect_set("reason")), ";").alias("reasons"), F.max("recurrence").alias("recurrence"))
+    name = X.difference_id(F.col("item"), F.col("case_id").cast("string"), F.coalesce(F.col("position").cast("string"), F.lit("")), F.coalesce(F.col("read").cast("string"), F.lit("")))
+    order = Window.partitionBy("case_id").orderBy("item", F.desc_nulls_last("recurrence"), F.asc_nulls_last("position"), F.asc_nulls_last("read"))
+    return items.withColumn("item_id", name).withColumn("place", F.row_number().over(order))
+
+
+def readiness_counts(rows: DataFrame, keys: Sequence[str], units: dict[str, Sequence[str]]) -> DataFrame:
+    """Rows of each group, and how many different units of each name it has."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("rows"), *[F.count_distinct(*c).alias(n) for n, c in units.items()])
+
+
 def crossing_reads(observations: DataFrame, read: Sequence[str], position: str, first: int, last: int) -> DataFrame:
     """Reads that hold every position of a tract, with the span of their calls there."""
     inside = observations.where(F.col(position).between(first, last))
@@ -80,66 +96,127 @@ def precision_recall(matches: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.select("*", X.ratio(F.col("true_positives"), F.col("true_positives") + F.col("false_positives")).alias("precision"), X.ratio(F.col("true_positives"), F.col("true_positives") + F.col("false_negatives")).alias("recall"), none.alias("true_negatives"), none.alias("specificity"))
 
 
-def reviewer_events(tokens: DataFrame, sample: str, token: str, reference: str) -> DataFrame:
-    """Events of reviewer tokens: `73G` or an IUPAC letter (each other base it stands for), `310.1C` grouped by position in the
-    order of their index, `249DEL` with its neighbours as one deletion anchored at the base before (circular)."""
+def read_context(rows: DataFrame, read: str, constants: Sequence[str], position: str, first: int, last: int) -> DataFrame:
+    """One row a read: its constant columns, how many positions of a tract it holds, and how many rules it breaks (a constant
+    that differs between rows, a position of the tract twice)."""
+    inside = F.when(F.col(position).between(first, last), F.col(position))
+    differs = reduce(lambda a, b: a + b, [(~F.min(c).eqNullSafe(F.max(c)) | ((F.count(c) > 0) & (F.count(c) < F.count("*")))).cast("int") for c in constants])
+    twice = (F.count(inside) > F.count_distinct(inside)).cast("int")
+    return rows.groupBy(read).agg(*[F.max(c).alias(c) for c in constants], F.count_distinct(inside).alias("tract_positions"), (differs + twice).alias("faults"))
+
+
+def stratified_summary(rows: DataFrame, strata: Sequence[str], flag: str, values: Sequence[str]) -> DataFrame:
+    """Observations of each stratum, how many carry a flag, and mean, median and 90th nearest-rank value of each metric."""
+    out = [x for v in values for x in (F.avg(v).alias(f"{v}_mean"), X.nearest_rank(v, 0.5).alias(f"{v}_p50"), X.nearest_rank(v, 0.9).alias(f"{v}_p90"))]
+    return rows.groupBy(*strata).agg(F.count("*").alias("observations"), F.count_if(F.col(flag)).alias("flagged"), *out)
+
+
+#: Tokens of a reviewer: a substitution, an inserted base, a deleted base. Fixed patterns.
+TOKENS = {"SNV": "^([1-9][0-9]*)([ACGTRYSWKMBDHVN])$", "INS": "^([1-9][0-9]*)\\.([1-9][0-9]*)([ACGT])$", "DEL": "^([1-9][0-9]*)DEL$"}
+
+
+def _read_tokens(tokens: DataFrame, sample: str, token: Column) -> DataFrame:
+    """(sample, token, kind, position, place, letter): place is an inserted base's index; kind is null outside the grammar."""
+    t = tokens.select(F.col(sample).alias("sample"), F.upper(F.trim(token)).alias("token"))
+    kind = F.coalesce(*[F.when(F.col("token").rlike(p), k) for k, p in TOKENS.items()])
+    part = lambda k, i: F.regexp_extract("token", TOKENS[k], i)
+    return t.select("sample", "token", kind.alias("kind"), F.regexp_extract("token", "^([0-9]+)", 1).try_cast("int").alias("position"), part("INS", 2).try_cast("int").alias("place"), F.coalesce(F.nullif(part("SNV", 2), F.lit("")), part("INS", 3)).alias("letter"))
+
+
+def reviewer_faults(tokens: DataFrame, sample: str, token: Column, reference: str) -> DataFrame:
+    """(sample, token, rule): tokens outside the grammar or the reference, that say nothing, or that repeat a substitution, a
+    deletion or an inserted place."""
+    t = _read_tokens(tokens, sample, token)
+    inside = F.col("position").between(1, len(reference))
+    here = F.substr(F.lit(reference), F.col("position"), F.lit(1))
+    alone = t.withColumn("rule", F.when(F.col("kind").isNull(), "unsupported token").when(~F.coalesce(inside, F.lit(False)), "position outside the reference").when((F.col("kind") == "SNV") & (F.col("letter") == here), "no difference from the reference"))
+    alone = alone.where("rule IS NOT NULL").select("sample", "token", "rule")
+    twice = t.where("kind IS NOT NULL").groupBy("sample", "kind", "position", "place").agg(F.count("*").alias("n"), F.min("token").alias("token")).where("n > 1")
+    return alone.unionByName(twice.select("sample", "token", F.lit("duplicate token").alias("rule")))
+
+
+def reviewer_events(tokens: DataFrame, sample: str, token: Column, reference: str) -> DataFrame:
+    """(sample, kind, position, reference, alternates) of reviewer tokens: `73G` or an IUPAC letter, one event with the other
+    bases it stands for, any of which may be called; `310.1C` joined by position in the order of their index; `249DEL` with
+    its neighbours one deletion, anchored at the base before (on a circle). A sample with a fault has no events."""
     length = len(reference)
     letter = lambda p: F.substr(F.lit(reference), p, F.lit(1))
-    t = tokens.select(F.col(sample).alias("sample"), F.upper(F.trim(token)).alias("token")).distinct()
-    snv = t.where(F.col("token").rlike("^[0-9]+[ACGTMRWSYKVHDBN]$")).select("sample", F.regexp_extract("token", "^([0-9]+)", 1).cast("int").alias("position"), F.explode(X.iupac_bases(F.substr("token", F.length("token"), F.lit(1)))).alias("alternate"))
-    snv = snv.withColumn("reference", letter(F.col("position"))).where("alternate <> reference").select("sample", F.lit("SNV").alias("kind"), "position", "reference", "alternate")
-    ins = t.where(F.col("token").rlike("^[0-9]+\\.[0-9]+[ACGT]$")).select("sample", F.regexp_extract("token", "^([0-9]+)", 1).cast("int").alias("position"), F.regexp_extract("token", "\\.([0-9]+)", 1).cast("int").alias("i"), F.substr("token", F.length("token"), F.lit(1)).alias("b"))
-    ins = ins.groupBy("sample", "position").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "b"))), lambda x: x.b), "").alias("b"), F.max("i").alias("last"), F.count("*").alias("n"))
-    ins = ins.where("last = n").select("sample", F.lit("INS").alias("kind"), "position", letter(F.col("position")).alias("reference"), F.concat(letter(F.col("position")), "b").alias("alternate"))
+    faulty = reviewer_faults(tokens, sample, token, reference).select("sample").distinct()
+    t = _read_tokens(tokens, sample, token).join(faulty, "sample", "left_anti")
+    here = letter(F.col("position"))
+    snv = t.where("kind = 'SNV'").select("sample", "kind", "position", here.alias("reference"), F.array_sort(F.array_remove(X.iupac_bases(F.col("letter")), here)).alias("alternates"))
+    ins = t.where("kind = 'INS'").groupBy("sample", "kind", "position").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "letter"))), lambda x: x.letter), "").alias("b"))
+    ins = ins.select("sample", "kind", "position", here.alias("reference"), F.array(F.concat(here, "b")).alias("alternates"))
     w = Window.partitionBy("sample").orderBy("position")
-    gone = t.where(F.col("token").rlike("^[0-9]+DEL$")).select("sample", F.regexp_extract("token", "^([0-9]+)", 1).cast("int").alias("position")).withColumn("island", F.col("position") - F.row_number().over(w))
-    gone = gone.groupBy("sample", "island").agg(F.min("position").alias("first"), F.max("position").alias("last"))
+    gone = t.where("kind = 'DEL'").select("sample", "kind", "position").withColumn("island", F.col("position") - F.row_number().over(w))
+    gone = gone.groupBy("sample", "kind", "island").agg(F.min("position").alias("first"), F.max("position").alias("last"))
     anchor = F.when(F.col("first") == 1, F.lit(length)).otherwise(F.col("first") - 1)
-    gone = gone.select("sample", F.lit("DEL").alias("kind"), anchor.alias("position"), F.concat(letter(anchor), F.substr(F.lit(reference), F.col("first"), F.col("last") - F.col("first") + 1)).alias("reference"), letter(anchor).alias("alternate"))
+    gone = gone.select("sample", "kind", anchor.alias("position"), F.concat(letter(anchor), F.substr(F.lit(reference), F.col("first"), F.col("last") - F.col("first") + 1)).alias("reference"), F.array(letter(anchor)).alias("alternates"))
     return snv.unionByName(ins).unionByName(gone)
 
 
-def haplotype_groups(events: DataFrame, reference: str, most: int = 3) -> DataFrame:
-    """Truth and called events of a sample (sample, side, position, reference, alternate) that spell the same sequence though
-    they are written otherwise: the smallest sets that do, each event in one set. Few events a sample remain unmatched when
-    this runs, so a sample fits a worker."""
-
-    def spell(chosen: Sequence[tuple]) -> str | None:
-        out, at = [], 0
-        for position, ref, alt in sorted(chosen):
-            start = position - 1
-            if start < at or reference[start : start + len(ref)] != ref:
-                return None
-            out += [reference[at:start], alt]
-            at = start + len(ref)
-        return "".join([*out, reference[at:]])
+def reviewer_matches(truth: DataFrame, called: DataFrame) -> DataFrame:
+    """(sample, kind, position, reference, alternates, alternate, status) of reviewer_events() against called events (sample,
+    kind, position, reference, alternate): a reviewer's event meets the first call that it allows. A position has one
+    reviewer's event of a kind and reference at most, so no call is wanted twice."""
+    same = ["sample", "kind", "position", "reference"]
+    allowed = truth.withColumn("alternate", F.explode("alternates")).join(called.select(*same, "alternate"), [*same, "alternate"])
+    met = allowed.groupBy(*same, "alternates").agg(F.min("alternate").alias("alternate"))
+    exact = truth.select(*same, "alternates").join(met, [*same, "alternates"], "left").withColumn("status", F.when(F.col("alternate").isNull(), "missing").otherwise("exact"))
+    extra = called.select(*same, "alternate").join(met.select(*same, "alternate"), [*same, "alternate"], "left_anti")
+    return exact.unionByName(extra.select(*same, F.lit(None).cast("array<string>").alias("alternates"), "alternate", F.lit("extra").alias("status")))
+
+
+def spelled(reference: str, events: Sequence[tuple[int, str, str]]) -> str | None:
+    """The reference with events (position, reference, alternate) in it; null if they overlap or do not fit."""
+    out, at = [], 0
+    for position, known, alternate in sorted(events):
+        start = position - 1
+        if start < at or reference[start : start + len(known)] != known:
+            return None
+        out += [reference[at:start], alternate]
+        at = start + len(known)
+    return "".join([*out, reference[at:]])
+
+
+def _runs(events: dict[int, tuple[int, str, str]], reference: str) -> dict[bytes, list[tuple[int, int]]]:
+    """Digest of what each run of neighbouring events spells, and the runs (first, last) that spell it."""
+    out: dict[bytes, list[tuple[int, int]]] = {}
+    for first in events:
+        last, chosen = first, []
+        while last in events:
+            chosen.append(events[last])
+            if (text := spelled(reference, chosen)) is not None:
+                out.setdefault(hashlib.sha256(text.encode()).digest(), []).append((first, last))
+            last += 1
+    return out
+
+
+def haplotype_groups(events: DataFrame, reference: str) -> DataFrame:
+    """Truth and called events of a sample (sample, side, at, position, reference, alternate) that spell the same sequence though
+    they are written otherwise. `at` is an event's place among all events of its side; what is given are those that no
+    exact match took.
+
+    Runs of neighbouring events of any length are tried. A pair of runs counts if none lies within it, and only if no event
+    of it is in another such pair. Pairs of one event each are no groups. One sample's
+    unmatched events fit a worker."""
 
     def each(group: pd.DataFrame) -> pd.DataFrame:
-        left = {s: [tuple(r) for r in group.loc[group["side"] == s, ["position", "reference", "alternate"]].itertuples(index=False)] for s in ("truth", "called")}
+        sides = {s: {int(r.at): (int(r.position), r.reference, r.alternate) for r in group[group["side"] == s].itertuples()} for s in ("truth", "called")}
+        known = _runs(sides["called"], reference)
+        pairs = [(t, c) for digest, runs in _runs(sides["truth"], reference).items() for t in runs for c in known.get(digest, ()) if t[0] < t[1] or c[0] < c[1]]
+        within = lambda x, y: y[0] <= x[0] and x[1] <= y[1]
+        least = [p for p in pairs if not any(o != p and within(o[0], p[0]) and within(o[1], p[1]) for o in pairs)]
+        uses: Counter = Counter((side, i) for p in least for side, (a, b) in enumerate(p) for i in range(a, b + 1))
         rows, number = [], 0
-        for size in range(2, 2 * most + 1):
-            for n in range(1, size):
-                if n > most or size - n > most:
-                    continue
-                known: dict[str, list] = {}
-                for c in combinations(sorted(left["called"]), size - n):
-                    if (s := spell(c)) is not None:
-                        known.setdefault(s, []).append(c)
-                for t in combinations(sorted(left["truth"]), n):
-                    if not set(t) <= set(left["truth"]) or (s := spell(t)) is None:
-                        continue
-                    fits = [c for c in known.get(s, []) if set(c) <= set(left["called"])]
-                    if len(fits) != 1:  # none, or not the only one
-                        continue
-                    number += 1
-                    for side, chosen in (("truth", t), ("called", fits[0])):
-                        for e in chosen:
-                            left[side].remove(e)
-                            rows.append((group["sample"].iloc[0], number, side, *e))
-        return pd.DataFrame(rows, columns=["sample", "group", "side", "position", "reference", "alternate"])
+        for p in sorted(least):
+            if all(uses[side, i] == 1 for side, (a, b) in enumerate(p) for i in range(a, b + 1)):
+                number += 1
+                rows += [(group["sample"].iloc[0], number, side, i, *sides[side][i]) for side, (a, b) in zip(("truth", "called"), p, strict=True) for i in range(a, b + 1)]
+        return pd.DataFrame(rows, columns=["sample", "group", "side", "at", "position", "reference", "alternate"])
 
     kind = events.schema["sample"].dataType.simpleString()
-    return events.groupBy("sample").applyInPandas(each, f"sample {kind}, group int, side string, position int, reference string, alternate string")
+    return events.groupBy("sample").applyInPandas(each, f"sample {kind}, group int, side string, at int, position int, reference string, alternate string")
 
 
 def readiness_grid(partitions: Sequence[str], differences: DataFrame, counts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -159,22 +236,27 @@ def leaks(rows: DataFrame, unit: str) -> DataFrame:
 
 
 def log_events(lines: DataFrame, line: str = "line", order: str = "line_no", keys: Sequence[str] = ("log",)) -> DataFrame:
-    """Fields of `... event=name key=value` lines and the read that is open: the number of starts so far in the same log."""
-    pairs = F.regexp_extract_all(line, F.lit(r'(\w+)=(?:"[^"]*"|\S+)'), 0)
+    """Fields of `... - event=name key=value` lines and the read that is open: the number of starts so far in the same log.
+    Only what follows the first ` - ` is read. A key that a line repeats is a fault of that line; its first value stays."""
+    said = F.when(F.instr(line, " - ") > 0, F.substr(F.col(line), F.instr(line, " - ") + 3))
+    pairs = F.regexp_extract_all(said, F.lit(r'(\w+)=(?:"[^"]*"|\S+)'), F.lit(0))
     split = F.transform(pairs, lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.btrim(F.substr(x, F.instr(x, "=") + 1), F.lit('"')).alias("value")))
-    fields = F.map_from_entries(split)
-    rows = lines.withColumn("fields", fields).withColumn("event", F.try_element_at("fields", F.lit("event"))).withColumn("level", F.regexp_extract(line, r"\| (\w+)\s*\|", 1))
+    rows = lines.withColumn("__split", split).withColumn("__keys", F.transform("__split", lambda x: x.key))
+    fields = F.map_from_entries(F.filter("__split", lambda x, i: F.array_position(F.col("__keys"), x.key) == i + 1))
+    rows = rows.withColumn("fields", fields).withColumn("fault", F.when(F.size(F.array_distinct("__keys")) < F.size("__keys"), "duplicate log field")).drop("__split", "__keys")
+    rows = rows.withColumn("event", F.try_element_at("fields", F.lit("event"))).withColumn("level", F.regexp_extract(line, r"\| (\w+)\s*\|", 1))
     started = F.sum((F.col("event") == "sample_read_started").cast("int")).over(Window.partitionBy(*keys).orderBy(order))
     return rows.withColumn("read_no", F.coalesce(started, F.lit(0)))
 
 
-REQUIRED = ("basecalling_completed", "signal_completed", "quality_completed", "alignment_completed", "variants_completed")
+#: Events that a read's log must hold once. Fixed values.
+REQUIRED = ("basecalling_completed", "signal_processing_completed", "quality_control_completed", "alignment_completed", "warning_summary")
 
 
 def read_logs(events: DataFrame, keys: Sequence[str] = ("log",), required: Sequence[str] = REQUIRED) -> DataFrame:
-    """One row a read: whether each required event came once between its start and its end. A missing warning summary counts as none."""
+    """One row a read: whether each required event came once between its start and its end, and no line has a fault."""
     held = [F.count_if(F.col("event") == e).alias(e) for e in required]
-    out = events.where("read_no > 0").groupBy(*keys, "read_no").agg(*held, F.count_if(F.col("event") == "sample_read_completed").alias("completed"), F.max(F.try_element_at("fields", F.lit("warnings")).cast("int")).alias("warnings"))
-    whole = reduce(lambda a, b: a & b, [F.col(e) == 1 for e in required], F.col("completed") == 1)
+    faults = F.count("fault").alias("faults")
+    out = events.where("read_no > 0").groupBy(*keys, "read_no").agg(*held, F.count_if(F.col("event") == "sample_read_completed").alias("completed"), F.max(F.try_element_at("fields", F.lit("warnings")).try_cast("int")).alias("warnings"), faults)
+    whole = reduce(lambda a, b: a & b, [F.col(e) == 1 for e in required], (F.col("completed") == 1) & (F.col("faults") == 0))
     return out.withColumn("warnings", F.coalesce("warnings", F.lit(0))).withColumn("complete", whole)
-

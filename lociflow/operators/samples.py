@@ -33,11 +33,15 @@ def overlaps(observations: DataFrame, sample: str, read: str, position: str, bas
 
 
 def with_state(observations: DataFrame, base: str = "base", reference: str = "reference") -> DataFrame:
-    return observations.withColumn("state", F.when(F.col(base) == "-", "deletion").when(~X.canonical(F.col(base)), "unresolved").when(F.col(base) == F.col(reference), "reference").otherwise("alternate"))
+    kind = F.when(F.col(base) == "-", "deletion").otherwise("base")
+    return observations.withColumn("state", X.locus_state(kind, F.col(base), F.col(reference)))
 
 
-def differential_loci(observations: DataFrame, sample: str, position: str) -> DataFrame:
-    """All observations at the positions where any read differs from the reference: one window, one shuffle."""
+def differential_loci(observations: DataFrame, sample: str, position: str, all_covered: bool = False) -> DataFrame:
+    """All observations at the positions where any read differs from the reference (one window, one shuffle), or at all
+    positions that a read covers."""
+    if all_covered:
+        return observations
     differs = F.max((F.col("state") != "reference").cast("int")).over(Window.partitionBy(sample, position))
     return observations.withColumn("__differs", differs).where("__differs = 1").drop("__differs")
 
@@ -86,8 +90,14 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str],
     return placed.join(binned, [*keys, "__bin"]).where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))).drop("__bin")
 
 
-def metric_columns(value: Column) -> list[Column]:
+def metric_columns(name: str) -> list[Column]:
     """n, missing, min, mean, exact nearest-rank quantiles and max of a metric."""
-    quantile = lambda p: F.percentile_disc(value, p) if hasattr(F, "percentile_disc") else X.nearest_rank(value, p)
-    out = [F.count(value).alias("n"), F.count_if(value.isNull()).alias("missing"), F.min(value).alias("min"), F.avg(value).alias("mean")]
-    return [*out, *[quantile(p).alias(f"p{round(100 * p)}") for p in (0.5, 0.9, 0.95, 0.99)], F.max(value).alias("max")]
+    out = [F.count(name).alias("n"), F.count_if(F.col(name).isNull()).alias("missing"), F.min(name).alias("min"), F.avg(name).alias("mean")]
+    return [*out, *[X.nearest_rank(name, p).alias(f"p{round(100 * p)}") for p in (0.5, 0.9, 0.95, 0.99)], F.max(name).alias("max")]
+
+
+def neighbour_mass(profiles: DataFrame, read: Sequence[str], position: str, mass: str, length: int) -> DataFrame:
+    """Each locus of a read beside the mass at the one before and after it on a circle; two equi-joins on the shifted key."""
+    keys = [*read, position]
+    there = lambda step, name: profiles.select(*read, F.pmod(F.col(position) + step, F.lit(length)).alias(position), F.col(mass).alias(name))
+    return profiles.select(*keys).join(there(1, "previous_mass"), keys, "left").join(there(-1, "next_mass"), keys, "left")

@@ -38,6 +38,12 @@ def context_starts(calls: DataFrame, keys: Sequence[str], size: int, index: str
     return calls.withColumn("context_start", F.least(F.greatest(F.col(index) - (size - 1) // 2, F.lit(0)), F.greatest(n - size, F.lit(0))))
 
 
+def nearest_event(peaks: DataFrame, keys: Sequence[str], centre: Column, position: str, height: str) -> DataFrame:
+    """The peak nearest to a locus's centre, the higher of equally near ones, then the first: (keys, event_position)."""
+    best = F.min(F.struct(F.abs(F.col(position) - centre).alias("d"), (-F.col(height)).alias("h"), F.col(position).alias("p")))
+    return peaks.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.p").alias("event_position"))
+
+
 def noisy_regions(windows: DataFrame, keys: Sequence[str], least: int, start: str = "w_start", end: str = "w_end", noisy: str = "noisy", snr: str = "min_snr") -> DataFrame:
     """Runs of noisy windows that touch or overlap; those of `least` windows or more, with their bounds and lowest ratio."""
     w = _partition(keys).orderBy(start)

@@ -1,7 +1,11 @@
-"""From trace files to placed reads, variants and sample evidence: one plan over all traces, errors kept in their rows."""
+"""From trace files to placed reads, variants and sample evidence: one plan over all traces, errors kept in their rows.
+
+Each step's table is used by several others. Without `keep` all are lazy and computed again wherever they are used; a keep()
+such as sinks.publish.staged() writes each once."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -19,10 +23,10 @@ KEYS = ("input_name", "input_sha256")
 
 @dataclass(frozen=True)
 class Analysis:
-    """Lazy tables of an analysis; each is computed when it is used."""
+    """Tables of an analysis."""
 
     calls: DataFrame
-    signal: DataFrame
+    runs: DataFrame
     noisy: DataFrame
     loci: DataFrame
     quality: DataFrame
@@ -32,28 +36,32 @@ class Analysis:
     variants: DataFrame
 
 
-def analyze(traces: DataFrame, reference: ReferenceSequence, settings: Settings | None = None) -> Analysis:
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def analyze(traces: DataFrame, reference: ReferenceSequence, settings: Settings | None = None, keep: Keep = lambda df, name: df) -> Analysis:
     s = settings or Settings()
     keys = list(KEYS)
-    called = C.call_bases(traces, s.basecalling.secondary_peak_ratio)
-    signal = C.signal_windows(traces, s.signal_processing.window_size_bases, s.signal_processing.minimum_primary_snr)
-    noisy = W.noisy_regions(signal, keys, s.signal_processing.minimum_noisy_windows)
-    loci = C.locus_evidence(traces, s.signal_processing.window_size_bases)
+    traces = keep(traces, "traces")
+    called = keep(C.call_bases(traces, s.basecalling.secondary_peak_ratio), "calls")
+    runs = C.call_windows(traces, s.signal_processing.window_size_bases, s.signal_processing.minimum_primary_snr)
+    noisy = W.noisy_regions(runs, keys, s.signal_processing.minimum_noisy_windows)
+    loci = keep(C.locus_evidence(traces, s.signal_processing.window_size_bases), "loci")
     q = s.quality_control
-    scored = W.relative_quality(W.penalties(called, keys, q.trim_window_size), keys, q.max_relative_quality_score)
+    scored = keep(W.relative_quality(W.penalties(called, keys, q.trim_window_size), keys, q.max_relative_quality_score), "scored")
     trims = W.trim(scored, W.best_section(scored, keys, q.best_section_fraction), keys, q.trim_window_size, q.trim_stringency, q.minimum_retained_bases)
     kept = scored.select(*keys, "call_index", "primary").join(trims.where("retained"), keys).where("call_index >= trim_start AND call_index < trim_end").join(loci.select(*keys, "call_index", "profile"), [*keys, "call_index"])
     ordered = F.array_sort(F.collect_list(F.struct("call_index", "primary", "profile")))
     reads = kept.groupBy(*keys).agg(ordered.alias("x")).select(*keys, F.array_join(F.transform("x", lambda v: v.primary), "").alias("query"), F.transform("x", lambda v: v.profile).alias("profiles"), F.col("x")[0].call_index.alias("first_call"))
     a = s.alignment
     scoring = A.Scoring(a.match_score, a.mismatch_score, a.gap_open_score, a.gap_extension_score, a.ambiguous_score, a.minimum_callable_bases, a.minimum_identity)
-    placed = A.align_reads(reads, reference.bases, reference.circular, scoring, KEYS)
+    placed = keep(A.align_reads(reads, reference.bases, reference.circular, scoring, KEYS), "alignments")
     columns = A.alignment_columns(placed, KEYS)
     v = s.variant_calling
-    found = A.variants(columns, reference.bases, reference.circular, v.max_indel_length, KEYS)
+    found = A.merge_variants(A.variants(columns, reference.bases, reference.circular, v.max_indel_length, KEYS), KEYS)
     evidence = scored.select(*keys, "call_index", F.array_max(F.transform("peaks", lambda p: p.height)).alias("highest_peak"), "relative_quality", F.size("qualifying").alias("n_qualifying"))
-    judged = A.filter_variants(found, evidence, list(v.regions), v.minimum_peak_height, v.relative_quality_threshold, KEYS)
-    return Analysis(called, signal, noisy, loci, scored, trims, placed, columns, judged)
+    judged = keep(A.filter_variants(found, evidence, list(v.regions), v.minimum_peak_height, v.relative_quality_threshold, KEYS), "variants")
+    return Analysis(called, runs, noisy, loci, scored, trims, placed, columns, judged)
 
 
 def sample_evidence(done: Analysis, samples: DataFrame, settings: Settings | None = None) -> dict[str, DataFrame]:

@@ -8,10 +8,11 @@ from lociflow.functions import expressions as X
 from lociflow.operators import audit as U
 from lociflow.operators import calls as C
 from lociflow.operators import phase as H
+from lociflow.operators import research as R
 from lociflow.operators import samples as S
 from lociflow.operators import windows as W
 from lociflow.plans import bridges as B
-from lociflow.plans.catalog import BASES_SQL, CAND_SQL, ID, _candidates, query, rounded
+from lociflow.plans.catalog import CAND_SQL, ID, RUN_SQL, _candidates, query, rounded
 from lociflow.sources import abif
 
 
@@ -25,16 +26,22 @@ def event_footprints(spark, d):
     return o.select("o_orderkey", p["kind"].alias("kind"), first.alias("first"), last.alias("last"))
 
 
-@query(CAND_SQL + ' SELECT user_id, win AS "window", off AS "offset" FROM cand WHERE abs(z + s + r - 1) > 1e-9 OR (informative = 0) <> (z IS NULL)')
+@query(CAND_SQL + ' SELECT user_id, win AS "window", off AS "offset" FROM cand WHERE (user_id % 5 = 0 AND z IS NOT NULL) OR (user_id % 5 <> 0 AND win = 1 AND informative > 0)')
 def phase_invariants(spark, d):
-    return U.mass_faults(_candidates(spark, d)).select("user_id", "window", "offset")
+    """Candidates with planted faults: residual masses that are too large, and means without information."""
+    c = _candidates(spark, d)
+    c = c.withColumn("mean_residual", F.col("mean_residual") + F.when(F.col("user_id") % 5 == 0, 0.5).otherwise(0.0))
+    c = c.withColumn("informative", F.when((F.col("user_id") % 5 != 0) & (F.col("window") == 1), 0).otherwise(F.col("informative")))
+    return U.mass_faults(c).select("user_id", "window", "offset")
 
 
-@query(B.with_sql("observations", "states") + " SELECT sample, count(*) AS loci, count(*) FILTER (reads > 1 AND alternates > 0) AS mixed_loci FROM (SELECT sample, position, count(*) AS reads, count(*) FILTER (state = 'alternate') AS alternates FROM states GROUP BY ALL) GROUP BY ALL")
+@query(B.with_sql("observations", "states") + """ SELECT sample, count(*) AS loci, count(*) FILTER (reads > 1 AND a > 0) AS mixed_loci, count(*) FILTER (a = 0 AND d < reads AND r > 0) AS reference_loci, count(*) FILTER (a > 0) AS alternate_loci, count(*) FILTER (d = reads) AS deletion_loci, count(*) FILTER (a = 0 AND r = 0 AND d < reads) AS unresolved_loci
+FROM (SELECT sample, position, count(*) AS reads, count(*) FILTER (state = 'alternate') AS a, count(*) FILTER (state = 'reference') AS r, count(*) FILTER (state = 'deletion') AS d FROM states GROUP BY ALL) GROUP BY ALL""")
 def case_geometry(spark, d):
+    """A locus is in the state of its reads: any alternate, else any reference, else all deleted, else unresolved."""
     loci = S.locus_topology(S.with_state(B.observations(spark, d)), ["sample", "position"])
-    loci = loci.withColumn("mixed", (F.col("reads") > 1) & (F.col("alternate_reads") > 0)).withColumn("state", F.lit("reference"))
-    return U.case_geometry(loci, "sample", "mixed").select("sample", "loci", "mixed_loci")
+    state = F.when(F.col("alternate_reads") > 0, "alternate").when(F.col("reference_reads") > 0, "reference").when(F.col("deletion_reads") == F.col("reads"), "deletion").otherwise("unresolved")
+    return U.case_geometry(loci.withColumn("mixed", (F.col("reads") > 1) & (F.col("alternate_reads") > 0)).withColumn("state", state), "sample", "mixed")
 
 
 MIXED_SQL = B.with_sql("observations", "states") + """, o AS (SELECT *, read % 37 AS edge, position % 11 = 0 AS noisy FROM states), m AS (SELECT sample, position FROM o GROUP BY ALL HAVING count(*) FILTER (state = 'alternate') > 0 AND count(*) FILTER (state = 'reference') > 0),
@@ -94,16 +101,22 @@ def sample_metrics(spark, d):
     return U.sample_metrics(t, "sample").select("sample", "loci", "reads", "alternate_reads", "deletion_reads")
 
 
-@query(B.with_sql("observations") + " SELECT sample, position FROM observations WHERE false")
+@query(B.with_sql("observations") + " SELECT DISTINCT sample, position FROM observations WHERE position % 7 = 0 OR position % 11 = 0")
 def topology_invariants(spark, d):
-    return U.topology_faults(S.locus_topology(S.with_state(B.observations(spark, d)), ["sample", "position"])).select("sample", "position")
+    """Topologies with planted faults: a read too much, and an alternate read of no direction."""
+    t = S.locus_topology(S.with_state(B.observations(spark, d)), ["sample", "position"])
+    t = t.withColumn("reads", F.col("reads") + (F.col("position") % 7 == 0).cast("int")).withColumn("alternate_forward", F.col("alternate_forward") + (F.col("position") % 11 == 0).cast("int"))
+    return U.topology_faults(t).select("sample", "position")
 
 
-@query(BASES_SQL + " SELECT CAST(doc_id AS VARCHAR) AS input_name, count(*) FILTER (call_index = 5 AND b <> 'A') AS ambiguous_calls, 0 AS vendor_disagreements, 0 AS calls_without_peak FROM bases GROUP BY ALL")
+@query(RUN_SQL + """, s AS (SELECT input_name, noisy, sum(CASE WHEN noisy AND coalesce(p, false) THEN 0 ELSE 1 END) OVER (PARTITION BY input_name ORDER BY w_start) AS run FROM (SELECT *, lag(noisy) OVER (PARTITION BY input_name ORDER BY w_start) AS p FROM runs)),
+r AS (SELECT input_name, count(*) AS noisy_regions FROM (SELECT input_name, run FROM s WHERE noisy GROUP BY ALL HAVING count(*) >= 2) GROUP BY ALL), c AS (SELECT name AS input_name, count(*) FILTER (call_index = 5 AND b <> 'A') AS ambiguous_calls FROM bases GROUP BY ALL)
+SELECT input_name, ambiguous_calls, 0 AS vendor_disagreements, 0 AS calls_without_peak, coalesce(noisy_regions, 0) AS noisy_regions, ambiguous_calls + coalesce(noisy_regions, 0) AS warnings FROM c LEFT JOIN r USING (input_name)""")
 def read_warnings(spark, d):
-    calls = C.call_bases(abif.decode_traces(B.trace_files(spark, d)))
-    none = calls.select("input_name", "input_sha256").where("false")
-    return U.read_warnings(calls, none, ["input_name", "input_sha256"]).select("input_name", "ambiguous_calls", "vendor_disagreements", "calls_without_peak")
+    traces = abif.decode_traces(B.trace_files(spark, d))
+    keys = ["input_name", "input_sha256"]
+    noisy = W.noisy_regions(C.call_windows(traces), keys, 2)
+    return U.read_warnings(C.call_bases(traces), noisy, keys).drop("input_sha256")
 
 
 @query("SELECT o_orderkey, CASE WHEN c < a THEN 'before' WHEN c > b THEN 'after' ELSE 'inside' END AS region, CASE WHEN c < a THEN a - c WHEN c > b THEN c - b ELSE 0 END AS distance, least(c - 5, 49 - c) AS edge FROM (SELECT o_orderkey, o_custkey % 60 AS c, 20 AS a, 30 AS b FROM orders)")
@@ -116,3 +129,67 @@ def path_regions(spark, d):
 @query(B.with_sql("series") + """, s AS (SELECT user_id, i, sum(v) OVER w AS window_sum, count(*) OVER w AS window_rows FROM series WINDOW w AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) SELECT user_id, i, CAST(window_sum AS BIGINT) AS window_sum, window_rows FROM s""")
 def rolling_sums(spark, d):
     return W.rolling_sum(B.series(spark, d), ID, "i", "v", 5).select("user_id", "i", "window_sum", "window_rows")
+
+
+AFTER_SQL = B.with_sql("series") + """, o AS (SELECT user_id, user_id % 2 = 1 AS reverse, i, CASE WHEN user_id % 2 = 1 THEN (640 + 330 - i) % 320 ELSE (i + 290) % 320 END AS position, base FROM series), t AS (SELECT user_id, max(i) AS latest FROM o WHERE position BETWEEN 300 AND 305 GROUP BY ALL),
+d AS (SELECT o.user_id, CASE WHEN reverse THEN (300 - position + 320) % 320 ELSE (position - 305 + 320) % 320 END AS distance, base, i AS call_index FROM o JOIN t USING (user_id) WHERE i > latest AND position NOT BETWEEN 300 AND 305)"""
+
+
+def _after(spark, d):
+    s = B.series(spark, d)
+    reverse = F.col("user_id") % 2 == 1
+    position = F.when(reverse, (640 + 330 - F.col("i")) % 320).otherwise((F.col("i") + 290) % 320)
+    return H.after_tract(s.select("user_id", reverse.alias("reverse"), position.alias("position"), "base", F.col("i").alias("call_index"), F.lit(None).cast("array<double>").alias("weights")), ID, 300, 305, 320)
+
+
+@query(AFTER_SQL + " SELECT user_id, distance, base, call_index FROM d WHERE distance > 0")
+def phase_after(spark, d):
+    """Users' events as calls on a circle of 320, in either direction, behind a tract of six."""
+    return _after(spark, d).drop("weights")
+
+
+@query(AFTER_SQL + ", e AS (SELECT user_id, distance + distance % 2 AS distance FROM d WHERE distance > 0) SELECT user_id, distance FROM e GROUP BY ALL HAVING count(*) > 1")
+def phase_distance_faults(spark, d):
+    """Distances rounded up to even ones, so that neighbours meet."""
+    return H.distance_faults(_after(spark, d).withColumn("distance", F.col("distance") + F.col("distance") % 2), ID)
+
+
+@query(B.with_sql("observations", "states") + " SELECT sample, CASE WHEN state = 'deletion' THEN 'deletion_event' WHEN held THEN 'eligible' ELSE 'missing_profile' END AS contribution, count(*) AS n FROM states GROUP BY ALL")
+def contributions(spark, d):
+    o = S.with_state(B.observations(spark, d))
+    return o.groupBy("sample", X.contribution(F.col("state"), F.col("weights")).alias("contribution")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT l_suppkey AS read, max(l_shipmode) AS l_shipmode, max(l_linestatus) AS l_linestatus, count(DISTINCT l_partkey) FILTER (l_partkey BETWEEN 30 AND 90) AS tract_positions,
+CAST(min(l_shipmode) <> max(l_shipmode) AS INT) + CAST(min(l_linestatus) <> max(l_linestatus) AS INT) + CAST(count(*) FILTER (l_partkey BETWEEN 30 AND 90) > count(DISTINCT l_partkey) FILTER (l_partkey BETWEEN 30 AND 90) AS INT) AS faults FROM (SELECT *, CAST(l_quantity AS INT) % 5 AS l_shipmode FROM lineitem) GROUP BY ALL""")
+def read_context(spark, d):
+    li = B.table(spark, d, "lineitem").withColumn("l_shipmode", F.col("l_quantity").cast("int") % 5).withColumnRenamed("l_suppkey", "read")
+    return R.read_context(li, "read", ["l_shipmode", "l_linestatus"], "l_partkey", 30, 90)
+
+
+@query("""WITH r AS (SELECT event_type, user_id % 3 AS third, value, event_id % 4 = 0 AS noisy, row_number() OVER (PARTITION BY event_type, user_id % 3 ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type, user_id % 3) AS n FROM events)
+SELECT event_type, third, count(*) AS observations, count(*) FILTER (noisy) AS flagged, round(avg(value), 6) AS value_mean, max(CASE WHEN rn = greatest(1, CAST(ceil(0.5 * n) AS BIGINT)) THEN value END) AS value_p50, max(CASE WHEN rn = greatest(1, CAST(ceil(0.9 * n) AS BIGINT)) THEN value END) AS value_p90 FROM r GROUP BY ALL""")
+def stratified_summary(spark, d):
+    e = B.table(spark, d, "events").select("event_type", (F.col("user_id") % 3).alias("third"), "value", (F.col("event_id") % 4 == 0).alias("noisy"))
+    return rounded(R.stratified_summary(e, ["event_type", "third"], "noisy", ["value"]), "value_mean")
+
+
+@query(B.with_sql("segments") + " SELECT read, CASE WHEN seg_end > 5020 THEN 2 ELSE 1 END AS segments, seg_start AS first_start, CASE WHEN seg_end > 5020 THEN 5020 ELSE seg_end END AS first_end, CASE WHEN seg_end > 5020 THEN seg_end - 5020 END AS second_end FROM segments")
+def reference_segments(spark, d):
+    s = B.segments(spark, d).withColumn("x", X.reference_segments(F.col("seg_start"), F.col("seg_end"), 5020))
+    return s.select("read", F.size("x").alias("segments"), F.col("x")[0].start.alias("first_start"), F.col("x")[0].end.alias("first_end"), F.get("x", F.lit(1)).end.alias("second_end"))
+
+
+@query("SELECT o_orderkey, length(t) > 0 AND regexp_matches(t, '^[A-Za-z0-9][A-Za-z0-9_.-]*$') AS named, regexp_matches(sha256(t), '^[0-9a-f]{64}$') AS digest FROM (SELECT o_orderkey, CASE o_custkey % 4 WHEN 0 THEN 'a ' WHEN 1 THEN '_' WHEN 2 THEN 'x.y-' ELSE '' END || o_orderkey AS t FROM orders)")
+def name_rules(spark, d):
+    k = F.col("o_custkey") % 4
+    t = F.concat(F.when(k == 0, "a ").when(k == 1, "_").when(k == 2, "x.y-").otherwise(""), F.col("o_orderkey").cast("string"))
+    return B.table(spark, d, "orders").select("o_orderkey", (X.sample_name(t) & X.case_name(t)).alias("named"), X.sha256_name(F.sha2(t, 256)).alias("digest"))
+
+
+@query(B.with_sql("observations", "states") + ", q AS (SELECT DISTINCT sample, position FROM states WHERE state = 'alternate' AND forward), c AS (SELECT position, count(*) AS recurrence FROM q GROUP BY ALL) SELECT sample AS case_id, position, CAST(recurrence AS INT) AS recurrence, row_number() OVER (PARTITION BY sample ORDER BY recurrence DESC, position) AS place FROM q JOIN c USING (position)")
+def queue_order(spark, d):
+    s = S.with_state(B.observations(spark, d))
+    loci = s.where("state = 'alternate' AND forward").select(F.col("sample").alias("case_id"), "position").distinct().withColumn("reason", F.lit("mixed"))
+    none = loci.select("case_id", F.lit(0).cast("long").alias("read"), "reason").where("false")
+    return R.queue_items(R.curation_queue(loci, none)).select("case_id", "position", "recurrence", "place")

@@ -16,23 +16,32 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def sequences(spark: SparkSession, folder: str, length: int = 120, least: int = 60) -> DataFrame:
-    """(doc_id, bases): the letters of a document as bases."""
+#: Letters of a trace: about what one read of a sequencer gives.
+READ = 700
+
+
+def sequences(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, part, bases): all letters of a document as bases, in parts of READ to 2 READ - 1 letters (a shorter text is one
+    part) that follow each other."""
     letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
-    bases = F.substr(F.translate(letters, LETTERS, CODES), F.lit(1), F.lit(length))
-    return table(spark, folder, "documents").select("doc_id", bases.alias("bases")).where(F.length("bases") >= least)
+    whole = table(spark, folder, "documents").select("doc_id", F.translate(letters, LETTERS, CODES).alias("all")).where(F.length("all") > 0)
+    n = F.greatest(F.floor(F.length("all") / READ), F.lit(1))
+    parts = whole.withColumn("n", n).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    start = lambda k: F.floor(F.length("all") * k / F.col("n"))
+    return parts.select("doc_id", "part", F.substr("all", (start(F.col("part")) + 1).cast("int"), (start(F.col("part") + 1) - start(F.col("part"))).cast("int")).alias("bases"))
 
 
 def trace_files(spark: SparkSession, folder: str, mixed_call: int = 5, height: int = 400) -> DataFrame:
-    """(path, content): a trace of each sequence with an A of `height` at one call; the vendor says the bases."""
+    """(path, content): a trace of each sequence, with an A of `height` at one call, if there is such a call; the vendor says the
+    bases. A path is `document/part`."""
     ship(spark)
 
     @F.pandas_udf("binary")
     def write(bases: pd.Series) -> pd.Series:
-        return bases.map(lambda b: abif.synthetic(b, calls=b, secondary={mixed_call: ("A", height)} if b[mixed_call] != "A" else None))
+        return bases.map(lambda b: abif.synthetic(b, calls=b, secondary={mixed_call: ("A", height)} if b[mixed_call : mixed_call + 1] not in ("", "A") else None))
 
     found = sequences(spark, folder)
-    return found.select(F.col("doc_id").cast("string").alias("path"), write("bases").alias("content"))
+    return found.select(F.concat_ws("/", F.col("doc_id").cast("string"), F.col("part").cast("string")).alias("path"), write("bases").alias("content"))
 
 
 def segments(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,7 +89,9 @@ def phase_observations(spark: SparkSession, folder: str) -> DataFrame:
 
 #: The same in SQL, as common table expressions of the oracles.
 SQL = {
-    "sequences": """sequences AS (SELECT doc_id, bases FROM (SELECT doc_id, substr(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), 1, 120) AS bases FROM documents) WHERE length(bases) >= 60)""",
+    "sequences": """letters AS (SELECT doc_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS letters FROM documents),
+pieces AS (SELECT doc_id, letters, length(letters) AS total, greatest(length(letters) // 700, 1) AS n, unnest(range(0, greatest(length(letters) // 700, 1))) AS part FROM letters WHERE length(letters) > 0),
+sequences AS (SELECT doc_id, part, CAST(doc_id AS VARCHAR) || '/' || CAST(part AS VARCHAR) AS name, substr(letters, CAST(total * part // n + 1 AS INT), CAST(total * (part + 1) // n - total * part // n AS INT)) AS bases FROM pieces)""",
     "segments": """segments AS (SELECT o_orderpriority AS sample, o_orderkey AS read, o_orderkey % 5000 AS seg_start, o_orderkey % 5000 + 1 + o_custkey % 50 AS seg_end, o_custkey % 2 = 0 AS forward FROM orders)""",
     "observations": """firsts AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag, l_suppkey, l_partkey ORDER BY l_orderkey, l_linenumber, l_extendedprice) = 1),
 observations AS (SELECT l_returnflag AS sample, l_suppkey AS read, l_partkey AS position,

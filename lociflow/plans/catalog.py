@@ -40,64 +40,76 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 # --- bases and strings
 
 
-@query(B.with_sql("sequences") + " SELECT doc_id, reverse(translate(bases, 'ACGT', 'TGCA')) AS reverse_complement FROM sequences")
+@query(B.with_sql("sequences") + " SELECT doc_id, part, reverse(translate(bases, 'ACGT', 'TGCA')) AS reverse_complement FROM sequences")
 def revcomp(spark, d):
-    return B.sequences(spark, d).select("doc_id", X.reverse_complement(F.col("bases")).alias("reverse_complement"))
+    return B.sequences(spark, d).select("doc_id", "part", X.reverse_complement(F.col("bases")).alias("reverse_complement"))
 
 
-@query(
-    B.with_sql("sequences") + """ SELECT doc_id, CASE WHEN a = b THEN a WHEN least(a, b) || greatest(a, b) = 'AC' THEN 'M' WHEN least(a, b) || greatest(a, b) = 'AG' THEN 'R' WHEN least(a, b) || greatest(a, b) = 'AT' THEN 'W'
-    WHEN least(a, b) || greatest(a, b) = 'CG' THEN 'S' WHEN least(a, b) || greatest(a, b) = 'CT' THEN 'Y' ELSE 'K' END AS code FROM (SELECT doc_id, substr(bases, 1, 1) AS a, substr(bases, 2, 1) AS b FROM sequences)"""
-)
+#: Codes of two letters, in any order, and of one; other pairs are N.
+CODES_SQL = "CASE WHEN a = b THEN a WHEN least(a, b) || greatest(a, b) = 'AC' THEN 'M' WHEN least(a, b) || greatest(a, b) = 'AG' THEN 'R' WHEN least(a, b) || greatest(a, b) = 'AT' THEN 'W' WHEN least(a, b) || greatest(a, b) = 'CG' THEN 'S' WHEN least(a, b) || greatest(a, b) = 'CT' THEN 'Y' ELSE 'K' END"
+
+
+@query(f"""{B.with_sql("sequences")}, p AS (SELECT doc_id, substr(bases, i, 1) AS a, substr(bases, i + 1, 1) AS b FROM (SELECT doc_id, bases, unnest(range(1, length(bases))) AS i FROM sequences)) SELECT doc_id, {CODES_SQL} AS code, count(*) AS pairs FROM p GROUP BY ALL""")
 def iupac_codes(spark, d):
-    return B.sequences(spark, d).select("doc_id", X.iupac_code(F.split(F.substr("bases", F.lit(1), F.lit(2)), "")).alias("code"))
+    """Codes of all pairs of neighbours."""
+    s = B.sequences(spark, d).where("length(bases) > 1")
+    pairs = s.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("bases") - 1), lambda i: F.substr("bases", i, F.lit(2)))).alias("pair"))
+    counted = pairs.groupBy("doc_id", "pair").agg(F.count("*").alias("n"))  # few pairs a document, before the code is looked up
+    return counted.groupBy("doc_id", X.iupac_code(F.split("pair", "")).alias("code")).agg(F.sum("n").alias("pairs"))
 
 
 @query("""WITH t(code, bases) AS (VALUES ('A','A'),('C','C'),('G','G'),('T','T'),('M','AC'),('R','AG'),('W','AT'),('S','CG'),('Y','CT'),('K','GT'),('V','ACG'),('H','ACT'),('D','AGT'),('B','CGT'),('N','ACGT')),
-l AS (SELECT doc_id, upper(substr(text, 1, 1)) AS letter FROM documents) SELECT doc_id, letter, bases FROM l LEFT JOIN t ON letter = code""")
+l AS (SELECT doc_id, upper(c) AS letter FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]')) AS c FROM documents)), n AS (SELECT doc_id, letter, count(*) AS n FROM l GROUP BY ALL) SELECT doc_id, letter, bases, n FROM n LEFT JOIN t ON letter = code""")
 def iupac_expand(spark, d):
-    letters = B.table(spark, d, "documents").select("doc_id", F.upper(F.substr("text", F.lit(1), F.lit(1))).alias("letter"))
-    return letters.select("doc_id", "letter", F.array_join(X.iupac_bases(F.col("letter")), "").alias("bases"))
+    """All letters of all texts, and what each stands for."""
+    letters = B.table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), F.lit("[A-Z]"), F.lit(0))).alias("letter"))
+    return letters.groupBy("doc_id", "letter").agg(F.count("*").alias("n")).withColumn("bases", F.array_join(X.iupac_bases(F.col("letter")), ""))
 
 
 # --- traces
 
 
-@query(B.with_sql("sequences") + " SELECT CAST(doc_id AS VARCHAR) AS input_name, 4 * length(bases) + 1 AS n_samples, length(bases) AS n_calls, bases AS vendor_primary, CAST(NULL AS VARCHAR) AS error_class FROM sequences")
+@query(B.with_sql("sequences") + " SELECT name AS input_name, 4 * length(bases) + 1 AS n_samples, length(bases) AS n_calls, bases AS vendor_primary, CAST(NULL AS VARCHAR) AS error_class FROM sequences")
 def abif_roundtrip(spark, d):
     return abif.decode_traces(B.trace_files(spark, d)).select("input_name", F.size(F.col("channels")[0]).cast("long").alias("n_samples"), F.size("ploc").cast("long").alias("n_calls"), "vendor_primary", "error_class")
 
 
 @query(B.with_sql("sequences") + """, t(entry, tag, number, element_type, element_size) AS (VALUES (0,'DATA',9,4,2),(1,'DATA',10,4,2),(2,'DATA',11,4,2),(3,'DATA',12,4,2),(4,'FWO_',1,2,1),(5,'PLOC',2,4,2),(6,'PBAS',2,2,1))
-SELECT CAST(doc_id AS VARCHAR) AS input_name, entry, tag, number, element_type, element_size, CASE WHEN tag = 'DATA' THEN 4 * length(bases) + 1 WHEN tag = 'FWO_' THEN 4 ELSE length(bases) END AS element_count FROM sequences CROSS JOIN t""")
+SELECT name AS input_name, entry, tag, number, element_type, element_size, CASE WHEN tag = 'DATA' THEN 4 * length(bases) + 1 WHEN tag = 'FWO_' THEN 4 ELSE length(bases) END AS element_count FROM sequences CROSS JOIN t""")
 def abif_directory(spark, d):
     return abif.directory_entries(B.trace_files(spark, d)).drop("data_size", "data_offset")
 
 
-@query(B.with_sql("sequences") + " SELECT CAST(doc_id AS VARCHAR) AS input_name, length(bases) AS n_calls, 4 * length(bases) + 1 AS n_samples, 4 AS min_spacing, 4.0::DOUBLE AS median_spacing, 4 AS max_spacing, 0 AS clipped_samples, false AS primary_length_differs FROM sequences")
+@query(B.with_sql("sequences") + " SELECT name AS input_name, length(bases) AS n_calls, 4 * length(bases) + 1 AS n_samples, 4 AS min_spacing, 4.0::DOUBLE AS median_spacing, 4 AS max_spacing, 0 AS clipped_samples, false AS primary_length_differs FROM sequences WHERE length(bases) >= 2")
 def abif_integrity(spark, d):
     return C.trace_integrity(abif.decode_traces(B.trace_files(spark, d))).drop("input_sha256", "quality_length_differs")
 
 
-BASES_SQL = B.with_sql("sequences") + ", bases AS (SELECT doc_id, i - 1 AS call_index, substr(bases, i, 1) AS b, length(bases) AS n FROM (SELECT doc_id, bases, unnest(range(1, length(bases) + 1)) AS i FROM sequences))"
+BASES_SQL = B.with_sql("sequences") + ", bases AS (SELECT doc_id, part, name, i - 1 AS call_index, substr(bases, i, 1) AS b, length(bases) AS n FROM (SELECT doc_id, part, name, bases, unnest(range(1, length(bases) + 1)) AS i FROM sequences WHERE length(bases) >= 2))"
 
 
-@query(BASES_SQL + """ SELECT CAST(doc_id AS VARCHAR) AS input_name, call_index, 2 + 4 * call_index AS ploc, 4 * call_index AS w_start, 4 * call_index + 4 AS w_end, 2 + 4 * call_index AS primary_pos, b AS primary,
+@query(BASES_SQL + """ SELECT name AS input_name, call_index, 2 + 4 * call_index AS ploc, 4 * call_index AS w_start, 4 * call_index + 4 AS w_end, 2 + 4 * call_index AS primary_pos, b AS primary,
   CASE WHEN call_index <> 5 THEN b WHEN b = 'A' THEN 'A' WHEN b = 'C' THEN 'M' WHEN b = 'G' THEN 'R' ELSE 'W' END AS ambiguity, CASE WHEN call_index <> 5 OR b = 'A' THEN b ELSE b || 'A' END AS qualifying, true AS vendor_agrees FROM bases""")
 def basecall(spark, d):
     return C.call_bases(abif.decode_traces(B.trace_files(spark, d))).select("input_name", "call_index", "ploc", "w_start", "w_end", "primary_pos", "primary", "ambiguity", F.array_join("qualifying", "").alias("qualifying"), "vendor_agrees")
 
 
-@query(BASES_SQL + """ SELECT CAST(doc_id AS VARCHAR) AS input_name, call_index, greatest(least(greatest(call_index - 4, 0), n - 10), 0) AS ctx_call_start, 2 + 4 * call_index AS event_position, CAST(b = 'A' AS INT)::DOUBLE * CASE WHEN call_index = 5 THEN 1.0 ELSE 1.0 END AS weight_a_clean FROM bases WHERE call_index <> 5""")
+@query(BASES_SQL + """ SELECT name AS input_name, call_index, greatest(least(greatest(call_index - 4, 0), n - 10), 0) AS ctx_call_start, 2 + 4 * call_index AS event_position, round(CASE WHEN b = 'A' THEN 1.0 WHEN call_index = 5 THEN 400.0 / 1400.0 ELSE 0.0 END, 6)::DOUBLE AS weight_a FROM bases""")
 def locus_profiles(spark, d):
-    found = C.locus_evidence(abif.decode_traces(B.trace_files(spark, d))).where("call_index <> 5")
-    return found.select("input_name", "call_index", "ctx_call_start", "event_position", F.round(F.col("profile")[0], 6).alias("weight_a_clean"))
+    found = C.locus_evidence(abif.decode_traces(B.trace_files(spark, d)))
+    return found.select("input_name", "call_index", "ctx_call_start", "event_position", F.round(F.col("profile")[0], 6).alias("weight_a"))
+
+
+#: Signal-to-noise ratios of a run of ten calls: a channel's noise is 1 unless its steps spread, which they do where all ten
+#: calls peak in it; the mixed call's second channel stands 400 high.
+RUN_SQL = BASES_SQL + """, w AS (SELECT name, call_index, n, min(b) OVER v AS lo, max(b) OVER v AS hi, count(*) FILTER (b = 'A' OR call_index = 5) OVER v AS a, count(*) FILTER (call_index = 5 AND b <> 'A') OVER v AS mixed FROM bases WINDOW v AS (PARTITION BY name ORDER BY call_index ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
+runs AS (SELECT name AS input_name, call_index AS w_start, call_index + 10 AS w_end, CASE WHEN lo = hi THEN round(0.67448975 * sqrt(2), 6) WHEN a = 10 AND call_index <= 5 THEN round(2.5 * 0.67448975 * sqrt(2), 6) ELSE 1000.0 END AS min_snr,
+  CASE WHEN mixed = 0 THEN 0.0 WHEN a = 10 AND lo <> hi THEN round(0.67448975 * sqrt(2), 6) ELSE 400.0 END AS max_secondary_snr, lo = hi OR (a = 10 AND call_index <= 5) AS noisy FROM w WHERE call_index <= n - 10)"""
 
 
-@query(BASES_SQL + """, w AS (SELECT doc_id, call_index, n, min(b) OVER v AS lo, max(b) OVER v AS hi, count(*) FILTER (b = 'A' OR call_index = 5) OVER v AS a FROM bases WINDOW v AS (PARTITION BY doc_id ORDER BY call_index ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING))
-SELECT CAST(doc_id AS VARCHAR) AS input_name, call_index AS w_start, call_index + 10 AS w_end, CASE WHEN lo = hi THEN round(0.67448975 * sqrt(2), 6) WHEN a = 10 AND call_index <= 5 THEN round(2.5 * 0.67448975 * sqrt(2), 6) ELSE 1000.0 END AS min_snr, lo = hi OR (a = 10 AND call_index <= 5) AS noisy FROM w WHERE call_index <= n - 10""")
-def signal_windows(spark, d):
-    return C.signal_windows(abif.decode_traces(B.trace_files(spark, d))).select("input_name", "w_start", "w_end", "min_snr", "noisy")
+@query(RUN_SQL + " SELECT input_name, w_start, w_end, min_snr, max_secondary_snr, noisy FROM runs")
+def call_windows(spark, d):
+    return C.call_windows(abif.decode_traces(B.trace_files(spark, d))).select("input_name", "w_start", "w_end", "min_snr", "max_secondary_snr", "noisy")
 
 
 def _reads(spark, d, edit) -> tuple[DataFrame, str]:
@@ -125,6 +137,28 @@ def align_circular(spark, d):
     return A.align_reads(reads, reference[40:] + reference[:40], circular=True).select("read", "start0", "wraps_origin", "exact_matches")
 
 
+def full_reference(length: int = 16_569) -> str:
+    """Bases of a linear congruential generator: as long as a mitochondrial genome, and without repeats of a read's length."""
+    out, x = [], 12_345
+    for _ in range(length):
+        x = (x * 1_103_515_245 + 12_345) % 2**31
+        out.append("ACGT"[x >> 16 & 3])
+    return "".join(out)
+
+
+@query("SELECT n_nationkey AS read, CASE WHEN n_nationkey % 2 = 0 THEN 'forward' ELSE 'reverse' END AS orientation, n_nationkey * 661 % 16569 AS start0, n_nationkey * 661 % 16569 + 700 > 16569 AS wraps_origin, 700 AS exact_matches FROM nation")
+def align_full(spark, d):
+    """Reads of 700 bases on a circle of 16,569, in either direction: the size that the latency gate is about."""
+    bases = full_reference()
+    nations = B.table(spark, d, "nation").select(F.col("n_nationkey").alias("read")).repartition(spark.sparkContext.defaultParallelism, "read")
+    clean = F.substr(F.lit(bases + bases), (F.col("read") * 661 % 16569 + 1).cast("int"), F.lit(700))
+    reads = nations.withColumn("query", F.when(F.col("read") % 2 == 0, clean).otherwise(X.reverse_complement(clean)))
+    one = lambda i: F.transform(F.lit([0, 1, 2, 3]), lambda k: (k == i).cast("double"))
+    profiles = F.transform(F.split("query", ""), lambda b: one(F.instr(F.lit("ACGT"), b) - 1))
+    placed = A.align_reads(reads.withColumn("profiles", profiles).withColumn("first_call", F.lit(0)), bases, circular=True)
+    return placed.select("read", "orientation", "start0", "wraps_origin", "exact_matches")
+
+
 @query("""SELECT doc_id AS read, 'SNV' AS kind, CAST(doc_id % 300 + 41 AS INT) AS position_1based, 1 AS n_supporting FROM documents""")
 def variants_snv(spark, d):
     reads, reference = _reads(spark, d, lambda b, r: F.concat(F.substr(b, F.lit(1), F.lit(40)), F.translate(F.substr(b, F.lit(41), F.lit(1)), "ACGT", "CGTA"), F.substr(b, F.lit(42))))
@@ -132,12 +166,34 @@ def variants_snv(spark, d):
     return found.select("read", "kind", "position_1based", F.size("supporting").alias("n_supporting"))
 
 
-@query(None)
+#: The reference of _reads() and the event of each read, moved to the right as far as the bases allow: a deletion of three
+#: bases behind the 40th, or an insertion of ACG there. Bases x and x + 3 of what follows (with ACG in front) are compared.
+INDEL_SQL = """WITH r AS (SELECT string_agg(substr('ACGT', (i * i * 7 + i * 3 + i // 5 + i // 17) % 4 + 1, 1), '' ORDER BY i) AS ref FROM (SELECT unnest(range(0, 400)) AS i)),
+t AS (SELECT doc_id AS read, doc_id % 2 = 0 AS del, CAST(doc_id % 300 + 40 AS INT) AS p, ref FROM documents, r), x AS (SELECT *, CASE WHEN del THEN substr(ref, p + 1) ELSE 'ACG' || substr(ref, p + 1) END AS s FROM t),
+k AS (SELECT read, del, p, ref, s, min(CASE WHEN substr(s, CAST(j + 1 AS INT), 1) <> substr(s, CAST(j + 4 AS INT), 1) THEN j END) AS j FROM (SELECT *, unnest(range(0, 36)) AS j FROM x) GROUP BY ALL),
+e AS (SELECT read, del, CAST(p + j AS INT) AS a, ref, substr(s, CAST(j + 1 AS INT), 3) AS b FROM k)"""
+
+
+@query(INDEL_SQL + " SELECT read, CASE WHEN del THEN 'DEL' ELSE 'INS' END AS kind, a AS position_1based, CASE WHEN del THEN substr(ref, a, 1) || b ELSE substr(ref, a, 1) END AS reference, CASE WHEN del THEN substr(ref, a, 1) ELSE substr(ref, a, 1) || b END AS alternate, CASE WHEN del THEN 0 ELSE 3 END AS n_supporting, 2 AS n_flanking FROM e")
 def variants_indel(spark, d):
-    reads, reference = _reads(spark, d, lambda b, r: F.when(r % 2 == 0, F.concat(F.substr(b, F.lit(1), F.lit(40)), F.substr(b, F.lit(44)))).otherwise(F.concat(F.substr(b, F.lit(1), F.lit(40)), F.lit("ACG"), F.substr(b, F.lit(41)))))
+    reads, reference = _reads(spark, d, _indel)
     return A.variants(A.alignment_columns(A.align_reads(reads, reference)), reference).select("read", "kind", "position_1based", "reference", "alternate", F.size("supporting").alias("n_supporting"), F.size("flanking").alias("n_flanking"))
 
 
+def _indel(b, r):
+    return F.when(r % 2 == 0, F.concat(F.substr(b, F.lit(1), F.lit(40)), F.substr(b, F.lit(44)))).otherwise(F.concat(F.substr(b, F.lit(1), F.lit(40)), F.lit("ACG"), F.substr(b, F.lit(41))))
+
+
+@query(INDEL_SQL + " SELECT read, CASE WHEN del THEN 'DEL' ELSE 'INS' END AS kind, a AS position_1based, CASE WHEN del THEN 0 ELSE 3 END AS n_supporting, 0 AS reference_faults FROM e")
+def variants_merged(spark, d):
+    """Every event twice: equal ones become one, with each call once."""
+    reads, reference = _reads(spark, d, _indel)
+    found = A.variants(A.alignment_columns(A.align_reads(reads, reference)), reference)
+    merged = A.merge_variants(found.withColumn("times", F.explode(F.lit([1, 2]))).drop("times"))
+    faults = A.reference_faults(merged, reference).groupBy("read").agg(F.count("*").cast("int").alias("reference_faults"))
+    return merged.join(faults, "read", "left").select("read", "kind", "position_1based", F.size("supporting").alias("n_supporting"), F.coalesce("reference_faults", F.lit(0)).alias("reference_faults"))
+
+
 @query("""SELECT doc_id AS read, CASE WHEN doc_id % 300 + 41 BETWEEN 73 AND 340 THEN '' ELSE 'outside_configured_region' END || CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 300 + 41 BETWEEN 73 AND 340 THEN '' ELSE ';' END || 'peak_below_minimum' ELSE '' END AS reasons FROM documents""")
 def variants_filtered(spark, d):
     reads, reference = _reads(spark, d, lambda b, r: F.concat(F.substr(b, F.lit(1), F.lit(40)), F.translate(F.substr(b, F.lit(41), F.lit(1)), "ACGT", "CGTA"), F.substr(b, F.lit(42))))
@@ -164,8 +220,7 @@ def local_maxima(spark, d):
 SELECT user_id, locus, i AS event_position FROM p QUALIFY row_number() OVER (PARTITION BY user_id, locus ORDER BY abs(i - (locus * 16 + 8)), v DESC, i) = 1""")
 def nearest_event(spark, d):
     peaks = W.local_maxima(B.series(spark, d), ID, "i", "v").where("is_peak").withColumn("locus", F.floor(F.col("i") / 16))
-    best = F.min(F.struct(F.abs(F.col("i") - (F.col("locus") * 16 + 8)).alias("d"), (-F.col("v")).alias("t"), F.col("i").alias("i")))
-    return peaks.groupBy("user_id", "locus").agg(best.alias("b")).select("user_id", "locus", F.col("b.i").alias("event_position"))
+    return W.nearest_event(peaks, ["user_id", "locus"], F.col("locus") * 16 + 8, "i", "v")
 
 
 @query(B.with_sql("series", "calls") + " SELECT user_id, call_index, least(greatest(call_index - 4, 0), greatest(count(*) OVER (PARTITION BY user_id) - 10, 0)) AS context_start FROM calls")
@@ -221,7 +276,7 @@ def qc_score(spark, d):
 @query(BEST_SQL + """, rolled AS (SELECT p.user_id, p.call_index AS i, sum(p.penalty) OVER (PARTITION BY p.user_id ORDER BY p.call_index ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS s, p.n, b.* EXCLUDE (user_id) FROM penalties p JOIN best b USING (user_id))
 SELECT user_id, coalesce(max(CASE WHEN i < best_start AND s > 1.2 * best_sum / (best_end - best_start) * 10 THEN least(i + 10, best_start) END), 0) AS trim_start, coalesce(min(CASE WHEN i >= best_end AND s > 1.2 * best_sum / (best_end - best_start) * 10 THEN i END), max(n)) AS trim_end FROM rolled GROUP BY user_id""")
 def qc_trim(spark, d):
-    p = _penalties(spark, d).cache()
+    p = _penalties(spark, d)
     return W.trim(p, W.best_section(p, ID, 0.1), ID, 10, 1.2, 20).select("user_id", "trim_start", "trim_end")
 
 
@@ -341,8 +396,7 @@ def envelope(spark, d):
 
 @query(CAND_SQL + ' SELECT off AS "offset", count(*) AS windows, sum(informative)::BIGINT AS informative, round(avg(z), 6) AS mean_zero, round(avg(s), 6) AS mean_shifted FROM cand GROUP BY ALL')
 def trajectory(spark, d):
-    t = _candidates(spark, d).groupBy("offset").agg(F.count("*").alias("windows"), F.sum("informative").alias("informative"), F.avg("mean_zero").alias("mean_zero"), F.avg("mean_shifted").alias("mean_shifted"))
-    return rounded(t, "mean_zero", "mean_shifted")
+    return rounded(H.trajectory(_candidates(spark, d)).drop("mean_residual"), "mean_zero", "mean_shifted")
 
 
 @query(B.with_sql("series", "phase") + """, h AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY distance) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM phase WHERE held AND base <> 'N'), grid AS (SELECT * FROM (VALUES (15), (25)) a(size), (VALUES (5), (10)) b(step)),
@@ -367,7 +421,7 @@ SELECT g, max(n) AS n, 0::BIGINT AS missing, min(v) AS min, round(avg(v), 4) AS
 max(CASE WHEN rn = greatest(1, CAST(ceil(0.99 * n) AS BIGINT)) THEN v END) AS p99, max(v) AS max FROM r GROUP BY g""")
 def metric_summary(spark, d):
     o = B.table(spark, d, "orders").select(F.col("o_orderpriority").alias("g"), F.col("o_totalprice").alias("v"))
-    return rounded(o.groupBy("g").agg(*S.metric_columns(F.col("v"))), "mean", digits=4)
+    return rounded(o.groupBy("g").agg(*S.metric_columns("v")), "mean", digits=4)
 
 
 @query("""SELECT o_orderpriority, o_orderstatus, CASE WHEN GROUPING(o_orderpriority) = 1 THEN 'overall' ELSE 'group' END AS scope, count(*) AS rows, count(o_totalprice) AS n, round(min(o_totalprice), 2) AS min, round(avg(o_totalprice), 4) AS mean, round(max(o_totalprice), 2) AS max, count(*) FILTER (o_custkey % 2 = 0) AS fit_rows, round(avg(o_totalprice) FILTER (o_custkey % 2 = 0), 4) AS fit_mean
@@ -419,10 +473,7 @@ def orientation_controls(spark, d):
 @query(B.with_sql("observations") + """, m AS (SELECT sample, read, position, x0 / xs AS a FROM observations WHERE held) SELECT m.sample, m.read, m.position, round(p.a, 6) AS previous_mass, round(n.a, 6) AS next_mass FROM m LEFT JOIN m p ON p.sample = m.sample AND p.read = m.read AND p.position = (m.position + 1999) % 2000 LEFT JOIN m n ON n.sample = m.sample AND n.read = m.read AND n.position = (m.position + 1) % 2000""")
 def neighbour_mass(spark, d):
     m = B.observations(spark, d).where("weights IS NOT NULL").select("sample", "read", "position", F.col("weights")[0].alias("a"))
-    keys, step = ["sample", "read", "position"], lambda k: F.pmod(F.col("position") - k, F.lit(2000))
-    before = m.select("sample", "read", F.pmod(F.col("position") + 1, F.lit(2000)).alias("position"), F.round("a", 6).alias("previous_mass"))
-    after = m.select("sample", "read", step(1).alias("position"), F.round("a", 6).alias("next_mass"))
-    return m.drop("a").join(before, keys, "left").join(after, keys, "left")
+    return rounded(S.neighbour_mass(m, ["sample", "read"], "position", "a", 2000), "previous_mass", "next_mass")
 
 
 PLAN = {"1-URGENT": "development", "2-HIGH": "development", "3-MEDIUM": "holdout", "5-LOW": "excluded"}
@@ -440,8 +491,8 @@ def partition_leaks(spark, d):
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS rows, count(DISTINCT l_orderkey) AS orders, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT (l_partkey, l_suppkey)) AS pairs FROM lineitem GROUP BY ALL")
 def readiness(spark, d):
-    li = B.table(spark, d, "lineitem")
-    return li.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("rows"), F.count_distinct("l_orderkey").alias("orders"), F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_suppkey").alias("suppliers"), F.count_distinct("l_partkey", "l_suppkey").alias("pairs"))
+    units = {"orders": ["l_orderkey"], "parts": ["l_partkey"], "suppliers": ["l_suppkey"], "pairs": ["l_partkey", "l_suppkey"]}
+    return R.readiness_counts(B.table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], units)
 
 
 @query("""WITH l AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 7 <> 0), r AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice + CASE WHEN o_orderkey % 13 = 0 THEN 0.5 ELSE 0 END END AS v FROM orders WHERE o_orderkey % 5 <> 0)
@@ -471,7 +522,7 @@ def profile_evaluation(spark, d):
     return rounded(R.precision_recall(_matches(spark, d), ["sample"]).drop("true_negatives", "specificity"), "precision", "recall")
 
 
-@query(B.with_sql("segments") + ", p AS (SELECT sample, read, seg_start AS position FROM segments WHERE read % 10 = 0), i AS (SELECT * FROM segments WHERE read % 10 = 1) SELECT p.sample, p.read AS event, count(*) AS memberships FROM p JOIN i ON p.sample = i.sample AND p.position >= i.seg_start AND p.position < i.seg_end GROUP BY ALL")
+@query(B.with_sql("segments") + ", p AS (SELECT sample, read, seg_start AS position FROM segments), i AS (SELECT * FROM segments) SELECT p.sample, p.read AS event, count(*) AS memberships FROM p JOIN i ON p.sample = i.sample AND p.position >= i.seg_start AND p.position < i.seg_end GROUP BY ALL")
 def footprint_join(spark, d):
     s = B.segments(spark, d)
     points = s.select("sample", F.col("read").alias("event"), F.col("seg_start").alias("position"))
@@ -479,7 +530,7 @@ def footprint_join(spark, d):
     return held.groupBy("sample", "event").agg(F.count("*").alias("memberships"))
 
 
-@query("""WITH c AS (SELECT c_mktsegment AS difference, o_orderpriority AS partition, count(*) AS observations FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 97 = 0 GROUP BY ALL), g AS (SELECT * FROM (SELECT DISTINCT c_mktsegment AS difference FROM customer) CROSS JOIN (VALUES ('1-URGENT'), ('2-HIGH'), ('9-NONE')) p(partition))
+@query("""WITH c AS (SELECT c_mktsegment AS difference, o_orderpriority AS partition, count(*) AS observations FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL), g AS (SELECT * FROM (SELECT DISTINCT c_mktsegment AS difference FROM customer) CROSS JOIN (VALUES ('1-URGENT'), ('2-HIGH'), ('9-NONE')) p(partition))
 SELECT difference, partition, coalesce(observations, 0) AS observations FROM g LEFT JOIN c USING (difference, partition)""")
 def readiness_grid(spark, d):
     joined = B.table(spark, d, "orders").join(B.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -487,17 +538,53 @@ def readiness_grid(spark, d):
     return R.readiness_grid(["1-URGENT", "2-HIGH", "9-NONE"], B.table(spark, d, "customer").select(F.col("c_mktsegment").alias("difference")), counts, ["difference"])
 
 
-@query("""WITH t AS (SELECT o_orderkey, 1 + o_custkey % 60 AS p, o_orderkey % 3 AS k, o_orderpriority AS sample FROM orders WHERE o_orderkey < 300), r AS (SELECT repeat('ACGT', 20) AS ref), gone AS (SELECT sample, p, p - row_number() OVER (PARTITION BY sample ORDER BY p) AS island FROM (SELECT DISTINCT sample, p FROM t WHERE k = 2)),
-g AS (SELECT sample, min(p) AS a, max(p) AS b FROM gone GROUP BY sample, island)
-SELECT DISTINCT sample, 'SNV' AS kind, CAST(p AS INT) AS position, substr(ref, p, 1) AS reference, 'G' AS alternate FROM t, r WHERE k = 0 AND substr(ref, p, 1) <> 'G'
-UNION ALL SELECT DISTINCT sample, 'INS', CAST(p AS INT), substr(ref, p, 1), substr(ref, p, 1) || 'C' FROM t, r WHERE k = 1
-UNION ALL SELECT sample, 'DEL', CAST(CASE WHEN a = 1 THEN 80 ELSE a - 1 END AS INT), substr(ref, CASE WHEN a = 1 THEN 80 ELSE a - 1 END, 1) || substr(ref, a, b - a + 1), substr(ref, CASE WHEN a = 1 THEN 80 ELSE a - 1 END, 1) FROM g, r""")
+TOKEN_SQL = """WITH t AS (SELECT CAST(o_orderkey // 300 AS VARCHAR) AS sample, o_orderkey % 300 + 1 AS p, o_custkey % 3 AS k FROM orders), r AS (SELECT repeat('ACGT', 80) AS ref), gone AS (SELECT sample, p, p - row_number() OVER (PARTITION BY sample ORDER BY p) AS island FROM t WHERE k = 2),
+g AS (SELECT sample, min(p) AS a, max(p) AS b FROM gone GROUP BY sample, island), e AS (SELECT sample, 'SNV' AS kind, CAST(p AS INT) AS position, substr(ref, CAST(p AS INT), 1) AS reference, CASE substr(ref, CAST(p AS INT), 1) WHEN 'A' THEN 'G' WHEN 'G' THEN 'A' ELSE 'A,G' END AS alternates FROM t, r WHERE k = 0
+UNION ALL SELECT sample, 'INS', CAST(p AS INT), substr(ref, CAST(p AS INT), 1), substr(ref, CAST(p AS INT), 1) || 'C' FROM t, r WHERE k = 1
+UNION ALL SELECT sample, 'DEL', CAST(CASE WHEN a = 1 THEN 320 ELSE a - 1 END AS INT), substr(ref, CAST(CASE WHEN a = 1 THEN 320 ELSE a - 1 END AS INT), 1) || substr(ref, CAST(a AS INT), CAST(b - a + 1 AS INT)), substr(ref, CAST(CASE WHEN a = 1 THEN 320 ELSE a - 1 END AS INT), 1) FROM g, r)"""
+
+
+def _tokens(spark, d):
+    """A token of each order: samples are runs of 300 orders, each order has a position of its own."""
+    p, k = (1 + F.col("o_orderkey") % 300).cast("string"), F.col("o_custkey") % 3
+    token = F.when(k == 0, F.concat(p, F.lit("R"))).when(k == 1, F.concat(p, F.lit(".1C"))).otherwise(F.concat(p, F.lit("DEL")))
+    return B.table(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 300).cast("string").alias("sample"), token.alias("token"))
+
+
+@query(TOKEN_SQL + " SELECT * FROM e")
 def token_events(spark, d):
-    o = B.table(spark, d, "orders")
-    sample = F.concat("o_orderpriority", F.lit("/"), F.floor(F.col("o_orderkey") / 300).cast("string"))  # few orders a sample, so islands end
-    p = (1 + F.col("o_custkey") % 60).cast("string")
-    token = F.when(F.col("o_orderkey") % 3 == 0, F.concat(p, F.lit("G"))).when(F.col("o_orderkey") % 3 == 1, F.concat(p, F.lit(".1C"))).otherwise(F.concat(p, F.lit("DEL")))
-    return R.reviewer_events(o.select(sample.alias("sample"), token.alias("token")), "sample", F.col("token"), "ACGT" * 20)
+    events = R.reviewer_events(_tokens(spark, d), "sample", F.col("token"), "ACGT" * 80)
+    return events.withColumn("alternates", F.array_join("alternates", ","))
+
+
+@query("""WITH t AS (SELECT CAST(o_orderkey // 300 AS VARCHAR) AS sample, o_orderkey % 300 + 1 AS p, o_custkey % 3 AS k, CAST(o_orderkey % 300 + 1 AS VARCHAR) || CASE o_custkey % 3 WHEN 0 THEN 'R' WHEN 1 THEN '.1C' ELSE 'DEL' END AS token FROM orders)
+SELECT sample, token, 'duplicate token' AS rule FROM t WHERE p % 60 = 7 UNION ALL SELECT sample, token || '?', 'unsupported token' FROM t WHERE p % 50 = 9 UNION ALL SELECT sample, '9' || token, 'position outside the reference' FROM t WHERE p BETWEEN 100 AND 110""")
+def token_faults(spark, d):
+    """Some tokens repeated, some with a character too much, some beyond the reference."""
+    t = _tokens(spark, d).withColumn("p", F.regexp_extract("token", "^([0-9]+)", 1).cast("int"))
+    odd = t.where("p % 60 = 7").unionByName(t.where("p % 50 = 9").withColumn("token", F.concat("token", F.lit("?")))).unionByName(t.where("p BETWEEN 100 AND 110").withColumn("token", F.concat(F.lit("9"), "token")))
+    return R.reviewer_faults(t.unionByName(odd), "sample", F.col("token"), "ACGT" * 80)
+
+
+@query(TOKEN_SQL + """, a AS (SELECT sample, kind, position, reference, unnest(string_split(alternates, ',')) AS alternate FROM e), c AS (SELECT sample, kind, position, reference, max(alternate) AS alternate FROM a WHERE position % 5 <> 0 GROUP BY ALL UNION ALL SELECT DISTINCT sample, 'SNV', position, 'A', 'T' FROM e WHERE position % 11 = 0)
+SELECT kind, status, count(*) AS n FROM (SELECT e.kind, CASE WHEN c.alternate IS NULL THEN 'missing' ELSE 'exact' END AS status FROM e LEFT JOIN c ON e.sample = c.sample AND e.kind = c.kind AND e.position = c.position AND e.reference = c.reference AND list_contains(string_split(e.alternates, ','), c.alternate)
+UNION ALL SELECT c.kind, 'extra' FROM c WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.sample = c.sample AND a.kind = c.kind AND a.position = c.position AND a.reference = c.reference AND a.alternate = c.alternate)) GROUP BY ALL""")
+def reviewer_match(spark, d):
+    """A caller that leaves out each fifth position, takes the last base of an ambiguous one, and adds events of its own."""
+    truth = R.reviewer_events(_tokens(spark, d), "sample", F.col("token"), "ACGT" * 80)
+    called = truth.where("position % 5 <> 0").select("sample", "kind", "position", "reference", F.array_max("alternates").alias("alternate"))
+    own = truth.where("position % 11 = 0").select("sample", F.lit("SNV").alias("kind"), "position", F.lit("A").alias("reference"), F.lit("T").alias("alternate")).distinct()
+    return R.reviewer_matches(truth, called.unionByName(own)).groupBy("kind", "status").agg(F.count("*").alias("n"))
+
+
+#: Two events that spell what one does, as far apart as the order says; each seventh order has a truth event of another base.
+@query("""WITH t AS (SELECT o_orderkey AS sample, CAST(o_custkey % 70 * 4 + 1 AS INT) AS p, o_orderkey % 7 = 0 AS odd FROM orders) SELECT sample, 1 AS "group", 'truth' AS side, i AS at, CAST(p + i AS INT) AS position FROM t, (VALUES (0), (1)) n(i) WHERE NOT odd UNION ALL SELECT sample, 1, 'called', 0, p FROM t WHERE NOT odd""")
+def haplotype_match(spark, d):
+    p, odd = (F.col("o_custkey") % 70 * 4 + 1).cast("int"), F.col("o_orderkey") % 7 == 0
+    event = lambda side, at, p, ref, alt: F.struct(F.lit(side).alias("side"), F.lit(at).alias("at"), p.alias("position"), F.lit(ref).alias("reference"), alt.alias("alternate"))
+    events = F.array(event("truth", 0, p, "A", F.lit("T")), event("truth", 1, p + 1, "C", F.when(odd, "A").otherwise("G")), event("called", 0, p, "AC", F.lit("TG")))
+    table = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("sample"), F.explode(events).alias("e")).select("sample", "e.*")
+    return R.haplotype_groups(table, "ACGT" * 75).select("sample", "group", "side", "at", "position")
 
 
 @query("""WITH e AS (SELECT user_id, event_id, event_type, json_extract_string(props, '$.k')::INT AS k FROM events), r AS (SELECT *, sum(CAST(event_type = 'signup' AS INT)) OVER (PARTITION BY user_id ORDER BY event_id) AS read_no FROM e)
@@ -510,6 +597,15 @@ def log_events(spark, d):
     return found.groupBy("user_id", "read_no").agg(F.count_if(F.col("event") == "click").alias("clicks"), F.max(F.try_element_at("fields", F.lit("warnings")).cast("int")).alias("most"))
 
 
+@query("""WITH e AS (SELECT user_id, event_id % 4 AS f FROM events) SELECT user_id, count(*) FILTER (f = 3) AS faults, count(*) FILTER (f <> 2) AS events FROM e GROUP BY ALL""")
+def log_faults(spark, d):
+    """Lines that repeat a key, and lines with fields in front of the marker only."""
+    f = F.col("event_id") % 4
+    line = F.concat(F.when(f == 2, "event=x | INFO | run=1").otherwise("t | INFO | event=y - event=view a=1"), F.when(f == 3, " a=2").otherwise(""))
+    found = R.log_events(B.table(spark, d, "events").select("user_id", F.col("event_id").alias("line_no"), line.alias("line")), keys=["user_id"])
+    return found.groupBy("user_id").agg(F.count("fault").alias("faults"), F.count_if(F.col("event") == "view").alias("events"))
+
+
 @query("SELECT o_orderkey, sha256(concat_ws(chr(0), o_orderpriority, CAST(o_custkey AS VARCHAR))) AS difference_id FROM orders")
 def difference_ids(spark, d):
     return B.table(spark, d, "orders").select("o_orderkey", X.difference_id(F.col("o_orderpriority"), F.col("o_custkey").cast("string")).alias("difference_id"))
@@ -528,9 +624,9 @@ def circular_distance(spark, d):
     return s.select("read", X.oriented_distance(p, F.lit(3000), F.lit(False), 16569).alias("forward_distance"), X.oriented_distance(p, F.lit(3000), F.lit(True), 16569).alias("reverse_distance"))
 
 
-@query("SELECT event_id, floor(abs(value * 1000003.0) + 0.5) / 1e6 AS metric FROM (SELECT event_id, value FROM events)")
+@query("SELECT event_id, CASE WHEN v < 0 THEN -floor(-v * 1e6 + 0.5) ELSE floor(v * 1e6 + 0.5) END / 1e6 AS metric FROM (SELECT event_id, (value - 50) / 7.0::DOUBLE AS v FROM events)")
 def rounded_metric(spark, d):
-    return B.table(spark, d, "events").select("event_id", (F.floor(F.abs(F.col("value") * 1000003.0) + 0.5) / 1e6).alias("metric"))
+    return B.table(spark, d, "events").select("event_id", X.round_metric((F.col("value") - 50) / 7.0).alias("metric"))
 
 
 @query("SELECT o_orderpriority AS sample, o_orderkey AS read, row_number() OVER (PARTITION BY o_orderpriority ORDER BY sha256(CAST(o_orderkey AS VARCHAR))) - 1 AS read_index, false AS duplicate_content FROM orders")

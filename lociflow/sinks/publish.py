@@ -11,6 +11,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociflow.functions import expressions as X
+from lociflow.operators import calls as C
+
 
 def publish_table(df: DataFrame, path: str, columns: tuple[str, ...], kind: str = "parquet") -> None:
     """Write exactly the named columns, in order, to a path that must be new; the commit protocol shows it when whole."""
@@ -20,6 +23,17 @@ def publish_table(df: DataFrame, path: str, columns: tuple[str, ...], kind: str
     writer.option("header", True).option("lineSep", "\n").csv(path) if kind == "csv" else writer.format(kind).save(path)
 
 
+def staged(folder: str):
+    """A keep() for plans.analysis: writes a table below a folder that all executors see, once, and reads it from there on."""
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        path = f"{folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    return keep
+
+
 def publish_document(document: dict, path: str) -> str:
     """One indented JSON document on the driver: a synced sibling is linked to its place, so it never replaces another."""
     data = (json.dumps(document, indent=2, ensure_ascii=False) + "\n").encode()
@@ -67,15 +81,61 @@ def sample_documents(sample: str, **parts: DataFrame) -> DataFrame:
     return out.withColumn("schema", F.lit("sample_evidence/v8"))
 
 
+def variant_reports(variants: DataFrame, calls: DataFrame, alignments: DataFrame, keys: tuple[str, ...] = ("input_name", "input_sha256")) -> DataFrame:
+    """(keys, variants): a read's reported variants in order, each with its calls as the reference strand has them: role, base,
+    heights and relative quality. `calls` has primary, primary_heights and relative_quality by call_index."""
+    reported = variants.where("position_1based IS NOT NULL AND size(exclusion_reasons) = 0")
+    event = ["position_1based", "reference", "alternate", "kind"]
+    role = lambda c, name: F.transform(c, lambda i: F.struct(i.alias("call_index"), F.lit(name).alias("role")))
+    each = reported.select(*keys, *event, F.explode_outer(F.concat(role("supporting", "supporting"), role("flanking", "flanking"))).alias("m")).select(*keys, *event, "m.*")
+    reverse = F.col("orientation") == "reverse"
+    joined = each.join(alignments.select(*keys, "orientation"), list(keys)).join(calls.select(*keys, "call_index", "primary", "primary_heights", "relative_quality"), [*keys, "call_index"], "left")
+    call = F.struct("call_index", "role", X.strand_base(F.col("primary"), reverse).alias("base"), X.strand_vector(F.col("primary_heights"), reverse).alias("peaks"), F.col("relative_quality").alias("quality"))
+    packed = joined.groupBy(*keys, *event).agg(F.array_sort(F.collect_list(F.when(F.col("call_index").isNotNull(), call))).alias("calls"))
+    return packed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*event, "calls"))).alias("variants"))
+
+
+def analysis_documents(done, traces: DataFrame, reference, settings) -> DataFrame:
+    """One row a placed read: provenance, read, trace quality, alignment, variants and warnings. `done` is plans.analysis.Analysis,
+    `reference` a ReferenceSequence."""
+    keys = ["input_name", "input_sha256"]
+    called = done.quality.groupBy(*keys).agg(
+        F.count("*").alias("call_count"), F.count_if(F.col("primary") == "N").alias("unresolved_primary_calls"), F.count_if((F.col("ambiguity") == "N") & (F.size("qualifying") > 2)).alias("multi_channel_unresolved_calls"),
+    )
+    integrity = C.trace_integrity(traces)
+    mismatches = (F.coalesce("primary_length_differs", F.lit(False)).cast("int") + F.coalesce("quality_length_differs", F.lit(False)).cast("int")).alias("ploc_vendor_length_mismatches")
+    integrity = integrity.select(*keys, mismatches, "clipped_samples", F.struct("n_calls", "n_samples", "min_spacing", "median_spacing", "max_spacing", "clipped_samples").alias("integrity"))
+    noisy = done.noisy.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("region_start", "region_end", "min_snr"))).alias("noisy_regions"))
+    excluded = done.variants.where("size(exclusion_reasons) > 0").groupBy(*keys).agg(F.count("*").alias("excluded_variant_candidates"))
+    out = done.alignments.where("error_class IS NULL")
+    for part in (called, integrity, done.trims):
+        out = out.join(part, keys)
+    for part in (noisy, excluded, variant_reports(done.variants, done.quality, done.alignments)):
+        out = out.join(part, keys, "left")
+    listed = lambda name: F.coalesce(name, F.array())
+    topology = "circular" if reference.circular else "linear"
+    return out.select(
+        *keys, F.lit("analysis/v7").alias("schema_version"),
+        F.struct(F.struct(F.col("input_sha256").alias("sha256")).alias("input"), F.struct(F.lit(reference.name).alias("name"), F.lit(topology).alias("topology"), F.lit(reference.sha256).alias("sha256")).alias("reference"), F.lit(settings.sha256).alias("configuration_sha256")).alias("provenance"),
+        F.struct("call_count", F.struct(F.col("trim_start").alias("start"), F.col("trim_end").alias("end")).alias("trim")).alias("read"),
+        F.struct("integrity", listed("noisy_regions").alias("noisy_regions")).alias("trace_quality"),
+        F.struct("orientation", F.col("callable_columns").alias("callable_bases"), F.col("callable_identity").alias("identity"), F.col("unresolved").alias("unresolved_bases"), "gap_opens", X.reference_segments(F.col("start0"), F.col("end0"), len(reference.bases)).alias("reference_segments"), "wraps_origin").alias("alignment"),
+        listed("variants").alias("variants"),
+        F.struct("unresolved_primary_calls", "multi_channel_unresolved_calls", "ploc_vendor_length_mismatches", F.col("clipped_samples").alias("clipped_channel_samples"), F.coalesce("excluded_variant_candidates", F.lit(0)).alias("excluded_variant_candidates")).alias("warnings"),
+    )
+
+
 def phase_artifact(windows: DataFrame, candidates: DataFrame, folder: str) -> DataFrame:
-    """windows and candidates as CSV below a new folder, and their index (file, rows, columns), which is written last."""
-    spark, index = windows.sparkSession, []
+    """windows and candidates as CSV below a new folder, and their index (file, part, sha256, rows, columns), which is written
+    last: a row for each part file, its digest and rows taken by Spark from what is on disk."""
+    spark, parts = windows.sparkSession, []
     for name, table in (("windows.csv", windows), ("candidates.csv", candidates)):
         publish_table(table, f"{folder}/{name}", tuple(table.columns), "csv")
-        index.append((name, spark.read.csv(f"{folder}/{name}", header=True).count(), list(table.columns)))
-    out = spark.createDataFrame(index, "file string, rows long, columns array<string>")
-    out.coalesce(1).write.mode("errorifexists").json(f"{folder}/index")
-    return out
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/{name}")
+        lines = F.size(F.filter(F.split(F.decode("content", "utf-8"), "\n"), lambda x: x != "")) - 1
+        parts.append(files.select(F.lit(name).alias("file"), F.regexp_extract("path", "([^/]+)$", 1).alias("part"), F.sha2("content", 256).alias("sha256"), lines.cast("long").alias("rows"), F.lit(list(table.columns)).alias("columns")))
+    parts[0].unionByName(parts[1]).coalesce(1).write.mode("errorifexists").json(f"{folder}/index")
+    return spark.read.schema("file string, part string, sha256 string, rows long, columns array<string>").json(f"{folder}/index")
 
 
 def complete_samples(reads: DataFrame, sample: str = "sample") -> DataFrame:

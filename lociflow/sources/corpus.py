@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_REFERENCE = 50_000
-#: Columns of a manifest, in order.
+#: Columns of a manifest, in order. Fixed values of the contract, as are the next two tuples.
 MANIFEST = (
     "validation_case_id", "trace_path", "trace_sha256", "source_group_id", "specimen_group_id", "pcr_replicate_id", "sequencing_run_id", "instrument_id", "amplicon_id", "declared_direction", "truth_class",
     "truth_method", "truth_locus", "truth_reference", "truth_alternate", "known_mixture_fraction", "artifact_tags", "include_in_threshold_fit", "holdout_group", "approval_record", "redistribution_status", "notes",
@@ -142,3 +142,38 @@ def sample_variants(spark: SparkSession, path: str) -> DataFrame:
     schema = "sample_id string, variants array<struct<position_1based:int,reference:string,alternate:string,kind:string,support_topology:struct<eligible_reads:int>>>"
     rows = spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
     return rows.select("sample_id", F.explode("variants").alias("v")).where("v.support_topology.eligible_reads > 0").select("sample_id", "v.position_1based", "v.reference", "v.alternate", "v.kind")
+
+
+def read_typed(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """A research CSV whose header is exactly that of the schema, each value of its type; anything else fails the read."""
+    return spark.read.csv(path, schema=schema, header=True, enforceSchema=False, mode="FAILFAST", nullValue="", nanValue="\0")
+
+
+#: A research corpus index and what each case says of its files.
+INDEX = "schema_version string, cases array<struct<validation_case_id:string,sample_evidence:string,reads:array<struct<read_sha256:string,trace_path:string>>>>"
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """(schema_version, validation_case_id, sample_evidence, read_sha256, trace_path): a row for each read of the index."""
+    cases = spark.read.schema(INDEX).json(path, multiLine=True, mode="FAILFAST").select("schema_version", F.explode("cases").alias("c"))
+    return cases.select("schema_version", "c.validation_case_id", "c.sample_evidence", F.explode("c.reads").alias("r")).select("schema_version", "validation_case_id", "sample_evidence", "r.*")
+
+
+def index_faults(index: DataFrame) -> DataFrame:
+    """(rule, subject): names outside the grammar, reads or files that occur twice."""
+    from lociflow.functions import expressions as X
+
+    case, read = F.col("validation_case_id"), F.col("read_sha256")
+    named = index.select(F.when(~X.case_name(case), "case name").when(~X.sha256_name(read), "read digest").alias("rule"), F.when(~X.case_name(case), case).otherwise(read).alias("subject")).where("rule IS NOT NULL").distinct()
+    twice = index.groupBy("read_sha256").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("read repeated").alias("rule"), F.col("read_sha256").alias("subject"))
+    files = index.select("validation_case_id", "sample_evidence").distinct().groupBy("sample_evidence").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("evidence of several cases").alias("rule"), F.col("sample_evidence").alias("subject"))
+    return named.unionByName(twice).unionByName(files)
+
+
+def read_runtime(spark: SparkSession, folders: list[str], windows: str, candidates: str) -> tuple[DataFrame, DataFrame]:
+    """Windows and candidates of many phase artifacts, each with the folder it comes from."""
+    found = []
+    for name, schema in (("windows.csv", windows), ("candidates.csv", candidates)):
+        table = read_typed(spark, [f"{x}/{name}" for x in folders], schema)
+        found.append(table.withColumn("artifact", F.regexp_extract(F.input_file_name(), f"([^/]+)/{name}", 1)))
+    return found[0], found[1]

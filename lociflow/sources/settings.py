@@ -35,7 +35,7 @@ class Basecalling:
 
 
 @dataclass(frozen=True)
-class SignalProcessing:
+class NoiseWindows:
     window_size_bases: int = _ranged(10, lambda v: 5 <= v <= 10, "in 5..10")
     minimum_primary_snr: float = _ranged(3.0, *_positive)
     minimum_noisy_windows: int = _ranged(2, lambda v: v >= 2, "2 at least")
@@ -79,7 +79,7 @@ class VariantCalling:
 class Settings:
     reference: Reference = Reference()
     basecalling: Basecalling = Basecalling()
-    signal_processing: SignalProcessing = SignalProcessing()
+    signal_processing: NoiseWindows = NoiseWindows()  # section names are fixed values of the settings file
     quality_control: QualityControl = QualityControl()
     alignment: AlignmentSettings = AlignmentSettings()
     sample_reconciliation: SampleReconciliation = SampleReconciliation()
@@ -123,8 +123,8 @@ def parse(data: bytes) -> Settings:
 
 
 def load(path: str | None = None) -> Settings:
-    """From a path, else from SIGNAL_CONFIG, else the defaults."""
-    path = path or os.environ.get("SIGNAL_CONFIG")
+    """From a path, else from LOCIFLOW_CONFIG, else the defaults."""
+    path = path or os.environ.get("LOCIFLOW_CONFIG")
     if path is None:
         return Settings()
     with open(path, "rb") as x:

@@ -83,9 +83,9 @@ def test_peaks_take_the_first_of_equals_or_fall_back(spark):
     assert [(p.position, p.height, p.source) for p in row.peaks] == [(2, 10, "local_maximum"), (3, 20, "local_maximum"), (3, 30, "local_maximum"), (3, 3, "ploc_fallback")]
 
 
-def test_signal_of_a_clean_trace(spark):
+def test_runs_of_a_clean_trace(spark):
     t = traces(spark, ("t", abif.synthetic(QUERY)))
-    windows = C.signal_windows(t).collect()
+    windows = C.call_windows(t).collect()
     assert len(windows) == 19 and all(r.min_snr == 1000 and not r.noisy for r in windows)
     loci = C.locus_evidence(t).orderBy("call_index").collect()
     assert [r.event_position for r in loci] == [2 + 4 * i for i in range(28)]
@@ -215,7 +215,7 @@ def test_two_reads_make_the_known_evidence(pair):
     assert complement
 
 
-def test_mixed_signal_is_a_reason(spark):
+def test_a_mixed_call_is_a_reason(spark):
     q = QUERY[:14] + ("T" if QUERY[14] != "T" else "A") + QUERY[15:]
     # mixed calls all along: no part of the read is better than another, so nothing is trimmed
     mixed = {i: ("C", 400) for i in range(0, 28, 2) if q[i] != "C"}
@@ -288,20 +288,44 @@ def test_small_strata_stay_unbenchmarked(spark):
 
 def test_nearest_rank(spark):
     rows = spark.createDataFrame([(float(i),) for i in range(1, 101)], "v double")
-    assert rows.agg(X.nearest_rank(F.col("v"), 0.07).alias("q")).first().q == 8.0
+    assert rows.agg(X.nearest_rank("v", 0.07).alias("q")).first().q == 8.0
 
 
 def test_reviewer_tokens(spark):
-    tokens = spark.createDataFrame([("s", t) for t in ("2Y", "4.1C", "4.2G", "1DEL", "2DEL", "7DEL", "9.2A", "junk")], "sample string, token string")
-    got = sorted((r.kind, r.position, r.reference, r.alternate) for r in R.reviewer_events(tokens, "sample", F.col("token"), "ACGTACGT").collect())
-    assert got == [("DEL", 6, "CG", "C"), ("DEL", 8, "TAC", "T"), ("INS", 4, "T", "TCG"), ("SNV", 2, "C", "T")]
+    good = [("s", t) for t in ("2Y", "4.1C", "4.2G", "1DEL", "2DEL", "7DEL", "3N", " 5r ")]
+    bad = [("j", "junk"), ("j", "2T"), ("d", "1DEL"), ("d", "1DEL"), ("i", "4.1C"), ("i", "4.1G"), ("n", "2C"), ("o", "9T"), ("z", "99999999999T"), ("m", "2T"), ("m", "2Y")]
+    tokens = spark.createDataFrame(good + bad, "sample string, token string")
+    got = sorted((r.sample, r.kind, r.position, r.reference, r.alternates) for r in R.reviewer_events(tokens, "sample", F.col("token"), "ACGTACGT").collect())
+    assert got == [("s", "DEL", 6, "CG", ["C"]), ("s", "DEL", 8, "TAC", ["T"]), ("s", "INS", 4, "T", ["TCG"]), ("s", "SNV", 2, "C", ["T"]), ("s", "SNV", 3, "G", ["A", "C", "T"]), ("s", "SNV", 5, "A", ["G"])]
+    faults = {(r.sample, r.rule) for r in R.reviewer_faults(tokens, "sample", F.col("token"), "ACGTACGT").collect()}
+    assert faults == {("j", "unsupported token"), ("d", "duplicate token"), ("i", "duplicate token"), ("m", "duplicate token"), ("n", "no difference from the reference"), ("o", "position outside the reference"), ("z", "position outside the reference")}
+
+
+def test_any_base_of_an_ambiguous_token_matches(spark):
+    tokens = spark.createDataFrame([("s", "3N"), ("s", "5R"), ("s", "7DEL")], "sample string, token string")
+    truth = R.reviewer_events(tokens, "sample", F.col("token"), "ACGTACGT")
+    called = spark.createDataFrame([("s", "SNV", 3, "G", "T"), ("s", "SNV", 3, "G", "C"), ("s", "SNV", 5, "A", "T")], "sample string, kind string, position int, reference string, alternate string")
+    got = sorted((r.status, r.position, r.alternate or "") for r in R.reviewer_matches(truth, called).collect())
+    assert got == [("exact", 3, "C"), ("extra", 3, "T"), ("extra", 5, "T"), ("missing", 5, ""), ("missing", 6, "")]
 
 
 def test_haplotypes(spark):
     ref = "AACCGGTT"
-    events = [("s", "truth", 2, "A", "G"), ("s", "truth", 3, "C", "T"), ("s", "called", 2, "AC", "GT"), ("s", "truth", 7, "T", "A")]
-    got = R.haplotype_groups(spark.createDataFrame(events, "sample string, side string, position int, reference string, alternate string"), ref).collect()
-    assert sorted((r.side, r.position) for r in got) == [("called", 2), ("truth", 2), ("truth", 3)]
+    kind = "sample string, side string, at int, position int, reference string, alternate string"
+
+    def groups(events):
+        rows = R.haplotype_groups(spark.createDataFrame([("s", *e) for e in events], kind), ref).collect()
+        return sorted((r.group, r.side, r["at"]) for r in rows)
+
+    assert groups([("truth", 0, 2, "A", "G"), ("truth", 1, 3, "C", "T"), ("called", 0, 2, "AC", "GT"), ("truth", 2, 7, "T", "A")]) == [(1, "called", 0), (1, "truth", 0), (1, "truth", 1)]
+    # not neighbours: a matched event lies between
+    assert groups([("truth", 0, 2, "A", "G"), ("truth", 2, 3, "C", "T"), ("called", 0, 2, "AC", "GT")]) == []
+    # five events against one, and one against one never is a group
+    five = [("truth", i, 2 + i, ref[1 + i], "T" if ref[1 + i] != "T" else "A") for i in range(5)]
+    assert groups([*five, ("called", 0, 2, ref[1:6], "".join(e[4] for e in five))]) == [(1, "called", 0), *((1, "truth", i) for i in range(5))]
+    assert groups([("truth", 0, 1, "AA", "A"), ("called", 0, 2, "AC", "C")]) == []
+    # two truth runs spell one called event: neither matches
+    assert groups([("truth", 0, 2, "A", "G"), ("truth", 1, 3, "C", "T"), ("truth", 2, 2, "A", "G"), ("truth", 3, 3, "C", "T"), ("called", 0, 2, "AC", "GT")]) == []
 
 
 def test_matches_are_one_to_one(spark):
@@ -320,7 +344,7 @@ def test_parity(spark):
 
 
 def test_read_logs(spark):
-    said = ["sample_read_started read=a", "basecalling_completed", "signal_completed", "quality_completed", "alignment_completed", "variants_completed", 'warning_summary warnings=3 note="a b"', "sample_read_completed", "sample_read_started read=b", "basecalling_completed"]
+    said = ["sample_read_started read=a", *(e for e in R.REQUIRED if e != "warning_summary"), 'warning_summary warnings=3 note="a b"', "sample_read_completed", "sample_read_started read=b", "basecalling_completed"]
     lines = spark.createDataFrame([("l", i, f"2024-01-01 00:00:00.000 | INFO     | x:1 - run_id=r event={s}") for i, s in enumerate(said)], "log string, line_no int, line string")
     events = R.log_events(lines)
     assert events.where("event = 'warning_summary'").first().fields["note"] == "a b"
@@ -404,6 +428,78 @@ def test_publishing_never_replaces(spark, tmp_path):
         publish.publish_table(rows, str(tmp_path / "u"), ("other",))
 
 
+def test_analysis_documents(spark, tmp_path):
+    """Every table written once gives what the lazy ones give, and the documents hold them together."""
+    q = QUERY[:14] + ("T" if QUERY[14] != "T" else "A") + QUERY[15:]
+    t = traces(spark, ("r", abif.synthetic(q)))
+    s = settings.Settings(variant_calling=settings.VariantCalling(regions=((1, 40),)))
+    reference = corpus.ReferenceSequence("ref", REFERENCE, False)
+    lazy, kept = analysis.analyze(t, reference, s), analysis.analyze(t, reference, s, publish.staged(f"file://{tmp_path}/stages"))
+    assert sorted(map(str, lazy.variants.collect())) == sorted(map(str, kept.variants.collect()))
+    (d,) = publish.analysis_documents(kept, t, reference, s).collect()
+    assert (d.schema_version, d.read.call_count, d.alignment.orientation, d.warnings.excluded_variant_candidates) == ("analysis/v7", 28, "forward", 0)
+    assert [tuple(x) for x in d.alignment.reference_segments] == [(4, 32)] and d.provenance.reference.sha256 == reference.sha256
+    (v,) = d.variants
+    assert (v.position_1based, v.kind, v.alternate) == (19, "SNV", q[14]) and [(c.role, c.base, max(c.peaks)) for c in v.calls] == [("supporting", q[14], 1000)]
+    assert A.reference_faults(kept.variants.withColumn("reasons", F.col("exclusion_reasons")), REFERENCE, keys=("input_name",)).count() == 0
+
+
+def test_small_predicates(spark):
+    rows = spark.createDataFrame([("a-1", 1.5, [0.25] * 4, "base"), ("_a", float("nan"), [0.5, 0.5, 0.5, 0.0], "deletion"), ("x" * 129, float("inf"), None, "base"), ("a\n", None, [1.0, 0.0, 0.0], "base")], "name string, v double, w array<double>, state string")
+    got = rows.select(
+        X.sample_name(F.col("name")), X.case_name(F.col("name")), X.finite(F.col("v")), X.valid_profile(F.col("w")), X.contribution(F.col("state"), F.col("w")), X.one_based(F.lit(4)), X.in_regions(F.lit(5), [(1, 2), (5, 9)]),
+        *X.vector_columns("w", "mass"), X.vendor_quality_applies(F.lit(b"\x01\x02"), F.lit(1), F.col("name") == "a-1"), X.strand_base(F.lit("N"), F.lit(True)), X.strand_base(F.lit("A"), F.lit(True)),
+    ).collect()
+    assert [tuple(r)[:5] for r in got] == [(True, True, True, True, "eligible"), (False, False, False, False, "deletion_event"), (False, True, False, True, "missing_profile"), (False, False, True, False, "eligible")]
+    assert tuple(got[0])[5:] == (5, True, 0.25, 0.25, 0.25, 0.25, True, "N", "T") and not got[1][11]
+
+
+def test_audit_helpers(spark):
+    from lociflow.operators import audit as U
+
+    assert U.applicable(16_569, True, "x", "x") and not U.applicable(16_569, False, "x", "x") and not U.applicable(10, True, "x", "x")
+    queue = spark.createDataFrame([("locus", "c", 5, None, "mixed", 2), ("locus", "c", 5, None, "edge", 2), ("read", "c", None, 7, "noisy", None)], "item string, case_id string, position long, read long, reason string, recurrence int")
+    items = U.decisions_template(R.queue_items(queue)).orderBy("place").collect()
+    assert [(r.item, r.reasons, r.place, r.decision) for r in items] == [("locus", "edge;mixed", 1, ""), ("read", "noisy", 2, "")] and items[0].item_id != items[1].item_id
+
+
+def test_research_sources(spark, tmp_path):
+    loci = spark.createDataFrame([("c", 3, "A", [([1.0, 0.0, 0.0, 0.0], "r")])], "case_id string, position_1based int, reference_base string, observations array<struct<weights:array<double>,read:string>>")
+    assert corpus.research_observations(loci).first().asDict() == {"case_id": "c", "position_1based": 3, "reference_base": "A", "observation": 0, "read": "r", "weights_a": 1.0, "weights_c": 0.0, "weights_g": 0.0, "weights_t": 0.0}
+    for name in ("x_s1_a.ab1", "x_s1_s2_b.ab1", "x_s3_c.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    assert sorted((r.sample, r.owners) for r in corpus.discover_traces(spark, str(tmp_path), ["s1", "s2", "s3"]).collect()) == [("s1", 1), ("s1", 2), ("s2", 2)]
+    (tmp_path / "r.tsv").write_text("\ufeff" + "\t".join(corpus.REVIEWER) + "\nfoo_AB12\t1\t1-9\t73G, 310.1C\n", encoding="utf-8")
+    assert sorted(tuple(r) for r in corpus.read_reviewer(spark, str(tmp_path / "r.tsv")).collect()) == [("AB12", "foo_AB12", "310.1C"), ("AB12", "foo_AB12", "73G")]
+    (tmp_path / "s.json").write_text(json.dumps({"sample_id": "s", "variants": [{"position_1based": 5, "reference": "A", "alternate": "G", "kind": "SNV", "support_topology": {"eligible_reads": n}} for n in (0, 2)]}))
+    assert [tuple(r) for r in corpus.sample_variants(spark, str(tmp_path / "s.json")).collect()] == [("s", 5, "A", "G", "SNV")]
+    (tmp_path / "t.csv").write_text("a,b\n1,x\n")
+    assert corpus.read_typed(spark, str(tmp_path / "t.csv"), "a int, b string").first().a == 1
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        corpus.read_typed(spark, str(tmp_path / "t.csv"), "b string, a int").collect()
+    digest = "0" * 64
+    (tmp_path / "i.json").write_text(json.dumps({"schema_version": "v", "cases": [{"validation_case_id": c, "sample_evidence": "e", "reads": [{"read_sha256": d, "trace_path": "p"}]} for c, d in (("A", digest), ("B", digest), ("_", "1"))]}))
+    assert sorted((r.rule, r.subject[:3]) for r in corpus.index_faults(corpus.read_index(spark, str(tmp_path / "i.json"))).collect()) == [("case name", "_"), ("evidence of several cases", "e"), ("read repeated", "000")]
+
+
+def test_phase_artifacts(spark, tmp_path):
+    import hashlib
+
+    windows, candidates = spark.createDataFrame([("w", 1), ("v", 2)], "window_id string, n int"), spark.createDataFrame([("w", -1)], "window_id string, offset int")
+    for name in ("one", "two"):
+        index = publish.phase_artifact(windows, candidates, f"{tmp_path}/{name}").collect()
+        assert sum(r.rows for r in index if r.file == "windows.csv") == 2
+        for r in index:
+            assert hashlib.sha256(open(f"{tmp_path}/{name}/{r.file}/{r.part}", "rb").read()).hexdigest() == r.sha256
+    w, c = corpus.read_runtime(spark, [f"{tmp_path}/one", f"{tmp_path}/two"], "window_id string, n int", "window_id string, offset int")
+    assert w.groupBy("artifact").count().count() == 2 and c.count() == 2
+
+
+def test_differential_loci_modes(spark):
+    rows = spark.createDataFrame([("s", 1, "reference"), ("s", 2, "alternate"), ("s", 2, "reference")], "sample string, position int, state string")
+    assert S.differential_loci(rows, "sample", "position").count() == 2 and S.differential_loci(rows, "sample", "position", all_covered=True).count() == 3
+
+
 def test_a_failed_trace_holds_its_sample_back(spark):
     rows = spark.createDataFrame([("s", None), ("s", "abif"), ("t", None)], "sample string, error_class string")
     assert [r.sample for r in publish.complete_samples(rows).collect()] == ["t"]
