@@ -1,11 +1,14 @@
 """Secrets in texts: three patterns, and a token-efficiency test for random strings.
 
 A vocabulary that was learned from prose and code covers a word with few tokens but a random string with many. Runs of
-MIN_RUN or more key characters that yield fewer than MAX_CHARS_A_TOKEN characters a token, hold both letters and digits,
-and are neither a known kind of digest nor an identifier are taken for secrets.
+MIN_RUN or more key characters that yield fewer than MAX_CHARS_A_TOKEN characters a token, hold letters and digits or
+letters of both cases, and are neither a known kind of digest nor an identifier are taken for secrets.
 
-Defined cases: a null text is empty; overlapping spans of different base kinds all stay; a random run that overlaps a
-base span is not added; spans count code points. Repeated rows are scanned alike.
+Every step is linear in the text, but for the vocabulary's merges (n log n), so an unbroken run may have any length.
+
+Defined cases: a null or empty text has no span; an empty table gives an empty one; overlapping spans of different base
+kinds all stay, ties at one start in the order of KINDS; a random run that overlaps a base span is not added; spans count
+code points; repeated rows are scanned alike; a column of the documents named like the result's is replaced.
 """
 
 from __future__ import annotations
@@ -34,8 +37,8 @@ KEY_RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 #: Hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGEST = re.compile(r"(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128})")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-#: Words, numbers and their compounds in snake, kebab, path or camel case.
-IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]+)(?:[_/=+-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z0-9])|[0-9]{1,4}(?![A-Za-z0-9])))*[_/=+-]*")
+#: Runs of one kind of character; an identifier is told from them one by one.
+PART = re.compile(r"[a-z]+|[A-Z]+|[0-9]+|[_/=+-]+")
 
 
 @lru_cache(maxsize=2)
@@ -45,10 +48,37 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("scan", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def is_random(run: str, known: tiktoken.Encoding) -> bool:
-    if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
+def is_identifier(run: str) -> bool:
+    """Whether a run is made of words, numbers and their compounds in snake, kebab, path or camel case.
+
+    A word has two or more small letters, with or without a capital in front; capitals stand alone in twos or more, where
+    neither a small letter nor a digit follows; a number has four digits at most and ends its part. Only at the run's start
+    may capitals or a number of any length go straight on. Each run of one kind of character is judged by its neighbours, so
+    one pass tells."""
+    parts = PART.findall(run)
+    if sum(map(len, parts)) != len(run):
         return False
-    if DIGEST.fullmatch(run) or UUID.fullmatch(run) or IDENTIFIER.fullmatch(run):
+    for i, x in enumerate(parts):
+        after, kind = parts[i + 1] if i + 1 < len(parts) else "_", x[0]
+        if "a" <= kind <= "z":
+            fits = len(x) >= 2
+        elif "A" <= kind <= "Z":
+            if "a" <= after[0] <= "z":  # the last capital begins the word
+                fits = len(x) != 2 or i == 0
+            else:
+                fits = len(x) >= 2 and (i == 0 or not after[0].isdigit())
+        elif kind.isdigit():
+            fits = i == 0 or len(x) <= 4 and after[0] in "_/=+-"
+        else:
+            fits = i > 0
+        if not fits:
+            return False
+    return True
+
+
+def is_random(run: str, known: tiktoken.Encoding) -> bool:
+    kinds = sum(any(map(test, run)) for test in (str.isdigit, str.islower, str.isupper))
+    if kinds < 2 or DIGEST.fullmatch(run) or UUID.fullmatch(run) or is_identifier(run):
         return False
     return len(run) < MAX_CHARS_A_TOKEN * len(known.encode_ordinary(run))
 
@@ -122,5 +152,3 @@ def document_secrets(documents: DataFrame, vocabulary: str, pattern: str) -> Dat
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
     base = F.filter("spans", lambda s: s.kind.isin(*KINDS[:3]))
     return scanned.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
-
-
