@@ -6,7 +6,9 @@ filter's size follows the list up to MAX_BLOCKS (a fixed bound on what is sent t
 gets fuller, and the join sees more false positives, but the result stays exact.
 
 Defined cases: a null url, or one without `://`, has an empty host and path, fits no rule and is never listed, so it is
-allowed; repeated rows are judged alike; rules may share a host, and the longest that fits wins.
+allowed; repeated rows are judged alike; rules may share a host, and the longest that fits wins, of equally long ones the
+first by name; a url may have any length; an empty table, or an empty list, gives all rows the rules' verdict or `allow`;
+columns beside the identifier and the url are left out, so none can clash.
 """
 
 from __future__ import annotations
@@ -80,11 +82,11 @@ def _places(key: Column, n_blocks: int) -> tuple[Column, Column]:
     return block, bits
 
 
-def build_filter(listed: DataFrame) -> tuple[np.ndarray, int]:
-    """Words of the filter over the column `canonical`; at most 64 MAX_BLOCKS bytes reach the driver."""
+def build_filter(listed: DataFrame, key: str = "canonical") -> tuple[np.ndarray, int]:
+    """Words of the filter over the column `key`; at most 64 MAX_BLOCKS bytes reach the driver."""
     n = listed.count()
     n_blocks = max(1, min(MAX_BLOCKS, -(-n * BITS_A_KEY // 512)))
-    block, bits = _places(F.col("canonical"), n_blocks)
+    block, bits = _places(F.col(key), n_blocks)
     set_bits = listed.select(block.alias("block"), F.explode(bits).alias("bit"))
     powers = F.lit([1 << i if i < 63 else -(1 << 63) for i in range(64)])
     words = set_bits.select((F.col("block") * 8 + F.floor(F.col("bit") / 64)).alias("word"), F.get(powers, F.col("bit") % 64).alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
@@ -94,8 +96,8 @@ def build_filter(listed: DataFrame) -> tuple[np.ndarray, int]:
     return out, n_blocks
 
 
-def maybe_listed(urls: DataFrame, words: np.ndarray, n_blocks: int) -> DataFrame:
-    """Add `maybe`: false only if the column `canonical` is surely not listed."""
+def maybe_listed(urls: DataFrame, words: np.ndarray, n_blocks: int, key: str = "canonical") -> DataFrame:
+    """Add `maybe`: false only if the column `key` is surely not listed. Null is never listed."""
     ship(urls.sparkSession)
     sent = urls.sparkSession.sparkContext.broadcast(words.tobytes())  # 64 MAX_BLOCKS bytes at most
 
@@ -111,15 +113,15 @@ def maybe_listed(urls: DataFrame, words: np.ndarray, n_blocks: int) -> DataFrame
                     hit &= (word.view(np.uint64) >> (which[:, i] % 64).astype(np.uint64)) & np.uint64(1) == 1
             yield pd.Series(hit)
 
-    block, bits = _places(F.coalesce("canonical", F.lit("")), n_blocks)
-    return urls.withColumn("maybe", F.col("canonical").isNotNull() & probe(block, bits))
+    block, bits = _places(F.col(key), n_blocks)
+    return urls.withColumn("maybe", F.col(key).isNotNull() & probe(block, bits))
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict, listed). `listed` has a column `canonical`; a listed page that no rule fits is blocked."""
     known = cut(listed.where(F.col("canonical").isNotNull()).select("canonical").distinct(), "listed-urls")
     urls = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), canonical(F.col(url_col)).alias("canonical"))
-    probed = maybe_listed(urls, *build_filter(known))
+    probed = cut(maybe_listed(urls, *build_filter(known)), "probed-urls")
     sure = probed.where("NOT maybe").withColumn("listed", F.lit(False))
     # only possible hits are shuffled
     found = probed.where("maybe").join(known.withColumn("listed", F.lit(True)), "canonical", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
@@ -130,11 +132,20 @@ def judge(pages: DataFrame, listed: DataFrame, rules: tuple[Rule, ...] = RULES,
     return both.select(F.col("id").alias(id_col), "host", "path", F.get(names, F.col("i")).alias("rule"), F.coalesce(F.get(verdicts, F.col("i")), method).alias("verdict"), "listed")
 
 
-#: Hosts whose pages make up the list of the page query: `spam-farm.*` and all subdomains.
-LISTED_HOSTS = "(^|\\.)spam-farm\\."
+#: The list of the page query. Hosts whose pages are on it, with all their subdomains; the first hexadecimal digits of the
+#: MD5 of canonical URLs that stand for reports of single pages elsewhere; and a page that goes with each of these, which
+#: no crawled page need be.
+LISTED_HOSTS = "(^|\\.)(spam-farm|casino-win|free-bets|cheap-pills)\\."
+REPORTED, COMPANION = "00", "/amp"
+
+
+def page_list(pages: DataFrame) -> DataFrame:
+    """Canonical URLs of a list that grows with the pages; a host does not tell whether a page is on it."""
+    known = pages.select(host_of(F.col("url")).alias("host"), canonical(F.col("url")).alias("canonical")).where("canonical IS NOT NULL")
+    listed = known.where(F.col("host").rlike(LISTED_HOSTS) | F.md5(F.col("canonical").cast("binary")).startswith(REPORTED))
+    return listed.select(F.explode(F.array("canonical", F.concat("canonical", F.lit(COMPANION)))).alias("canonical"))
 
 
 def page_verdicts(pages: DataFrame) -> DataFrame:
-    """Judge every page; the list holds the canonical URLs of the pages on hosts that LISTED_HOSTS names."""
-    listed = pages.where(host_of(F.col("url")).rlike(LISTED_HOSTS)).select(canonical(F.col("url")).alias("canonical"))
-    return judge(pages, listed).select("page_id", "host", "path", "rule", "verdict")
+    """Judge every page by the rules and page_list()."""
+    return judge(pages, page_list(pages)).select("page_id", "host", "path", "rule", "verdict")

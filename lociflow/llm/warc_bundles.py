@@ -1,11 +1,21 @@
 """Seekable Zstandard bundles of WARC records.
 
 Records are grouped into independent Zstandard frames; a seek table in a skippable frame ends each bundle, so that any
-frame can be read alone. An index table maps record identifiers to bundle, frame and offset within the frame.
+frame can be read alone. An index table maps record identifiers to bundle, frame and offset within the frame; all reading
+goes by it.
+
+Payloads are not shuffled unless another page may have an equal one: a blocked Bloom filter of the digests that occur
+again passes those to an exact join.
+
+Bundles are written and read by pyarrow's file systems in Python workers, so the shared folder must be one that they know
+(local or mounted, hdfs, s3, gs; `s3a` is taken for `s3`).
 
 Defined cases: a null payload is empty; payloads shorter than `least` never become revisits; rows that share the
-smallest identifier of a digest are all responses; bundles are written under a temporary name and moved when whole,
-with a name of its own for each attempt, and only those that a finished task reports count.
+smallest identifier of a digest are all responses; a null identifier is written as `null` and never the first of others;
+rows of one identifier are told apart by a number after it, so each record's name is its own; a payload may have any
+length, and a frame then holds it alone; an empty table gives no bundle and no row; columns beside page_id, url and html
+are left out; bundles are written under a temporary name and moved when whole, with a name of its own for each attempt,
+and only those that a finished task reports count.
 """
 
 from __future__ import annotations
@@ -24,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.llm.shared import cut, new_folder, ship
+from lociflow.llm.url_filter import build_filter, maybe_listed
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 32 << 20
@@ -33,19 +44,26 @@ LEVEL = 3
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
 #: Fixed value of WARC 1.1.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-INDEX = "record_id long, bundle string, frame int, frame_offset long, record_bytes long"
+INDEX = "record_id long, copy long, bundle string, frame int, frame_offset long, record_bytes long"
 RECORD = "record_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, bundle string, frame int, frame_offset long"
 
 
-def record_urn(key: int | None) -> str:
-    return f"<urn:x-page:{'null' if key is None else key}>"
+def record_urn(key: int | None, copy: int = 0) -> str:
+    """Name of a record; `copy` tells the rows of one identifier apart."""
+    return f"<urn:x-page:{'null' if key is None else key}{f':{copy}' if copy else ''}>"
+
+
+def file_system(folder: str):
+    from pyarrow import fs
 
+    return fs.FileSystem.from_uri(re.sub("^s3a://", "s3://", folder))
 
-def warc_record(key: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+
+def warc_record(key: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str, copy: int = 0) -> bytes:
     """One WARC/1.1 record; a revisit keeps the HTTP header, which tells the payload's full length, and drops the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_urn(key)}", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_urn(key, copy)}", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + quote(url, safe="!#$%&'()*+,/:;=?@[]~"))
     head.append(f"WARC-Payload-Digest: sha256:{digest}")
@@ -98,17 +116,15 @@ class BundleWriter:
     """Writes bundles into a folder that every executor sees; rows() gives the index of what is on disk."""
 
     def __init__(self, folder: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> None:
-        from pyarrow import fs
-
-        self.files, self.folder = fs.FileSystem.from_uri(folder)
+        self.files, self.folder = file_system(folder)
         self.files.create_dir(self.folder, recursive=True)
         self.frame_bytes, self.bundle_bytes = frame_bytes, bundle_bytes
         self.packer = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True)
         self.out, self.done = None, []
         self.frame, self.size, self.pending = [], 0, []
 
-    def add(self, key: int | None, record: bytes) -> None:
-        self.pending.append((key, self.size, len(record)))
+    def add(self, key: int | None, copy: int, record: bytes) -> None:
+        self.pending.append((key, copy, self.size, len(record)))
         self.frame.append(record)
         self.size += len(record)
         if self.size >= self.frame_bytes:
@@ -122,7 +138,7 @@ class BundleWriter:
             self.out = self.files.open_output_stream(f"{self.folder}/_{self.name}", compression=None)
         data = b"".join(self.frame)
         packed = self.packer.compress(data)
-        self.rows += [(key, self.name, len(self.frames), at, n) for key, at, n in self.pending]
+        self.rows += [(key, copy, self.name, len(self.frames), at, n) for key, copy, at, n in self.pending]
         self.frames.append((len(packed), len(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF))
         self.out.write(packed)
         self.written += len(packed)
@@ -151,48 +167,82 @@ def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
 
 
 def write_bundles(records: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
-    """Write `records` (record_id, url, payload binary, payload_digest, refers_to) and return the index table, itself on disk."""
+    """Write `records` (record_id, copy, url, payload binary, payload_digest, refers_to) and return the index table, itself on
+    disk."""
     ship(records.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = BundleWriter(folder, frame_bytes, bundle_bytes)
         for b in batches:
-            for key, url, payload, digest, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                out.add(key, warc_record(key, url, payload or b"", digest, first, date))
+            for key, copy, url, payload, digest, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                out.add(key, copy, warc_record(key, url, payload or b"", digest, first, date, copy))
             if done := out.take():
                 yield _batch(done, INDEX)
         out.end_bundle()
         if done := out.take():
             yield _batch(done, INDEX)
 
-    chosen = records.select("record_id", "url", "payload", "payload_digest", "refers_to")
+    chosen = records.select("record_id", "copy", "url", "payload", "payload_digest", "refers_to")
     return cut(chosen.mapInArrow(write, INDEX), "warc-index")
 
 
+class BundleReader:
+    """Reads records by their index entries: a bundle's seek table once, a frame once for entries in order."""
+
+    def __init__(self, folder: str) -> None:
+        self.files, self.folder = file_system(folder)
+        self.name = self.source = self.frame = None
+
+    def open(self, bundle: str) -> None:
+        self.close()
+        self.name, self.frame, self.source = bundle, None, self.files.open_input_file(f"{self.folder}/{bundle}")
+        size = self.source.size()
+        self.source.seek(size - 9)
+        tail = 12 * struct.unpack("<IBI", self.source.read(9))[0] + 17
+        self.source.seek(size - tail)
+        self.entries = read_seek_table(self.source.read(tail))
+        self.starts = [0]
+        for packed, _, _ in self.entries:
+            self.starts.append(self.starts[-1] + packed)
+
+    def record(self, bundle: str, frame: int, offset: int, size: int) -> bytes:
+        if bundle != self.name:
+            self.open(bundle)
+        if frame != self.frame:
+            self.source.seek(self.starts[frame])
+            self.data, self.frame = open_frame(self.source.read(self.entries[frame][0]), self.entries[frame]), frame
+        return self.data[offset : offset + size]
+
+    def close(self) -> None:
+        if self.source is not None:
+            self.source.close()
+        self.name = self.source = None
+
+
 def read_bundles(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
-    """Every record of the bundles that `index` names, read back frame by frame, checksums and digests verified."""
+    """Every record that `index` names, fetched by its entry, with checksums, names and digests verified. A bundle's entries
+    are read in one task, in order; BUNDLE_BYTES bound what that is."""
     ship(spark)
-    if index.isEmpty():  # no bundle, no folder
-        return spark.createDataFrame([], RECORD)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source = BundleReader(folder)
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                whole, name, at = memoryview(content.as_buffer()), path.rsplit("/", 1)[-1], 0
-                for k, entry in enumerate(read_seek_table(bytes(whole))):
-                    frame, rows = open_frame(whole[at : at + entry[0]], entry), []
-                    at += entry[0]
-                    for offset, _, fields, block in parse_records(frame):
-                        rows.append((*describe(fields, block), name, k, offset))
-                    yield _batch(rows, RECORD)
+            rows = []
+            for key, copy, bundle, frame, offset, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                (_, length, fields, block), *more = parse_records(source.record(bundle, frame, offset, size))
+                if more or length != size or fields["warc-record-id"] != record_urn(key, copy):
+                    raise ValueError("the index leads to another record")
+                rows.append((*describe(fields, block), bundle, frame, offset))
+            yield _batch(rows, RECORD)
+        source.close()
 
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "bundle-*.warc.zst").load(folder).select("path", "content").mapInArrow(read, RECORD)
-    return found.join(index.select("bundle").distinct(), "bundle", "left_semi")
+    ordered = index.select("record_id", "copy", "bundle", "frame", "frame_offset", "record_bytes").repartition("bundle").sortWithinPartitions("bundle", "frame", "frame_offset")
+    return ordered.mapInArrow(read, RECORD)
 
 
 def describe(fields: dict[str, str], block: bytes) -> tuple:
     """(record_id, payload bytes, payload digest, type, refers_to) of a parsed record; a response's payload is hashed anew."""
-    ident = lambda x: None if x is None or x == "<urn:x-page:null>" else int(re.fullmatch(r"<urn:x-page:(-?\d+)>", x)[1])
+    ident = lambda x: None if x is None or x.startswith("<urn:x-page:null") else int(re.fullmatch(r"<urn:x-page:(-?\d+)(:\d+)?>", x)[1])
     cutting = block.index(b"\r\n\r\n") + 4
     size = int(re.search(rb"Content-Length: (\d+)", block[:cutting])[1])
     digest = fields["warc-payload-digest"].removeprefix("sha256:")
@@ -203,34 +253,41 @@ def describe(fields: dict[str, str], block: bytes) -> tuple:
 
 def read_record(folder: str, bundle: str, frame: int, frame_offset: int, record_bytes: int) -> bytes:
     """One record by its index entry: the seek table and the one frame are all that is read."""
-    from pyarrow import fs
-
-    files, top = fs.FileSystem.from_uri(folder)
-    with files.open_input_file(f"{top}/{bundle}") as x:
-        size = x.size()
-        x.seek(size - 9)
-        tail = 12 * struct.unpack("<IBI", x.read(9))[0] + 17
-        x.seek(size - tail)
-        entries = read_seek_table(x.read(tail))
-        x.seek(sum(e[0] for e in entries[:frame]))
-        return open_frame(x.read(entries[frame][0]), entries[frame])[frame_offset : frame_offset + record_bytes]
+    source = BundleReader(folder)
+    try:
+        return source.record(bundle, frame, frame_offset, record_bytes)
+    finally:
+        source.close()
 
 
 def archive_records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """Records of pages, with refers_to where an equal payload has a smaller identifier.
-
-    Only (digest, smallest identifier) is grouped, with partial sums in each task; the join on the digest then is the one
-    shuffle of payloads, and adaptive execution splits the digest of a popular payload.
-    """
+    """Records of pages, with refers_to where an equal payload has a smaller identifier."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     known = pages.select(F.col("page_id").cast("long").alias("record_id"), F.col("url"), payload.alias("payload"), F.sha2(payload, 256).alias("payload_digest"))
-    firsts = known.where(F.octet_length("payload") >= least).groupBy("payload_digest").agg(F.min("record_id").alias("first_id"))
-    again = F.col("record_id") != F.col("first_id")
-    return known.join(firsts, "payload_digest", "left").withColumn("refers_to", F.when(again, F.col("first_id")))
+    again = known.where(F.octet_length("payload") >= least).groupBy("payload_digest").agg(F.min("record_id").alias("first_id"), F.count("*").alias("m")).where("m > 1")
+    # written first: adaptive execution then splits the pages of a popular payload
+    firsts = cut(again.select(F.col("payload_digest").alias("known_digest"), "first_id"), "first-payloads")
+    probed = maybe_listed(known, *build_filter(firsts, "known_digest"), "payload_digest")
+    single = probed.where("NOT maybe").withColumn("refers_to", F.lit(None).cast("long"))
+    hits = probed.where("maybe").join(firsts, F.col("payload_digest") == F.col("known_digest"), "left")
+    hits = hits.withColumn("refers_to", F.when(F.col("record_id") != F.col("first_id"), F.col("first_id")))
+    columns = ["record_id", "url", "payload", "payload_digest", "refers_to"]
+    return single.select(columns).unionByName(hits.select(columns)).withColumn("copy", F.lit(0).cast("long"))
 
 
 def page_archive(pages: DataFrame) -> DataFrame:
     """Write all pages to bundles and read them back."""
     folder = new_folder(pages.sparkSession, "warc")
-    index = write_bundles(archive_records(pages), folder)
+    index = write_bundles(told_apart(pages, archive_records(pages)), folder)
     return read_bundles(pages.sparkSession, folder, index).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "bundle", "frame", "frame_offset")
+
+
+def told_apart(pages: DataFrame, records: DataFrame) -> DataFrame:
+    """Number the records of identifiers that several pages have, or none: by a number of the row, which differs and means no
+    more. Where all identifiers are different nothing is done but to count them."""
+    ids = pages.groupBy(F.col("page_id").cast("long").alias("again_id")).agg(F.count("*").alias("m")).where("m > 1")
+    ids = cut(ids.select("again_id"), "repeated-ids")
+    if ids.isEmpty():
+        return records
+    numbered = records.join(ids, F.col("record_id").eqNullSafe(F.col("again_id")), "left").withColumn("again", F.col("again_id").isNotNull() | F.col("record_id").isNull())
+    return numbered.withColumn("copy", F.when(F.col("again"), F.monotonically_increasing_id() + 1).otherwise(F.lit(0)).cast("long")).drop("again_id", "again")
