@@ -76,7 +76,7 @@ canon AS (
   SELECT *, regexp_replace(regexp_replace('&' || query, '&(utm_[a-z]+|ref|gclid|fbclid)=[^&]*', '', 'g'), '^&', '') AS kept FROM parts),
 keyed AS (
   SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, ':(80|443)$', '') || regexp_replace(path, '/$', '') || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS canonical FROM canon),
-listed AS (SELECT DISTINCT canonical FROM keyed WHERE host LIKE 'spam-farm.%'),
+listed AS (SELECT DISTINCT canonical FROM keyed WHERE regexp_matches(host, '(^|\.)(spam-farm|casino-win|free-bets|cheap-pills)\.') OR starts_with(md5(canonical), '00')),
 rules(rule_host, rule_path, action) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
 fitting AS (
   SELECT k.page_id, k.host, k.path, k.canonical, r.rule_host || r.rule_path AS rule, r.action
@@ -106,7 +106,7 @@ c AS (SELECT r, length(t) AS n, length(t) - length(regexp_replace(t, '[a-z]', ''
 base AS (SELECT w.r, doc_id, lang, words, len(words) AS n_words, c.n - c1 AS word_chars, c4 AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
   [c0, c1, c2, c3, c4, c5, cl - c0 - c2, c.n - c1 - c3 - c4 - c5 - cl] AS counts, c.n AS chars, len(words) < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * len(words) AS base_failed
   FROM w JOIN lines USING (r) JOIN c USING (r) LEFT JOIN covered USING (r)),
-totals AS (SELECT lang, sum(n_words) AS n FROM base WHERE lang IS NOT NULL GROUP BY lang HAVING sum(n_words) > 0 ORDER BY n DESC, lang LIMIT 64),
+totals AS (SELECT lang, sum(n_words) AS n FROM base WHERE lang IS NOT NULL GROUP BY lang HAVING sum(n_words) > 0),
 cells AS (SELECT r, lang, unnest(range(1, 9)) AS b, unnest(counts) AS x, chars FROM base),
 class_ref AS (SELECT lang, b, sum(x) / sum(chars) AS q FROM cells JOIN totals USING (lang) GROUP BY lang, b),
 class_js AS (SELECT r, d.lang, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2 AS js FROM (SELECT r, b, x / nullif(chars, 0) AS p FROM cells) e JOIN class_ref d USING (b) GROUP BY r, d.lang),

@@ -1,9 +1,10 @@
 """Interleaved document sequences: HTML becomes ordered text and media-reference items, and a join on the digest
 resolves the references against a content-addressed store of media.
 
-Defined cases: a null HTML text gives an empty sequence; a reference without a stored medium keeps its item with null
-media columns; equal payloads share one digest; repeated documents keep their own rows; columns beside the named ones
-are left alone because the operator selects by name before it works.
+Defined cases: a null or empty HTML text gives an empty sequence; a reference without a stored medium keeps its item with
+null media columns; equal payloads share one digest and tie in nothing else; repeated documents keep their own rows; a text
+of any length is one medium; an empty table gives an empty one; columns beside the named ones are left out because the
+operator selects by name before it works.
 """
 
 from __future__ import annotations
@@ -183,7 +184,7 @@ def media_features(store: DataFrame) -> DataFrame:
 
 def resolve(items: DataFrame, media: DataFrame) -> DataFrame:
     """Join media columns to exploded items on the digest. `media` has one row a digest, so a popular medium makes only
-    the items' side uneven, which adaptive execution splits."""
+    the items' side uneven; adaptive execution splits it if `media` comes straight from a table (see cut())."""
     return items.join(media, "media_digest", "left")
 
 
@@ -218,4 +219,4 @@ def document_media(documents: DataFrame) -> DataFrame:
     stored = cut(illustrate(documents), "media")
     parsed = sequences(stored, "doc_id", "html", keep=("n_bytes",))
     items = parsed.select("doc_id", "n_bytes", F.size("items").alias("n_items"), F.explode("items").alias("item")).where("item.kind = 'media'").select("doc_id", "n_bytes", "n_items", "item.position", "item.caption", "item.media_digest")
-    return resolve(items, media_features(stored)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_items")
+    return resolve(items, cut(media_features(stored), "media-features")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_items")
