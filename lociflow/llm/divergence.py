@@ -2,16 +2,20 @@
 
 References come from the whole corpus: for each language label the shares of eight character classes, and of its common
 words, which are those of at most SHORT_WORD code points that make up COMMON_SHARE of its words or more (so there are at
-most 1 / COMMON_SHARE of them). A document is compared with every reference by Jensen-Shannon distance (base 2, 0 to 1)
-and the nearest one counts, so a wrong or missing label costs nothing. Documents of fewer than MIN_WORDS words are too
-short to compare and pass. Everything is built from DataFrame functions.
+most 1 / COMMON_SHARE of them). Function words are that short in most languages; a language without any is told by its
+character classes alone. A document is compared with every reference by Jensen-Shannon distance (base 2, 0 to 1) and the
+nearest one counts, so a wrong or missing label costs nothing. Documents of fewer than MIN_WORDS words are too short to
+compare and pass. Everything is built from DataFrame functions.
 
 Defined cases: a null or blank text has no words and fails the base rule; without any labelled word there are no
-references and only the base rule judges; repeated rows keep their own results.
+references and only the base rule judges; repeated rows keep their own results; equal distances tell nothing apart, since
+only the least one is used; a text of any length is judged whole; an empty table gives an empty one; rows are carried whole,
+so columns can't clash, but for those named like the result's, which judge() replaces.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,8 +30,6 @@ SYMBOL = CLASSES.index("symbol")
 WINDOW = 8
 SHORT_WORD = 6
 COMMON_SHARE = 0.0025
-#: References are made for so many labels with the most words; the others' documents are judged all the same.
-MAX_LANGUAGES = 64
 MIN_BASE_WORDS = 20
 MIN_WORDS = 50
 #: Distances beyond which a document fails; prose of a known language stays below 0.27 and 0.38.
@@ -59,31 +61,33 @@ def class_counts(df: DataFrame, text: str, out: str = "class_counts") -> DataFra
     return df.select(*columns, F.array(*[x.cast("long") for x in counts]).alias(out))
 
 
+def literal(value, kind: str) -> Column:
+    """A constant of any size in one expression; the optimizer reads it once."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def short_words(all_words: Column) -> Column:
     return F.transform(F.filter(all_words, lambda w: F.length(w) <= SHORT_WORD), F.lower)
 
 
 def references(documents: DataFrame, text: str = "text", lang: str = "lang") -> References:
-    """Learn the references. What reaches the driver is bounded: MAX_LANGUAGES rows, and 1 / COMMON_SHARE words of each."""
+    """Learn the references of every label. For each label its sums and 1 / COMMON_SHARE words at most reach the driver."""
     labelled = documents.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     sums = [F.sum(F.col("class_counts")[i]).alias(f"c{i}") for i in range(N_CLASSES)]
     totals = (
         class_counts(labelled.withColumn("n", F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^ \\t-\\r]+")).cast("long")), "text")
-        .groupBy("lang").agg(F.sum("n").alias("n"), *sums).where("n > 0").orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+        .groupBy("lang").agg(F.sum("n").alias("n"), *sums).where("n > 0").collect()
     )
     totals = sorted(totals, key=lambda r: r.lang)
     if not totals:
         return References((), (), (), ())
-    least = F.coalesce(*[F.when(F.col("lang") == r.lang, F.lit(r.n * COMMON_SHARE)) for r in totals])
-    counted = (
-        labelled.where(F.col("lang").isin([r.lang for r in totals])).select("lang", F.explode(short_words(words(F.col("text")))).alias("word"))
-        .groupBy("lang", "word").agg(F.count("*").alias("n"))
-    )
+    least = F.try_element_at(literal({r.lang: r.n * COMMON_SHARE for r in totals}, "map<string,double>"), F.col("lang"))
+    counted = labelled.select("lang", F.explode(short_words(words(F.col("text")))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     counted = cut(counted, "short-words")
     # a word that is common in one language also gets its share in the others
     common = {r.word for r in counted.where(F.col("n") >= least).select("word").distinct().collect()}
     vocabulary = tuple(sorted(common))
-    found = {(r.lang, r.word): r.n for r in counted.where(F.col("word").isin(list(vocabulary))).collect()} if vocabulary else {}
+    found = {(r.lang, r.word): r.n for r in counted.where(F.array_contains(literal(list(vocabulary), "array<string>"), F.col("word"))).collect()} if vocabulary else {}
     return References(
         tuple(r.lang for r in totals),
         tuple(tuple(r[f"c{i}"] / sum(r[f"c{j}"] for j in range(N_CLASSES)) for i in range(N_CLASSES)) for r in totals),
@@ -105,7 +109,7 @@ def class_distance(counts: Column, references: References) -> Column:
     """Least Jensen-Shannon distance of the class counts to a reference; null for a text without characters."""
     total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
     shares = let(total, lambda n: F.transform(counts, lambda x: x / n))
-    known = F.lit([list(r) for r in references.classes])
+    known = literal([list(r) for r in references.classes], "array<array<double>>")
     distance = let(shares, lambda p: F.array_min(F.transform(known, lambda q: F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(p, q, _bin), F.lit(0.0), lambda a, x: a + x))))))
     return F.when(total > 0, distance)
 
@@ -126,7 +130,7 @@ def word_runs(all_words: Column, references: References) -> Column:
 def word_distance(runs: Column, n: Column, references: References) -> Column:
     """Least Jensen-Shannon distance of the common-word shares; all other words are one more bin. A common word that the
     document lacks adds half its reference share, so only the words it has are visited."""
-    known = F.lit([list(r) for r in references.words])
+    known = literal([list(r) for r in references.words], "array<array<double>>")
 
     def against(shares: Column, q: Column) -> Column:
         whole = F.aggregate(q, F.lit(0.0), lambda a, x: a + x)
