@@ -1,20 +1,24 @@
 """Harmonic packing of tokenized documents into sequences.
 
-A length in (C / (k + 1), C / k] is of class k; a bin of class k takes exactly k pieces and is then full. Every worker
-fills its own bins, so no data move. To leave little padding, a document first gives whole sequences, then pieces of
-exactly floor(C / k) tokens for the greatest class size that still fits, until fewer than MIN_CUT tokens are left, which
-stay whole in their class. What a worker's open bins hold at its end, below one sequence for each class, is laid end to
-end and cut at the capacity.
+A length in (C / (k + 1), C / k] is of class k; a bin of class k takes exactly k documents and is then full. Every worker
+fills its own bins, so no data move. A document first gives whole sequences; what is left of it, below one sequence, is
+classed whole. The space that a full bin leaves is filled from a filler, a document that is cut where the spaces need it:
+a worker takes one whenever its fillers hold less than FILLER sequences. So most documents stay in one piece and there is
+next to no padding. What a worker's open bins and fillers hold at its end, below one sequence for each class, is laid end
+to end and cut at the capacity.
 
 Defined cases: a null or empty text has the end token alone; special strings in texts become their token, as the
-tokenizer has it by default; repeated rows are packed each; sequence identifiers hold the partition's number above
-2 ** 32, so they differ between workers and stay the same when a task runs again on the same rows.
+tokenizer has it by default; a text of any length is cut into as many sequences as it needs; repeated rows are packed
+each; equal lengths are packed as they come; an empty table gives an empty one; columns beside the identifier and the text
+are left out; sequence identifiers hold the partition's number above 2 ** 32, so they differ between workers and stay the
+same when a task runs again on the same rows.
 """
 
 from __future__ import annotations
 
 import base64
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +31,8 @@ from pyspark.sql import DataFrame
 from lociflow.llm.shared import ship
 
 CAPACITY = 2048
-MIN_CUT = 64
+#: Sequences that a worker's fillers hold at least.
+FILLER = 1
 END = 1
 ROWS = 20_000
 SPECIAL = {"<|endoftext|>": 50256}
@@ -47,22 +52,12 @@ def encode(text: str | None, known: tiktoken.Encoding) -> np.ndarray:
     return np.array([*known.encode(text or "", allowed_special="all"), END], dtype="<u4")
 
 
-def cuts(length: int, capacity: int = CAPACITY, least: int = MIN_CUT) -> list[int]:
-    """Lengths of a document's pieces, in order."""
-    out = [capacity] * (length // capacity)
-    rest = length % capacity
-    while rest >= least:
-        size = capacity // -(-capacity // rest)
-        out.append(size)
-        rest -= size
-    return [*out, rest] if rest else out
-
-
 class Packer:
     """One worker's bins. A piece is (doc, start, ids, tokens of the document)."""
 
     def __init__(self, first_id: int, capacity: int = CAPACITY) -> None:
         self.next_id, self.capacity, self.bins, self.rows = first_id, capacity, {}, []
+        self.fillers, self.held = deque(), 0
 
     def close(self, pieces: list[tuple]) -> None:
         at = 0
@@ -71,19 +66,41 @@ class Packer:
             at += len(ids)
         self.next_id += 1
 
+    def fill(self, room: int) -> list[tuple]:
+        """Pieces of the fillers for a space."""
+        out = []
+        while room and self.fillers:
+            doc, start, ids, total = self.fillers.popleft()
+            part, rest = ids[:room], ids[room:]
+            out.append((doc, start, part, total))
+            if len(rest):
+                self.fillers.appendleft((doc, start + len(part), rest, total))
+            room -= len(part)
+            self.held -= len(part)
+        return out
+
     def add(self, doc: int | None, ids: np.ndarray) -> None:
-        at = 0
-        for size in cuts(len(ids), self.capacity):
-            k = self.capacity // size
-            pieces = self.bins.setdefault(k, [])
-            pieces.append((doc, at, ids[at : at + size].copy(), len(ids)))
-            at += size
-            if len(pieces) == k:
-                self.close(self.bins.pop(k))
+        whole = len(ids) // self.capacity * self.capacity
+        for at in range(0, whole, self.capacity):
+            self.close([(doc, at, ids[at : at + self.capacity], len(ids))])
+        rest = (doc, whole, ids[whole:].copy(), len(ids))
+        size = len(rest[2])
+        if not size:
+            return
+        if self.held < FILLER * self.capacity:
+            self.fillers.append(rest)
+            self.held += size
+            return
+        k = self.capacity // size
+        pieces = self.bins.setdefault(k, [])
+        pieces.append(rest)
+        if len(pieces) == k:
+            del self.bins[k]
+            self.close(pieces + self.fill(self.capacity - sum(len(x[2]) for x in pieces)))
 
     def end(self) -> None:
-        left, room, pieces = [x for k in sorted(self.bins) for x in self.bins[k]], self.capacity, []
-        self.bins = {}
+        left, room, pieces = [x for k in sorted(self.bins) for x in self.bins[k]] + list(self.fillers), self.capacity, []
+        self.bins, self.fillers, self.held = {}, deque(), 0
         for doc, start, ids, total in left:
             while len(ids):
                 part, ids = ids[:room], ids[room:]
