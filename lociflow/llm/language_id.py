@@ -9,13 +9,19 @@ document's, and its share of the letters is the score.
 Most texts need no pass over every word: if no run of words anywhere gains more than half the penalty over the best
 single language, then staying in it is the best path, and two cumulative sums show that.
 
-Defined cases: a null text or one without a letter is `und` with score 0; without labelled documents all are `und`;
-repeated rows are labelled alike; a null identifier is not held out and does not teach.
+Every label is learned. The model has BUCKETS scores a language, in a row of bytes; the rows are brought together and sent
+to the workers, so it is 128 KB a language: some hundred labels fit any worker, and labels are languages.
+
+Defined cases: a null or empty text or one without a letter is `und` with score 0; without labelled documents all are
+`und`; repeated rows are labelled alike; a null identifier is not held out and does not teach; of languages that hold
+equally many letters, or score alike, the first by name is told; a text of any length is scored by its different words; an
+empty table gives an empty one; columns of the documents named like the result's are replaced.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import zlib
 from collections import Counter
@@ -31,7 +37,6 @@ from pyspark.sql import functions as F
 from lociflow.llm.shared import ship, uniform
 
 SAMPLE = 2_000
-MAX_LANGUAGES = 200
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
 PENALTY = 12.0
@@ -47,7 +52,15 @@ RANGES = (
     (0x2C80, "Other"), (0x3040, "Kana"), (0x3100, "Han"), (0xA000, "Other"), (0xA720, "Latin"), (0xA800, "Other"), (0xAC00, "Hangul"), (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Other"), (0x20000, "Han"), (0x32000, "Other"),
 )
 STARTS, SCRIPTS = [r[0] for r in RANGES], [r[1] for r in RANGES]
-WORD = re.compile(r"[^\W\d_]+")
+#: What counts as a word character but is no letter: numerals of all kinds, besides decimal digits.
+NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+NUMERAL = re.compile(f"[{NUMERALS}]")
+PLAIN_WORD, WORD = re.compile(r"[^\W\d_]+"), re.compile(rf"[^\W\d_{NUMERALS}]+")
+
+
+def pattern_for(text: str) -> re.Pattern:
+    """The pattern of runs of letters; the plain one, which is faster, where the text has no numerals."""
+    return PLAIN_WORD if text.isascii() or not NUMERAL.search(text) else WORD
 
 
 def script_of(letter: str) -> str:
@@ -86,15 +99,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fit on the labelled documents that are not held out. At most MAX_LANGUAGES * BUCKETS sums reach the driver."""
+    """Fit on the labelled documents that are not held out. A packed row for each language reaches the driver."""
     ship(documents.sparkSession)
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return Model([], np.zeros((0, BUCKETS), np.float32), {})
     languages = sorted(r.lang for r in counts)
-    share = F.coalesce(*[F.when(F.col("lang") == r.lang, F.lit(min(1.0, sample / r.n))) for r in counts])
-    drawn = rows.where(F.col("lang").isin(languages) & (uniform(F.lit(11), F.col("id")) < share))
+    shares = F.from_json(F.lit(json.dumps({r.lang: min(1.0, sample / r.n) for r in counts})), "map<string,double>")
+    drawn = rows.where(uniform(F.lit(11), F.col("id")) < F.try_element_at(shares, F.col("lang")))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -102,7 +115,7 @@ def learn(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             found: dict[str, Counter] = {}
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found.setdefault(lang, Counter()).update(WORD.findall(text))
+                found.setdefault(lang, Counter()).update(pattern_for(text).findall(text))
             for lang, words in found.items():
                 total = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 if words:
@@ -116,15 +129,26 @@ def learn(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         keys = list(scripts)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([-1] * len(keys), pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([scripts[k] for k in keys], pa.int64())], names=["lang", "bucket", "script", "n"])
 
-    sums = drawn.select("text", "lang").mapInArrow(gather, "lang string, bucket int, script string, n long").groupBy("lang", "bucket", "script").agg(F.sum("n").alias("n")).toPandas()
+    def packed(group: pa.Table) -> pa.Table:
+        """One row for a language: the sums of its buckets as bytes, and those of its scripts."""
+        lang, bucket, script, n = (group.column(i).to_pylist() for i in range(4))
+        total = np.zeros(BUCKETS, np.int64)
+        held: dict[str, int] = {}
+        for i, b in enumerate(bucket):
+            if b >= 0:
+                total[b] = n[i]
+            else:
+                held[script[i]] = n[i]
+        return pa.table({"lang": pa.array([lang[0]], pa.string()), "sums": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary()), "scripts": pa.array([json.dumps(held)], pa.string())})
+
+    sums = drawn.select("text", "lang").mapInArrow(gather, "lang string, bucket int, script string, n long").groupBy("lang", "bucket", "script").agg(F.sum("n").alias("n"))
     place = {lang: i for i, lang in enumerate(languages)}
     table = np.full((len(languages), BUCKETS), SMOOTHING)
     letters: dict[str, np.ndarray] = {}
-    at = sums["lang"].map(place).to_numpy(np.int64) if len(sums) else np.zeros(0, np.int64)
-    bucket, n = sums["bucket"].to_numpy(np.int64), sums["n"].to_numpy(np.int64)
-    np.add.at(table, (at[bucket >= 0], bucket[bucket >= 0]), n[bucket >= 0])
-    for i, script, count in zip(at[bucket < 0], sums["script"][bucket < 0], n[bucket < 0], strict=True):
-        letters.setdefault(script, np.zeros(len(languages)))[i] += count
+    for r in sums.groupBy("lang").applyInArrow(packed, "lang string, sums binary, scripts string").collect():
+        table[place[r.lang]] += np.frombuffer(zlib.decompress(r.sums), np.int64)
+        for script, count in json.loads(r.scripts).items():
+            letters.setdefault(script, np.zeros(len(languages)))[place[r.lang]] += count
     whole = sum(letters.values()) if letters else np.ones(len(languages))
     scores = np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
     return Model(languages, scores, {s: x / np.maximum(whole, 1) >= SCRIPT_SHARE for s, x in letters.items()})
@@ -202,7 +226,7 @@ class Labeller:
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
         """(start, end, language) of the runs of words, in code points."""
-        found = list(WORD.finditer(text or ""))
+        found = list(pattern_for(text or "").finditer(text or ""))
         if not found or not self.model.languages:
             return []
         words = [m[0] for m in found]
@@ -216,7 +240,7 @@ class Labeller:
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        found, out = [WORD.findall(t or "") for t in texts], []
+        found, out = [pattern_for(t or "").findall(t or "") for t in texts], []
         if not self.model.languages:
             return [(UNKNOWN, 0.0)] * len(found)
         self.learn(found)
@@ -242,8 +266,8 @@ def predict(documents: DataFrame, model: Model, text_col: str = "text", penalty:
         for texts in parts:
             yield pd.DataFrame(labeller.predict(texts.tolist()), columns=["lang_pred", "score"])
 
-    columns = documents.columns
-    return documents.withColumn("__label", label(F.col(text_col))).select(*columns, "__label.lang_pred", "__label.score")
+    kept = [F.col(f"`{c}`") for c in documents.columns if c not in ("lang_pred", "score")]
+    return documents.withColumn("__label", label(F.col(text_col))).select(*kept, "__label.lang_pred", "__label.score")
 
 
 def language_spans(documents: DataFrame, model: Model, text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
