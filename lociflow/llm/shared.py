@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociflow.sources.shipping import ship as ship_package
+
 ARROW_ROWS = 2_000
 ARROW_BYTES = 32 << 20
 
@@ -44,19 +44,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a context, and bound the Arrow batches that Python workers get."""
-    context = spark.sparkContext
-    if getattr(context, "_lociflow_shipped", None) is None:
-        top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        handle, path = tempfile.mkstemp(prefix="lociflow-", suffix=".zip")
-        os.close(handle)
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
-            for folder, _, names in os.walk(top):
-                for x in names:
-                    if x.endswith(".py"):
-                        out.write(os.path.join(folder, x), os.path.relpath(os.path.join(folder, x), os.path.dirname(top)))
-        context.addPyFile(path)
-        context._lociflow_shipped = path
+    """Send this package to the executors once a context, and bound the Arrow batches that Python workers get: the session's own
+    bounds stay where they are smaller."""
+    ship_package(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
         now = str(spark.conf.get(key)).rstrip("bB")
         if not now.isdigit() or not 0 < int(now) <= most:

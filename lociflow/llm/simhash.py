@@ -8,15 +8,14 @@ either. A shard goes on dividing in memory down to small leaves, whose distances
 spanning forest of its links, never all pairs. Components of the forests' union are found by large-star and small-star
 rounds of grouped minima, each written to the shared folder.
 
-The sample only places the vantage points. A bad sample makes shards uneven, not wrong.
-
-Near copies of a similarity of 0.8 over five-word shingles differ in a seventh of their bits or so. No vantage point can
-exclude anything at such a radius (unrelated texts are a half apart, give or take a sixteenth), so near_classes() takes
-no fingerprints but the shingle sets: candidates share a shingle of their prefixes, which misses no pair of that
-similarity, and each link is the exact similarity of two sets. The components are the same.
+The sample only places the vantage points. A bad sample makes shards uneven, not wrong. Where it has run out, a node's
+vantage point is a hash of the node's number, which halves unrelated fingerprints as well, so the tree goes as deep as the
+fingerprints need and only FITTED levels are sent to the workers.
 
 Defined cases: a text without words (null, blank) has fingerprint zero and is linked like any other; fewer words than a
-shingle make one shingle; repeated rows share their component; a component without any identifier has a null one.
+shingle make one shingle; a text may be one unbroken run of any length; repeated rows share their component; a component
+without any identifier has a null one; ties cannot arise, since a component's name is its smallest identifier; an empty
+table gives an empty one; only the two named columns are read, so no other can clash.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.llm.shared import cut, ship, uniform
@@ -36,20 +35,12 @@ SEED = 42
 RADIUS = 2
 #: Fingerprints that are expected in the sample.
 SAMPLE = 32_768
-#: A shard is to hold so many fingerprints of its own at most, as long as the sample allows; there are MIN_DEPTH levels at least.
+#: A shard is to hold so many fingerprints of its own; there are MIN_DEPTH levels at least, FITTED ones by the sample.
 SHARD = 8_192
-MIN_DEPTH, MAX_DEPTH = 9, 12
+MIN_DEPTH, FITTED = 9, 12
 LEAF = 256
 CANDIDATES = 12
 MAX_ROUNDS = 60
-#: Of near_classes(): words a shingle and least similarity (the code counts it as 4/5).
-NEAR_SHINGLE, SIMILARITY = 5, 0.8
-#: Sets expected in the sample that tells common shingles (a sixteenth of all if that is more), the count that makes one
-#: common, and how many common ones are told at most. They order the shingles and do not change what is found.
-SAMPLE_SETS, OFTEN, COMMON = 8_192, 4, 1 << 19
-#: Rows that a bucket's row is compared with before the links are known.
-NEIGHBOURS = 1
-PAIR_ROWS = 1_000_000
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 BLANKS = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 
@@ -105,6 +96,14 @@ def choose(points: np.ndarray, rng: np.random.Generator) -> tuple[np.uint64, int
     return (best[1], best[2]) if best else (points[0], 0)
 
 
+def unfitted(node: np.ndarray) -> np.ndarray:
+    """Vantage points of nodes without a sample."""
+    x = node.astype(np.uint64) + np.uint64(1)
+    for shift in (31, 29, 32):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(30))
+
+
 def fit_tree(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Vantage points and radii of a full binary tree in heap order; node i has 2i + 1 within its radius, 2i + 2 beyond."""
     rng = np.random.default_rng(SEED)
@@ -112,19 +111,19 @@ def fit_tree(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     points, radii, held = np.zeros(nodes, np.uint64), np.zeros(nodes, np.int16), {0: sample}
     for i in range(nodes):
         own = held.pop(i)
-        # where the sample has run out, any split is as good
-        points[i], radii[i] = choose(own, rng) if len(own) > 1 else (rng.integers(0, 2**63, dtype=np.uint64), 32)
+        points[i], radii[i] = choose(own, rng) if len(own) > 1 else (unfitted(np.array([i]))[0], 32)
         near = distance(own, points[i]) <= radii[i] if len(own) else np.zeros(0, bool)
         held[2 * i + 1], held[2 * i + 2] = own[near], own[~near]
     return points, radii
 
 
-def route(fps: np.ndarray, points: np.ndarray, radii: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shard, home) of every shard that each fingerprint lives in or visits."""
-    n = len(points)
+def route(fps: np.ndarray, points: np.ndarray, radii: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shard, home) of every shard that each fingerprint lives in or visits, `depth` levels down."""
+    n = 2**depth - 1
     row, node, home = np.arange(len(fps)), np.zeros(len(fps), np.int64), np.ones(len(fps), bool)
     while len(node) and node[0] < n:
-        d, r = distance(fps[row], points[node]), radii[node]
+        fitted = node[0] < len(points)  # all are of one level
+        d, r = distance(fps[row], points[node] if fitted else unfitted(node)), radii[node] if fitted else np.full(len(node), 32, np.int16)
         near = d <= r
         go_in, go_out = d <= r + RADIUS, d > r - RADIUS
         row = np.concatenate([row[go_in], row[go_out]])
@@ -203,45 +202,49 @@ def links(distinct: DataFrame) -> DataFrame:
     # a share by hash, not the first by order: no task sends more than its part of the sample
     drawn = distinct.where(uniform(F.lit(SEED), F.col("fp")) < SAMPLE / max(1, n)).select("fp").toPandas()["fp"].to_numpy(np.int64)
     depth = MIN_DEPTH
-    while depth < MAX_DEPTH and n > SHARD * 2**depth:
+    while n > SHARD * 2**depth:
         depth += 1
-    tree = spark.sparkContext.broadcast(fit_tree(np.sort(drawn).view(np.uint64), depth))  # 10 bytes a node, 2 ** MAX_DEPTH nodes at most
+    tree = spark.sparkContext.broadcast(fit_tree(np.sort(drawn).view(np.uint64), min(depth, FITTED)))  # 10 bytes a node, 2 ** FITTED nodes at most
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         points, radii = tree.value
         for b in batches:
             fps = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            row, shard, home = route(fps, points, radii)
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(fps[row].view(np.int64)), pa.array(home)], names=["shard", "fp", "home"])
+            row, shard, home = route(fps, points, radii, depth)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fps[row].view(np.int64)), pa.array(home)], names=["shard", "fp", "home"])
 
     def linked(group: pa.Table) -> pa.Table:
         a, b = link_shard(group.column("fp").to_numpy().view(np.uint64), group.column("home").to_numpy(zero_copy_only=False))
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return distinct.select("fp").mapInArrow(dealt, "shard int, fp long, home boolean").groupBy("shard").applyInArrow(linked, "a long, b long")
+    return distinct.select("fp").mapInArrow(dealt, "shard long, fp long, home boolean").groupBy("shard").applyInArrow(linked, "a long, b long")
+
+
+def are_stars(edges: DataFrame) -> bool:
+    """Whether each node of edges (u, v) with u > v is either the lower end of its edges or the upper end of just one: then a
+    component is one star, and its centre is its smallest node."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(edges.select(F.col("v"), F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that an edge names; root is the smallest node of its component.
 
     A large-star round ties each node's greater neighbours to the smallest of its neighbourhood, a small-star round its
-    smaller ones and itself. Minima are grouped with partial aggregation and joined back, so a node with many edges costs
-    a task no more than its share; adaptive execution splits the join.
+    smaller ones and itself. Minima are grouped with partial aggregation, written, and joined back: adaptive execution
+    splits the edges of a node that has many, which it does only if the other side comes straight from a table.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    said = None
     for i in range(MAX_ROUNDS):
+        if are_stars(now):
+            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"least-{i}")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = cut(large, f"large-{i}")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), f"lower-{i}")
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         now = cut(small, f"small-{i}")
-        total = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.count_distinct("u")).first()
-        if total == said:
-            break
-        said = total
     else:
         raise RuntimeError(f"components have not settled in {MAX_ROUNDS} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
@@ -254,197 +257,15 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return named(marked, nodes, links(nodes.select("fp")), "fp").select("id", "fp", "component_id")
 
 
-def shingle_set(text: str | None, size: int = NEAR_SHINGLE) -> np.ndarray:
-    """Sorted XXH64 values of the distinct shingles; none without words."""
-    found = [w for w in (text or "").translate(UPPER).translate(BLANKS).split(" ") if w]
-    if not found:
-        return np.zeros(0, np.int64)
-    shingles = {" ".join(found)} if len(found) <= size else set(map(" ".join, zip(*(found[i:] for i in range(size)), strict=False)))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(s.encode("utf-8", "surrogatepass"), SEED) for s in shingles), np.uint64, len(shingles)).view(np.int64))
-
-
-def listed(sets: list[np.ndarray]) -> pa.ListArray:
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), pa.array(flat))
-
-
-def node_of(shingles: np.ndarray) -> int:
-    return int(np.array(xxhash.xxh3_64_intdigest(shingles.tobytes()), np.uint64).view(np.int64))
-
-
-def shingle_sets(texts: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
-    """(node, tokens): the shingle set of each row's column `text` and a key of it."""
-    ship(texts.sparkSession)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t, size) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in sets], pa.int64()), listed(sets)], names=["node", "tokens"])
-
-    return texts.select("text").mapInArrow(each, "node long, tokens array<long>")
-
-
-def common_shingles(texts: DataFrame, size: int = NEAR_SHINGLE) -> np.ndarray:
-    """Shingles that are common in a sample of the texts, the rarer first; COMMON at most."""
-    share = max(1 / 16, SAMPLE_SETS / max(1, texts.count()))
-    drawn = shingle_sets(texts.where(uniform(F.lit(SEED), F.col("key")) < share), size).select(F.explode("tokens").alias("token"))
-    found = drawn.groupBy("token").count().where(f"count >= {OFTEN}").orderBy(F.desc("count"), "token").limit(COMMON)
-    return found.select("token").toPandas()["token"].to_numpy(np.int64)[::-1].copy()
-
-
-def prefixes(lengths: np.ndarray, tokens: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place, token) of each set's prefix in an order common to all sets: rare shingles by value, then `common`.
-
-    Two sets of n and m shingles with a similarity of 4/5 share ceil(4n/5) and ceil(4m/5) at least, so each has a shared
-    one among its first n - ceil(4n/5) + 1. Any order will do; this one keeps popular passages out of the prefixes."""
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    rank = np.zeros(len(tokens), np.int64)
-    if len(common) and len(tokens):
-        by_value = np.argsort(common)
-        at = np.minimum(np.searchsorted(common, tokens, sorter=by_value), len(common) - 1)
-        rank = np.where(common[by_value[at]] == tokens, by_value[at] + 1, 0)
-    order = np.argsort(row * (len(common) + 1) + rank, kind="stable")
-    place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    first = place < np.repeat(lengths - -(-4 * lengths // 5) + 1, lengths)
-    return row[first], place[first], tokens[order[first]]
-
-
-def similar(inter: Column, left: Column, right: Column) -> Column:
-    """Whether sets of two sizes with so many shingles in common have a similarity of SIMILARITY = 4/5 or more."""
-    return 5 * inter >= 4 * (left + right - inter)
-
-
-def bucket_pairs(token: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes of one token and of different roots that may be similar by their sizes and the token's places. Each
-    row is compared with the next in order of size, then with the next but one, and so on, `most` times or until sizes differ
-    too much."""
-    order = np.lexsort((node, n, token))
-    token, node, n, place, root = (x[order] for x in (token, node, n, place, root))
-    left, step = np.arange(len(token)), 0
-    while most is None or step < most:
-        step += 1
-        left = left[left + step < len(token)]
-        left = left[(token[left] == token[left + step]) & (4 * n[left + step] <= 5 * n[left])]
-        if not len(left):
-            break
-        right = left + step
-        # a pair's first common shingle leaves no more than this; it has to reach ceil(4 (n + m) / 9)
-        reach = np.minimum(n[left] - place[left], n[right] - place[right])
-        may = (root[left] != root[right]) & (9 * reach >= 4 * (n[left] + n[right]))
-        yield np.minimum(node[left[may]], node[right[may]]), np.maximum(node[left[may]], node[right[may]])
-
-
-def marked_prefixes(texts: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
-    """(id, key, node, n, prefix): a key and the size of each text's shingle set, and the set's prefix in order. A task gives
-    a node's prefix once, or seldom."""
-    ship(texts.sparkSession)
-    kind = texts.schema["id"].dataType.simpleString()
-    sent = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, size))  # 8 COMMON bytes at most
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            sets = [shingle_set(t, size) for t in b.column(2).to_pylist()]
-            node, n = [node_of(x) for x in sets], np.array([len(x) for x in sets], np.int64)
-            row, _, token = prefixes(n, np.concatenate(sets) if sets else np.zeros(0, np.int64), sent.value)
-            found = np.split(token, np.searchsorted(row, np.arange(1, len(sets)))) if sets else []
-            for i, x in enumerate(node):
-                if x in seen:
-                    found[i] = found[i][:0]
-                seen.add(x)
-            if len(seen) > 200_000:
-                seen.clear()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(n.astype(np.int32)), listed(found)], names=["id", "key", "node", "n", "prefix"])
-
-    return texts.select("id", "key", "text").mapInArrow(each, f"id {kind}, key long, node long, n int, prefix array<long>")
-
-
-def shared_buckets(marked: DataFrame) -> DataFrame:
-    """(token, node, n, place): the prefixes' shingles that two nodes or more have."""
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        token, node, n, place = (np.concatenate([b.column(i).to_numpy() for b in parts]) for i in range(4))
-        order = np.lexsort((node, token))
-        token, node, n, place = token[order], node[order], n[order], place[order]
-        again = np.zeros(len(token), bool)
-        again[1:] = (token[1:] == token[:-1]) & (node[1:] == node[:-1])
-        token, node, n, place = token[~again], node[~again], n[~again], place[~again]
-        same = token[1:] == token[:-1]
-        held = np.append(same, False) | np.append(False, same)
-        yield pa.RecordBatch.from_arrays([pa.array(x[held]) for x in (token, node, n, place)], names=["token", "node", "n", "place"])
-
-    rows = marked.select("node", "n", F.posexplode("prefix").alias("place", "token")).select("token", "node", "n", "place")
-    parts = (marked.select(F.sum(F.size("prefix"))).first()[0] or 0) // PAIR_ROWS
-    return rows.repartition(max(12, parts), "token").mapInArrow(shared, "token long, node long, n int, place int")
-
-
-def near_pairs(buckets: DataFrame, most: int | None) -> DataFrame:
-    """(a, b), a < b: bucket_pairs() of all buckets (token, node, n, place, root)."""
-
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if parts:
-            token, node, n, place, root = (np.concatenate([b.column(i).to_numpy() for b in parts]) for i in range(5))
-            for a, b in bucket_pairs(token, node, n.astype(np.int64), place.astype(np.int64), root, most):
-                for at in range(0, len(a), PAIR_ROWS):
-                    yield pa.RecordBatch.from_arrays([pa.array(a[at : at + PAIR_ROWS]), pa.array(b[at : at + PAIR_ROWS])], names=["a", "b"])
-
-    kept = buckets.select("token", "node", "n", "place", "root")
-    return kept.repartition(max(12, kept.count() // PAIR_ROWS), "token").mapInArrow(paired, "a long, b long").distinct()
-
-
-def verified(pairs: DataFrame, marked: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """The pairs whose sets have a similarity of SIMILARITY or more, by their exact intersection. The sets are made again
-    from one text of each node that a pair names."""
-    pairs = cut(pairs, "pairs")
-    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    keys = marked.join(named, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key")
-    held = cut(shingle_sets(texts.join(keys, "key", "left_semi").dropDuplicates(["key"]), size), "sets-of-pairs")
-    both = pairs.join(held.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    return cut(both.where(similar(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"), "links")
-
-
-def near_links(marked: DataFrame, texts: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
-    """(a, b): links that tie the same nodes as all pairs of a similarity of SIMILARITY or more do.
-
-    Near neighbours in each bucket are verified first. Then all the other pairs are whose nodes those links do not tie
-    yet, so a large group of near copies costs few pairs, and none is missed that would tie what is apart."""
-    buckets = cut(shared_buckets(marked), "buckets")
-    some = verified(near_pairs(buckets.withColumn("root", F.col("node")), NEIGHBOURS), marked, texts, size)
-    rooted = components(some).withColumnRenamed("node", "__node")
-    apart = buckets.join(rooted, F.col("node") == F.col("__node"), "left").withColumn("root", F.coalesce("root", "node"))
-    return some.unionByName(verified(near_pairs(apart, None), marked, texts, size))
-
-
-def near_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = NEAR_SHINGLE) -> DataFrame:
-    """(id, component_id) over the links of documents whose shingle sets have a similarity of SIMILARITY or more."""
-    texts = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    marked = cut(marked_prefixes(texts, size), "prefixes")
-    nodes = cut(marked.groupBy("node").agg(F.min("id").alias("first_id")), "nodes")
-    return named(marked.select("id", "node"), nodes, near_links(marked, texts, size), "node")
-
-
 def named(marked: DataFrame, nodes: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """Add component_id to `marked`: the smallest first_id of the component of its node."""
     rooted = cut(components(found), "roots").withColumnRenamed("node", "__node")
     joined = nodes.join(rooted, F.col(key) == F.col("__node"), "left").select(key, "first_id", F.coalesce("root", key).alias("root"))
-    least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    joined = cut(joined, "rooted-nodes")
+    least = cut(joined.groupBy("root").agg(F.min("first_id").alias("component_id")), "components")
     return marked.join(joined.join(least, "root").select(key, "component_id"), key)
 
 
-def representatives(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `documents` with the smallest identifier of each near_classes() component; one row of those that repeat
-    it. Rows without an identifier can't stand for a component and stay."""
-    found = near_classes(documents, id_col, text_col)
-    kept = found.where("id = component_id").select(F.col("id").alias(id_col)).distinct()
-    one = documents.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return one.unionByName(documents.where(F.col(id_col).isNull()))
-
-
 def document_classes(documents: DataFrame) -> DataFrame:
     found = classes(documents)
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

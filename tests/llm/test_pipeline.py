@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
@@ -49,6 +51,47 @@ def test_run(spark, folder):
     assert got.count() > 0 and [name for name, _ in corpus_pipeline.STAGES] == ["quality", "dedup", "secrets", "mix", "pack"]
 
 
+def test_the_run_is_its_stages(spark, folder):
+    """Every piece of run() belongs to a document that the stages before keep, each text as often as the mix takes it, and
+    the pieces of all copies make up their tokens."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder).cache()
+    known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter()
+    for r in docs.collect():
+        want[r.doc_id] += len(known.encode(r.text, add_special_tokens=False).ids) + 1
+    got = Counter()
+    for r in corpus_pipeline.run(spark, folder).collect():
+        got[r.doc_id] += r.length
+    assert got == want
+
+
+def test_awkward_rows(spark, folder):
+    """Nulls, repeats, empty and very long texts, several languages, and columns named like those that the stages use."""
+    long = " ".join(f"w{i}" for i in range(5_000))
+    prose = [r.text for r in spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 40").orderBy("doc_id").collect()]
+    rows = [(i, t, ("en", "de", None)[i % 3], f"s{i % 2}") for i, t in enumerate(prose)]
+    rows += [(3, prose[3], "en", "s1"), (3, prose[3], "en", "s1"), (3, prose[5] + " and more of it", "en", "s1"), (None, None, None, None), (None, prose[6], None, None), (None, prose[6], None, None), (90, "", "en", "s0"), (91, " \t\n", "en", None), (92, long, "en", "s0"), (93, "q" * 50_000, "en", "s0")]
+    extra = ("__copies", "__words", "__mix_row", "row", "k1", "spans", "kept", "whole", "maybe", "n_words")
+    data = [(*r, None if r[1] is None else len(r[1]), *(["x"] * len(extra))) for r in rows]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        for some in (docs, docs.where("false")):
+            out = stage(spark, some, folder)
+            n = out.count()
+            if name == "pack":
+                assert {"doc_id", "sequence_id", "offset"} <= set(out.columns)
+            else:
+                assert out.columns == columns and out.where("n_words <> 'x'").count() == 0
+            if name == "dedup" and some is docs:
+                kept = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in out.collect())
+                assert len(set(kept)) == n and sum(k == 3 for k, _ in kept) == 2 and (-1, prose[6]) not in kept
+            if name == "secrets" and some is docs:
+                assert n == len(rows)
+
+
 def test_empty_table(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
