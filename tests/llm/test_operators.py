@@ -598,7 +598,12 @@ def shingles_of(text):
     return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def test_near_copies_around_the_limit(spark):
+@pytest.mark.parametrize("block, turns", [(near_copies.BLOCK, True), (2, True), (2, False)])
+def test_near_copies_around_the_limit(spark, monkeypatch, block, turns):
+    """Also with the rows of most shared shingles dealt in blocks, and with no pair found in a turn."""
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    if not turns:
+        monkeypatch.setattr(near_copies, "NEAR_BITS", -1)  # pairs with links are left to the last pass
     rng = np.random.default_rng(11)
     passage = [f"p{i}" for i in rng.integers(0, 5_000, 60)]
     texts = [None, "", "a b", "A  B", "a b c", *(" ".join(passage[:i]) for i in (40, 45, 50, 60))]
