@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import warnings
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +18,8 @@ from lociflow.sources.shipping import ship as ship_package
 
 ARROW_ROWS = 2_000
 ARROW_BYTES = 32 << 20
+#: Lists of the paths that cut() has written, one for each passing() around it.
+_MADE: ContextVar[tuple[list[str], ...]] = ContextVar("made", default=())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,13 +44,44 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/lociflow/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: its lineage ends there, and it survives lost executors."""
+def cut(df: DataFrame, name: str, last: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it again: its lineage ends there, and it survives lost executors. The
+    `last` one of a passing() stays after it."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    for made in _MADE.get()[: -1 if last else None]:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_system(folder: str):
+    """pyarrow's file system of a folder, and the folder's path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub("^s3a://", "s3://", folder))
+
+
+@contextmanager
+def passing() -> Iterator[None]:
+    """Tables that are written within are removed at the end, so nothing that is read later may need them. They stay in a
+    folder that pyarrow's file systems do not know."""
+    made: list[str] = []
+    before = _MADE.set((*_MADE.get(), made))
+    try:
+        yield
+    finally:
+        _MADE.reset(before)
+        for path in made:
+            for outer in _MADE.get():
+                if path in outer:
+                    outer.remove(path)
+            try:
+                where, at = file_system(path)
+                where.delete_dir(at)
+            except (pa.ArrowException, OSError) as e:
+                warnings.warn(f"{path} stays: {e}", stacklevel=3)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once a context, and bound the Arrow batches that Python workers get: the session's own
     bounds stay where they are smaller."""

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm.shared import cut, new_folder, ship
+from lociflow.llm.shared import cut, file_system, new_folder, ship
 from lociflow.llm.url_filter import build_filter, maybe_listed
 
 FRAME_BYTES = 256 << 10
@@ -53,12 +53,6 @@ def record_urn(key: int | None, copy: int = 0) -> str:
     return f"<urn:x-page:{'null' if key is None else key}{f':{copy}' if copy else ''}>"
 
 
-def file_system(folder: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(re.sub("^s3a://", "s3://", folder))
-
-
 def warc_record(key: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str, copy: int = 0) -> bytes:
     """One WARC/1.1 record; a revisit keeps the HTTP header, which tells the payload's full length, and drops the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()

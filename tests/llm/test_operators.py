@@ -8,6 +8,8 @@ import os
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import public_tokenizers
@@ -16,7 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lociflow.llm import divergence, language_id, media_sequences, mixing, near_copies, packing, secret_scan, simhash, token_counts, url_filter, warc_bundles
+from lociflow.llm import divergence, language_id, media_sequences, mixing, near_copies, packing, secret_scan, shared, simhash, token_counts, url_filter, warc_bundles
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, size string, kept string, spans string, copies string"
@@ -638,6 +640,17 @@ def test_near_copies_around_the_limit(spark, monkeypatch, block, turns):
     assert near > 50 and {i: min(g) for g in groups.values() for i in g} == {i: root(i) for i in range(len(texts))}
 
 
+def test_passing_tables_are_removed(spark):
+    with shared.passing():
+        gone = shared.cut(spark.range(3), "gone")
+        with shared.passing():
+            inner, stays = shared.cut(gone, "inner"), shared.cut(gone, "of-the-outer", last=True)
+            files = {name: Path(urlparse(t.inputFiles()[0]).path) for name, t in (("gone", gone), ("inner", inner), ("outer", stays))}
+        assert not files["inner"].exists() and files["outer"].exists()
+        kept = shared.cut(stays, "kept", last=True)
+    assert not files["gone"].exists() and not files["outer"].exists() and kept.count() == 3
+
+
 def test_a_large_group_takes_few_pairs(spark):
     """Copies of one text with a few changed words each grow together by single pairs."""
     rng = np.random.default_rng(13)
