@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lociflow.llm import divergence, language_id, media_sequences, mixing, packing, secret_scan, simhash, token_counts, url_filter, warc_bundles
+from lociflow.llm import divergence, exact_dedup, filter_audit, language_id, media_sequences, mixing, packing, secret_scan, simhash, spelling_variants, token_counts, url_filter, warc_bundles
 from lociflow.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,11 +54,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.document_languages(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.document_copies(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = (op1_media_sequences, op2_warc_bundles, op3_distribution_divergence, op4_pivotal_mixing, op5_url_bloom_filter, op6_token_counts, op7_secret_scan, op8_simhash_components, op9_harmonic_packing, op10_language_id, pipeline)
+QUERIES = (op1_media_sequences, op2_warc_bundles, op3_distribution_divergence, op4_pivotal_mixing, op5_url_bloom_filter, op6_token_counts, op7_secret_scan, op8_simhash_components, op9_harmonic_packing, op10_language_id, op11_spelling_variants, op12_exact_dedup, op13_filter_audit, pipeline)
 
 
 def queries() -> dict[str, Query]:
@@ -124,7 +136,48 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM base LEFT JOIN class_d USING (r) LEFT JOIN word_d USING (r)
 """
 
-SQL = {"op2_warc_bundles": OP2_SQL, "op3_distribution_divergence": OP3_SQL, "op5_url_bloom_filter": OP5_SQL}
+#: crc32 by its table, byte by byte; near words share a text with one code point left out, or with one replaced by a mark.
+OP11_SQL = r"""
+WITH RECURSIVE crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)::UBIGINT[]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256))::UBIGINT AS i))),
+runs AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS r FROM documents) WHERE length(r) >= 6 GROUP BY 1, 2),
+coded AS (SELECT r, n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || r, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END))::UBIGINT[] AS bytes FROM runs),
+hashed AS (SELECT r, n, xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT) AS h FROM coded, crc_table),
+changed AS (SELECT CASE WHEN h % 199 = 0 THEN r[:(h % length(r))::BIGINT] || r[(h % length(r))::BIGINT + 2:] ELSE r END AS word, n FROM hashed),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM changed WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS (SELECT word, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+pairs AS (SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word AND length(a.word) = length(b.word)
+  UNION SELECT word, rest FROM cut WHERE rest IN (SELECT word FROM w) UNION SELECT rest, word FROM cut WHERE rest IN (SELECT word FROM w)),
+near AS (SELECT p.word, count(*) AS n_near, max(v.n) AS best_n FROM pairs p JOIN w v ON v.word = p.other GROUP BY p.word),
+formed AS (SELECT p.word, min(p.other) AS form, any_value(best_n) AS form_n FROM near JOIN pairs p USING (word) JOIN w v ON v.word = p.other AND v.n = best_n JOIN w ON w.word = p.word AND best_n >= 5 * w.n GROUP BY p.word),
+chain AS (SELECT word, form AS root, 1 AS k FROM formed UNION ALL SELECT c.word, f.form, k + 1 FROM chain c JOIN formed f ON f.word = c.root),
+roots AS (SELECT word, arg_max(root, k) AS root FROM chain GROUP BY word)
+SELECT word, form, coalesce(root, word) AS root, n, coalesce(n_near, 0) AS n_near, form_n FROM w LEFT JOIN near USING (word) LEFT JOIN formed USING (word) LEFT JOIN roots USING (word)
+"""
+
+OP12_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+OP13_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS words FROM documents),
+told AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+fails AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  CASE WHEN len(words) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+  || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS f FROM t LEFT JOIN told USING (doc_id)),
+counted AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY part, f),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT o, s, o[s] AS x, o[:s - 1] AS before FROM orders, range(1, 6) r(s)),
+judged AS (SELECT part, o, s, x, n, good, toxic, contains(f, x) AS fails, f <> translate(f, before, '') AS gone, f = x AS alone FROM counted, steps),
+summed AS (SELECT part, o AS filter_order, s::INTEGER AS step, x, sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN fails AND gone THEN n ELSE 0 END)::BIGINT AS redundant,
+  sum(CASE WHEN alone THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN fails AND NOT gone THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN fails AND NOT gone THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM judged GROUP BY part, o, s, x)
+SELECT * EXCLUDE (x), (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM summed
+"""
+
+SQL = {"op2_warc_bundles": OP2_SQL, "op3_distribution_divergence": OP3_SQL, "op5_url_bloom_filter": OP5_SQL, "op11_spelling_variants": OP11_SQL, "op12_exact_dedup": OP12_SQL, "op13_filter_audit": OP13_SQL}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
 
