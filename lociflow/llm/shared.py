@@ -75,11 +75,16 @@ def passing() -> Iterator[None]:
             for outer in _MADE.get():
                 if path in outer:
                     outer.remove(path)
-            try:
-                where, at = file_system(path)
-                where.delete_dir(at)
-            except (pa.ArrowException, OSError) as e:
-                warnings.warn(f"{path} stays: {e}", stacklevel=3)
+            remove(path)
+
+
+def remove(path: str) -> None:
+    """Remove a table. It stays, with a warning, in a folder that pyarrow's file systems do not know."""
+    try:
+        where, at = file_system(path)
+        where.delete_dir(at)
+    except (pa.ArrowException, OSError) as e:
+        warnings.warn(f"{path} stays: {e}", stacklevel=3)
 
 
 def ship(spark: SparkSession) -> None:
