@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociflow.functions import expressions as X
+from lociflow.operators.ranks import HOT_ROWS, grouped_ranks
+from lociflow.operators.windows import running
 
 
 def grouping_summary(rows: DataFrame, keys: Sequence[str], value: str, fit: str) -> DataFrame:
@@ -20,8 +19,8 @@ def grouping_summary(rows: DataFrame, keys: Sequence[str], value: str, fit: str)
     return out.withColumn("scope", F.when(F.col("__g") == 0, "group").otherwise("overall")).drop("__g")
 
 
-def strata_bounds(rows: DataFrame, strata: Sequence[str], value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    return rows.groupBy(*strata).agg(F.count(value).alias("stratum_n"), X.nearest_rank(value, low).alias("low"), X.nearest_rank(value, high).alias("high"))
+def strata_bounds(rows: DataFrame, strata: Sequence[str], value: str, low: float = 0.05, high: float = 0.95, limit: int = HOT_ROWS) -> DataFrame:
+    return grouped_ranks(rows, strata, [F.count(value).alias("stratum_n")], {"low": (value, low), "high": (value, high)}, limit)
 
 
 def tail_flags(rows: DataFrame, bounds: DataFrame, strata: Sequence[str], value: str, least: int = 20) -> DataFrame:
@@ -105,10 +104,11 @@ def read_context(rows: DataFrame, read: str, constants: Sequence[str], position:
     return rows.groupBy(read).agg(*[F.max(c).alias(c) for c in constants], F.count_distinct(inside).alias("tract_positions"), (differs + twice).alias("faults"))
 
 
-def stratified_summary(rows: DataFrame, strata: Sequence[str], flag: str, values: Sequence[str]) -> DataFrame:
+def stratified_summary(rows: DataFrame, strata: Sequence[str], flag: str, values: Sequence[str], limit: int = HOT_ROWS) -> DataFrame:
     """Observations of each stratum, how many carry a flag, and mean, median and 90th nearest-rank value of each metric."""
-    out = [x for v in values for x in (F.avg(v).alias(f"{v}_mean"), X.nearest_rank(v, 0.5).alias(f"{v}_p50"), X.nearest_rank(v, 0.9).alias(f"{v}_p90"))]
-    return rows.groupBy(*strata).agg(F.count("*").alias("observations"), F.count_if(F.col(flag)).alias("flagged"), *out)
+    plain = [F.count("*").alias("observations"), F.count_if(F.col(flag)).alias("flagged"), *[F.avg(v).alias(f"{v}_mean") for v in values]]
+    ranks = {f"{v}_p{round(100 * p)}": (v, p) for v in values for p in (0.5, 0.9)}
+    return grouped_ranks(rows, strata, plain, ranks, limit).select(*strata, "observations", "flagged", *[f"{v}_{x}" for v in values for x in ("mean", "p50", "p90")])
 
 
 #: Tokens of a reviewer: a substitution, an inserted base, a deleted base. Fixed patterns.
@@ -167,58 +167,6 @@ def reviewer_matches(truth: DataFrame, called: DataFrame) -> DataFrame:
     return exact.unionByName(extra.select(*same, F.lit(None).cast("array<string>").alias("alternates"), "alternate", F.lit("extra").alias("status")))
 
 
-def spelled(reference: str, events: Sequence[tuple[int, str, str]]) -> str | None:
-    """The reference with events (position, reference, alternate) in it; null if they overlap or do not fit."""
-    out, at = [], 0
-    for position, known, alternate in sorted(events):
-        start = position - 1
-        if start < at or reference[start : start + len(known)] != known:
-            return None
-        out += [reference[at:start], alternate]
-        at = start + len(known)
-    return "".join([*out, reference[at:]])
-
-
-def _runs(events: dict[int, tuple[int, str, str]], reference: str) -> dict[bytes, list[tuple[int, int]]]:
-    """Digest of what each run of neighbouring events spells, and the runs (first, last) that spell it."""
-    out: dict[bytes, list[tuple[int, int]]] = {}
-    for first in events:
-        last, chosen = first, []
-        while last in events:
-            chosen.append(events[last])
-            if (text := spelled(reference, chosen)) is not None:
-                out.setdefault(hashlib.sha256(text.encode()).digest(), []).append((first, last))
-            last += 1
-    return out
-
-
-def haplotype_groups(events: DataFrame, reference: str) -> DataFrame:
-    """Truth and called events of a sample (sample, side, at, position, reference, alternate) that spell the same sequence though
-    they are written otherwise. `at` is an event's place among all events of its side; what is given are those that no
-    exact match took.
-
-    Runs of neighbouring events of any length are tried. A pair of runs counts if none lies within it, and only if no event
-    of it is in another such pair. Pairs of one event each are no groups. One sample's
-    unmatched events fit a worker."""
-
-    def each(group: pd.DataFrame) -> pd.DataFrame:
-        sides = {s: {int(r.at): (int(r.position), r.reference, r.alternate) for r in group[group["side"] == s].itertuples()} for s in ("truth", "called")}
-        known = _runs(sides["called"], reference)
-        pairs = [(t, c) for digest, runs in _runs(sides["truth"], reference).items() for t in runs for c in known.get(digest, ()) if t[0] < t[1] or c[0] < c[1]]
-        within = lambda x, y: y[0] <= x[0] and x[1] <= y[1]
-        least = [p for p in pairs if not any(o != p and within(o[0], p[0]) and within(o[1], p[1]) for o in pairs)]
-        uses: Counter = Counter((side, i) for p in least for side, (a, b) in enumerate(p) for i in range(a, b + 1))
-        rows, number = [], 0
-        for p in sorted(least):
-            if all(uses[side, i] == 1 for side, (a, b) in enumerate(p) for i in range(a, b + 1)):
-                number += 1
-                rows += [(group["sample"].iloc[0], number, side, i, *sides[side][i]) for side, (a, b) in zip(("truth", "called"), p, strict=True) for i in range(a, b + 1)]
-        return pd.DataFrame(rows, columns=["sample", "group", "side", "at", "position", "reference", "alternate"])
-
-    kind = events.schema["sample"].dataType.simpleString()
-    return events.groupBy("sample").applyInPandas(each, f"sample {kind}, group int, side string, at int, position int, reference string, alternate string")
-
-
 def readiness_grid(partitions: Sequence[str], differences: DataFrame, counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """A row for every partition and difference, zero where nothing was counted. The partitions are a short literal."""
     grid = differences.select(*keys).distinct().withColumn("partition", F.explode(F.lit(list(partitions))))
@@ -235,28 +183,17 @@ def leaks(rows: DataFrame, unit: str) -> DataFrame:
     return rows.groupBy(unit).agg(F.bool_or(F.col("partition") == "development").alias("d"), F.bool_or(F.col("partition") == "holdout").alias("h")).where("d AND h").select(unit)
 
 
-def log_events(lines: DataFrame, line: str = "line", order: str = "line_no", keys: Sequence[str] = ("log",)) -> DataFrame:
-    """Fields of `... - event=name key=value` lines and the read that is open: the number of starts so far in the same log.
-    Only what follows the first ` - ` is read. A key that a line repeats is a fault of that line; its first value stays."""
+def log_fields(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Fields of `... - event=name key=value` lines. Only what follows the first ` - ` is read. A key that a line repeats is a fault of that line; its first value stays."""
     said = F.when(F.instr(line, " - ") > 0, F.substr(F.col(line), F.instr(line, " - ") + 3))
     pairs = F.regexp_extract_all(said, F.lit(r'(\w+)=(?:"[^"]*"|\S+)'), F.lit(0))
     split = F.transform(pairs, lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.btrim(F.substr(x, F.instr(x, "=") + 1), F.lit('"')).alias("value")))
     rows = lines.withColumn("__split", split).withColumn("__keys", F.transform("__split", lambda x: x.key))
     fields = F.map_from_entries(F.filter("__split", lambda x, i: F.array_position(F.col("__keys"), x.key) == i + 1))
     rows = rows.withColumn("fields", fields).withColumn("fault", F.when(F.size(F.array_distinct("__keys")) < F.size("__keys"), "duplicate log field")).drop("__split", "__keys")
-    rows = rows.withColumn("event", F.try_element_at("fields", F.lit("event"))).withColumn("level", F.regexp_extract(line, r"\| (\w+)\s*\|", 1))
-    started = F.sum((F.col("event") == "sample_read_started").cast("int")).over(Window.partitionBy(*keys).orderBy(order))
-    return rows.withColumn("read_no", F.coalesce(started, F.lit(0)))
-
-
-#: Events that a read's log must hold once. Fixed values.
-REQUIRED = ("basecalling_completed", "signal_processing_completed", "quality_control_completed", "alignment_completed", "warning_summary")
+    return rows.withColumn("event", F.try_element_at("fields", F.lit("event"))).withColumn("level", F.regexp_extract(line, r"\| (\w+)\s*\|", 1))
 
 
-def read_logs(events: DataFrame, keys: Sequence[str] = ("log",), required: Sequence[str] = REQUIRED) -> DataFrame:
-    """One row a read: whether each required event came once between its start and its end, and no line has a fault."""
-    held = [F.count_if(F.col("event") == e).alias(e) for e in required]
-    faults = F.count("fault").alias("faults")
-    out = events.where("read_no > 0").groupBy(*keys, "read_no").agg(*held, F.count_if(F.col("event") == "sample_read_completed").alias("completed"), F.max(F.try_element_at("fields", F.lit("warnings")).try_cast("int")).alias("warnings"), faults)
-    whole = reduce(lambda a, b: a & b, [F.col(e) == 1 for e in required], (F.col("completed") == 1) & (F.col("faults") == 0))
-    return out.withColumn("warnings", F.coalesce("warnings", F.lit(0))).withColumn("complete", whole)
+def log_events(lines: DataFrame, line: str = "line", order: str = "line_no", keys: Sequence[str] = ("log",), width: int = 65_536) -> DataFrame:
+    """log_fields() with the number of starts so far in the same log, `read_no`, which is summed in two levels."""
+    return running(log_fields(lines, line), keys, order, width, sums={"read_no": F.coalesce((F.col("event") == "sample_read_started").cast("long"), F.lit(0).cast("long"))})

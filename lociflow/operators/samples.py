@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociflow.functions import expressions as X
+from lociflow.operators.ranks import HOT_ROWS, grouped_ranks
 
 STATES = ("reference", "alternate", "deletion", "unresolved")
 
@@ -18,15 +20,31 @@ def ordered_reads(reads: DataFrame, sample: str, digest: str) -> DataFrame:
     return reads.withColumn("read_index", F.row_number().over(Window.partitionBy(sample).orderBy(digest)) - 1).withColumn("duplicate_content", same)
 
 
+#: Positions of a bitmap.
+BITS = 64
+
+
+def base_bitmaps(observations: DataFrame, sample: str, read: str, position: str, base: str) -> DataFrame:
+    """(sample, block, read, covered, A, C, G, T): for each block of BITS positions the bits of those that a read covers, and of
+    those at which it has each base. A read has one observation at a position."""
+    bit = F.expr(f"shiftleft(1L, CAST(pmod(`{position}`, {BITS}) AS INT))")
+    held = observations.select(F.col(sample).alias("sample"), F.floor(F.col(position) / BITS).alias("block"), F.col(read).alias("read"), F.col(base).alias("base"), bit.alias("bit"))
+    some = lambda c: F.coalesce(F.bit_or(F.when(c, F.col("bit"))), F.lit(0))
+    return held.groupBy("sample", "block", "read").agg(F.bit_or("bit").alias("covered"), *[some(F.col("base") == b).alias(b) for b in X.BASES])
+
+
 def overlaps(observations: DataFrame, sample: str, read: str, position: str, base: str, least: int = 25, agreement: float = 0.5) -> DataFrame:
-    """Pairs of reads that share positions: an equi-join on sample and position with the smaller read left, then one
-    aggregate. Agreement is null without comparable positions; reasons stand in their fixed order."""
-    left = observations.select(F.col(sample).alias("sample"), F.col(position).alias("position"), F.col(read).alias("left_read"), F.col(base).alias("left_base"))
-    right = observations.select(F.col(sample).alias("sample"), F.col(position).alias("position"), F.col(read).alias("right_read"), F.col(base).alias("right_base"))
-    pairs = left.join(right, ["sample", "position"]).where("left_read < right_read")
-    comparable = X.canonical(F.col("left_base")) & X.canonical(F.col("right_base"))
-    same = comparable & (F.col("left_base") == F.col("right_base"))
-    out = pairs.groupBy("sample", "left_read", "right_read").agg(F.count("*").alias("shared"), F.count_if(comparable).alias("comparable"), F.count_if(same).alias("agreements"))
+    """Pairs of reads that share positions. Reads meet by blocks of positions, not by positions: what they share, can compare and
+    agree on in a block are bits that both have, so a pair gives a row a block before the aggregate. Agreement is null without
+    comparable positions; reasons stand in their fixed order."""
+    maps = base_bitmaps(observations, sample, read, position, base)
+    side = lambda name: maps.select("sample", "block", F.col("read").alias(f"{name}_read"), *[F.col(c).alias(f"{name}_{c}") for c in ("covered", *X.BASES)])
+    pairs = side("left").join(side("right"), ["sample", "block"]).where("left_read < right_read")
+    both = lambda a, b: F.bit_count(a.bitwiseAND(b))
+    any_base = lambda name: reduce(lambda x, y: x.bitwiseOR(y), [F.col(f"{name}_{b}") for b in X.BASES])
+    same = reduce(lambda x, y: x + y, [both(F.col(f"left_{b}"), F.col(f"right_{b}")) for b in X.BASES])
+    met = pairs.select("sample", "left_read", "right_read", both(F.col("left_covered"), F.col("right_covered")).alias("shared"), both(any_base("left"), any_base("right")).alias("comparable"), same.alias("agreements")).where("shared > 0")
+    out = met.groupBy("sample", "left_read", "right_read").agg(*[F.sum(c).alias(c) for c in ("shared", "comparable", "agreements")])
     out = out.withColumn("conflicts", F.col("comparable") - F.col("agreements")).withColumn("agreement", X.ratio(F.col("agreements"), F.col("comparable")))
     reasons = X.flags(("insufficient_comparable_bases", F.col("comparable") < least), ("agreement_below_minimum", F.coalesce(F.col("agreement") < agreement, F.lit(True))))
     return out.withColumn("reasons", X.flag_text(reasons)).withColumn("eligible", F.size(reasons) == 0)
@@ -90,10 +108,11 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str],
     return placed.join(binned, [*keys, "__bin"]).where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))).drop("__bin")
 
 
-def metric_columns(name: str) -> list[Column]:
-    """n, missing, min, mean, exact nearest-rank quantiles and max of a metric."""
-    out = [F.count(name).alias("n"), F.count_if(F.col(name).isNull()).alias("missing"), F.min(name).alias("min"), F.avg(name).alias("mean")]
-    return [*out, *[X.nearest_rank(name, p).alias(f"p{round(100 * p)}") for p in (0.5, 0.9, 0.95, 0.99)], F.max(name).alias("max")]
+def metric_summary(rows: DataFrame, keys: Sequence[str], name: str, limit: int = HOT_ROWS) -> DataFrame:
+    """n, missing, min, mean, exact nearest-rank quantiles and max of a metric in each group."""
+    plain = [F.count(name).alias("n"), F.count_if(F.col(name).isNull()).alias("missing"), F.min(name).alias("min"), F.avg(name).alias("mean"), F.max(name).alias("max")]
+    ranks = {f"p{round(100 * p)}": (name, p) for p in (0.5, 0.9, 0.95, 0.99)}
+    return grouped_ranks(rows, keys, plain, ranks, limit).select(*keys, "n", "missing", "min", "mean", *ranks, "max")
 
 
 def neighbour_mass(profiles: DataFrame, read: Sequence[str], position: str, mass: str, length: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,19 +55,36 @@ def noisy_regions(windows: DataFrame, keys: Sequence[str], least: int, start: st
     return runs.groupBy(*keys, "run").agg(F.min(start).alias("region_start"), F.max(end).alias("region_end"), F.count("*").alias("n_windows"), F.min(snr).alias("min_snr")).where(F.col("n_windows") >= least).drop("run")
 
 
-def coverage_depth(segments: DataFrame, keys: Sequence[str], start: str = "seg_start", end: str = "seg_end", forward: str = "forward") -> DataFrame:
-    """Run-length depth of half-open segments: signed events, summed by position, cumulated, with equal neighbours merged."""
+def running(rows: DataFrame, keys: Sequence[str], order: str, width: int, sums: dict[str, Column] | None = None, latest: dict[str, Column] | None = None, inclusive: bool = True, following: str | None = None) -> DataFrame:
+    """Running sums and latest non-null values along a numeric order, without a window over a whole key: rows are dealt to
+    buckets of `width` of the order, each bucket is aggregated, the buckets' aggregates are carried forward, and each row
+    adds what comes before it in its bucket. `inclusive` counts the row itself; `following` names the next row's order.
+    A key's buckets meet in one small window, a bucket's rows in another."""
+    sums, latest = sums or {}, latest or {}
+    told = rows.withColumn("__b", F.floor(F.col(order) / width)).withColumns({f"__{n}": c for n, c in sums.items()} | {f"__{n}": F.when(c.isNotNull(), F.struct(F.col(order).alias("o"), c.alias("v"))) for n, c in latest.items()})
+    parts = told.groupBy(*keys, "__b").agg(F.min(order).alias("__first"), *[F.sum(f"__{n}").alias(f"__all_{n}") for n in sums], *[F.max(f"__{n}").alias(f"__all_{n}") for n in latest])
+    w = Window.partitionBy(*keys).orderBy("__b")
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, "__b"])], F.lead("__first").over(w).alias("__next"), *[F.sum(f"__all_{n}").over(earlier).alias(f"__to_{n}") for n in sums], *[F.max(f"__all_{n}").over(earlier).alias(f"__to_{n}") for n in latest])
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate([*keys, "__b"])])
+    v = Window.partitionBy(*keys, "__b").orderBy(order)
+    here = v.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    out = told.join(carried, same).withColumns({n: F.coalesce(F.col(f"__to_{n}"), F.lit(0)) + F.coalesce(F.sum(f"__{n}").over(here), F.lit(0)) for n in sums} | {n: F.greatest(F.max(f"__{n}").over(here), F.col(f"__to_{n}"))["v"] for n in latest})
+    if following:
+        out = out.withColumn(following, F.coalesce(F.lead(order).over(v), F.col("__next")))
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], *sums, *latest, *([following] if following else []))
+
+
+def coverage_depth(segments: DataFrame, keys: Sequence[str], start: str = "seg_start", end: str = "seg_end", forward: str = "forward", width: int = 4_096) -> DataFrame:
+    """Run-length depth of half-open segments: signed events, summed by position, cumulated in two levels (running()). A position
+    where both sums are zero changes nothing and is left out, so a run of one depth is one row across buckets too."""
     f, r = F.col(forward).cast("int"), (~F.col(forward)).cast("int")
-    opened = segments.select(*keys, F.col(start).alias("pos"), f.alias("df"), r.alias("dr"))
-    closed = segments.select(*keys, F.col(end).alias("pos"), (-f).alias("df"), (-r).alias("dr"))
-    w = _partition(keys).orderBy("pos")
-    steps = opened.unionAll(closed).groupBy(*keys, "pos").agg(F.sum("df").alias("df"), F.sum("dr").alias("dr"))
-    runs = steps.select(*keys, F.col("pos").alias("start"), F.lead("pos").over(w).alias("end"), F.sum("df").over(w).alias("forward_reads"), F.sum("dr").over(w).alias("reverse_reads"))
-    runs = runs.where("end IS NOT NULL AND forward_reads + reverse_reads > 0")
-    v = _partition(keys).orderBy("start")
-    same = (F.lag("end").over(v) == F.col("start")) & (F.lag("forward_reads").over(v) == F.col("forward_reads")) & (F.lag("reverse_reads").over(v) == F.col("reverse_reads"))
-    runs = runs.withColumn("island", F.sum((~F.coalesce(same, F.lit(False))).cast("int")).over(v))
-    return runs.groupBy(*keys, "island", "forward_reads", "reverse_reads").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(*keys, "start", "end", (F.col("forward_reads") + F.col("reverse_reads")).alias("reads"), "forward_reads", "reverse_reads")
+    ends = lambda name, sign: F.struct(F.col(name).alias("start"), (sign * f).alias("df"), (sign * r).alias("dr"))
+    events = segments.select(*keys, F.explode(F.array(ends(start, 1), ends(end, -1))).alias("e")).select(*keys, "e.*")
+    steps = events.groupBy(*keys, "start").agg(F.sum("df").alias("df"), F.sum("dr").alias("dr")).where("df <> 0 OR dr <> 0")
+    runs = running(steps, keys, "start", width, sums={"forward_reads": F.col("df"), "reverse_reads": F.col("dr")}, following="end")
+    depth = F.col("forward_reads") + F.col("reverse_reads")
+    return runs.where(F.col("end").isNotNull() & (depth > 0)).select(*keys, "start", "end", depth.alias("reads"), "forward_reads", "reverse_reads")
 
 
 def segment_faults(segments: DataFrame, read: Sequence[str], start: str = "seg_start", end: str = "seg_end") -> DataFrame:

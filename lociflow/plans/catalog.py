@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lociflow.functions import expressions as X
 from lociflow.operators import alignment as A
 from lociflow.operators import calls as C
+from lociflow.operators import matching as M
 from lociflow.operators import phase as H
 from lociflow.operators import research as R
 from lociflow.operators import samples as S
@@ -421,7 +422,7 @@ SELECT g, max(n) AS n, 0::BIGINT AS missing, min(v) AS min, round(avg(v), 4) AS
 max(CASE WHEN rn = greatest(1, CAST(ceil(0.99 * n) AS BIGINT)) THEN v END) AS p99, max(v) AS max FROM r GROUP BY g""")
 def metric_summary(spark, d):
     o = B.table(spark, d, "orders").select(F.col("o_orderpriority").alias("g"), F.col("o_totalprice").alias("v"))
-    return rounded(o.groupBy("g").agg(*S.metric_columns("v")), "mean", digits=4)
+    return rounded(S.metric_summary(o, ["g"], "v"), "mean", digits=4)
 
 
 @query("""SELECT o_orderpriority, o_orderstatus, CASE WHEN GROUPING(o_orderpriority) = 1 THEN 'overall' ELSE 'group' END AS scope, count(*) AS rows, count(o_totalprice) AS n, round(min(o_totalprice), 2) AS min, round(avg(o_totalprice), 4) AS mean, round(max(o_totalprice), 2) AS max, count(*) FILTER (o_custkey % 2 = 0) AS fit_rows, round(avg(o_totalprice) FILTER (o_custkey % 2 = 0), 4) AS fit_mean
@@ -584,7 +585,7 @@ def haplotype_match(spark, d):
     event = lambda side, at, p, ref, alt: F.struct(F.lit(side).alias("side"), F.lit(at).alias("at"), p.alias("position"), F.lit(ref).alias("reference"), alt.alias("alternate"))
     events = F.array(event("truth", 0, p, "A", F.lit("T")), event("truth", 1, p + 1, "C", F.when(odd, "A").otherwise("G")), event("called", 0, p, "AC", F.lit("TG")))
     table = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("sample"), F.explode(events).alias("e")).select("sample", "e.*")
-    return R.haplotype_groups(table, "ACGT" * 75).select("sample", "group", "side", "at", "position")
+    return M.run_events(table, "ACGT" * 75).select("sample", "group", "side", "at", "position")
 
 
 @query("""WITH e AS (SELECT user_id, event_id, event_type, json_extract_string(props, '$.k')::INT AS k FROM events), r AS (SELECT *, sum(CAST(event_type = 'signup' AS INT)) OVER (PARTITION BY user_id ORDER BY event_id) AS read_no FROM e)

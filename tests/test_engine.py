@@ -14,6 +14,7 @@ from lociflow.functions import expressions as X
 from lociflow.functions.register import register
 from lociflow.operators import alignment as A
 from lociflow.operators import calls as C
+from lociflow.operators import matching as M
 from lociflow.operators import phase as H
 from lociflow.operators import research as R
 from lociflow.operators import samples as S
@@ -314,7 +315,7 @@ def test_haplotypes(spark):
     kind = "sample string, side string, at int, position int, reference string, alternate string"
 
     def groups(events):
-        rows = R.haplotype_groups(spark.createDataFrame([("s", *e) for e in events], kind), ref).collect()
+        rows = M.run_events(spark.createDataFrame([("s", *e) for e in events], kind), ref).collect()
         return sorted((r.group, r.side, r["at"]) for r in rows)
 
     assert groups([("truth", 0, 2, "A", "G"), ("truth", 1, 3, "C", "T"), ("called", 0, 2, "AC", "GT"), ("truth", 2, 7, "T", "A")]) == [(1, "called", 0), (1, "truth", 0), (1, "truth", 1)]
