@@ -127,12 +127,14 @@ short AS (SELECT r, lang, lower(x) AS word, n_words FROM (SELECT r, lang, n_word
 counted AS (SELECT lang, word, count(*) AS k FROM short JOIN totals USING (lang) GROUP BY lang, word),
 vocabulary AS (SELECT DISTINCT word FROM counted JOIN totals USING (lang) WHERE k >= n * 0.0025),
 word_ref AS (SELECT t.lang, v.word, coalesce(k, 0) / n AS q FROM totals t CROSS JOIN vocabulary v LEFT JOIN counted USING (lang, word)),
+cover AS (SELECT lang, sum(q) AS c FROM word_ref GROUP BY lang),
 have AS (SELECT r, word, count(*) / any_value(n_words) AS p FROM short JOIN vocabulary USING (word) GROUP BY r, word),
 pairs AS (SELECT b.r, f.lang, coalesce(p, 0) AS p, q FROM (SELECT r FROM base WHERE n_words >= 50 AND NOT base_failed) b CROSS JOIN word_ref f LEFT JOIN have h ON h.r = b.r AND h.word = f.word),
 bins AS (SELECT r, lang, p, q FROM pairs UNION ALL SELECT r, lang, greatest(0, 1 - sum(p)), greatest(0, 1 - sum(q)) FROM pairs GROUP BY r, lang),
 word_js AS (SELECT r, lang, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2 AS js FROM bins GROUP BY r, lang),
-word_d AS (SELECT r, sqrt(greatest(0, min(js))) AS word_distance FROM word_js GROUP BY r)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (n_words < 50 OR (coalesce(class_distance, 0) <= 0.30 AND coalesce(word_distance, 0) <= 0.45)) AS kept
+word_d AS (SELECT w.r, min(CASE WHEN c < 0.10 THEN 0 ELSE sqrt(greatest(0, w.js)) / sqrt(c / 2 + log2(2 / (2 - c)) / 2 + CASE WHEN c < 1 THEN (1 - c) * log2(2 * (1 - c) / (2 - c)) / 2 ELSE 0 END) END) AS word_distance
+  FROM word_js w JOIN cover USING (lang) JOIN class_js k ON k.r = w.r AND k.lang = w.lang AND sqrt(greatest(0, k.js)) <= 0.30 GROUP BY w.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (n_words < 50 OR (coalesce(class_distance, 0) <= 0.30 AND coalesce(word_distance, 0) <= 0.98)) AS kept
 FROM base LEFT JOIN class_d USING (r) LEFT JOIN word_d USING (r)
 """
 

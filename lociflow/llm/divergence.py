@@ -3,10 +3,13 @@
 References come from the whole corpus: for each language label the shares of eight character classes, and of its common
 words, which are those of at most SHORT_WORD code points that make up COMMON_SHARE of its words or more (so there are at
 most 1 / COMMON_SHARE of them). Function words are that short in most languages; a language without any is told by its
-character classes alone. A document is compared with every reference by Jensen-Shannon distance (base 2, 0 to 1) and the
-nearest one counts, so a wrong or missing label costs nothing. Documents of fewer than MIN_WORDS words are too short to
+character classes alone. A document is compared with every reference by Jensen-Shannon distance (base 2, 0 to 1), so a wrong or missing label costs nothing. Documents of fewer than MIN_WORDS words are too short to
 compare and pass. Everything is built from DataFrame functions.
 
+How far a text without any common word lies from a reference follows from the share that common words have in it, so word
+distances count in units of that: 1 says no more than "none of these words". A document passes if one reference is near
+both by its classes and by its words. A reference whose common words have less than LEAST_COVER says nothing by them.
+
 Defined cases: a null or blank text has no words and fails the base rule; without any labelled word there are no
 references and only the base rule judges; repeated rows keep their own results; equal distances tell nothing apart, since
 only the least one is used; a text of any length is judged whole; an empty table gives an empty one; rows are carried whole,
@@ -16,6 +19,7 @@ so columns can't clash, but for those named like the result's, which judge() rep
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,9 +36,11 @@ SHORT_WORD = 6
 COMMON_SHARE = 0.0025
 MIN_BASE_WORDS = 20
 MIN_WORDS = 50
-#: Distances beyond which a document fails; prose of a known language stays below 0.27 and 0.38.
+#: Distances beyond which a reference is not near: by classes, where prose of a known language stays below 0.27, and by words,
+#: in units of a text without common words; and the least share of common words of a reference that is asked for them.
 MAX_CLASS_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.45
+MAX_WORD_DISTANCE = 0.98
+LEAST_COVER = 0.10
 
 
 @dataclass(frozen=True)
@@ -44,6 +50,12 @@ class References:
     vocabulary: tuple[str, ...]
     words: tuple[tuple[float, ...], ...]
 
+    def without_words(self) -> list[float]:
+        """For each language the word distance of a text without common words; 0 where words are not asked for."""
+        part = lambda p, q: p * math.log2(2 * p / (p + q)) / 2 if p > 0 else 0.0
+        whole = [sum(q) for q in self.words]
+        return [math.sqrt(w / 2 + part(1.0, 1 - w) + part(1 - w, 1.0)) if w >= LEAST_COVER else 0.0 for w in whole]
+
 
 def class_counts(df: DataFrame, text: str, out: str = "class_counts") -> DataFrame:
     """Add an array with the number of code points of each class.
@@ -105,13 +117,13 @@ def _bin(p: Column, q: Column) -> Column:
     return _half(p, q) + _half(q, p)
 
 
-def class_distance(counts: Column, references: References) -> Column:
-    """Least Jensen-Shannon distance of the class counts to a reference; null for a text without characters."""
+def class_distances(counts: Column, references: References) -> Column:
+    """Jensen-Shannon distance of the class counts to each reference; null for a text without characters."""
     total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
     shares = let(total, lambda n: F.transform(counts, lambda x: x / n))
     known = literal([list(r) for r in references.classes], "array<array<double>>")
-    distance = let(shares, lambda p: F.array_min(F.transform(known, lambda q: F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(p, q, _bin), F.lit(0.0), lambda a, x: a + x))))))
-    return F.when(total > 0, distance)
+    distances = let(shares, lambda p: F.transform(known, lambda q: F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(p, q, _bin), F.lit(0.0), lambda a, x: a + x)))))
+    return F.when(total > 0, distances)
 
 
 def word_runs(all_words: Column, references: References) -> Column:
@@ -127,9 +139,10 @@ def word_runs(all_words: Column, references: References) -> Column:
     return let(taken, runs)
 
 
-def word_distance(runs: Column, n: Column, references: References) -> Column:
-    """Least Jensen-Shannon distance of the common-word shares; all other words are one more bin. A common word that the
-    document lacks adds half its reference share, so only the words it has are visited."""
+def word_distance(runs: Column, n: Column, references: References, by_classes: Column) -> Column:
+    """Least distance of the common-word shares to the references near by their classes, in units of a text without common
+    words; 0 if one of them has too few to ask for, null if none is near. All other words are one more bin. A common word
+    that the document lacks adds half its reference share, so only the words it has are visited."""
     known = literal([list(r) for r in references.words], "array<array<double>>")
 
     def against(shares: Column, q: Column) -> Column:
@@ -141,7 +154,12 @@ def word_distance(runs: Column, n: Column, references: References) -> Column:
         return let(seen, lambda s: F.sqrt(F.greatest(F.lit(0.0), s.d + whole / 2 + _bin(F.greatest(F.lit(0.0), 1 - s.p), F.greatest(F.lit(0.0), 1 - whole)))))
 
     shares = let(n.cast("double"), lambda m: F.transform(runs, lambda r: F.struct(r.v.alias("v"), (r.c / m).alias("p"))))
-    return let(shares, lambda p: F.array_min(F.transform(known, lambda q: against(p, q))))
+    none = literal(references.without_words(), "array<double>")
+
+    def relative(p: Column, q: Column, k: Column) -> Column:
+        return F.when(F.get(by_classes, k) <= MAX_CLASS_DISTANCE, F.when(F.get(none, k) == 0, F.lit(0.0)).otherwise(against(p, q) / F.get(none, k)))
+
+    return let(shares, lambda p: F.array_min(F.transform(known, lambda q, k: relative(p, q, k))))
 
 
 def window_hashes(all_words: Column) -> Column:
@@ -197,12 +215,14 @@ def _verdicts(documents: DataFrame, known: References | None, text: str, lang: s
     df = profile(documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias(ROW), F.col(text).alias("text")))
     long_enough = (F.col("n_words") >= MIN_WORDS) & ~F.col("base_failed")
     none = F.lit(None).cast("double")
-    df = df.withColumn("class_distance", F.when(long_enough, class_distance(F.col("class_counts"), known)) if known.languages else none)
+    df = df.withColumn("__classes", F.when(long_enough, class_distances(F.col("class_counts"), known)) if known.languages else F.lit(None).cast("array<double>"))
+    df = df.withColumn("class_distance", F.array_min("__classes"))
     if known.vocabulary:
         df = df.withColumn("__runs", F.when(long_enough, word_runs(F.col("words"), known)))
-        df = df.withColumn("word_distance", F.when(long_enough, word_distance(F.col("__runs"), F.col("n_words"), known)))
+        df = df.withColumn("word_distance", F.when(long_enough, word_distance(F.col("__runs"), F.col("n_words"), known, F.col("__classes"))))
     else:
         df = df.withColumn("word_distance", none)
+    # without a near reference by classes there is no word distance
     fits = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
     # a filter on the verdict would be pushed below the projections, each of whose columns it would then compute many times
     # over; it can't pass a column that isn't deterministic
