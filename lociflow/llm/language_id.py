@@ -27,6 +27,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -52,15 +53,28 @@ RANGES = (
     (0x2C80, "Other"), (0x3040, "Kana"), (0x3100, "Han"), (0xA000, "Other"), (0xA720, "Latin"), (0xA800, "Other"), (0xAC00, "Hangul"), (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Other"), (0x20000, "Han"), (0x32000, "Other"),
 )
 STARTS, SCRIPTS = [r[0] for r in RANGES], [r[1] for r in RANGES]
-#: What counts as a word character but is no letter: numerals of all kinds, besides decimal digits.
-NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-NUMERAL = re.compile(f"[{NUMERALS}]")
-PLAIN_WORD, WORD = re.compile(r"[^\W\d_]+"), re.compile(rf"[^\W\d_{NUMERALS}]+")
+#: Runs of word characters without decimal digits. Numerals of other kinds count among them; only words that hold one are split.
+RUN = re.compile(r"[^\W\d_]+")
 
 
-def pattern_for(text: str) -> re.Pattern:
-    """The pattern of runs of letters; the plain one, which is faster, where the text has no numerals."""
-    return PLAIN_WORD if text.isascii() or not NUMERAL.search(text) else WORD
+def alphabetic(word: str) -> list[tuple[int, str]]:
+    """(place, part) of the parts of a word that are all letters."""
+    out, at = [], 0
+    for is_letter, part in groupby(word, str.isalpha):
+        part = "".join(part)
+        if is_letter:
+            out.append((at, part))
+        at += len(part)
+    return out
+
+
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters."""
+    found = RUN.findall(text)
+    odd = set() if text.isascii() else {w for w in set(found) if not w.isalpha()}
+    if not odd:
+        return found
+    return [part for w in found for part in ([x for _, x in alphabetic(w)] if w in odd else (w,))]
 
 
 def script_of(letter: str) -> str:
@@ -115,7 +129,7 @@ def learn(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             found: dict[str, Counter] = {}
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found.setdefault(lang, Counter()).update(pattern_for(text).findall(text))
+                found.setdefault(lang, Counter()).update(letter_runs(text))
             for lang, words in found.items():
                 total = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 if words:
@@ -226,21 +240,21 @@ class Labeller:
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
         """(start, end, language) of the runs of words, in code points."""
-        found = list(pattern_for(text or "").finditer(text or ""))
+        found = [(m.start() + at, part) for m in RUN.finditer(text or "") for at, part in (((0, m[0]),) if m[0].isalpha() else alphabetic(m[0]))]
         if not found or not self.model.languages:
             return []
-        words = [m[0] for m in found]
+        words = [part for _, part in found]
         self.learn([words])
         path, out = labels(self.rows(words), self.penalty), []
-        for m, label in zip(found, path, strict=True):
+        for (at, part), label in zip(found, path, strict=True):
             if out and out[-1][2] == self.model.languages[label]:
-                out[-1] = (out[-1][0], m.end(), out[-1][2])
+                out[-1] = (out[-1][0], at + len(part), out[-1][2])
             else:
-                out.append((m.start(), m.end(), self.model.languages[label]))
+                out.append((at, at + len(part), self.model.languages[label]))
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        found, out = [pattern_for(t or "").findall(t or "") for t in texts], []
+        found, out = [letter_runs(t or "") for t in texts], []
         if not self.model.languages:
             return [(UNKNOWN, 0.0)] * len(found)
         self.learn(found)
