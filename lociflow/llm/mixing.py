@@ -137,7 +137,7 @@ def copies(units: DataFrame, id_type: str, seed: int = SEED) -> DataFrame:
         done.append(table.where("up IS NOT NULL").select("source", "id", F.col("size").cast("long").alias("size"), (F.col("low") + F.col("up")).alias("copies")))
         last = table.where("up IS NULL")
         if most <= 1:
-            done.append(last.select("source", "id", F.col("size").cast("long").alias("size"), (F.col("low") + (F.col("p") >= 0.5).cast("int")).alias("copies")))
+            done.append(last.select("source", "id", F.col("size").cast("long").alias("size"), (F.col("low") + (uniform(F.lit(seed + level), F.col("id"), F.col("size")) < F.col("p")).cast("int")).alias("copies")))
             return reduce(DataFrame.unionByName, done)
         left = last.select("source", "id", "size", "low", "p", F.floor(F.col("block") / BLOCK).cast("long").alias("block"))
         most, level = -(-most // BLOCK), level + 1
