@@ -99,7 +99,7 @@ def key_of(id_col: str, text_col: str) -> Column:
 def differing(pieces: DataFrame, members: DataFrame) -> DataFrame:
     """(key, n_bytes, f) of the `members` whose text is not that of their group's last member. `pieces` (key, i, chunk) has their
     texts."""
-    groups = members.groupBy("n_bytes", "f").agg(F.max(F.struct("id", "key"))["key"].alias("last"))
+    groups = cut(members.groupBy("n_bytes", "f").agg(F.max(F.struct("id", "key"))["key"].alias("last")), "last-rows")
     named = cut(members.join(groups, ["n_bytes", "f"]).select("key", "n_bytes", "f", (F.col("key") == F.col("last")).alias("is_last")), "compared-rows")
     rows = cut(pieces.join(named, "key"), "compared-chunks")
     ends = rows.where("is_last").groupBy("n_bytes", "f", "i").agg(F.first("chunk").alias("other"))
@@ -111,7 +111,8 @@ def differing(pieces: DataFrame, members: DataFrame) -> DataFrame:
 def collisions(documents: DataFrame, marked: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK) -> DataFrame | None:
     """(key, turn) of the rows whose text was found unlike an earlier one of the same fingerprint, or None: turn 1 holds those
     that are equal to the second text of their group, and so on."""
-    several = marked.groupBy("n_bytes", "f").agg(F.count("*").alias("m")).where("m > 1").select("n_bytes", "f")
+    # written, so that adaptive execution can split the rows of a large group
+    several = cut(marked.groupBy("n_bytes", "f").agg(F.count("*").alias("m")).where("m > 1").select("n_bytes", "f"), "several")
     members = cut(marked.join(several, ["n_bytes", "f"]).select("key", "id", "n_bytes", "f").distinct(), "members")
     if members.isEmpty():
         return None
