@@ -37,7 +37,7 @@ LEAST_LENGTH, LEAST_COUNT, RATIO, DRAW = 6, 5, 5, 199
 #: Code points at a word's start or end that tell its shard. No half is shorter.
 ANCHOR = LEAST_LENGTH // 2
 #: Words whose halves are in one automaton, about.
-SHARD_WORDS = 20_000
+SHARD_WORDS = 5_000
 #: Characters of a text that are looked at together, and distinct words that a task counts before it gives them away.
 PIECE, HELD = 1 << 20, 200_000
 #: Pairs that are compared at a time, words of a scan, and the longest word that is compared by columns.
