@@ -81,7 +81,9 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     data, number = text.cast("binary"), F.monotonically_increasing_id() * 2
     told = [F.col(id_col).alias("id"), key_of(id_col, text_col).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("sha256")]
     short = documents.where(F.octet_length(text) <= size).select(number.alias("row"), *told, F.lit(False).alias("several"), F.lit(0).alias("i"), data.alias("chunk"))
-    long = documents.where(F.octet_length(text) > size).select((number + 1).alias("row"), *told, F.lit(True).alias("several"), F.posexplode(chunks(data, size)).alias("i", "chunk"))
+    # numbered before they are cut: in one select the chunks would be numbered
+    long = documents.where(F.octet_length(text) > size).select((number + 1).alias("row"), *told, data.alias("data"))
+    long = long.select("row", "id", "key", "n_bytes", "sha256", F.lit(True).alias("several"), F.posexplode(chunks(F.col("data"), size)).alias("i", "chunk"))
     # the chunks of a long text go to other tasks
     each = f"row long, id {kind}, key long, n_bytes long, sha256 string, several boolean, f0 long, f1 long"
     parts = cut(short.mapInArrow(hashed, each).unionByName(long.repartition("row", "i").mapInArrow(hashed, each)), "chunk-hashes")
