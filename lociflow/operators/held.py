@@ -4,18 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset a local master gets a folder of its own; any
+    other master is refused, since its executors wouldn't see a folder of the driver's machine."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set; executors and driver need a shared folder")
+        folder = "file://" + tempfile.mkdtemp(prefix="lociflow-held-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
 
 def held(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the cluster names in spark.checkpoint.dir. Where it is unset a local master gets a folder of
-    its own; any other master is refused, since its executors wouldn't see a folder of the driver's machine."""
+    """The rows, computed once and read from the shared folder from then on."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir is not set; executors and driver need a shared folder")
-            folder = tempfile.mkdtemp(prefix="lociflow-held-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -124,15 +124,16 @@ def _read_tokens(tokens: DataFrame, sample: str, token: Column) -> DataFrame:
 
 
 def reviewer_faults(tokens: DataFrame, sample: str, token: Column, reference: str) -> DataFrame:
-    """(sample, token, rule): tokens outside the grammar or the reference, that say nothing, or that repeat a substitution, a
-    deletion or an inserted place."""
+    """(sample, token, rule): tokens outside the grammar or the reference, that say nothing, that repeat a substitution, a
+    deletion or an inserted place, and insertions whose places are not 1, 2 ... without a gap (the first token stands for all)."""
     t = _read_tokens(tokens, sample, token)
     inside = F.col("position").between(1, len(reference))
     here = F.substr(F.lit(reference), F.col("position"), F.lit(1))
     alone = t.withColumn("rule", F.when(F.col("kind").isNull(), "unsupported token").when(~F.coalesce(inside, F.lit(False)), "position outside the reference").when((F.col("kind") == "SNV") & (F.col("letter") == here), "no difference from the reference"))
     alone = alone.where("rule IS NOT NULL").select("sample", "token", "rule")
     twice = t.where("kind IS NOT NULL").groupBy("sample", "kind", "position", "place").agg(F.count("*").alias("n"), F.min("token").alias("token")).where("n > 1")
-    return alone.unionByName(twice.select("sample", "token", F.lit("duplicate token").alias("rule")))
+    gaps = t.where("kind = 'INS'").groupBy("sample", "position").agg(F.max("place").alias("last"), F.count_distinct("place").alias("n"), F.min_by("token", "place").alias("token")).where("last <> n")
+    return reduce(DataFrame.unionByName, [alone, twice.select("sample", "token", F.lit("duplicate token").alias("rule")), gaps.select("sample", "token", F.lit("gap in inserted places").alias("rule"))])
 
 
 def reviewer_events(tokens: DataFrame, sample: str, token: Column, reference: str) -> DataFrame:

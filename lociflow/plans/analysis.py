@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.operators import alignment as A
 from lociflow.operators import calls as C
+from lociflow.operators import phase as H
 from lociflow.operators import samples as S
 from lociflow.operators import windows as W
 from lociflow.sources.corpus import ReferenceSequence
@@ -64,6 +66,50 @@ def analyze(traces: DataFrame, reference: ReferenceSequence, settings: Settings
     return Analysis(called, runs, noisy, loci, scored, trims, placed, columns, judged)
 
 
+@dataclass(frozen=True)
+class Tract:
+    """A row of one base around another on a circle: its first and last place and that of the other base, from 0."""
+
+    name: str
+    first: int
+    last: int
+    interrupt: int
+    bases: str
+
+
+#: The two tracts of the known reference. Fixed values.
+TRACTS = (Tract("hv2", 302, 314, 309, "CCCCCCCTCCCCC"), Tract("hv1", 16_183, 16_192, 16_188, "CCCCCTCCCC"))
+
+
+def phase_evidence(done: Analysis, reference: ReferenceSequence, tracts: tuple[Tract, ...] = TRACTS, size: int = H.SIZE, step: int = H.STEP, most: int = H.OFFSET, keep: Keep = lambda df, name: df) -> dict[str, DataFrame]:
+    """For every placed read and tract: whether it can be measured or why not, with the read's base at the interrupt
+    (`availability`), the windows and the candidate offsets of those that can (`windows`, `candidates`), and reference
+    places that a read shows twice (`faults`). A reference that is no circle, or whose tracts are not there, is an error."""
+    if not reference.circular:
+        raise ValueError("tracts lie on a circle")
+    if wrong := [t.name for t in tracts if reference.bases[t.first : t.last + 1] != t.bases]:
+        raise ValueError(f"other bases at {wrong}")
+    keys, named = list(KEYS), [*KEYS, "tract"]
+    reverse = F.col("orientation") == "reverse"
+    profiles = done.loci.select(*keys, "call_index", "profile")
+    seen = done.columns.where("ref_pos0 IS NOT NULL").join(profiles, [*keys, "call_index"], "left")
+    seen = keep(seen.select(*keys, reverse.alias("reverse"), F.col("ref_pos0").alias("position"), F.col("reference_base").alias("base"), F.col("query_base").alias("read_base"), "call_index", F.when(reverse, F.reverse("profile")).otherwise(F.col("profile")).alias("weights")), "phase-observations")
+    faults = seen.groupBy(*keys, "position").agg(F.count("*").alias("n")).where("n > 1").select(*keys, "position")
+    after, told = [], []
+    for t in tracts:
+        behind = H.after_tract(seen.drop("read_base"), keys, t.first, t.last, len(reference.bases)).withColumn("tract", F.lit(t.name))
+        inside = seen.where(F.col("position").between(t.first, t.last)).withColumn("tract", F.lit(t.name))
+        at = inside.where(F.col("position") == t.interrupt).groupBy(*named).agg(F.first("read_base").alias("interrupt_base"))
+        after.append(behind)
+        told.append(H.availability(inside, behind, named, t.last - t.first + 1, size).join(at, named, "left"))
+    after, told = (reduce(DataFrame.unionByName, x) for x in (after, told))
+    every = done.alignments.where("error_class IS NULL").select(*keys, F.explode(F.lit([t.name for t in tracts])).alias("tract"))
+    status = keep(every.join(told, named, "left").withColumn("status", F.coalesce("status", F.lit("no_tract_coverage"))).fillna(0, ["covered", "called", "profiled"]), "phase-availability")
+    measured = keep(after.join(status.where("status = 'measured'").select(*named), named, "left_semi"), "phase-measured")
+    held = H.members(measured, named, size, step)
+    return {"availability": status, "windows": H.windows(held, named), "candidates": H.candidates(held, measured, named, most), "faults": faults}
+
+
 def sample_evidence(done: Analysis, samples: DataFrame, settings: Settings | None = None) -> dict[str, DataFrame]:
     """Coverage, overlaps, locus topology and support, and variants of samples (input_name, sample)."""
     s = settings or Settings()

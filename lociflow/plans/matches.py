@@ -1,14 +1,26 @@
-"""Driver queries of matching, logs and two-level aggregates, added to the catalogue."""
+"""Driver queries of matching, logs, measurement rows, counters and phase evidence, added to the catalogue."""
 
 from __future__ import annotations
 
+import uuid
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
+from lociflow.operators import counters as K
 from lociflow.operators import logs as L
 from lociflow.operators import matching as M
+from lociflow.operators import research as R
+from lociflow.operators import samples as S
+from lociflow.operators.held import held, shared_folder
 from lociflow.operators.ranks import select_ranks
+from lociflow.operators.recomputed import document_differences as differences
 from lociflow.plans import bridges as B
+from lociflow.plans.analysis import Tract
+from lociflow.plans.analysis import phase_evidence as evidence
 from lociflow.plans.catalog import query, rounded
+from lociflow.sources import measurements as J
+from lociflow.sources.corpus import ReferenceSequence
 
 #: A reference with rows of one base, of two, and of three.
 REPEATS = "ACCCCCTAGAGAGATCGTTTTACGACGACGTGCAATTGGCC"
@@ -130,3 +142,111 @@ def selected_ranks(spark, d):
     """Ranks of three large groups by rounds of histograms."""
     li = B.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_extendedprice").alias("v"))
     return select_ranks(li, ["g"], "v", {"p5": 0.05, "p50": 0.5, "p99": 0.99})
+
+
+#: Orders of a priority as measurement lines of a case; some break a rule.
+LINES_SQL = """WITH o AS (SELECT o_orderpriority AS "case", o_orderkey % 50 AS k, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS line_no FROM orders),
+f AS (SELECT "case", arg_min(k = 6, line_no) FILTER (k NOT IN (1, 2)) AS odd FROM o GROUP BY ALL)
+SELECT "case", line_no, CASE k WHEN 0 THEN 'position does not increase' WHEN 1 THEN 'no JSON object' WHEN 2 THEN 'empty row' WHEN 3 THEN 'read count differs' WHEN 4 THEN 'read repeated' WHEN 5 THEN 'unknown read' ELSE 'schema version' END AS rule FROM o WHERE k IN (0, 1, 2, 3, 4, 5, 7)
+UNION ALL SELECT "case", line_no, 'identity changes' FROM o JOIN f USING ("case") WHERE k NOT IN (1, 2) AND (k = 6) <> odd UNION ALL SELECT "case", NULL, 'read without locus' FROM f"""
+
+
+@query(LINES_SQL)
+def measurement_rules(spark, d):
+    """Lines that Spark has written, a file a case, read back with their numbers."""
+    o, k = B.table(spark, d, "orders"), F.col("o_orderkey") % 50
+    digest = lambda x: F.sha2(F.lit(x), 256)
+    reads = F.when(k == 4, F.array(F.lit("r0"), F.lit("r0"))).when(k == 5, F.array(F.lit("r0"), F.lit("r9"))).otherwise(F.array(F.lit("r0"), F.lit("r1")))
+    row = F.struct(
+        F.when(k == 7, "other").otherwise(J.VERSION).alias("schema_version"), F.col("o_orderpriority").alias("sample_id"), F.when(k == 0, 0).otherwise(F.col("o_orderkey")).alias("position_1based"), F.lit("1").alias("signal_version"),
+        digest("r").alias("reference_sha256"), F.when(k == 6, digest("d")).otherwise(digest("c")).alias("configuration_sha256"), F.when(k == 3, 3).otherwise(2).alias("reads"), F.transform(reads, lambda r: F.struct(r.alias("read_sha256"))).alias("observations"),
+    )
+    line = F.when(k == 1, "{").when(k == 2, "").otherwise(F.to_json(row))
+    lines = o.select(F.col("o_orderpriority").alias("case"), "o_orderkey", line.alias("value")).repartition("case").sortWithinPartitions("case", "o_orderkey").drop("o_orderkey")
+    folder = f"{shared_folder(spark)}/measurement-lines-{uuid.uuid4().hex}"
+    lines.write.partitionBy("case").text(folder)
+    rows = J.measurement_rows(J.numbered_lines(spark, folder), "case", width=256)
+    expected = o.select(F.col("o_orderpriority").alias("case"), F.explode(F.lit(["r0", "r1", "r2"])).alias("read_sha256"))
+    return J.row_faults(rows, expected).select("case", "line_no", "rule")
+
+
+@query("""WITH t AS (SELECT CAST(o_orderkey // 100 AS VARCHAR) AS sample, o_orderkey % 100 + 1 AS p, o_custkey % 3 + 1 AS place FROM orders), g AS (SELECT sample, p, max(place) AS last, count(DISTINCT place) AS n, min(place) AS first FROM t GROUP BY ALL)
+SELECT sample, CAST(p AS VARCHAR) || '.' || first || 'C' AS token, 'gap in inserted places' AS rule FROM g WHERE last <> n UNION ALL SELECT sample, CAST(p AS VARCHAR) || '.' || place || 'C', 'duplicate token' FROM t GROUP BY sample, p, place HAVING count(*) > 1""")
+def insertion_gaps(spark, d):
+    o = B.table(spark, d, "orders")
+    place = F.concat((F.col("o_orderkey") % 100 + 1).cast("string"), F.lit("."), (F.col("o_custkey") % 3 + 1).cast("string"), F.lit("C"))
+    t = o.select(F.floor(F.col("o_orderkey") / 100).cast("string").alias("sample"), place.alias("token"))
+    return R.reviewer_faults(t, "sample", F.col("token"), "ACGT" * 30)
+
+
+UNITS = ("cases", "fit_cases", "source_groups", "specimen_groups", "pcr_replicates", "sequencing_runs", "instruments", "reads", "phase_reads", "read_tracts")
+UNIT_KEYS = ("partition", "holdout_group", "fit", "truth_class", "tract", "orientation", "amplicon", "interrupt")
+UNIT_SQL = """WITH r AS (SELECT l_returnflag AS partition, l_linestatus AS holdout_group, l_partkey % 2 = 0 AS fit, l_linenumber % 2 AS truth_class, l_suppkey % 2 AS tract, l_partkey % 3 AS orientation, l_orderkey % 2 AS amplicon, CASE WHEN l_suppkey % 5 <> 0 THEN l_linenumber % 3 END AS interrupt, l_orderkey AS k, l_partkey AS p, l_suppkey AS s, l_linenumber AS n, CAST(l_quantity AS INT) AS q FROM lineitem)
+SELECT partition, holdout_group, fit, truth_class, tract, orientation, amplicon, interrupt, count(*) AS windows, CAST(sum(q) AS BIGINT) AS candidates, count(DISTINCT k) AS cases, count(DISTINCT CASE WHEN fit THEN k END) AS fit_cases, count(DISTINCT p) AS source_groups, count(DISTINCT CASE WHEN q > 25 THEN p END) AS specimen_groups, count(DISTINCT (p, s)) AS pcr_replicates,
+count(DISTINCT s) AS sequencing_runs, count(DISTINCT q) AS instruments, count(DISTINCT (k, n)) AS reads, count(DISTINCT CASE WHEN q > 10 THEN (k, n) END) AS phase_reads, count(DISTINCT (k, tract)) AS read_tracts FROM r GROUP BY ALL"""
+
+
+@query(UNIT_SQL)
+def readiness_units(spark, d):
+    """Twelve counters over eight keys."""
+    li, c = B.table(spark, d, "lineitem"), F.col
+    q = c("l_quantity").cast("int")
+    rows = li.select(
+        c("l_returnflag").alias("partition"), c("l_linestatus").alias("holdout_group"), (c("l_partkey") % 2 == 0).alias("fit"), (c("l_linenumber") % 2).alias("truth_class"), (c("l_suppkey") % 2).alias("tract"), (c("l_partkey") % 3).alias("orientation"),
+        (c("l_orderkey") % 2).alias("amplicon"), F.when(c("l_suppkey") % 5 != 0, c("l_linenumber") % 3).alias("interrupt"), c("l_orderkey").alias("k"), c("l_partkey").alias("p"), c("l_suppkey").alias("s"), c("l_linenumber").alias("n"), q.alias("q"),
+    )
+    read = F.struct("k", "n")
+    units = dict(zip(UNITS, (c("k"), F.when(c("fit"), c("k")), c("p"), F.when(c("q") > 25, c("p")), F.struct("p", "s"), c("s"), c("q"), read, F.when(c("q") > 10, read), F.struct("k", "tract")), strict=True))
+    return K.distinct_units(rows, UNIT_KEYS, units, {"candidates": F.sum("q")}).withColumnRenamed("rows", "windows")
+
+
+@query(B.with_sql("observations") + """ SELECT sample, 'loci[' || position || '].topology.' || field AS path, stored, recomputed FROM (SELECT sample, position, count(*) AS n, count(*) FILTER (forward) AS f FROM observations GROUP BY ALL) t, LATERAL (VALUES ('reads', n + 1, n, position % 7 = 0), ('forward_reads', f - 1, f, position % 11 = 0)) v(field, stored, recomputed, planted) WHERE planted""")
+def document_differences(spark, d):
+    """Documents of samples with a read too much at each seventh place, and a forward read too few at each eleventh."""
+    o = S.with_state(B.observations(spark, d))
+    t = S.locus_topology(o, ["sample", "position"])
+    t = t.withColumn("reads", F.col("reads") + (F.col("position") % 7 == 0).cast("int")).withColumn("forward_reads", F.col("forward_reads") - (F.col("position") % 11 == 0).cast("int"))
+    topology = t.select("sample", "position", F.struct(*[x for x in t.columns if x not in ("sample", "position")]).alias("topology"))
+    seen = o.groupBy("sample", "position").agg(F.collect_list(F.struct("read", "base", "reference", "forward")).alias("observations"))
+    documents = topology.join(seen, ["sample", "position"]).groupBy("sample").agg(F.collect_list(F.struct("position", "topology", "observations")).alias("loci"))
+    return differences(documents)
+
+
+COUNTER_SQL = B.with_sql("observations", "states") + """, l AS (SELECT sample, position, count(*) FILTER (held) AS n, count(*) FILTER (held AND forward) AS nf, count(*) FILTER (held AND NOT forward) AS nr, count(*) FILTER (forward) AS f, count(*) FILTER (NOT forward) AS r, count(*) FILTER (state = 'reference') AS ref, count(*) FILTER (state = 'alternate') AS alt, count(*) FILTER (state = 'unresolved') AS unr, count(*) FILTER (state = 'deletion') AS del FROM states GROUP BY ALL),
+o AS (SELECT sample, count(*) FILTER (position % 11 = 0) AS noisy, count(*) FILTER (state <> 'deletion' AND held) AS eligible, count(*) FILTER (state <> 'deletion' AND NOT held) AS missing, count(*) FILTER (state = 'deletion') AS deletions, sum(CASE WHEN held THEN CAST(x0 > 0 AS INT) + CAST(x1 > 0 AS INT) + CAST(x2 > 0 AS INT) + CAST(x3 > 0 AS INT) ELSE 0 END) AS positive FROM states GROUP BY ALL)
+SELECT l.sample, sum(n)::BIGINT AS profiled_locus_observations, sum(nf)::BIGINT AS profiled_locus_forward_reads, sum(nr)::BIGINT AS profiled_locus_reverse_reads, count(*) FILTER (n > 0) AS nucleotide_support_loci, count(*) FILTER (nf > 0 AND nr > 0) AS bidirectional_nucleotide_support_loci, round(sum(n), 4)::DOUBLE AS unweighted_nucleotide_profile_mass, count(*) FILTER (nf > 0) AS forward_profile_geometry_loci, sum(f)::BIGINT AS locus_forward_reads, sum(r)::BIGINT AS locus_reverse_reads,
+sum(ref)::BIGINT AS locus_reference_reads, sum(alt)::BIGINT AS locus_alternate_reads, sum(unr)::BIGINT AS locus_unresolved_reads, sum(del)::BIGINT AS locus_deletion_reads, any_value(noisy) AS noisy_locus_observations, any_value(eligible) AS eligible_nucleotide_locus_observations, any_value(missing) AS missing_profile_locus_observations, any_value(deletions) AS deletion_event_locus_observations, any_value(positive)::BIGINT AS locus_positive_corrected_channels FROM l JOIN o USING (sample) GROUP BY l.sample"""
+
+
+@query(COUNTER_SQL)
+def sample_counters(spark, d):
+    o = held(S.with_state(B.observations(spark, d)).withColumn("noisy", F.col("position") % 11 == 0).withColumn("corrected", F.col("weights")).withColumn("snrs", F.col("weights")))
+    keys = ["sample", "position"]
+    loci = S.locus_topology(o, keys).join(S.locus_support(o, keys), keys)
+    found = K.sample_counters(loci, o, None, "sample")
+    names = ("profiled_locus_observations", "profiled_locus_forward_reads", "profiled_locus_reverse_reads", "nucleotide_support_loci", "bidirectional_nucleotide_support_loci", "unweighted_nucleotide_profile_mass", "forward_profile_geometry_loci", *[f"locus_{x}_reads" for x in ("forward", "reverse", "reference", "alternate", "unresolved", "deletion")], "noisy_locus_observations", "eligible_nucleotide_locus_observations", "missing_profile_locus_observations", "deletion_event_locus_observations", "locus_positive_corrected_channels")
+    return rounded(found.select("sample", *names), "unweighted_nucleotide_profile_mass", digits=4)
+
+
+#: Users' events as calls on a circle of 320 with a tract of six; a window is 15 observations, each five.
+TRACT = Tract("t", 300, 305, 302, "CCTCCC")
+CIRCLE = ("ACGT" * 80)[:300] + TRACT.bases + ("ACGT" * 4)[:14]
+PHASE_SQL = B.with_sql("series") + """, o AS (SELECT user_id, user_id % 2 = 1 AS reverse, i, CASE WHEN user_id % 2 = 1 THEN (640 + 330 - i) % 320 ELSE (i + 290) % 320 END AS position FROM series WHERE i < 320),
+c AS (SELECT user_id, count(DISTINCT position) AS covered, max(i) AS latest FROM o WHERE position BETWEEN 300 AND 305 GROUP BY ALL),
+p AS (SELECT o.user_id, count(*) FILTER (i > latest AND position NOT BETWEEN 300 AND 305 AND i % 9 <> 0) AS profiled FROM o JOIN c USING (user_id) GROUP BY ALL),
+s AS (SELECT u.user_id, coalesce(covered, 0) AS covered, coalesce(profiled, 0) AS profiled FROM (SELECT DISTINCT user_id FROM o) u LEFT JOIN c USING (user_id) LEFT JOIN p USING (user_id))
+SELECT user_id, CASE WHEN covered = 0 THEN 'no_tract_coverage' WHEN covered < 6 THEN 'incomplete_tract_coverage' WHEN profiled < 15 THEN 'no_complete_profile_window' ELSE 'measured' END AS status, CASE WHEN covered = 6 AND profiled >= 15 THEN (profiled - 15) // 5 + 1 ELSE 0 END AS windows FROM s"""
+
+
+@query(PHASE_SQL)
+def phase_evidence(spark, d):
+    s = B.series(spark, d).where("i < 320")
+    reverse = F.col("user_id") % 2 == 1
+    position = F.when(reverse, (640 + 330 - F.col("i")) % 320).otherwise((F.col("i") + 290) % 320)
+    name = [F.col("user_id").cast("string").alias("input_name"), F.lit("x").alias("input_sha256")]
+    columns = s.select(*name, F.when(reverse, "reverse").otherwise("forward").alias("orientation"), position.alias("ref_pos0"), F.substr(F.lit(CIRCLE), (position + 1).cast("int"), F.lit(1)).alias("reference_base"), F.col("base").alias("query_base"), F.col("i").alias("call_index"))
+    loci = s.where("i % 9 <> 0").select(*name, F.col("i").alias("call_index"), F.lit([0.25] * 4).alias("profile"))
+    done = SimpleNamespace(columns=columns, loci=loci, alignments=columns.select("input_name", "input_sha256", F.lit(None).cast("string").alias("error_class")).distinct())
+    found = evidence(done, ReferenceSequence("circle", CIRCLE, True), (TRACT,), size=15, keep=lambda df, name: held(df))
+    windows = found["windows"].groupBy("input_name").agg(F.count("*").alias("windows"))
+    return found["availability"].join(windows, "input_name", "left").select(F.col("input_name").cast("long").alias("user_id"), "status", F.coalesce("windows", F.lit(0)).alias("windows"))

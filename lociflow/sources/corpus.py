@@ -103,16 +103,6 @@ def research_observations(loci: DataFrame) -> DataFrame:
     return flat
 
 
-def artifact_faults(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
-    """Files of an artifact whose content, row count or columns differ from the index (file, sha256, rows, columns)."""
-    found = spark.read.format("binaryFile").load(f"{folder}/*.csv").select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.sha2("content", 256).alias("found_sha256"), F.decode("content", "utf-8").alias("text"))
-    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
-    found = found.select("file", "found_sha256", (F.size(lines) - 1).cast("long").alias("found_rows"), F.split(lines[0], ",").alias("found_columns"))
-    both = index.join(found, "file", "full_outer")
-    rule = F.when(F.col("sha256").isNull(), "not in the index").when(F.col("found_sha256").isNull(), "missing").when(F.col("sha256") != F.col("found_sha256"), "content differs").when(F.col("rows") != F.col("found_rows"), "row count differs").when(F.col("columns") != F.col("found_columns"), "columns differ")
-    return both.withColumn("rule", rule).where("rule IS NOT NULL").select("file", "rule")
-
-
 def curve_faults(windows: DataFrame, candidates: DataFrame, offsets: list[int]) -> DataFrame:
     """Windows that lack an offset, repeat one or have others: each must have exactly the given set."""
     have = candidates.groupBy("window_id").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
@@ -127,14 +117,27 @@ def discover_traces(spark: SparkSession, folder: str, samples: list[str]) -> Dat
     return owned.withColumn("owners", F.count("*").over(Window.partitionBy("path")))
 
 
-def read_reviewer(spark: SparkSession, path: str) -> DataFrame:
-    """(case_id, sample_id, token): the table's tokens, with the case that ends the sample's name."""
+def read_reviewer_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The table with the case that ends each sample's name: its columns, case_id and sample_id."""
     rows = spark.read.csv(path, sep="\t", header=True, encoding="utf-8")
     rows = rows.toDF(*[c.lstrip("\ufeff") for c in rows.columns])
     if missing := [c for c in REVIEWER if c not in rows.columns]:
         raise SourceError(f"missing columns: {missing}")
+    return rows.withColumns({"case_id": F.regexp_extract(REVIEWER[0], "(AB\\d+)$", 1), "sample_id": F.col(REVIEWER[0])})
+
+
+def read_reviewer(spark: SparkSession, path: str) -> DataFrame:
+    """(case_id, sample_id, token): the table's tokens, with the case that ends the sample's name."""
+    rows = read_reviewer_rows(spark, path)
     token = F.explode(F.filter(F.split(F.col(REVIEWER[3]), "[,;\\s]+"), lambda x: x != ""))
-    return rows.select(F.regexp_extract(REVIEWER[0], "(AB\\d+)$", 1).alias("case_id"), F.col(REVIEWER[0]).alias("sample_id"), token.alias("token"))
+    return rows.select("case_id", "sample_id", token.alias("token"))
+
+
+def reviewer_table_faults(rows: DataFrame) -> DataFrame:
+    """(rule, subject) of a reviewer table's rows (case_id, sample_id): a name without a case, a sample or a case told twice."""
+    unnamed = rows.where(F.coalesce("case_id", F.lit("")) == "").select(F.lit("sample without a case").alias("rule"), F.col("sample_id").alias("subject"))
+    twice = lambda c, rule: rows.where(F.coalesce(c, F.lit("")) != "").groupBy(c).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(rule).alias("rule"), F.col(c).alias("subject"))
+    return unnamed.unionByName(twice("sample_id", "sample repeated")).unionByName(twice("case_id", "case repeated"))
 
 
 def sample_variants(spark: SparkSession, path: str) -> DataFrame:

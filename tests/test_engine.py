@@ -21,7 +21,7 @@ from lociflow.operators import samples as S
 from lociflow.operators import windows as W
 from lociflow.plans import analysis
 from lociflow.sinks import publish
-from lociflow.sources import abif, corpus, settings
+from lociflow.sources import abif, corpus, digests, settings
 from lociflow.streaming.ingest import stream_calls
 
 QUERY = "ACGTCAGTACGATCGTACCTGAGTACGA"
@@ -404,7 +404,7 @@ def test_artifacts(spark, tmp_path):
     (tmp_path / "x.csv").write_bytes(good)
     (tmp_path / "y.csv").write_bytes(bad)
     index = spark.createDataFrame([("x.csv", hashlib.sha256(good).hexdigest(), 1, ["a", "b"]), ("y.csv", hashlib.sha256(good).hexdigest(), 1, ["a", "b"]), ("z.csv", "0", 0, ["a"])], "file string, sha256 string, rows long, columns array<string>")
-    assert {(r.file, r.rule) for r in corpus.artifact_faults(spark, str(tmp_path), index).collect()} == {("y.csv", "content differs"), ("z.csv", "missing")}
+    assert {(r.file, r.rule) for r in digests.artifact_faults(spark, str(tmp_path), index).collect()} == {("y.csv", "content differs"), ("z.csv", "missing")}
     windows = spark.createDataFrame([("w",), ("v",)], "window_id string")
     assert [r.window_id for r in corpus.curve_faults(windows, spark.createDataFrame([("w", -1), ("w", 1), ("v", 1)], "window_id string, offset int"), [-1, 1]).collect()] == ["v"]
 
