@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +22,16 @@ KEYS = ("input_name", "input_sha256")
 #: Rows of runs or loci whose samples are gathered at a time.
 BLOCK = 8_192
 PEAK = pa.struct([("height", pa.int32()), ("position", pa.int32()), ("source", pa.string())])
-CALL = "call_index int, ploc int, w_start int, w_end int, peaks array<struct<height:int,position:int,source:string>>, ranks array<int>, primary_pos int, primary_heights array<int>"
+CALL = "call_index int, ploc int, w_start int, w_end int, peaks array<struct<height:int,position:int,source:string>>, primary_pos int, primary_heights array<int>, qualifying array<string>, primary string, ambiguity string"
 RUN = "w_start int, w_end int, min_snr double, max_secondary_snr double"
 EVIDENCE = "call_index int, ploc int, w_start int, w_end int, ctx_call_start int, ctx_call_end int, ctx_sample_start int, ctx_sample_end int, event_position int, heights array<int>, baselines array<double>, noise_sigmas array<double>, corrected array<double>"
 NOISE_SCALE = 0.67448975 * 2**0.5
+#: The letters of calls: a base for each channel, N, and the code of two bases by the sum of their channels' bits.
+LETTERS = pa.array([*X.BASES, "N"])
+UNKNOWN = len(X.BASES)
+PAIR_CODES = {sum(1 << X.BASES.index(b) for b in bases): code for code, bases in X.IUPAC.items() if len(bases) == 2}
+CODES = pa.array([PAIR_CODES.get(bits, "N") for bits in range(1 << len(X.BASES))])
+SOURCES = pa.array(["ploc_fallback", "local_maximum"])
 
 
 def _median(values: Column) -> Column:
@@ -89,16 +96,27 @@ def _lists(values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(values).reshape(-1), kind))
 
 
-def _called(channels: np.ndarray, ploc: np.ndarray) -> list[pa.Array]:
+def _called(channels: np.ndarray, ploc: np.ndarray, ratio: float) -> list[pa.Array]:
     starts, ends, height, position, found = peaks(channels, ploc)
     n = len(ploc)
+    rows = np.arange(n)
     rank = np.argsort(-height, axis=1, kind="stable")
-    place = position[np.arange(n), rank[:, 0]]
-    source = pa.array(np.array(["ploc_fallback", "local_maximum"], dtype=object)[found.reshape(-1).astype(int)], pa.string())
-    flat = pa.StructArray.from_arrays([pa.array(height.reshape(-1).astype(np.int32)), pa.array(position.reshape(-1).astype(np.int32)), source], fields=list(PEAK))
-    top = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 4), flat)
+    ranked, place = np.take_along_axis(height, rank, axis=1), position[rows, rank[:, 0]]
+    there = channels[:, place].T  # heights at the strongest peak
+    top = ranked[:, :1]
+    clear = (top[:, 0] > 0) & (top[:, 0] != ranked[:, 1])
+    reach = lambda h: (h > 0) & (h >= ratio * top)
+    holds = reach(ranked) & reach(np.take_along_axis(there, rank, axis=1)) & clear[:, None]
+    k, bits = holds.sum(axis=1), (holds << rank).sum(axis=1)
+    strongest = np.where((k >= 1) & (k <= 3), rank[:, 0], UNKNOWN)
+    one = LETTERS.take(pa.array(np.where(k == 1, rank[:, 0], UNKNOWN)))
+    ambiguity = pc.if_else(pa.array(k == 2), CODES.take(pa.array(bits)), one)
+    qualifying = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(k)).astype(np.int32)), LETTERS.take(pa.array(rank[holds])))
+    flat = pa.StructArray.from_arrays([pa.array(height.reshape(-1).astype(np.int32)), pa.array(position.reshape(-1).astype(np.int32)), SOURCES.take(pa.array(found.reshape(-1).astype(np.int8)))], fields=list(PEAK))
+    top4 = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 4), flat)
     small = lambda x: pa.array(np.asarray(x).astype(np.int32))
-    return [small(np.arange(n)), small(ploc), small(starts), small(ends), top, _lists(rank.astype(np.int32), pa.int32()), small(place), _lists(channels[:, place].T.astype(np.int32), pa.int32())]
+    heights = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 4), small(there.reshape(-1)), mask=pa.array(~clear))
+    return [small(rows), small(ploc), small(starts), small(ends), top4, pa.array(place.astype(np.int32), mask=~clear), heights, qualifying, LETTERS.take(pa.array(strongest)), ambiguity]
 
 
 def _runs(channels: np.ndarray, ploc: np.ndarray, size: int) -> list[pa.Array]:
@@ -176,26 +194,14 @@ def call_bases(traces: DataFrame, ratio: float = 0.33, keys: tuple[str, ...] = K
     Channels are ranked by height, then by their order. A tie at the top, or no height, gives N. A channel qualifies if its
     own peak and its height at the strongest peak's place both reach ratio * top.
     """
-    rows = _each_trace(traces, 2, [*keys, "vendor_primary"], CALL, _called)
-    height = lambda i: F.get(F.col("peaks"), F.get("ranks", F.lit(i))).height
-    top = height(0)
-    clear = (top > 0) & (top != height(1))
-    reach = lambda h: (h > 0) & (h >= ratio * top)
-    letter = lambda i: F.substr(F.lit("ACGT"), i + 1, F.lit(1))
-    qualifying = F.transform(F.filter("ranks", lambda i: reach(F.get("peaks", i).height) & reach(F.get("primary_heights", i))), letter)
-    rows = rows.withColumn("qualifying", F.when(clear, qualifying).otherwise(F.array().cast("array<string>")))
-    strongest, k = letter(F.get("ranks", F.lit(0))), F.size("qualifying")
+    rows = _each_trace(traces, 2, [*keys, "vendor_primary"], CALL, lambda channels, ploc: _called(channels, ploc, ratio))
     vendor = F.nullif(F.substr("vendor_primary", F.col("call_index") + 1, F.lit(1)), F.lit(""))
-    primary = F.when(clear & k.between(1, 3), strongest).otherwise("N")
-    ambiguity = F.when(clear & (k == 1), strongest).when(clear & (k == 2), X.iupac_code(F.col("qualifying"))).otherwise("N")
-    return rows.select(
-        *keys, "call_index", "ploc", "w_start", "w_end", "peaks", F.when(clear, F.col("primary_pos")).alias("primary_pos"), F.when(clear, F.col("primary_heights")).alias("primary_heights"), "qualifying",
-        primary.alias("primary"), ambiguity.alias("ambiguity"), F.when(vendor.isNotNull(), vendor == primary).alias("vendor_agrees"),
-    )
+    agrees = F.when(vendor.isNotNull(), vendor == F.col("primary")).alias("vendor_agrees")
+    return rows.select(*keys, "call_index", "ploc", "w_start", "w_end", "peaks", "primary_pos", "primary_heights", "qualifying", "primary", "ambiguity", agrees)
 
 
 def call_windows(traces: DataFrame, size: int = 10, least_snr: float = 3.0, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Every run of `size` calls: lowest primary and highest secondary signal-to-noise ratio; noisy below `least_snr`."""
+    """Every run of `size` calls: lowest primary and highest secondary ratio of height to noise; noisy below `least_snr`."""
     rows = _each_trace(traces, size, keys, RUN, lambda channels, ploc: _runs(channels, ploc, size))
     rows = rows.withColumns({c: X.round_metric(F.col(c)) for c in ("min_snr", "max_secondary_snr")})
     return rows.withColumn("noisy", F.col("min_snr") < least_snr)

@@ -56,7 +56,7 @@ def judged(reads: DataFrame) -> DataFrame:
         *[(f"{k} is no number from {least}", held(e) & no(c(k) >= least)) for e, k, least in NUMBERS], *[(f"{k} is no share", held(e) & no(c(k).between(0, 1))) for e, k in SHARES],
         ("trim has no bounds", held("quality_control_completed") & no(c("trim_end") > c("trim_start"))),
         ("trim and retained disagree", (c("trim_end") > c("calls")) | (c("retained") != c("trim_end") - c("trim_start"))),
-        ("more signal than calls", (c("profiled_loci") > c("calls")) | (c("noisy_calls") > c("calls"))),
+        ("more loci than calls", (c("profiled_loci") > c("calls")) | (c("noisy_calls") > c("calls"))),
         ("alignment exceeds what was retained", (c("callable_columns") > c("retained")) | (c("mismatches") > c("callable_columns"))),
         ("unknown orientation", held("alignment_completed") & no(c("orientation").isin("forward", "reverse"))), ("orientations differ", closed & held("alignment_completed") & no(c("__last") == c("orientation"))),
     ]

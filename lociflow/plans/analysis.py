@@ -46,9 +46,9 @@ def analyze(traces: DataFrame, reference: ReferenceSequence, settings: Settings
     keys = list(KEYS)
     traces = keep(traces, "traces")
     called = keep(C.call_bases(traces, s.basecalling.secondary_peak_ratio), "calls")
-    runs = C.call_windows(traces, s.signal_processing.window_size_bases, s.signal_processing.minimum_primary_snr)
-    noisy = W.noisy_regions(runs, keys, s.signal_processing.minimum_noisy_windows)
-    loci = keep(C.locus_evidence(traces, s.signal_processing.window_size_bases), "loci")
+    runs = C.call_windows(traces, s.noise_windows.window_size_bases, s.noise_windows.minimum_primary_snr)
+    noisy = W.noisy_regions(runs, keys, s.noise_windows.minimum_noisy_windows)
+    loci = keep(C.locus_evidence(traces, s.noise_windows.window_size_bases), "loci")
     q = s.quality_control
     scored = keep(W.relative_quality(W.penalties(called, keys, q.trim_window_size), keys, q.max_relative_quality_score), "scored")
     trims = W.trim(scored, W.best_section(scored, keys, q.best_section_fraction), keys, q.trim_window_size, q.trim_stringency, q.minimum_retained_bases)

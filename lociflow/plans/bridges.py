@@ -40,7 +40,8 @@ def trace_files(spark: SparkSession, folder: str, mixed_call: int = 5, height: i
     def write(bases: pd.Series) -> pd.Series:
         return bases.map(lambda b: abif.synthetic(b, calls=b, secondary={mixed_call: ("A", height)} if b[mixed_call : mixed_call + 1] not in ("", "A") else None))
 
-    found = sequences(spark, folder)
+    # a row is small and its work is not, and the given files have one row group: deal the rows to all cores
+    found = sequences(spark, folder).repartition(spark.sparkContext.defaultParallelism, "doc_id", "part")
     return found.select(F.concat_ws("/", F.col("doc_id").cast("string"), F.col("part").cast("string")).alias("path"), write("bases").alias("content"))
 
 

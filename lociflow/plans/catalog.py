@@ -101,7 +101,7 @@ def locus_profiles(spark, d):
     return found.select("input_name", "call_index", "ctx_call_start", "event_position", F.round(F.col("profile")[0], 6).alias("weight_a"))
 
 
-#: Signal-to-noise ratios of a run of ten calls: a channel's noise is 1 unless its steps spread, which they do where all ten
+#: Ratios of height to noise of a run of ten calls: a channel's noise is 1 unless its steps spread, which they do where all ten
 #: calls peak in it; the mixed call's second channel stands 400 high.
 RUN_SQL = BASES_SQL + """, w AS (SELECT name, call_index, n, min(b) OVER v AS lo, max(b) OVER v AS hi, count(*) FILTER (b = 'A' OR call_index = 5) OVER v AS a, count(*) FILTER (call_index = 5 AND b <> 'A') OVER v AS mixed FROM bases WINDOW v AS (PARTITION BY name ORDER BY call_index ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
 runs AS (SELECT name AS input_name, call_index AS w_start, call_index + 10 AS w_end, CASE WHEN lo = hi THEN round(0.67448975 * sqrt(2), 6) WHEN a = 10 AND call_index <= 5 THEN round(2.5 * 0.67448975 * sqrt(2), 6) ELSE 1000.0 END AS min_snr,

@@ -113,9 +113,9 @@ i AS (SELECT user_id, opened AS start_line, line_no, k, trace, bare FROM p WHERE
 g AS (SELECT user_id, start_line, min(CASE WHEN k IN ('s', 'e') THEN line_no END) AS end_line, min_by(k, line_no) FILTER (k IN ('s', 'e')) AS ender, min_by(trace, line_no) FILTER (k IN ('s', 'e')) AS ended_trace, count(*) FILTER (k = 'b') AS b, count(*) FILTER (k = 'g') AS g, count(*) FILTER (k = 'q') AS q, count(*) FILTER (k = 'a') AS a, count(*) FILTER (k = 'w') AS w, min_by(bare, line_no) FILTER (k = 'b') AS bare FROM i GROUP BY ALL),
 s AS (SELECT user_id, line_no AS start_line, trace, row_number() OVER (PARTITION BY user_id, trace ORDER BY line_no) > 1 AS repeated FROM l WHERE k = 's')
 SELECT user_id, start_line, end_line, 't' || trace AS trace, CASE WHEN b > 0 AND NOT bare THEN 40 END::BIGINT AS calls, concat_ws(';', CASE WHEN repeated THEN 'repeated read' END, CASE WHEN coalesce(ender, '') <> 'e' THEN 'read did not complete' END, CASE WHEN ender = 'e' AND ended_trace <> trace THEN 'completed by another trace' END,
-  CASE WHEN ender = 'e' AND b = 0 THEN 'basecalling_completed is missing' END, CASE WHEN ender = 'e' AND g = 0 THEN 'signal_processing_completed is missing' END, CASE WHEN ender = 'e' AND q = 0 THEN 'quality_control_completed is missing' END, CASE WHEN ender = 'e' AND a = 0 THEN 'alignment_completed is missing' END, CASE WHEN ender = 'e' AND w = 0 THEN 'warning_summary is missing' END,
-  CASE WHEN b > 1 THEN 'basecalling_completed is repeated' END, CASE WHEN g > 1 THEN 'signal_processing_completed is repeated' END, CASE WHEN q > 1 THEN 'quality_control_completed is repeated' END, CASE WHEN a > 1 THEN 'alignment_completed is repeated' END, CASE WHEN w > 1 THEN 'warning_summary is repeated' END, CASE WHEN b > 0 AND bare THEN 'calls is no number from 1' END) AS faults
-FROM s LEFT JOIN g USING (user_id, start_line)"""
+  CASE WHEN ender = 'e' AND b = 0 THEN 'basecalling_completed is missing' END, CASE WHEN ender = 'e' AND g = 0 THEN 'SECOND is missing' END, CASE WHEN ender = 'e' AND q = 0 THEN 'quality_control_completed is missing' END, CASE WHEN ender = 'e' AND a = 0 THEN 'alignment_completed is missing' END, CASE WHEN ender = 'e' AND w = 0 THEN 'warning_summary is missing' END,
+  CASE WHEN b > 1 THEN 'basecalling_completed is repeated' END, CASE WHEN g > 1 THEN 'SECOND is repeated' END, CASE WHEN q > 1 THEN 'quality_control_completed is repeated' END, CASE WHEN a > 1 THEN 'alignment_completed is repeated' END, CASE WHEN w > 1 THEN 'warning_summary is repeated' END, CASE WHEN b > 0 AND bare THEN 'calls is no number from 1' END) AS faults
+FROM s LEFT JOIN g USING (user_id, start_line)""".replace("SECOND", L.REQUIRED[1])
 
 
 def log_lines(spark, d):
@@ -158,7 +158,7 @@ def measurement_rules(spark, d):
     digest = lambda x: F.sha2(F.lit(x), 256)
     reads = F.when(k == 4, F.array(F.lit("r0"), F.lit("r0"))).when(k == 5, F.array(F.lit("r0"), F.lit("r9"))).otherwise(F.array(F.lit("r0"), F.lit("r1")))
     row = F.struct(
-        F.when(k == 7, "other").otherwise(J.VERSION).alias("schema_version"), F.col("o_orderpriority").alias("sample_id"), F.when(k == 0, 0).otherwise(F.col("o_orderkey")).alias("position_1based"), F.lit("1").alias("signal_version"),
+        F.when(k == 7, "other").otherwise(J.VERSION).alias("schema_version"), F.col("o_orderpriority").alias("sample_id"), F.when(k == 0, 0).otherwise(F.col("o_orderkey")).alias("position_1based"), F.lit("1").alias(J.IDENTITY[0]),
         digest("r").alias("reference_sha256"), F.when(k == 6, digest("d")).otherwise(digest("c")).alias("configuration_sha256"), F.when(k == 3, 3).otherwise(2).alias("reads"), F.transform(reads, lambda r: F.struct(r.alias("read_sha256"))).alias("observations"),
     )
     line = F.when(k == 1, "{").when(k == 2, "").otherwise(F.to_json(row))

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from lociflow.functions import expressions as X
 from lociflow.operators.windows import running
 
-#: What a line holds. The names are fixed values of the format.
+#: What a line holds, and which of it is the same in all lines of a file. The names are fixed values of the format.
 ROW = "schema_version string, sample_id string, position_1based string, signal_version string, reference_sha256 string, configuration_sha256 string, reads string, observations array<struct<read_sha256:string>>"
 IDENTITY = ("signal_version", "reference_sha256", "configuration_sha256")
-VERSION = "validation_loci/v1"
+VERSION = "validation_locus/v2"
 
 
 def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -56,7 +56,7 @@ def row_faults(rows: DataFrame, expected: DataFrame, version: str = VERSION) ->
     digest = lambda n: no(X.sha256_name(row(n)))
     rules = X.flags(
         ("empty row", c("blank")), ("no JSON object", ~c("blank") & ~has), ("schema version", has & no(row("schema_version") == version)), ("sample differs", has & no(row("sample_id") == c("case"))),
-        ("position does not increase", has & no((c("position") > 0) & (c("position") > F.coalesce(c("before"), F.lit(0))))), ("no signal version", has & no(F.length(row("signal_version")) > 0)), ("reference digest", has & digest("reference_sha256")), ("configuration digest", has & digest("configuration_sha256")),
+        ("position does not increase", has & no((c("position") > 0) & (c("position") > F.coalesce(c("before"), F.lit(0))))), ("no version", has & no(F.length(row(IDENTITY[0])) > 0)), ("reference digest", has & digest("reference_sha256")), ("configuration digest", has & digest("configuration_sha256")),
         ("identity changes", has & ~F.struct(*[row(n) for n in IDENTITY]).eqNullSafe(c("first"))), ("no observations", has & row("observations").isNull()), ("read count differs", has & no(row("reads").try_cast("int") == F.size(names))), ("read repeated", has & F.coalesce(F.size(F.array_distinct(names)) < F.size(names), F.lit(False))),
     )
     own = rows.select("case", "file", "line_no", F.explode(rules).alias("rule"))

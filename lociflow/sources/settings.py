@@ -79,7 +79,7 @@ class VariantCalling:
 class Settings:
     reference: Reference = Reference()
     basecalling: Basecalling = Basecalling()
-    signal_processing: NoiseWindows = NoiseWindows()  # section names are fixed values of the settings file
+    noise_windows: NoiseWindows = NoiseWindows()
     quality_control: QualityControl = QualityControl()
     alignment: AlignmentSettings = AlignmentSettings()
     sample_reconciliation: SampleReconciliation = SampleReconciliation()
@@ -87,6 +87,10 @@ class Settings:
     sha256: str = ""
 
 
+#: What the settings file calls a section that has another name here. Fixed values.
+SECTIONS = {"noise_windows": "signal_processing"}
+
+
 def parse(data: bytes) -> Settings:
     """Every section and key must be there, no other may, and each value must be of its kind and in its range."""
     if len(data) > MAX_BYTES:
@@ -98,6 +102,11 @@ def parse(data: bytes) -> Settings:
     if said.pop("schema_version", None) != SCHEMA_VERSION:
         raise SettingsError(f"schema_version must be {SCHEMA_VERSION}")
     parts = {f.name: f for f in fields(Settings) if f.name != "sha256"}
+    for ours, name in SECTIONS.items():
+        if ours in said:
+            raise SettingsError(f"sections differ: {[ours]}")
+        if name in said:
+            said[ours] = said.pop(name)
     if set(said) != set(parts):
         raise SettingsError(f"sections differ: {sorted(set(said) ^ set(parts))}")
     out = {}

@@ -169,7 +169,7 @@ def test_compare_in_three_steps(spark):
 
 # --- logs
 
-WHOLE = ["basecalling_completed calls=40", "signal_processing_completed profiled_loci=12 noisy_calls=0", "quality_control_completed trim=2..32 retained=30 retained_fraction=0.75", "alignment_completed orientation=Forward callable_columns=20 callable_identity=1.0 mismatches=0 gap_opens=0", "warning_summary excluded_variant_candidates=0"]
+WHOLE = ["basecalling_completed calls=40", f"{L.REQUIRED[1]} profiled_loci=12 noisy_calls=0", "quality_control_completed trim=2..32 retained=30 retained_fraction=0.75", "alignment_completed orientation=Forward callable_columns=20 callable_identity=1.0 mismatches=0 gap_opens=0", "warning_summary excluded_variant_candidates=0"]
 
 
 def log(spark, said, name="l", first=0):
