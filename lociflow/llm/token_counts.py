@@ -5,7 +5,11 @@ symbol, so a piece's count is its symbols less its merges, and no identifiers ar
 followed: special strings are cut out of the raw text and count one each; then NFC, white space, small letters; then
 the split pattern, whose matches alone are kept.
 
-Defined cases: a null text is empty and has no tokens; repeated rows count alike; a text of any length is counted whole.
+Defined cases: a null text is empty and has no tokens; repeated rows and equal texts count alike, whatever else the rows hold;
+pairs of equal rank do not occur, and equal pairs merge from the left; an empty table gives an empty one; a column with the
+result's name is replaced, and document_tokens() gives no column of the documents but doc_id. A text of any length is counted
+whole. Memory follows the longest piece that the split pattern does not part: its symbols, links and heap take some hundred
+bytes for each byte of it.
 """
 
 from __future__ import annotations
