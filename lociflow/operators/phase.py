@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociflow.functions import expressions as X
-from lociflow.operators.windows import count_windows
+from lociflow.operators.windows import count_windows, running
 
 SIZE, STEP, OFFSET = 25, 5, 5
 
@@ -77,21 +77,29 @@ def distance_faults(after: DataFrame, keys: Sequence[str]) -> DataFrame:
     return after.groupBy(*keys, "distance").agg(F.count("*").alias("n")).where("n > 1").select(*keys, "distance")
 
 
-def sensitivity(observations: DataFrame, keys: Sequence[str], sizes: Sequence[int], steps: Sequence[int], offsets: Sequence[int]) -> DataFrame:
-    """The full grid of parameters. Observations are ranked once and meet their neighbours once, at the widest offset; each
-    then goes to the windows of every size and step that hold it, and each grid point takes its share of the offsets."""
+def sensitivity(observations: DataFrame, keys: Sequence[str], sizes: Sequence[int], steps: Sequence[int], offsets: Sequence[int], width: int = 4_096) -> DataFrame:
+    """The full grid of parameters. Observations are ranked once and meet their neighbours once, at the widest offset; their masses
+    are summed along the ranks, and a window of any size and step is the difference of two sums. So a grid point costs a row
+    a window and offset, not one a member."""
     held = observations.where(F.col("weights").isNotNull() & X.canonical(F.col("base")))
-    of = Window.partitionBy(*keys)
-    held = held.withColumn("rank", F.row_number().over(of.orderBy("distance"))).withColumn("__n", F.count("*").over(of))
+    held = held.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("distance")))
     shifted = held.withColumn("offset", F.explode(F.lit([o for o in range(-max(offsets), max(offsets) + 1) if o]))).withColumn("__at", F.col("distance") + F.col("offset"))
     both = shifted.join(observations.select(*keys, F.col("distance").alias("__at"), F.col("base").alias("shifted_base")), [*keys, "__at"], "left")
-    grid = F.array(*[F.struct(F.lit(a).alias("size"), F.lit(b).alias("step")) for a in sizes for b in steps])
-    cells = both.withColumn("__g", F.explode(grid)).select("*", "__g.size", "__g.step").drop("__g")
-    first = F.greatest(F.ceil((F.col("rank") - F.col("size")) / F.col("step")), F.lit(0)).cast("long")
-    last = F.least(F.floor((F.col("rank") - 1) / F.col("step")), F.floor((F.col("__n") - F.col("size")) / F.col("step"))).cast("long")
-    cells = cells.withColumn("__first", first).withColumn("__last", last).where("__first <= __last").withColumn("window", F.explode(F.sequence("__first", "__last")))
     informs, masses = _informs()
-    out = cells.groupBy(*keys, "size", "step", "window", "offset").agg(F.count_if(informs).alias("informative"), *[F.avg(F.when(informs, x)).alias(n) for n, x in masses])
+    names = [n for n, _ in masses]
+    flat = both.select(*keys, "offset", "rank", F.coalesce(informs, F.lit(False)).cast("long").alias("informative"), *[F.coalesce(F.when(informs, x), F.lit(0.0)).alias(n) for n, x in masses])
+    summed = running(flat.withColumnsRenamed({n: f"__{n}" for n in ("informative", *names)}), [*keys, "offset"], "rank", width, sums={n: F.col(f"__{n}") for n in ("informative", *names)})
+    summed = summed.select(*keys, "offset", "rank", F.struct("informative", *names).alias("s"))
+    grid = F.array(*[F.struct(F.lit(a).alias("size"), F.lit(b).alias("step")) for a in sizes for b in steps])
+    cells = held.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("g", F.explode(grid)).select(*keys, "n", "g.*").where("n >= size")
+    cells = cells.withColumn("window", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - F.col("size")) / F.col("step")))))
+    cells = cells.select(*keys, "size", "step", "window", (F.col("window") * F.col("step")).alias("__before"), (F.col("window") * F.col("step") + F.col("size")).alias("__last"))
+    upto = summed.select(*keys, "offset", F.col("rank").alias("__last"), F.col("s").alias("__b"))
+    before = summed.select(*keys, "offset", F.col("rank").alias("__before"), F.col("s").alias("__a"))
+    met = cells.join(upto, [*keys, "__last"]).join(before, [*keys, "offset", "__before"], "left")
+    part = lambda n: F.col(f"__b.{n}") - F.coalesce(F.col(f"__a.{n}"), F.lit(0))
+    out = met.withColumn("informative", part("informative"))
+    out = out.select(*keys, "size", "step", "window", "offset", "informative", *[F.when(F.col("informative") > 0, F.greatest(F.lit(0.0), part(n) / F.col("informative"))).alias(n) for n in names])
     return out.withColumn("most", F.explode(F.lit(list(offsets)))).where(F.abs("offset") <= F.col("most"))
 
 

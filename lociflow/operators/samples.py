@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lociflow.functions import expressions as X
 from lociflow.operators.ranks import HOT_ROWS, grouped_ranks
+from lociflow.operators.windows import running
 
 STATES = ("reference", "alternate", "deletion", "unresolved")
 
@@ -20,6 +21,18 @@ def ordered_reads(reads: DataFrame, sample: str, digest: str) -> DataFrame:
     return reads.withColumn("read_index", F.row_number().over(Window.partitionBy(sample).orderBy(digest)) - 1).withColumn("duplicate_content", same)
 
 
+def interval_counts(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str, start: str, end: str, width: int = 4_096) -> DataFrame:
+    """Points with how many half-open intervals hold them, `held`: starts so far less ends so far, summed in two levels. No pair
+    of a point and an interval is formed, so many intervals over many points cost no more than both."""
+    good = intervals.where(F.col(start) < F.col(end))
+    ends = good.select(*keys, F.explode(F.array(F.struct(F.col(start).alias("__at"), F.lit(1).alias("d")), F.struct(F.col(end).alias("__at"), F.lit(-1).alias("d")))).alias("e")).select(*keys, "e.*")
+    asked = points.select(*keys, F.col(point).alias("__at"), F.lit(0).alias("d"))
+    steps = ends.unionByName(asked).where("__at IS NOT NULL").groupBy(*keys, "__at").agg(F.sum("d").alias("d"))
+    depth = running(steps, keys, "__at", width, sums={"held": F.col("d")}).select(*[F.col(k).alias(f"__{k}") for k in keys], "__at", "held")
+    same = reduce(lambda a, b: a & b, [points[k].eqNullSafe(depth[f"__{k}"]) for k in keys], points[point] == depth["__at"])
+    return points.join(depth, same, "left").drop("__at", *[f"__{k}" for k in keys]).withColumn("held", F.coalesce("held", F.lit(0)))
+
+
 #: Positions of a bitmap.
 BITS = 64
 

@@ -527,8 +527,8 @@ def profile_evaluation(spark, d):
 def footprint_join(spark, d):
     s = B.segments(spark, d)
     points = s.select("sample", F.col("read").alias("event"), F.col("seg_start").alias("position"))
-    held = S.interval_join(points, s.select("sample", "seg_start", "seg_end"), ["sample"], "position", "seg_start", "seg_end", 64)
-    return held.groupBy("sample", "event").agg(F.count("*").alias("memberships"))
+    held = S.interval_counts(points, s.select("sample", "seg_start", "seg_end"), ["sample"], "position", "seg_start", "seg_end")
+    return held.where("held > 0").groupBy("sample", "event").agg(F.sum("held").alias("memberships"))
 
 
 @query("""WITH c AS (SELECT c_mktsegment AS difference, o_orderpriority AS partition, count(*) AS observations FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL), g AS (SELECT * FROM (SELECT DISTINCT c_mktsegment AS difference FROM customer) CROSS JOIN (VALUES ('1-URGENT'), ('2-HIGH'), ('9-NONE')) p(partition))

@@ -14,6 +14,7 @@ from lociflow.functions import expressions as X
 from lociflow.operators import counters as K
 from lociflow.operators import logs as L
 from lociflow.operators import matching as M
+from lociflow.operators import phase as H
 from lociflow.operators import research as R
 from lociflow.operators import samples as S
 from lociflow.operators import windows as W
@@ -385,3 +386,31 @@ def test_reviewer_tables_and_gaps(spark, tmp_path):
     tokens = spark.createDataFrame([("a", "3.1C"), ("a", "3.2C"), ("b", "3.2C"), ("c", "3.1C"), ("c", "3.3C")], "sample string, token string")
     assert {(r["sample"], r.token, r.rule) for r in R.reviewer_faults(tokens, "sample", F.col("token"), "ACGTACGT").collect()} == {("b", "3.2C", "gap in inserted places"), ("c", "3.1C", "gap in inserted places")}
     assert {r["sample"] for r in R.reviewer_events(tokens, "sample", F.col("token"), "ACGTACGT").collect()} == {"a"}
+
+
+# --- counts and grids without pairs
+
+
+def test_interval_counts(spark):
+    rng = random.Random(9)
+    intervals = [(rng.choice([None, 1, 2]), a := rng.randrange(60), a + rng.randint(-2, 20)) for _ in range(50)]
+    points = [(k, p, f"{k}-{p}") for k in (None, 1, 2, 3) for p in range(-2, 85, 3)] + [(1, None, "none"), (1, 4, "1-4 again")]
+    i, p = spark.createDataFrame(intervals, "k int, a int, b int"), spark.createDataFrame(points, "k int, p int, name string")
+    got = {r.name: r.held for r in S.interval_counts(p, i, ["k"], "p", "a", "b", width=7).collect()}
+    assert got == {name: sum(k == x and q is not None and a <= q < b for x, a, b in intervals) for k, q, name in points}
+
+
+def test_a_grid_point_is_the_candidates_of_its_parameters(spark):
+    rng = random.Random(10)
+    weights = lambda: [x / sum(w) for w in [[rng.random() for _ in range(4)]] for x in w]
+    rows = [(k, d, rng.choice("ACGTN"), weights() if rng.random() < 0.9 else None) for k in (1, 2, 3) for d in range(1, 70 if k < 3 else 12)]
+    o = spark.createDataFrame(rows, "k int, distance int, base string, weights array<double>")
+    found = H.sensitivity(o, ["k"], (15, 25), (5, 10), (2, 5), width=8)
+    key = lambda r: (r.k, r.window, r.offset)
+    for size, step, most in ((15, 5, 2), (25, 10, 5)):
+        want = sorted(H.candidates(H.members(o, ["k"], size, step), o, ["k"], most).collect(), key=key)
+        got = sorted(found.where(f"size = {size} AND step = {step} AND most = {most}").collect(), key=key)
+        assert [(*key(r), r.informative) for r in got] == [(*key(r), r.informative) for r in want] and want
+        for g, w in zip(got, want, strict=True):
+            for n in ("mean_zero", "mean_shifted", "mean_residual"):
+                assert g[n] == (None if w[n] is None else pytest.approx(w[n], abs=1e-9))
