@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lociflow.llm import divergence, exact_dedup, filter_audit, language_id, media_sequences, mixing, packing, secret_scan, simhash, spelling_variants, token_counts, url_filter, warc_bundles
-from lociflow.llm.shared import table
+from lociflow.llm.shared import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,7 +23,7 @@ def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divergence.document_quality(table(spark, sf_dir, "documents"))
+    return divergence.document_quality(spread(table(spark, sf_dir, "documents")))
 
 
 def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,11 +35,11 @@ def op5_url_bloom_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.document_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_counts.document_tokens(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.document_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return secret_scan.document_secrets(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.document_languages(table(spark, sf_dir, "documents"))
+    return language_id.document_languages(spread(table(spark, sf_dir, "documents")))
 
 
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,6 +97,13 @@ def ship(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def spread(documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of a table of fewer files than there are cores, dealt to all of them: such a file may be one row group, which one
+    task reads. Tables of more files stay as they are, so no large corpus is shuffled for it."""
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    return documents if len(documents.inputFiles()) >= cores else documents.repartition(2 * cores, key)
+
+
 def words(text: Column) -> Column:
     """Array of the maximal runs of other characters than white space; an empty array for a null or blank text."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[ \\t-\\r]+"), "")
