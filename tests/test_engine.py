@@ -360,7 +360,7 @@ def toml(**changes):
 
     for part in fields(settings.Settings):
         if part.name != "sha256":
-            out.append(f"[{part.name}]")
+            out.append(f"[{settings.SECTIONS.get(part.name, part.name)}]")
             for f in fields(type(part.default)):
                 v = changes.pop(f.name, f.default)
                 out.append(f"{f.name} = {json.dumps(v)}")
@@ -519,6 +519,10 @@ def test_sql_names(spark):
     data = spark.createDataFrame([(bytearray(abif.synthetic(QUERY)),)], "content binary")
     data.createOrReplaceTempView("trace_bytes")
     assert [r.tag for r in spark.sql("SELECT tag FROM trace_bytes, LATERAL abif_directory(content) ORDER BY entry").collect()] == ["DATA"] * 4 + ["FWO_", "PLOC"]
+    bases = "".join("ACGT"[(i * i * 7 + i * 3 + i // 5 + i // 17) % 4] for i in range(200))
+    spark.createDataFrame([(1, bases[40:100]), (2, None), (3, "A")], "read int, query string").createOrReplaceTempView("some_reads")
+    rows = spark.sql(f"SELECT * FROM alignment_columns(TABLE(some_reads), '{bases}', true)").collect()
+    assert {r.read for r in rows} == {"1"} and sorted((r.col_idx, r.query_base, r.reference_base, r.call_index, r.ref_pos0) for r in rows) == [(i, bases[40 + i], bases[40 + i], i, 40 + i) for i in range(60)]
 
 
 def test_streaming(spark, tmp_path):
