@@ -129,7 +129,10 @@ def metric_summary(rows: DataFrame, keys: Sequence[str], name: str, limit: int =
 
 
 def neighbour_mass(profiles: DataFrame, read: Sequence[str], position: str, mass: str, length: int) -> DataFrame:
-    """Each locus of a read beside the mass at the one before and after it on a circle; two equi-joins on the shifted key."""
-    keys = [*read, position]
-    there = lambda step, name: profiles.select(*read, F.pmod(F.col(position) + step, F.lit(length)).alias(position), F.col(mass).alias(name))
-    return profiles.select(*keys).join(there(1, "previous_mass"), keys, "left").join(there(-1, "next_mass"), keys, "left")
+    """Each locus of a read beside the mass at the one before and after it on a circle; two equi-joins on the shifted key. The
+    place looked for is turned, not the places that are there, so that one beyond the circle is nobody's neighbour."""
+    shifted = lambda step: F.pmod(F.col(position) + step, F.lit(length))
+    there = lambda at, name: profiles.select(*read, F.col(position).alias(at), F.col(mass).alias(name))
+    asked = profiles.select(*read, position, shifted(-1).alias("__before"), shifted(1).alias("__after"))
+    both = asked.join(there("__before", "previous_mass"), [*read, "__before"], "left").join(there("__after", "next_mass"), [*read, "__after"], "left")
+    return both.select(*read, position, "previous_mass", "next_mass")
