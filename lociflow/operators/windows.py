@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -152,7 +153,8 @@ def relative_quality(rows: DataFrame, keys: Sequence[str], most: int, value: str
 def trim(rows: DataFrame, best: DataFrame, keys: Sequence[str], size: int, stringency: float, least: int, index: str = "call_index", value: str = "penalty") -> DataFrame:
     """Trim bounds: from the best section outwards to the first window whose sum exceeds stringency * best average * size."""
     summed = rolling_sum(rows, keys, index, value, size).join(best, list(keys))
-    limit = F.lit(float(stringency)) * F.col("best_sum") / (F.col("best_end") - F.col("best_start")) * size
+    # a decimal factor: 1.2 as a double times 3 lies below 3.6, and a window of just the limit would exceed it
+    limit = (F.lit(Decimal(str(stringency))) * F.col("best_sum")).cast("double") / (F.col("best_end") - F.col("best_start")) * size
     high = F.col("window_sum") > limit
     left = F.max(F.when(high & (F.col(index) < F.col("best_start")), F.least(F.col(index) + size, F.col("best_start"))))
     right = F.min(F.when(high & (F.col(index) >= F.col("best_end")), F.col(index)))
