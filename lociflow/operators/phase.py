@@ -40,14 +40,29 @@ def _informs() -> tuple[Column, list[tuple[str, Column]]]:
 
 
 def candidates(held: DataFrame, observations: DataFrame, keys: Sequence[str], most: int = OFFSET) -> DataFrame:
-    """Each window at each offset: an equi-join on the shifted distance. An observation informs if the base there is known,
-    canonical and another one; means are over those, null without any."""
+    """Each window at each offset. An observation informs if the base there is known, canonical and another one; means are over
+    those, null without any.
+
+    What lies around an observation is gathered in one window over the read, before it is dealt to its windows and offsets. So what
+    is shuffled are a few rows an observation; the rows of its windows and offsets are made and summed where they are."""
     offsets = [o for o in range(-most, most + 1) if o]
-    shifted = held.withColumn("offset", F.explode(F.lit(offsets))).withColumn("__at", F.col("distance") + F.col("offset"))
-    there = observations.select(*keys, F.col("distance").alias("__at"), F.col("base").alias("shifted_base"))
-    both = shifted.join(there, [*keys, "__at"], "left")
+    once = held.groupBy(*keys, "distance", "base", "weights").agg(F.collect_list("window").alias("__windows"))
+    both = once.unionByName(observations.select(*keys, "distance", F.struct("distance", "base").alias("__seen")), allowMissingColumns=True)
+    around = Window.partitionBy(*keys).orderBy("distance").rangeBetween(-most, most)
+    once = both.withColumn("__near", F.collect_list("__seen").over(around)).where("__windows IS NOT NULL")
+    # one entry for each observation at the offset, or an empty one
+    there = lambda o: F.filter("__near", lambda x: x["distance"] == F.col("distance") + o)
+    entry = lambda o, base: F.struct(F.lit(o).alias("offset"), base.alias("shifted_base"))
+
+    def at(o: int) -> Column:
+        found, none = F.transform(there(o), lambda x: entry(o, x["base"])), F.array(entry(o, F.lit(None).cast("string")))
+        return F.when(F.size(found) > 0, found).otherwise(none)
+
+    each = F.flatten(F.array(*[at(o) for o in offsets]))
+    both = once.select(*keys, "__windows", "base", "weights", F.explode(each).alias("x")).select(*keys, "__windows", "base", "weights", "x.*")
     informs, masses = _informs()
-    return both.groupBy(*keys, "window", "offset").agg(F.count_if(informs).alias("informative"), *[F.avg(F.when(informs, x)).alias(n) for n, x in masses])
+    both = both.select(*keys, F.explode("__windows").alias("window"), "offset", informs.alias("__informs"), *[F.when(informs, x).alias(f"__{n}") for n, x in masses])
+    return both.groupBy(*keys, "window", "offset").agg(F.count_if("__informs").alias("informative"), *[F.avg(f"__{n}").alias(n) for n, _ in masses])
 
 
 def availability(tract_calls: DataFrame, after: DataFrame, keys: Sequence[str], tract_length: int, size: int = SIZE) -> DataFrame:

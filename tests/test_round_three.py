@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 
 from lociflow.operators import alignment as A
+from lociflow.operators import phase as H
 from lociflow.operators import samples as S
 from lociflow.operators import windows as W
 
@@ -33,3 +34,20 @@ def test_equal_reads_are_placed_once_a_task(spark, tmp_path):
     assert {r.read: [r.orientation, r.score, r.start0, [c.call_index for c in r["columns"]]] for r in got} == {k: [*p[:3], [c["call_index"] for c in p[11]]] for k, p in plain.items()}
     batch = pa.RecordBatch.from_pylist([{"q": q, "p": p, "f": f} for _, q, p, f in rows], pa.schema([("q", pa.string()), ("p", pa.list_(pa.list_(pa.float64()))), ("f", pa.int32())]))
     assert len(set(A.read_contents(*batch.columns))) == 6
+
+
+def test_candidates_are_not_joined_by_distance(spark):
+    weights = [0.5, 0.25, 0.125, 0.125]
+    rows = [(1, i, "ACGT"[i * i % 3], None if i % 9 == 0 else weights) for i in range(1, 60) if i % 13] + [(1, 20, "T", None)]
+    seen = spark.createDataFrame(rows, "k int, distance long, base string, weights array<double>")
+    found = H.candidates(H.members(seen, ["k"], 25, 5), seen, ["k"], 2)
+    members = [(r.window, r.distance, r.base) for r in H.members(seen, ["k"], 25, 5).collect()]
+    want = {}
+    for window, distance, base in members:
+        for o in (-2, -1, 1, 2):
+            there = [b for _, d, b, _ in rows if d == distance + o]
+            want[window, o] = want.get((window, o), 0) + sum(b != base for b in there)
+    assert {(r.window, r.offset): r.informative for r in found.collect()} == want
+    # what is shuffled is a row an observation: no exchange lies above the rows of windows and offsets
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
