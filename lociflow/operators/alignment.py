@@ -11,16 +11,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lociflow.functions import expressions as X
-from lociflow.sources.shipping import ship
+from lociflow.sources.shipping import ship_bounded
 
 UNIT = 1024
 MAX_CELLS = 100_000_000
 LOW = -(1 << 60)
+#: Reads whose placement a task remembers.
+REMEMBERED = 4_096
 ALIGNMENT = (
     "orientation string, score long, start0 long, end0 long, wraps_origin boolean, exact_matches int, mismatches int, gap_opens int, callable_columns int, callable_identity double, unresolved int, "
     "columns array<struct<query_base:string,reference_base:string,call_index:int,ref_pos0:int>>, error_class string, error_message string"
@@ -222,20 +226,45 @@ def align_read(query: str, profiles: list, first_call: int, bases: str, circular
         return [None] * 12 + ["alignment", str(e)]
 
 
+def read_contents(query: pa.Array, profiles: pa.ListArray, first_call: pa.Array) -> list[tuple]:
+    """What tells a read of a batch from others: its letters, first call, and the bytes of its profiles. Two reads of the same
+    contents have the same placement."""
+    found = []
+    for q, p, f in zip(query.to_pylist(), profiles, first_call.to_pylist(), strict=True):
+        inner = p.values
+        values = inner.flatten()
+        found.append((q, f, values.to_numpy(zero_copy_only=False).tobytes(), np.asarray(inner.value_lengths().fill_null(-1)).tobytes()))
+    return found
+
+
 def align_reads(reads: DataFrame, bases: str, circular: bool = False, scoring: Scoring | None = None, keys: tuple[str, ...] = ("read",)) -> DataFrame:
     """Align rows (keys, query, profiles, first_call). The reference, of bounded length, goes along with the function; a
-    read's work is its own, so rows stay in their partitions."""
-    ship(reads.sparkSession)
-    scoring, names = scoring or Scoring(), [x.split(" ")[0] for x in ALIGNMENT.split(", ")]
+    read's work is its own, so rows stay in their partitions. Reads of the same contents are placed once a task, as long as
+    it remembers them (REMEMBERED reads)."""
+    ship_bounded(reads.sparkSession)
+    scoring, n_keys = scoring or Scoring(), len(keys)
     kinds = ", ".join(f"`{k}` {reads.schema[k].dataType.simpleString()}" for k in keys)
+    fields = list(to_arrow_schema(StructType.fromDDL(ALIGNMENT)))
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, list] = {}
         for b in batches:
-            rows = [align_read(q, [None if p is None else list(p) for p in ps], int(f), bases, circular, scoring) for q, ps, f in zip(b["query"], b["profiles"], b["first_call"], strict=True)]
-            out = pd.DataFrame(rows, columns=names, dtype="object")
-            yield pd.concat([b[list(keys)].reset_index(drop=True), out], axis=1)
-
-    return reads.select(*keys, "query", "profiles", "first_call").mapInPandas(each, f"{kinds}, {ALIGNMENT}")
+            query, profiles, first_call = b.columns[n_keys:]
+            place: dict[tuple, tuple[int, list]] = {}
+            at = []
+            for i, contents in enumerate(read_contents(query, profiles, first_call)):
+                if contents not in place:
+                    if contents not in known:
+                        if len(known) >= REMEMBERED:
+                            known.pop(next(iter(known)))
+                        known[contents] = align_read(contents[0], profiles[i].as_py(), int(contents[1]), bases, circular, scoring)
+                    place[contents] = len(place), known[contents]
+                at.append(place[contents][0])
+            rows = [row for _, row in place.values()]
+            out = [pa.array([r[j] for r in rows], x.type).take(pa.array(at, pa.int32())) for j, x in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n_keys], *out], names=[*keys, *(x.name for x in fields)])
+
+    return reads.select(*keys, "query", "profiles", "first_call").mapInArrow(each, f"{kinds}, {ALIGNMENT}")
 
 
 def alignment_columns(alignments: DataFrame, keys: tuple[str, ...] = ("read",)) -> DataFrame:

@@ -15,6 +15,7 @@ from lociflow.operators import phase as H
 from lociflow.operators import research as R
 from lociflow.operators import samples as S
 from lociflow.operators import windows as W
+from lociflow.operators.held import held
 from lociflow.plans import bridges as B
 from lociflow.sources import abif
 
@@ -190,7 +191,7 @@ def variants_merged(spark, d):
     """Every event twice: equal ones become one, with each call once."""
     reads, reference = _reads(spark, d, _indel)
     found = A.variants(A.alignment_columns(A.align_reads(reads, reference)), reference)
-    merged = A.merge_variants(found.withColumn("times", F.explode(F.lit([1, 2]))).drop("times"))
+    merged = held(A.merge_variants(found.withColumn("times", F.explode(F.lit([1, 2]))).drop("times")))  # two read it, and its reads are placed once
     faults = A.reference_faults(merged, reference).groupBy("read").agg(F.count("*").cast("int").alias("reference_faults"))
     return merged.join(faults, "read", "left").select("read", "kind", "position_1based", F.size("supporting").alias("n_supporting"), F.coalesce("reference_faults", F.lit(0)).alias("reference_faults"))
 
@@ -198,7 +199,7 @@ def variants_merged(spark, d):
 @query("""SELECT doc_id AS read, CASE WHEN doc_id % 300 + 41 BETWEEN 73 AND 340 THEN '' ELSE 'outside_configured_region' END || CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 300 + 41 BETWEEN 73 AND 340 THEN '' ELSE ';' END || 'peak_below_minimum' ELSE '' END AS reasons FROM documents""")
 def variants_filtered(spark, d):
     reads, reference = _reads(spark, d, lambda b, r: F.concat(F.substr(b, F.lit(1), F.lit(40)), F.translate(F.substr(b, F.lit(41), F.lit(1)), "ACGT", "CGTA"), F.substr(b, F.lit(42))))
-    found = A.variants(A.alignment_columns(A.align_reads(reads, reference)), reference)
+    found = held(A.variants(A.alignment_columns(A.align_reads(reads, reference)), reference))  # two read it, and its reads are placed once
     calls = found.select("read", F.explode("supporting").alias("call_index"), F.when(F.col("read") % 3 == 0, 100).otherwise(900).alias("highest_peak"), F.lit(50).alias("relative_quality"), F.lit(1).alias("n_qualifying"))
     return A.filter_variants(found, calls, [(73, 340)]).select("read", F.array_join("exclusion_reasons", ";").alias("reasons"))
 
