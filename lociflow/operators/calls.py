@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.functions import expressions as X
-from lociflow.sources.shipping import ship
+from lociflow.sources.shipping import ship_bounded
 
 KEYS = ("input_name", "input_sha256")
 #: Rows of runs or loci whose samples are gathered at a time.
@@ -78,9 +78,16 @@ def peaks(channels: np.ndarray, ploc: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def noise(channel: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Median, and scaled median deviation of the steps (1 at least), of each interval of two samples or more."""
     base, sigma = np.zeros(len(starts)), np.ones(len(starts))
+    if not len(starts):
+        return base, sigma
+    # a value that more than half of an interval has is its median; so intervals on a flat base need no sort
+    level = np.partition(channel, len(channel) // 2)[len(channel) // 2]
+    flat, still = (np.append(0, np.cumsum(x)) for x in (channel == level, channel[1:] == channel[:-1]))
     lengths = ends - starts
-    for length in np.unique(lengths):
-        rows = np.flatnonzero(lengths == length)
+    told = (2 * (flat[ends] - flat[starts]) > lengths) & (2 * (still[ends - 1] - still[starts]) > lengths - 1)
+    base[told], sigma[told] = level, 0.0
+    for length in np.unique(lengths[~told]):
+        rows = np.flatnonzero((lengths == length) & ~told)
         for at in range(0, len(rows), BLOCK):
             some = rows[at : at + BLOCK]
             samples = channel[starts[some][:, None] + np.arange(length)].astype(np.float64)
@@ -169,9 +176,10 @@ def _evidence(channels: np.ndarray, ploc: np.ndarray, size: int) -> list[pa.Arra
     ]
 
 
-def _each_trace(traces: DataFrame, least: int, kept: Sequence[str], kind: str, work: Callable[[np.ndarray, np.ndarray], list[pa.Array]]) -> DataFrame:
-    """`work` on each good trace of `least` calls or more: one row a call, run or locus, beside the kept columns."""
-    ship(traces.sparkSession)
+def _each_trace(traces: DataFrame, least: int, kept: Sequence[str], kind: str, work: Callable[..., list[pa.Array]], given: Sequence[str] = ()) -> DataFrame:
+    """`work` on each good trace of `least` calls or more: one row a call, run or locus, beside the kept columns, which should be
+    short, as each row has them. `work` gets the channels, the locations and the values of the `given` columns."""
+    ship_bounded(traces.sparkSession)
     names = [*kept, *(x.split(" ")[0] for x in kind.split(", "))]
     kinds = ", ".join(f"`{k}` {traces.schema[k].dataType.simpleString()}" for k in kept)
 
@@ -180,24 +188,33 @@ def _each_trace(traces: DataFrame, least: int, kept: Sequence[str], kind: str, w
             for i in range(b.num_rows):
                 flat, ploc = b.column(0)[i].values, b.column(1)[i].values.to_numpy(zero_copy_only=False).astype(np.int64)
                 channels = flat.flatten().to_numpy(zero_copy_only=False).reshape(4, -1)
-                out = work(channels, ploc)
+                out = work(channels, ploc, *(b.column(2 + len(kept) + j)[i].as_py() for j in range(len(given))))
                 same = [pa.repeat(b.column(2 + j)[i], len(out[0])) for j in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*same, *out], names=names)
 
     good = traces.where(f"error_class IS NULL AND size(ploc) >= {max(2, least)}")
-    return good.select("channels", "ploc", *kept).mapInArrow(each, f"{kinds}, {kind}")
+    return good.select("channels", "ploc", *kept, *given).mapInArrow(each, f"{kinds}, {kind}")
 
 
-def call_bases(traces: DataFrame, ratio: float = 0.33, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def call_bases(traces: DataFrame, ratio: float = 0.33, keys: tuple[str, ...] = KEYS, columns: Sequence[str] | None = None) -> DataFrame:
     """One row a call: window, four peaks, primary and ambiguity letters, qualifying channels, agreement with the vendor.
 
     Channels are ranked by height, then by their order. A tie at the top, or no height, gives N. A channel qualifies if its
-    own peak and its height at the strongest peak's place both reach ratio * top.
+    own peak and its height at the strongest peak's place both reach ratio * top. `columns` names those that are wanted
+    beside the keys; all without it.
     """
-    rows = _each_trace(traces, 2, [*keys, "vendor_primary"], CALL, lambda channels, ploc: _called(channels, ploc, ratio))
-    vendor = F.nullif(F.substr("vendor_primary", F.col("call_index") + 1, F.lit(1)), F.lit(""))
-    agrees = F.when(vendor.isNotNull(), vendor == F.col("primary")).alias("vendor_agrees")
-    return rows.select(*keys, "call_index", "ploc", "w_start", "w_end", "peaks", "primary_pos", "primary_heights", "qualifying", "primary", "ambiguity", agrees)
+    fields = CALL.split(", ")
+    names = [x.split(" ")[0] for x in fields]
+    wanted = [i for i, n in enumerate(names) if columns is None or n in columns]
+
+    def called(channels: np.ndarray, ploc: np.ndarray, vendor: str | None) -> list[pa.Array]:
+        found = _called(channels, ploc, ratio)
+        letters = pa.array([*(vendor or "")[: len(ploc)], *[None] * (len(ploc) - len(vendor or ""))], pa.string())
+        return [*(found[i] for i in wanted), pc.equal(letters, found[names.index("primary")])]
+
+    # the vendor's letters stay with their trace: each call beside all of them would grow with the square of its length
+    rows = _each_trace(traces, 2, keys, ", ".join([*(fields[i] for i in wanted), "vendor_agrees boolean"]), called, ["vendor_primary"])
+    return rows.select(*keys, *(names[i] for i in wanted), *(["vendor_agrees"] if columns is None or "vendor_agrees" in columns else []))
 
 
 def call_windows(traces: DataFrame, size: int = 10, least_snr: float = 3.0, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lociflow.sources import abif
-from lociflow.sources.shipping import ship
+from lociflow.sources.shipping import ship_bounded
 
 LETTERS, CODES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
 
@@ -18,6 +20,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 #: Letters of a trace: about what one read of a sequencer gives.
 READ = 700
+#: Trace files of an Arrow batch.
+FILES = 128
 
 
 def sequences(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,15 +38,18 @@ def sequences(spark: SparkSession, folder: str) -> DataFrame:
 def trace_files(spark: SparkSession, folder: str, mixed_call: int = 5, height: int = 400) -> DataFrame:
     """(path, content): a trace of each sequence, with an A of `height` at one call, if there is such a call; the vendor says the
     bases. A path is `document/part`."""
-    ship(spark)
+    ship_bounded(spark)
 
-    @F.pandas_udf("binary")
-    def write(bases: pd.Series) -> pd.Series:
-        return bases.map(lambda b: abif.synthetic(b, calls=b, secondary={mixed_call: ("A", height)} if b[mixed_call : mixed_call + 1] not in ("", "A") else None))
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, FILES):  # a file is fifty times its bases
+                some = b.slice(at, FILES)
+                files = [abif.synthetic(x, calls=x, secondary={mixed_call: ("A", height)} if x[mixed_call : mixed_call + 1] not in ("", "A") else None) for x in some.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(files, pa.binary())], names=["path", "content"])
 
     # a row is small and its work is not, and the given files have one row group: deal the rows to all cores
     found = sequences(spark, folder).repartition(spark.sparkContext.defaultParallelism, "doc_id", "part")
-    return found.select(F.concat_ws("/", F.col("doc_id").cast("string"), F.col("part").cast("string")).alias("path"), write("bases").alias("content"))
+    return found.select(F.concat_ws("/", F.col("doc_id").cast("string"), F.col("part").cast("string")).alias("path"), "bases").mapInArrow(write, "path string, content binary")
 
 
 def segments(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 
 from lociflow.operators import alignment as A
+from lociflow.operators import calls as C
 from lociflow.operators import phase as H
 from lociflow.operators import samples as S
 from lociflow.operators import windows as W
+from lociflow.sources import abif
 
 
 def test_a_place_beyond_the_circle_is_nobodys_neighbour(spark):
@@ -51,3 +54,22 @@ def test_candidates_are_not_joined_by_distance(spark):
     # what is shuffled is a row an observation: no exchange lies above the rows of windows and offsets
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_vendor_letters_stay_with_their_trace(spark):
+    files = spark.createDataFrame([("a", bytearray(abif.synthetic("ACGTACGT", calls="ACG"))), ("b", bytearray(abif.synthetic("ACGT")))], "path string, content binary")
+    got = C.call_bases(abif.decode_traces(files), keys=("input_name",), columns=("call_index", "primary", "vendor_agrees"))
+    assert got.columns == ["input_name", "call_index", "primary", "vendor_agrees"]
+    assert sorted((r.input_name, r.call_index, r.vendor_agrees) for r in got.collect()) == [*(("a", i, True if i < 3 else None) for i in range(8)), *(("b", i, None) for i in range(4))]
+    assert "vendor_primary" not in got._jdf.queryExecution().analyzed().toString().split("MapInArrow")[0]
+
+
+def test_noise_of_flat_and_other_intervals(spark):
+    rng = np.random.default_rng(3)
+    channel = np.where(rng.random(400) < 0.7, 7, rng.integers(0, 50, 400)).astype(np.int32)
+    starts = np.arange(0, 360, 3)
+    ends = starts + rng.integers(2, 40, len(starts))
+    base, sigma = C.noise(channel, starts, ends)
+    for b, s, i, j in zip(base, sigma, starts, ends, strict=True):
+        steps = np.diff(channel[i:j].astype(float))
+        assert b == np.median(channel[i:j]) and s == max(np.median(np.abs(steps - np.median(steps))) / C.NOISE_SCALE, 1.0)
