@@ -35,6 +35,8 @@ MAX_REFERENCE = 50_000
 PRIMES, POINTS = (2**31 - 1, 2**31 - 19), (1_178_406_263, 934_507_021)
 #: Candidates that are compared with all others at a time.
 BLOCK = 256
+#: Sets of events whose runs a task remembers.
+REMEMBERED = 4_096
 
 
 class Repeats:
@@ -255,13 +257,18 @@ def run_pairs(events: DataFrame, reference: str) -> DataFrame:
     columns = ["sample", "side", "at", "position", "reference", "alternate"]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = prefix_sums(reference)
+        sums, known = prefix_sums(reference), {}
         rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
         for sample, group in groupby(rows, key=itemgetter(0)):
             sides: dict[str, list] = {"truth": [], "called": []}
             for r in group:
                 sides[r[1]].append(r[2:])
-            pairs = equal_runs(*[Side(x, reference, sums) for x in sides.values()])
+            contents = tuple(map(tuple, sides.values()))  # samples of like events have like runs
+            if contents not in known:
+                if len(known) >= REMEMBERED:
+                    known.pop(next(iter(known)))
+                known[contents] = equal_runs(*[Side(x, reference, sums) for x in sides.values()])
+            pairs = known[contents]
             if pairs:
                 yield pa.RecordBatch.from_pylist([{"sample": sample, "group": i, "truth": t, "called": c} for i, (t, c) in enumerate(pairs, 1)], schema)
 
@@ -270,7 +277,7 @@ def run_pairs(events: DataFrame, reference: str) -> DataFrame:
     schema = to_arrow_schema(StructType.fromDDL(out))
     # a stated number of tasks: the rows are few and the work is not, so they must not be drawn together
     tasks = max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), events.sparkSession.sparkContext.defaultParallelism)
-    return whole.repartition(tasks, "sample").sortWithinPartitions("sample").mapInArrow(found, out)
+    return whole.repartition(tasks, "sample").sortWithinPartitions("sample", "side", "at").mapInArrow(found, out)
 
 
 def run_events(events: DataFrame, reference: str) -> DataFrame:
