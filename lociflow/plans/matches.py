@@ -208,7 +208,9 @@ def document_differences(spark, d):
     t = t.withColumn("reads", F.col("reads") + (F.col("position") % 7 == 0).cast("int")).withColumn("forward_reads", F.col("forward_reads") - (F.col("position") % 11 == 0).cast("int"))
     topology = t.select("sample", "position", F.struct(*[x for x in t.columns if x not in ("sample", "position")]).alias("topology"))
     seen = o.groupBy("sample", "position").agg(F.collect_list(F.struct("read", "base", "reference", "forward")).alias("observations"))
-    documents = topology.join(seen, ["sample", "position"]).groupBy("sample").agg(F.collect_list(F.struct("position", "topology", "observations")).alias("loci"))
+    # a document of each 64 places: one of all places of a sample would be a row as large as the table
+    loci = topology.join(seen, ["sample", "position"]).groupBy("sample", F.floor(F.col("position") / 64).alias("part"))
+    documents = loci.agg(F.collect_list(F.struct("position", "topology", "observations")).alias("loci")).drop("part")
     return differences(documents)
 
 
