@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lociflow.functions import expressions as X
@@ -67,28 +67,38 @@ def sample_counters(loci: DataFrame, observations: DataFrame, calls: DataFrame |
     return out.fillna(0)
 
 
-def dense_numbers(values: DataFrame, column: str) -> DataFrame:
-    """(value, number): a number from 0 for each different value, without a gap and without a sort of all in one task: ranges are
-    sorted by themselves, and the values of the ranges before are counted."""
-    ranged = values.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct().repartitionByRange("value").sortWithinPartitions("value")
-    ranged = held(ranged.withColumn("__at", F.monotonically_increasing_id())).withColumn("__range", F.shiftright("__at", 33))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
-    ranges = ranged.groupBy("__range").agg(F.count("*").alias("n")).select(F.col("__range").alias("__r"), before.alias("__before"))
-    return ranged.join(ranges, F.col("__range") == F.col("__r")).select("value", (F.col("__before") + F.col("__at") - F.shiftleft("__range", 33)).alias("number"))
-
-
-def distinct_units(rows: DataFrame, keys: Sequence[str], units: dict[str, Column], sums: dict[str, Column] | None = None) -> DataFrame:
-    """For each group how many different values each unit has (nulls none), and sums. Values become dense numbers and a group's set
-    of them bitmaps, which are merged where rows are read: what is sent are bitmaps of 4 kB for each group, unit and 32,768
-    numbers it touches, not a row for each value. Two groups' bitmaps can be merged further without counting twice."""
-    named = rows.select(*keys, *[c.alias(f"__v{i}") for i, c in enumerate(units.values())])
-    for i in range(len(units)):
-        numbers = dense_numbers(named, f"__v{i}").select(F.col("value").alias(f"__v{i}"), F.col("number").alias(f"__n{i}"))
-        named = named.join(numbers, f"__v{i}", "left")
-    each = named.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("unit"), F.col(f"__n{i}").alias("number")) for i in range(len(units))])).alias("x")).where("x.number IS NOT NULL").select(*keys, "x.*")
-    bits = each.groupBy(*keys, "unit", F.bitmap_bucket_number(F.col("number") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("number") + 1)).alias("bits"))
-    counts = bits.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(F.col("unit") == i, F.bitmap_count("bits"))), F.lit(0)).alias(n) for i, n in enumerate(units)])
-    marked = counts.withColumnsRenamed({k: f"__{k}" for k in keys})
-    whole = rows.groupBy(*keys).agg(F.count("*").alias("rows"), *[c.alias(n) for n, c in (sums or {}).items()])
-    same = [whole[k].eqNullSafe(marked[f"__{k}"]) for k in keys]
-    return whole.join(marked, same, "left").drop(*[f"__{k}" for k in keys]).fillna(0, list(units))
+#: Groups whose numbers are sent to every task, and rows of a task that counts.
+SENT_GROUPS, COUNTED_ROWS = 100_000, 250_000
+
+
+def distinct_units(rows: DataFrame, keys: Sequence[str], units: dict[str, Column], sums: dict[str, Column] | None = None, parts: dict[str, Column] | None = None) -> DataFrame:
+    """For each group how many different values each unit has (nulls none), and sums. Groups are numbered once, so what is sent of a
+    row are its group's number and the values, not the keys; no row is joined to a number of its value.
+
+    `parts` names for a unit a part of its value, which may be its whole: units of one part are counted where its rows meet, by one
+    shuffle. A value lies in one task then, so the tasks' counts add up. Units without a part, or alone with it, are counted by an
+    aggregate that merges repeats before it sends them; so a part that few values share should not be named."""
+    parts, marks = parts or {}, {k: f"__k{i}" for i, k in enumerate(keys)}
+    groups = held(rows.groupBy(*keys).agg(F.count("*").alias("rows"), *[c.alias(n) for n, c in (sums or {}).items()]).withColumn("__g", F.monotonically_increasing_id()))
+    number, n_rows = groups.agg(F.count("*"), F.sum("rows")).first()
+    names = groups.select("__g", *[F.col(k).alias(m) for k, m in marks.items()])
+    values = {n: f"__v{i}" for i, n in enumerate(units)}
+    given = rows.select(*keys, *[c.alias(values[n]) for n, c in units.items()], *[c.alias(f"__p{values[n]}") for n, c in parts.items()])
+    numbered = given.join(F.broadcast(names) if number <= SENT_GROUPS else names, [given[k].eqNullSafe(names[m]) for k, m in marks.items()])
+    met: dict[str, list[str]] = {}
+    for n in units:
+        met.setdefault(str(parts[n]) if n in parts else f"alone {n}", []).append(n)
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), (n_rows or 0) // COUNTED_ROWS)
+    out = groups
+    for i, some in enumerate(met.values()):
+        if len(some) > 1:
+            part = f"__p{values[some[0]]}"
+            dealt = numbered.select("__g", F.col(part).alias("__part"), *[values[n] for n in some]).repartition(tasks, "__part")
+            # a row a unit by explode, which keeps the rows' tasks; the Expand of several distinct counts would shuffle them again
+            entry = lambda n: F.struct(F.lit(n).alias("__u"), *[(F.col(values[m]) if m == n else F.lit(None)).alias(values[m]) for m in some])
+            each = dealt.select("__g", "__part", F.explode(F.array(*[F.when(F.col(values[n]).isNotNull(), entry(n)) for n in some])).alias("__x")).where("__x IS NOT NULL").select("__g", "__part", "__x.*").distinct()
+            found = each.groupBy("__g").agg(*[F.count_if(F.col("__u") == n).alias(n) for n in some])
+        else:
+            found = numbered.groupBy("__g").agg(F.count_distinct(values[some[0]]).alias(some[0]))
+        out = out.join(found.withColumnRenamed("__g", f"__g{i}"), F.col("__g") == F.col(f"__g{i}"), "left").drop(f"__g{i}")
+    return out.select(*keys, "rows", *(sums or {}), *[F.coalesce(n, F.lit(0)).alias(n) for n in units])

@@ -197,7 +197,8 @@ def readiness_units(spark, d):
     )
     read = F.struct("k", "n")
     units = dict(zip(UNITS, (c("k"), F.when(c("fit"), c("k")), c("p"), F.when(c("q") > 25, c("p")), F.struct("p", "s"), c("s"), c("q"), read, F.when(c("q") > 10, read), F.struct("k", "tract")), strict=True))
-    return K.distinct_units(rows, UNIT_KEYS, units, {"candidates": F.sum("q")}).withColumnRenamed("rows", "windows")
+    parts = dict.fromkeys(("cases", "fit_cases", "reads", "phase_reads", "read_tracts"), c("k")) | dict.fromkeys(("source_groups", "specimen_groups", "pcr_replicates"), c("p"))
+    return K.distinct_units(rows, UNIT_KEYS, units, {"candidates": F.sum("q")}, parts).withColumnRenamed("rows", "windows")
 
 
 @query(B.with_sql("observations") + """ SELECT sample, 'loci[' || position || '].topology.' || field AS path, stored, recomputed FROM (SELECT sample, position, count(*) AS n, count(*) FILTER (forward) AS f FROM observations GROUP BY ALL) t, LATERAL (VALUES ('reads', n + 1, n, position % 7 = 0), ('forward_reads', f - 1, f, position % 11 = 0)) v(field, stored, recomputed, planted) WHERE planted""")

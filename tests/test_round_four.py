@@ -1,0 +1,18 @@
+"""Faults of the third review's second list, each on rows that showed it."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lociflow.operators import counters as K
+
+
+def test_units_of_one_part_meet_in_one_shuffle(spark):
+    rows = spark.range(20_000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 7 > 0, F.col("id") % 2).alias("h"), (F.col("id") % 901).alias("a"), (F.col("id") % 11).alias("b"))
+    pair = F.struct("a", "b")
+    units = {"a": F.col("a"), "some": F.when(F.col("b") > 4, F.col("a")), "pairs": pair, "b": F.col("b"), "none": F.lit(None).cast("int")}
+    got = K.distinct_units(rows, ["g", "h"], units, {"s": F.sum("b")}, dict.fromkeys(("a", "some", "pairs"), F.col("a")))
+    want = rows.groupBy("g", "h").agg(F.count("*").alias("rows"), F.sum("b").alias("s"), *[F.count_distinct(c).alias(n) for n, c in units.items()])
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "Expand" not in plan
