@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from lociflow.functions import expressions as X
 from lociflow.operators.held import held
 
-#: Rows of a group that one task may sort, and bins of a histogram.
-HOT_ROWS, BINS = 1_000_000, 1_024
+#: Rows of a group that one task may sort, bins of a histogram, and ranges or names of groups that are sent to every task.
+HOT_ROWS, BINS, SENT = 1_000_000, 1_024, 100_000
 
 
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -28,6 +28,12 @@ def _marked(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.withColumnsRenamed({k: f"__{k}" for k in keys})
 
 
+def _sent(small: DataFrame, n: int) -> DataFrame:
+    """A side of a join with the rows of large groups: sent to every task if it is small, since a join by group would bring a whole
+    group to one task."""
+    return F.broadcast(small) if n <= SENT else small
+
+
 def select_ranks(rows: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], bins: int = BINS) -> DataFrame:
     """(keys, one column for each share): the value of rank max(1, ceil(share * n)) among a group's n values. Nulls are left out;
     NaN is the largest value, as in an order by it. A group without values has no row."""
@@ -39,8 +45,8 @@ def select_ranks(rows: DataFrame, keys: Sequence[str], value: str, shares: dict[
     state = rows.groupBy(*keys).agg(F.count("*").alias("__n"), *ends(finite)).select("*", wanted)
     state = state.select(*keys, F.col("__s.name").alias("__name"), F.greatest(F.lit(1), F.ceil(F.col("__s.p") * F.col("__n"))).alias("__rank"), "__low", "__high", F.lit(True).alias("__open"), F.lit(True).alias("__whole"))
     state = held(state)
-    while not (left := state.where("__open")).isEmpty():
-        ranges = _marked(left, keys)
+    while n_open := state.where("__open").count():
+        ranges = _sent(_marked(state.where("__open"), keys), n_open)
         some = rows.join(ranges, _same(rows, ranges, keys) & (F.col("__whole") | F.col("__v").between(F.col("__low"), F.col("__high"))))
         low, high = F.col("__low").cast("double") / 2, F.col("__high").cast("double") / 2
         place = F.floor((real / 2 - low) / (high - low) * bins)
@@ -59,9 +65,9 @@ def grouped_ranks(rows: DataFrame, keys: Sequence[str], plain: Sequence[Column],
     either way gives the same value."""
     at_once = lambda some: some.groupBy(*keys).agg(*plain, *[X.nearest_rank(c, p).alias(n) for n, (c, p) in ranks.items()])
     hot = held(rows.groupBy(*keys).agg(F.count("*").alias("__m")).where(F.col("__m") > limit).drop("__m"))
-    if hot.isEmpty():
+    if not (n_hot := hot.count()):
         return at_once(rows)
-    names = _marked(hot, keys)
+    names = _sent(_marked(hot, keys), n_hot)
     few, many = (rows.join(names, _same(rows, names, keys), how) for how in ("left_anti", "left_semi"))
     out = many.groupBy(*keys).agg(*plain)
     for column in dict.fromkeys(c for c, _ in ranks.values()):
