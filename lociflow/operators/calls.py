@@ -235,7 +235,9 @@ def locus_evidence(traces: DataFrame, size: int = 10, keys: tuple[str, ...] = KE
 def trace_integrity(traces: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Spacing of the locations, clipped samples, and lengths of the vendor's evidence against the calls."""
     steps = F.transform(F.slice("ploc", 2, F.size("ploc") - 1), lambda p, i: p - F.get("ploc", i))
-    clipped = F.aggregate(F.flatten("channels"), F.lit(0), lambda a, v: a + (v.isin(32767, -32768)).cast("int"))
+    # compiled functions, not a lambda a sample
+    flat = F.flatten("channels")
+    clipped = F.size(flat) - F.size(F.array_remove(F.array_remove(flat, 32767), -32768))
     table = traces.where("error_class IS NULL AND size(ploc) >= 2").withColumn("__steps", steps)
     return table.select(
         *keys, F.size("ploc").alias("n_calls"), F.size(F.col("channels")[0]).alias("n_samples"), F.array_min("__steps").alias("min_spacing"), _median(F.col("__steps")).alias("median_spacing"),
