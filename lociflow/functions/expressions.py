@@ -30,6 +30,17 @@ def canonical(base: Column) -> Column:
     return F.coalesce(base.isin(*BASES), F.lit(False))
 
 
+def neighbour_counts(bases: Column) -> Column:
+    """array<struct<pair, n>>: how often each two letters stand side by side in a string of A, C, G and T alone, by lengths without a
+    pair. Two different letters can't overlap their like; a letter that is followed by itself is one that neither another letter
+    nor the end follows."""
+    n = lambda part: F.length(bases) - F.length(F.replace(bases, F.lit(part), F.lit("")))
+    pairs = {(a, b): (n(a + b) / 2).cast("long") for a in BASES for b in BASES if a != b}
+    entry = lambda pair, count: F.struct(F.lit(pair).alias("pair"), count.cast("long").alias("n"))
+    same = [entry(a + a, n(a) - (F.substr(bases, F.length(bases), F.lit(1)) == a).cast("int") - sum((pairs[a, b] for b in BASES if b != a), F.lit(0))) for a in BASES]
+    return F.array(*[entry(a + b, c) for (a, b), c in pairs.items()], *same)
+
+
 def iupac_code(bases: Column) -> Column:
     """Code of an array of one or two different bases; N for any other number."""
     pairs = {v: k for k, v in IUPAC.items() if len(v) <= 2}

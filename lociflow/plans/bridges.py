@@ -30,9 +30,11 @@ def sequences(spark: SparkSession, folder: str) -> DataFrame:
     letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
     whole = table(spark, folder, "documents").select("doc_id", F.translate(letters, LETTERS, CODES).alias("all")).where(F.length("all") > 0)
     n = F.greatest(F.floor(F.length("all") / READ), F.lit(1))
-    parts = whole.withColumn("n", n).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     start = lambda k: F.floor(F.length("all") * k / F.col("n"))
-    return parts.select("doc_id", "part", F.substr("all", (start(F.col("part")) + 1).cast("int"), (start(F.col("part") + 1) - start(F.col("part"))).cast("int")).alias("bases"))
+    cut = lambda k: F.substr("all", (start(k) + 1).cast("int"), (start(k + 1) - start(k)).cast("int"))
+    # the parts of a text at once: a row a part beside the whole text would grow with the square of its length
+    parts = whole.withColumn("n", n).select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), cut)).alias("part", "bases"))
+    return parts.select("doc_id", F.col("part").cast("long").alias("part"), "bases")
 
 
 def trace_files(spark: SparkSession, folder: str, mixed_call: int = 5, height: int = 400) -> DataFrame:

@@ -55,9 +55,9 @@ CODES_SQL = "CASE WHEN a = b THEN a WHEN least(a, b) || greatest(a, b) = 'AC' TH
 def iupac_codes(spark, d):
     """Codes of all pairs of neighbours."""
     s = B.sequences(spark, d).where("length(bases) > 1")
-    pairs = s.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("bases") - 1), lambda i: F.substr("bases", i, F.lit(2)))).alias("pair"))
-    counted = pairs.groupBy("doc_id", "pair").agg(F.count("*").alias("n"))  # few pairs a document, before the code is looked up
-    return counted.groupBy("doc_id", X.iupac_code(F.split("pair", "")).alias("code")).agg(F.sum("n").alias("pairs"))
+    # a row for each pair of letters of a sequence, not for each pair of neighbours
+    found = s.select("doc_id", X.neighbour_counts(F.col("bases")).alias("x")).select("doc_id", F.explode("x").alias("x")).select("doc_id", "x.*").where("n > 0")
+    return found.groupBy("doc_id", X.iupac_code(F.split("pair", "")).alias("code")).agg(F.sum("n").alias("pairs"))
 
 
 @query("""WITH t(code, bases) AS (VALUES ('A','A'),('C','C'),('G','G'),('T','T'),('M','AC'),('R','AG'),('W','AT'),('S','CG'),('Y','CT'),('K','GT'),('V','ACG'),('H','ACT'),('D','AGT'),('B','CGT'),('N','ACGT')),

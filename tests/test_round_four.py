@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lociflow.functions import expressions as X
+from lociflow.operators import calls as C
 from lociflow.operators import counters as K
+from lociflow.operators import ranks as N
+from lociflow.operators import samples as S
 
 
 def test_units_of_one_part_meet_in_one_shuffle(spark):
@@ -14,5 +18,32 @@ def test_units_of_one_part_meet_in_one_shuffle(spark):
     got = K.distinct_units(rows, ["g", "h"], units, {"s": F.sum("b")}, dict.fromkeys(("a", "some", "pairs"), F.col("a")))
     want = rows.groupBy("g", "h").agg(F.count("*").alias("rows"), F.sum("b").alias("s"), *[F.count_distinct(c).alias(n) for n, c in units.items()])
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
-    plan = got._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("REPARTITION_BY_NUM") == 1 and "Expand" not in plan
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Expand" not in plan
+
+
+def test_rows_of_large_groups_are_not_joined_by_group(spark):
+    rows = spark.range(3_000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7 % 997).cast("double").alias("v"))
+    got = N.grouped_ranks(rows, ["g"], [F.count("*").alias("n")], {"p50": ("v", 0.5), "p99": ("v", 0.99)}, limit=100)
+    want = rows.groupBy("g").agg(F.count("*").alias("n"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY v)").alias("p50"), F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY v)").alias("p99"))
+    assert sorted(got.collect()) == sorted(want.collect())
+    names = N._sent(rows.select("g").distinct(), 2)
+    assert "ResolvedHint" in names._jdf.queryExecution().analyzed().toString() and N._sent(rows, N.SENT + 1) is rows
+
+
+def test_clipped_samples_are_counted_without_a_lambda(spark):
+    channels = [[32767, 0, -32768], [1, 2, 3], [32767, 32767, 5], [0, 0, 0]]
+    traces = spark.createDataFrame([("a", channels, [0, 2], "AC", None, None)], "input_name string, channels array<array<int>>, ploc array<int>, vendor_primary string, vendor_quality binary, error_class string")
+    found = C.trace_integrity(traces, ("input_name",))
+    assert found.first().clipped_samples == 4
+    assert "aggregate(" not in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_neighbours_are_counted_in_their_sequence(spark):
+    texts = ["ACGT", "AAAA", "CAAC", "TT", "GATTACAAGGGC", "A"]
+    rows = spark.createDataFrame([(t,) for t in texts], "bases string")
+    for r in rows.select("bases", X.neighbour_counts(F.col("bases")).alias("x")).collect():
+        want = {}
+        for i in range(len(r.bases) - 1):
+            want[r.bases[i : i + 2]] = want.get(r.bases[i : i + 2], 0) + 1
+        assert {x.pair: x.n for x in r.x if x.n} == want
