@@ -1,8 +1,9 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 Such sets differ in a seventh of the bits of a SimHash fingerprint. A vantage-point tree can't help at that radius:
-unrelated texts lie at half the bits, give or take a sixteenth, so no branch is ever excluded. The fingerprints serve as
-a filter instead, and the links are exact:
+unrelated texts lie at half the bits, give or take a sixteenth, so no branch is ever excluded. So op8's vantage-point search
+ties only the rows whose 64-bit fingerprints differ in 2 bits or fewer; beyond that the fingerprints serve as a filter, and all
+links are exact:
 
 1 candidates share a shingle of their prefixes (rare shingles first); no pair of the similarity is missed by that
 2 fingerprints of BITS bits must not differ by more than MOST_BITS, which a pair of the similarity does less than once in
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 
 from lociflow.llm.shared import cut, passing, ship, uniform
 from lociflow.llm.simhash import components
+from lociflow.llm.simhash import links as tree_links
 from lociflow.llm.url_filter import build_filter, maybe_listed
 
 SEED = 42
@@ -440,25 +442,43 @@ class Verifier:
         return cut(both.where(similar(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"), "links"), tried
 
 
+def tree_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): what op8's vantage-point shards link among the 64-bit fingerprints of the rows (row, bits), as pairs of the first rows of
+    two fingerprints, and each row beside the first of its own."""
+    nodes = cut(rows.groupBy("bits").agg(F.min("row").alias("first")), "fingerprints")
+    found = cut(tree_links(nodes.select(F.col("bits").alias("fp"))), "tree-links")
+    side = lambda name: nodes.select(F.col("bits").alias(name), F.col("first").alias(f"{name}_row"))
+    met = found.join(side("a"), "a").join(side("b"), "b").select(F.least("a_row", "b_row").alias("a"), F.greatest("a_row", "b_row").alias("b"))
+    return met.unionByName(rows.join(nodes, "bits").where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))).distinct()
+
+
 def near_links(marked: DataFrame, texts: DataFrame, equal: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(a, b): links that tie the same sets as all pairs of a similarity of SIMILARITY or more do.
 
-    In the first turns a row meets a few rows of each bucket that the links found so far do not tie to it, so a large
+    First op8's search ties the rows whose 64-bit fingerprints lie near each other, as far as the exact similarity bears it out.
+    In the next turns a row meets a few rows of each bucket that the links found so far do not tie to it, so a large
     group of near copies grows together by few pairs. Then all pairs are tried that are still apart: none is missed."""
     buckets = with_blocks(cut(shared_buckets(marked, equal), "buckets"))
     judge, rooted = Verifier(marked, texts, size), buckets.withColumn("root", F.col("row"))
     rows, in_cells = buckets.agg(F.count("*"), F.sum("blocks")).first()
-    found, turn = None, 0
+
+    def with_roots(links: DataFrame) -> DataFrame:
+        roots = cut(components(links), "roots-so-far").withColumnRenamed("node", "__node")
+        return buckets.join(roots, F.col("row") == F.col("__node"), "left").withColumn("root", F.coalesce("root", "row"))
+
+    found, _ = judge.links(tree_pairs(marked.select("row", "bits").join(equal.select(F.col("a").alias("row")), "row", "left_anti")))
+    turn = 0
+    if not found.isEmpty():
+        rooted = with_roots(found)
     while True:
         parts = max(12, (rows if turn is not None else in_cells or 0) // PAIR_ROWS)
         new, tried = judge.links(near_pairs(rooted, turn, parts), MOST_BITS if turn is None else NEAR_BITS)
-        found = new if found is None else found.unionByName(new)
+        found = found.unionByName(new)
         if turn is None:
             return found
         linked = new.count()
         if linked:
-            roots = cut(components(found), "roots-so-far").withColumnRenamed("node", "__node")
-            rooted = buckets.join(roots, F.col("row") == F.col("__node"), "left").withColumn("root", F.coalesce("root", "row"))
+            rooted = with_roots(found)
         turn = turn + 1 if linked > LEAST_SHARE * tried and turn + 1 < TURNS else None
 
 
