@@ -62,13 +62,15 @@ ROW_BITS, PLACE_BITS = 28, 12
 BLOCK = 4_096
 #: Turns of single pairs at most, before all others are tried; a turn that links fewer than this share of its pairs ends them.
 TURNS, LEAST_SHARE = 3, 0.1
+#: Bits of a set's parities (parities()) at least and at most, and pairs whose parities are compared at a time.
+LEAST_PARITIES, MOST_PARITIES, COMPARED = 64, 2_048, 1 << 14
 #: Texts of an Arrow batch that a worker holds apart at a time, and bytes that are hashed at a time.
 ROWS = 128
 PIECE = 1 << 18
 BLANK = b" \t\n\x0b\x0c\r"
 LOWER = bytes(range(256)).lower()
 STEP = np.uint64(0x9E3779B97F4A7C15)
-MARK = "row long, k1 long, k2 long, h1 long, h2 long, n int, bits long, fp binary, prefix array<long>, deal array<int>"  # and the identifier, with its own type
+MARK = "row long, k1 long, k2 long, h1 long, h2 long, n int, bits long, fp binary, parity binary, prefix array<long>, deal array<int>"  # and the identifier, with its own type
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -132,6 +134,46 @@ def wide_fingerprint(shingles: np.ndarray) -> bytes:
     return np.packbits(2 * ones > len(shingles)).tobytes()
 
 
+def parity_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of the parities of sets of so many shingles: the power of two that holds two a shingle, within the limits."""
+    return np.clip(2 ** np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64), LEAST_PARITIES, MOST_PARITIES)
+
+
+def parities(shingles: np.ndarray) -> bytes:
+    """A bit for each remainder of the shingles: whether an odd number of them has it. A shingle that only one of two sets has turns
+    one bit, so sets differ in as many shingles as in bits at least. Parities of half the bits are those of both halves together."""
+    bits = int(parity_bits(np.array([len(shingles)]))[0])
+    return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+class Parities:
+    """The parities of a task's rows, and which pairs of them may be similar."""
+
+    def __init__(self, n: np.ndarray, parity: list[bytes]) -> None:
+        self.n, self.bits = n, parity_bits(n)
+        words = int(self.bits.max()) // 64
+        flat = b"".join(x.ljust(8 * words, b"\0") for x in parity)
+        self.whole = np.frombuffer(flat, np.uint64).reshape(len(n), words)
+
+    def of(self, rows: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """Parities of `bits` bits, which are the rows' own or half of them."""
+        found = self.whole[rows]
+        for own in np.unique(self.bits[rows][self.bits[rows] > bits]):
+            wide, half = np.flatnonzero((self.bits[rows] == own) & (bits < own)), own // 128
+            found[wide, :half] ^= found[wide, half : 2 * half]
+            found[wide, half:] = 0
+        return found
+
+    def may_be(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Sets of a similarity of 4/5 differ in a ninth of their sizes' sum at most."""
+        out = np.zeros(len(left), bool)
+        for at in range(0, len(left), COMPARED):
+            a, b = left[at : at + COMPARED], right[at : at + COMPARED]
+            bits = np.minimum(self.bits[a], self.bits[b])
+            out[at : at + COMPARED] = 9 * np.bitwise_count(self.of(a, bits) ^ self.of(b, bits)).sum(axis=1, dtype=np.int64) <= self.n[a] + self.n[b]
+        return out
+
+
 #: A number for each byte value; zero for blanks.
 CODES = np.where(np.isin(np.arange(256), list(BLANK)), np.uint64(0), mixed(np.arange(1, 257, dtype=np.uint64) * STEP))
 
@@ -208,11 +250,12 @@ def marked_rows(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
             row, _, token, rank = prefixes(n, (np.concatenate(sets) if sets else np.zeros(0, np.uint64)).view(np.int64), common)
             at = np.searchsorted(row, np.arange(1, len(sets)))
             found, deal = (np.split(x, at) if sets else [] for x in (token, blocks[rank]))
-            hashes, prints = [], []
+            hashes, prints, odd = [], [], []
             for i, x in enumerate(sets):
                 key = xxhash.xxh3_128_digest(x.tobytes())
                 hashes.append(key)
                 prints.append(wide_fingerprint(x))
+                odd.append(parities(x))
                 if key in seen:
                     found[i], deal[i] = found[i][:0], deal[i][:0]
                 seen.add(key)
@@ -220,7 +263,7 @@ def marked_rows(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
                 seen.clear()
             pair = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.arange(number, number + len(sets))), b.column(1), b.column(2), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(n.astype(np.int32)), pa.array(np.frombuffer(b"".join(prints), np.int64)[:: BITS // 64]), pa.array(prints, pa.binary()), listed(found), listed(deal, np.int32)],
+                [b.column(0), pa.array(np.arange(number, number + len(sets))), b.column(1), b.column(2), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(n.astype(np.int32)), pa.array(np.frombuffer(b"".join(prints), np.int64)[:: BITS // 64]), pa.array(prints, pa.binary()), pa.array(odd, pa.binary()), listed(found), listed(deal, np.int32)],
                 names=["id", *(x.split()[0] for x in MARK.split(", "))],
             )
             number += len(sets)
@@ -274,8 +317,9 @@ def apart(token: np.ndarray, root: np.ndarray) -> np.ndarray:
     return np.repeat(np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first), np.diff(np.append(first, len(token))))
 
 
-def bucket_pairs(token: np.ndarray, row: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, bits: np.ndarray, side: np.ndarray, turn: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one token and of different roots that may be similar by their sizes and the token's places.
+def bucket_pairs(token: np.ndarray, row: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, bits: np.ndarray, side: np.ndarray, turn: int | None, parity: list[bytes] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one token and of different roots that may be similar by their sizes, the token's places and, if given,
+    their parities.
 
     In a turn, each row meets ORDERS others at most: in each order of the fingerprints, turned round by some bits, the nearest
     of the next NEIGHBOURS rows that it may be similar to. Without a turn it meets all whose sizes are near enough. Rows of
@@ -295,12 +339,15 @@ def bucket_pairs(token: np.ndarray, row: np.ndarray, n: np.ndarray, place: np.nd
 
     if turn is None:
         token, row, n, place, root, bits, side = columns
+        odd = Parities(n, [parity[i] for i in order[held]]) if parity and len(n) else None
         left, step = np.arange(len(token)), 0
         while len(left):
             step += 1
             left = left[left + step < len(token)]
             left = left[(token[left] == token[left + step]) & (4 * n[left + step] <= 5 * n[left])]  # in order of size
             some = left[may_be(left, left + step)]
+            if odd:
+                some = some[odd.may_be(some, some + step)]
             yield pairs(some, some + step)
         return
     for i in range(turn * ORDERS, turn * ORDERS + ORDERS):
@@ -342,17 +389,34 @@ def cells(buckets: DataFrame, turn: int | None) -> DataFrame:
     return buckets.where("blocks = 1").select("token", *columns, alone).unionByName(several)
 
 
-def near_pairs(buckets: DataFrame, turn: int | None, parts: int) -> DataFrame:
-    """(a, b), a < b: bucket_pairs() of all buckets (token, row, n, place, root, bits, blocks), dealt to so many tasks."""
+def near_pairs(buckets: DataFrame, turn: int | None, parts: int, marked: DataFrame | None = None) -> DataFrame:
+    """(a, b), a < b: bucket_pairs() of all buckets (token, row, n, place, root, bits, blocks), dealt to so many tasks. Without a turn
+    the rows of cells of several roots get their parities from `marked`, so that a task itself sees that a pair is not similar."""
+    names = ["token", "row", "n", "place", "root", "bits", "side"]
 
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def columns(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
         parts = [b for b in batches if b.num_rows]
-        if parts:
-            token, row, n, place, root, bits, side = (np.concatenate([b.column(i).to_numpy() for b in parts]) for i in range(7))
-            for a, b in distinct_pairs(bucket_pairs(token, row, n.astype(np.int64), place.astype(np.int64), root, bits.view(np.uint64), side, turn)):
+        return [np.concatenate([b.column(i).to_numpy() for b in parts]) for i in range(7)] if parts else []
+
+    def loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if found := columns(batches):
+            order = np.argsort(found[0], kind="stable")
+            order = order[apart(found[0][order], found[4][order])]
+            yield pa.RecordBatch.from_arrays([pa.array(x[order]) for x in found], names=names)
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [b for b in batches if b.num_rows]
+        if batches:
+            token, row, n, place, root, bits, side = columns(batches)
+            parity = [x for b in batches for x in b.column(7).to_pylist()] if turn is None else None
+            for a, b in distinct_pairs(bucket_pairs(token, row, n.astype(np.int64), place.astype(np.int64), root, bits.view(np.uint64), side, turn, parity)):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return cells(buckets, turn).repartition(parts, "token").mapInArrow(paired, "a long, b long").distinct()
+    dealt = cells(buckets, turn).repartition(parts, "token")
+    if turn is None:
+        kept = cut(dealt.mapInArrow(loose, dealt.schema), "loose-rows")
+        dealt = kept.join(marked.select("row", "parity"), "row").select(*names, "parity").repartition(max(12, kept.count() // PAIR_ROWS), "token")
+    return dealt.mapInArrow(paired, "a long, b long").distinct()
 
 
 def distinct_pairs(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -472,7 +536,7 @@ def near_links(marked: DataFrame, texts: DataFrame, equal: DataFrame, size: int
         rooted = with_roots(found)
     while True:
         parts = max(12, (rows if turn is not None else in_cells or 0) // PAIR_ROWS)
-        new, tried = judge.links(near_pairs(rooted, turn, parts), MOST_BITS if turn is None else NEAR_BITS)
+        new, tried = judge.links(near_pairs(rooted, turn, parts, marked), MOST_BITS if turn is None else NEAR_BITS)
         found = found.unionByName(new)
         if turn is None:
             return found
