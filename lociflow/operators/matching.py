@@ -35,6 +35,8 @@ MAX_REFERENCE = 50_000
 PRIMES, POINTS = (2**31 - 1, 2**31 - 19), (1_178_406_263, 934_507_021)
 #: Candidates that are compared with all others at a time.
 BLOCK = 256
+#: Events of both sides that a task holds, about.
+HELD_EVENTS = 250_000
 
 
 class Repeats:
@@ -115,18 +117,30 @@ def with_form(events: DataFrame, reference: str, circular: bool = False, positio
     return told.withColumn("form", F.when(F.col("__form.first").isNotNull(), F.col("__form"))).drop("__form")
 
 
-def paired(truth: DataFrame, called: DataFrame, keys: Sequence[str]) -> DataFrame:
+def task_count(*events: DataFrame) -> int:
+    """Tasks among which events are dealt, in proportion to their number: adaptive execution would put as many in a task as fit
+    its size of a shuffle, and a fixed number of tasks would hold more the more events there are."""
+    return max(events[0].sparkSession.sparkContext.defaultParallelism, -(-sum(e.count() for e in events) // HELD_EVENTS))
+
+
+def paired(truth: DataFrame, called: DataFrame, keys: Sequence[str], tasks: int) -> DataFrame:
     """(sample, truth, called): one-to-one pairs of `at` that agree in all keys. Several of one key meet in their order, without
-    all pairs of them; an event that several rows name (one for each alternate) takes the first it meets."""
-    w = Window.partitionBy("sample", *keys).orderBy("at")
-    side = lambda rows, name: rows.select("sample", *keys, F.col("at").alias(name), F.row_number().over(w).alias("__n"))
-    met = side(truth, "truth").join(side(called, "called"), ["sample", *keys, "__n"])
+    all pairs of them; an event that several rows name (one for each alternate) takes the first it meets. Both sides meet in one
+    shuffle by their keys, and the pairs in one by sample."""
+    by = ["sample", *keys]
+    side = lambda rows, name: rows.select(*by, "at", F.lit(name).alias("__side")).dropna(subset=by)
+    both = side(truth, "truth").unionByName(side(called, "called")).repartition(tasks, *by)
+    both = both.withColumn("__n", F.row_number().over(Window.partitionBy(*by, "__side").orderBy("at")))
+    of = lambda name: F.col("__side") == name
+    met = both.groupBy(*by, "__n").agg(F.max(F.when(of("truth"), F.col("at"))).alias("truth"), F.max(F.when(of("called"), F.col("at"))).alias("called"), F.count("*").alias("__both"))
+    met = met.where("__both = 2").select("sample", "truth", "called").repartition(tasks, "sample")
     return met.groupBy("sample", "truth").agg(F.min("called").alias("called")).groupBy("sample", "called").agg(F.min("truth").alias("truth")).select("sample", "truth", "called")
 
 
-def without(events: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
-    """Events whose place is not in a pair."""
-    return events.join(pairs.select("sample", F.col(side).alias("at")), ["sample", "at"], "left_anti")
+def without(events: DataFrame, places: DataFrame, tasks: int) -> DataFrame:
+    """Events whose place (sample, at) is not among those given."""
+    dealt = lambda rows: rows.repartition(tasks, "sample", "at")
+    return dealt(events).join(dealt(places), ["sample", "at"], "left_anti")
 
 
 class Side:
@@ -243,14 +257,14 @@ def equal_runs(truth: Side, called: Side) -> list[tuple[list[int], list[int]]]:
     return [(truth.at[a : b + 1].tolist(), called.at[c : d + 1].tolist()) for a, b, c, d in sorted(alone)]
 
 
-def run_pairs(events: DataFrame, reference: str) -> DataFrame:
+def run_pairs(events: DataFrame, reference: str, tasks: int | None = None) -> DataFrame:
     """(sample, group, truth, called): arrays of places of equal_runs(), numbered from 1, among the events (sample, side, at, position, reference,
     alternate) that nothing else has matched. Only samples with both sides are sent; one sample's such events fit a
     worker, whose work grows with the square of the longest unbroken stretch of them."""
     ship(events.sparkSession)
     if len(reference) > MAX_REFERENCE:
         raise ValueError(f"{len(reference)} bases; at most {MAX_REFERENCE}")
-    both = events.groupBy("sample").agg(F.count_if(F.col("side") == "truth").alias("t"), F.count_if(F.col("side") == "called").alias("c")).where("t > 0 AND c > 0 AND t + c > 2").select("sample")
+    n = lambda side: F.count_if(F.col("side") == side).over(Window.partitionBy("sample"))
     kind = events.schema["sample"].dataType.simpleString()
     columns = ["sample", "side", "at", "position", "reference", "alternate"]
 
@@ -265,12 +279,13 @@ def run_pairs(events: DataFrame, reference: str) -> DataFrame:
             if pairs:
                 yield pa.RecordBatch.from_pylist([{"sample": sample, "group": i, "truth": t, "called": c} for i, (t, c) in enumerate(pairs, 1)], schema)
 
-    whole = events.where("at IS NOT NULL AND position IS NOT NULL AND alternate IS NOT NULL").select(*columns).join(both, "sample", "left_semi")
     out = f"sample {kind}, group int, truth array<int>, called array<int>"
     schema = to_arrow_schema(StructType.fromDDL(out))
     # a stated number of tasks: the rows are few and the work is not, so they must not be drawn together
-    tasks = max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), events.sparkSession.sparkContext.defaultParallelism)
-    return whole.repartition(tasks, "sample").sortWithinPartitions("sample").mapInArrow(found, out)
+    tasks = tasks or max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), task_count(events))
+    told = events.select(*columns).where("sample IS NOT NULL").repartition(tasks, "sample").withColumns({"t": n("truth"), "c": n("called")}).where("t > 0 AND c > 0 AND t + c > 2")
+    whole = told.where("at IS NOT NULL AND position IS NOT NULL AND alternate IS NOT NULL").select(*columns)
+    return whole.sortWithinPartitions("sample").mapInArrow(found, out)
 
 
 def run_events(events: DataFrame, reference: str) -> DataFrame:
@@ -286,21 +301,25 @@ def compare(truth: DataFrame, called: DataFrame, reference: str, circular: bool
     both sides. An event with several alternates allows any of them, and is in no run. Each step's pairs are held, since all
     later ones read them."""
     each = truth.withColumn("alternate", F.explode("alternates"))
-    exact = held(paired(each, called, ["kind", "position", "reference", "alternate"]))
-    rest_t, rest_c = without(each, exact, "truth"), without(called, exact, "called")
+    tasks = task_count(truth, called)
+    exact = held(paired(each, called, ["kind", "position", "reference", "alternate"], tasks))
+    places = lambda pairs, side: pairs.select("sample", F.col(side).alias("at"))
+    rest_t, rest_c = without(each, places(exact, "truth"), tasks), without(called, places(exact, "called"), tasks)
     form = ["form.first", "form.removed", "form.added"]
     flat = lambda rows: with_form(rows, reference, circular).where("form IS NOT NULL").select("sample", "at", *form)
-    equal = held(paired(flat(rest_t), flat(rest_c), ["first", "removed", "added"]))
-    rest_t, rest_c = without(rest_t, equal, "truth"), without(rest_c, equal, "called")
+    equal = held(paired(flat(rest_t), flat(rest_c), ["first", "removed", "added"], tasks))
+    pairs = exact.unionByName(equal)
     columns = ["sample", "at", "position", "reference", "alternate"]
-    single = rest_t.where(F.size("alternates") == 1).select(*columns, F.lit("truth").alias("side"))
-    runs = held(run_pairs(single.unionByName(rest_c.select(*columns, F.lit("called").alias("side"))), reference))
+    rest = lambda rows, side: without(rows, places(pairs, side), tasks).select(*columns, F.lit(side).alias("side"))
+    runs = held(run_pairs(rest(each.where(F.size("alternates") == 1), "truth").unionByName(rest(called, "called")), reference, tasks))
     single_pairs = lambda pairs, status: pairs.select("sample", F.lit(status).alias("status"), F.array(F.col("truth").cast("int")).alias("truth"), F.array(F.col("called").cast("int")).alias("called"))
     met = single_pairs(exact, "exact").unionByName(single_pairs(equal, "equivalent")).unionByName(runs.select("sample", F.lit("group").alias("status"), "truth", "called"))
     none = F.array().cast("array<int>")
-    seen = lambda side: met.select("sample", F.explode(side).alias("at"))
-    missing = truth.join(seen("truth"), ["sample", "at"], "left_anti").select("sample", F.lit("missing").alias("status"), F.array(F.col("at").cast("int")).alias("truth"), none.alias("called"))
-    extra = called.join(seen("called"), ["sample", "at"], "left_anti").select("sample", F.lit("extra").alias("status"), none.alias("truth"), F.array(F.col("at").cast("int")).alias("called"))
+    # the places of pairs are columns already; only those of runs are made of arrays
+    seen = lambda side: places(pairs, side).unionByName(runs.select("sample", F.explode(side).alias("at")))
+    left = lambda rows, side: without(rows.select("sample", "at"), seen(side), tasks)
+    missing = left(truth, "truth").select("sample", F.lit("missing").alias("status"), F.array(F.col("at").cast("int")).alias("truth"), none.alias("called"))
+    extra = left(called, "called").select("sample", F.lit("extra").alias("status"), none.alias("truth"), F.array(F.col("at").cast("int")).alias("called"))
     return met.unionByName(missing).unionByName(extra)
 
 

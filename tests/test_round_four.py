@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lociflow.functions import expressions as X
 from lociflow.operators import calls as C
 from lociflow.operators import counters as K
+from lociflow.operators import matching as M
 from lociflow.operators import ranks as N
 from lociflow.operators import samples as S
 
@@ -47,3 +48,25 @@ def test_neighbours_are_counted_in_their_sequence(spark):
         for i in range(len(r.bases) - 1):
             want[r.bases[i : i + 2]] = want.get(r.bases[i : i + 2], 0) + 1
         assert {x.pair: x.n for x in r.x if x.n} == want
+
+
+def test_events_are_dealt_in_proportion_to_their_number(spark, monkeypatch):
+    monkeypatch.setattr(M, "HELD_EVENTS", 50)
+    rows = spark.range(300).select((F.col("id") % 90).alias("sample"), F.col("id").cast("int").alias("at"), F.lit("SNV").alias("kind"), (F.col("id") % 4 + 1).cast("int").alias("position"), F.lit("A").alias("reference"), F.when(F.col("id") % 5 == 0, "C").otherwise("G").alias("alternate"))
+    truth, called = rows.where("id % 7 > 0").withColumn("alternates", F.array("alternate")).drop("alternate"), rows.where("id % 11 > 0")
+    tasks = M.task_count(truth, called)
+    assert tasks == -(-(257 + 272) // 50) > spark.sparkContext.defaultParallelism
+    keys = ["position", "alternate"]
+    found = M.paired(truth.withColumn("alternate", F.explode("alternates")), called, keys, tasks)
+    # the place in the order of equal keys, by plain Python
+    sides = [{}, {}]
+    for i in range(300):
+        key = (i % 90, i % 4 + 1, i % 5 == 0)
+        for side, n in zip(sides, (7, 11), strict=True):
+            if i % n:
+                side.setdefault(key, []).append(i)
+    want = sorted((k[0], a, b) for k in sides[0] for a, b in zip(sides[0][k], sides[1].get(k, []), strict=False))
+    assert sorted(map(tuple, found.collect())) == want
+    assert found.rdd.getNumPartitions() == tasks
+    plan = M.compare(truth, called, "AAAA")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f"RepartitionByExpression [sample#") == plan.count(f", {tasks}") > 0
