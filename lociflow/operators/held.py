@@ -1,4 +1,5 @@
-"""Tables that an iteration reads again and again: their lineage ends in the shared folder, so lost executors lose nothing."""
+"""Tables that an iteration reads again and again: their lineage ends in the shared folder, so lost executors lose nothing. And how
+many tasks share the rows of a table."""
 
 from __future__ import annotations
 
@@ -26,3 +27,9 @@ def held(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def task_count(most: int, *tables: DataFrame) -> int:
+    """Tasks among which the rows of all tables are dealt, about `most` a task: adaptive execution would put as many in a task as fit
+    its size of a shuffle, however wide they become there, and a fixed number of tasks would hold more the more rows there are."""
+    return max(tables[0].sparkSession.sparkContext.defaultParallelism, -(-sum(t.count() for t in tables) // most))

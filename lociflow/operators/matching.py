@@ -28,6 +28,7 @@ from pyspark.sql.types import StructType
 
 from lociflow.functions import expressions as X
 from lociflow.operators.held import held
+from lociflow.operators.held import task_count as proportional
 from lociflow.sources.shipping import ship
 
 #: Bases of a reference at most; it is sent to every worker.
@@ -118,9 +119,7 @@ def with_form(events: DataFrame, reference: str, circular: bool = False, positio
 
 
 def task_count(*events: DataFrame) -> int:
-    """Tasks among which events are dealt, in proportion to their number: adaptive execution would put as many in a task as fit
-    its size of a shuffle, and a fixed number of tasks would hold more the more events there are."""
-    return max(events[0].sparkSession.sparkContext.defaultParallelism, -(-sum(e.count() for e in events) // HELD_EVENTS))
+    return proportional(HELD_EVENTS, *events)
 
 
 def paired(truth: DataFrame, called: DataFrame, keys: Sequence[str], tasks: int) -> DataFrame:

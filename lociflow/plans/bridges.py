@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lociflow.operators.held import task_count
 from lociflow.sources import abif
 from lociflow.sources.shipping import ship_bounded
 
@@ -74,9 +75,14 @@ def observations(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Events of a task, about. What follows is keyed by user and stays in the task, and a candidate offset makes fifty rows of one.
+EVENTS = 100_000
+
+
 def series(spark: SparkSession, folder: str) -> DataFrame:
     """(user_id, i, v, base): a user's events in order as one channel."""
     e = table(spark, folder, "events")
+    e = e.repartition(task_count(EVENTS, e), "user_id")
     i = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     base = F.expr("CASE event_type WHEN 'click' THEN 'A' WHEN 'view' THEN 'C' WHEN 'signup' THEN 'G' WHEN 'purchase' THEN 'T' ELSE 'N' END")
     return e.select("user_id", i.cast("long").alias("i"), F.floor("value").cast("long").alias("v"), base.alias("base"), "event_id")

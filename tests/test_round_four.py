@@ -10,6 +10,8 @@ from lociflow.operators import counters as K
 from lociflow.operators import matching as M
 from lociflow.operators import ranks as N
 from lociflow.operators import samples as S
+from lociflow.plans import bridges as B
+from lociflow.plans import catalog
 
 
 def test_units_of_one_part_meet_in_one_shuffle(spark):
@@ -70,3 +72,13 @@ def test_events_are_dealt_in_proportion_to_their_number(spark, monkeypatch):
     assert found.rdd.getNumPartitions() == tasks
     plan = M.compare(truth, called, "AAAA")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(f"RepartitionByExpression [sample#") == plan.count(f", {tasks}") > 0
+
+
+def test_events_of_users_are_dealt_in_proportion_to_their_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(B, "EVENTS", 100)
+    kinds = F.element_at(F.array(*map(F.lit, ("click", "view", "signup", "purchase"))), (F.col("id") * 7 % 4 + 1).cast("int"))
+    spark.range(2_000).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"), (F.col("id") % 37).alias("user_id"), kinds.alias("event_type"), (F.col("id") % 91).cast("double").alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    found = catalog.queries()["persistence"](spark, str(tmp_path))
+    assert found.count() > 0
+    # all steps stay where the users were dealt to, so none of them grows with the table
+    assert found.rdd.getNumPartitions() == 20 > spark.sparkContext.defaultParallelism
