@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lociflow.functions import expressions as X
+from lociflow.operators.held import held
 from lociflow.operators.windows import running
 
 #: What a line holds, and which of it is the same in all lines of a file. The names are fixed values of the format.
@@ -33,13 +34,14 @@ def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def measurement_rows(lines: DataFrame, case: str, width: int = 65_536) -> DataFrame:
     """(file, case, line_no, row, position, before, first): the parsed line (null if it is no JSON object), its position, the one
-    that stands before it in the file, and the identity of the file's first line that has one."""
+    that stands before it in the file, and the identity of the file's first line that has one. The parsed lines are held, since
+    several steps here and all rules read them: a line is parsed once."""
     blank = F.trim("line") == ""
     is_object = F.ltrim("line").startswith("{")
     parsed = F.when(~blank & is_object & F.try_parse_json("line").isNotNull(), F.from_json("line", ROW))
     rows = lines.select("file", F.col(case).alias("case"), "line_no", blank.alias("blank"), parsed.alias("row"))
     whole = F.when(F.col("row.position_1based").rlike("^-?[0-9]+$"), F.col("row.position_1based").try_cast("long"))
-    rows = rows.withColumn("position", whole)
+    rows = held(rows.withColumn("position", whole))
     told = running(rows, ["file"], "line_no", width, latest={"before": F.col("position")}, inclusive=False)
     named = F.when(F.col("row").isNotNull(), F.struct(*[F.col(f"row.{n}") for n in IDENTITY]))
     firsts = rows.groupBy("file").agg(F.min_by(named, F.when(F.col("row").isNotNull(), F.col("line_no"))).alias("first"))

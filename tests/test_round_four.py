@@ -12,6 +12,7 @@ from lociflow.operators import ranks as N
 from lociflow.operators import samples as S
 from lociflow.plans import bridges as B
 from lociflow.plans import catalog
+from lociflow.sources import measurements
 
 
 def test_units_of_one_part_meet_in_one_shuffle(spark):
@@ -82,3 +83,12 @@ def test_events_of_users_are_dealt_in_proportion_to_their_number(spark, tmp_path
     assert found.count() > 0
     # all steps stay where the users were dealt to, so none of them grows with the table
     assert found.rdd.getNumPartitions() == 20 > spark.sparkContext.defaultParallelism
+
+
+def test_measurement_lines_are_parsed_once(spark):
+    line = '{"schema_version": "x", "sample_id": "c", "position_1based": "%d", "signal_version": "1", "reads": "1", "observations": [{"read_sha256": "r"}]}'
+    lines = spark.createDataFrame([("f", "c", i, line % p) for i, p in enumerate((3, 5, 4), 1)] + [("f", "c", 4, "{")], "file string, sample string, line_no long, line string")
+    rows = measurements.measurement_rows(lines, "sample")
+    found = measurements.row_faults(rows, spark.createDataFrame([("c", "r")], "case string, read_sha256 string"), "x")
+    assert sorted((r.line_no, r.rule) for r in found.collect() if r.rule in ("position does not increase", "no JSON object")) == [(3, "position does not increase"), (4, "no JSON object")]
+    assert not any(f in found._jdf.queryExecution().optimizedPlan().toString().lower() for f in ("parse_json", "parsejson", "from_json", "jsontostructs"))
