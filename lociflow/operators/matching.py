@@ -15,7 +15,7 @@ A null or wrong reference allele, or a position outside, gives an event no form
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import groupby
+from itertools import groupby, repeat
 from operator import itemgetter
 
 import numpy as np
@@ -36,6 +36,8 @@ MAX_REFERENCE = 50_000
 PRIMES, POINTS = (2**31 - 1, 2**31 - 19), (1_178_406_263, 934_507_021)
 #: Candidates that are compared with all others at a time.
 BLOCK = 256
+#: Samples are worked on together until the squares of their events, which bound their runs, come to so many.
+RUNS = 262_144
 #: Events of both sides that a task holds, about.
 HELD_EVENTS = 250_000
 
@@ -143,23 +145,25 @@ def without(events: DataFrame, places: DataFrame, tasks: int) -> DataFrame:
 
 
 class Side:
-    """Events of one side of a sample in the order of their places, and the hashes of their runs."""
+    """Events of one side in the order of their samples and places, and the hashes of their runs, which stay within a sample.
+    `samples` numbers the sample of each row; without it all are of one."""
 
-    def __init__(self, rows: list[tuple[int, int, str, str]], reference: str, sums: np.ndarray) -> None:
-        self.rows = [r for r in sorted(rows) if r[2] and 0 < r[1] and reference[r[1] - 1 : r[1] - 1 + len(r[2])] == r[2]]
+    def __init__(self, rows: list[tuple[int, int, str, str]], reference: str, sums: np.ndarray, samples: Sequence[int] | None = None) -> None:
+        told = zip(samples if samples is not None else repeat(0), rows, strict=samples is not None)
+        self.rows = sorted((s, *r) for s, r in told if r[2] and 0 < r[1] and reference[r[1] - 1 : r[1] - 1 + len(r[2])] == r[2])
         self.reference, self.sums = reference, sums
-        self.at = np.array([r[0] for r in self.rows], np.int64)
-        self.start = np.array([r[1] - 1 for r in self.rows], np.int64)
-        self.end = self.start + np.array([len(r[2]) for r in self.rows], np.int64)
-        self.longer = np.array([len(r[3]) - len(r[2]) for r in self.rows], np.int64)
-
-    def stretches(self) -> Iterator[tuple[int, int]]:
-        """Maximal rows of events with places one after the other that do not overlap."""
-        if not len(self.at):
-            return
-        cut = np.flatnonzero((np.diff(self.at) != 1) | (self.start[1:] < self.end[:-1])) + 1
-        edges = [0, *cut.tolist(), len(self.at)]
-        yield from zip(edges[:-1], edges[1:], strict=True)
+        self.sample, self.at, position = (np.array([r[k] for r in self.rows], np.int64) for k in range(3))
+        self.start = position - 1
+        self.end = self.start + np.array([len(r[3]) for r in self.rows], np.int64)
+        self.put = np.array([len(r[4]) for r in self.rows], np.int64)
+        self.starts, self.ends = self.start.tolist(), self.end.tolist()
+
+    def stretches(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first, behind the last) for each event: of the maximal row of events of its sample, with places one after the other
+        that do not overlap, in which it is."""
+        cut = np.flatnonzero((np.diff(self.sample) != 0) | (np.diff(self.at) != 1) | (self.start[1:] < self.end[:-1])) + 1
+        edges = np.concatenate([[0], cut, [len(self.at)]])
+        return tuple(np.repeat(x, np.diff(edges)) for x in (edges[:-1], edges[1:]))
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, first, last) of every run, by index of the event.
@@ -167,34 +171,51 @@ class Side:
         With c the bases gained before an event, a run from i to j spells sum(base * x ** place) = S(start i) + x ** -c(i) * (T(j) -
         T(i) + U(j)): S are the reference's prefix sums, T those of each event and the reference up to the next, U the last
         event and the rest of the reference."""
-        keys, firsts, lasts = [], [], []
-        for a, b in self.stretches():
-            i, j = np.triu_indices(b - a)
-            gained = np.cumsum(np.append(0, self.longer[a:b]))
-            hashed = np.zeros(len(i), np.uint64)
-            for which, (p, x) in enumerate(zip(PRIMES, POINTS, strict=True)):
-                power = np.array([pow(x, int(e), p) for e in gained], np.int64)
-                back = np.array([pow(x, -int(e), p) for e in gained], np.int64)
-                new = np.array([pow(x, int(s), p) * sum(c * pow(x, k, p) for k, c in enumerate(r[3].encode("latin-1"))) % p for s, r in zip(self.start[a:b], self.rows[a:b], strict=True)], np.int64)
-                s = self.sums[which]
-                event = power[:-1] * new % p
-                to_next = power[1:-1] * ((s[self.start[a + 1 : b]] - s[self.end[a : b - 1]]) % p) % p
-                rest = (event + power[1:] * ((s[-1] - s[self.end[a:b]]) % p)) % p
-                before = np.append(0, np.cumsum((event[:-1] + to_next) % p))
-                value = (s[self.start[a:b]][i] + back[i] * ((before[j] - before[i] + rest[j]) % p)) % p
-                hashed = hashed << np.uint64(31) | value.astype(np.uint64)
-            keys.append(hashed)
-            firsts.append(i + a)
-            lasts.append(j + a)
-        none = np.zeros(0, np.int64)
-        return tuple(np.concatenate(x) if x else none for x in (keys, firsts, lasts))
-
-    def spelled(self, first: int, last: int) -> str:
-        out, at = [], 0
+        if not len(self.at):
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        first, behind = self.stretches()
+        index = np.arange(len(self.at))
+        i = np.repeat(index, behind - index)
+        j = i + _within(behind - index)
+        total = np.append(0, np.cumsum(self.put - (self.end - self.start)))
+        before, after = total[:-1] - total[first], total[1:] - total[first]
+        codes = np.frombuffer("".join(r[4] for r in self.rows).encode("latin-1"), np.uint8).astype(np.int64)
+        place, edge = _within(self.put), np.append(0, np.cumsum(self.put))
+        following = np.append(self.start[1:], self.end[-1:])  # of the last of a stretch no run reads it
+        hashed = np.zeros(len(i), np.uint64)
+        for s, p, x in zip(self.sums, PRIMES, POINTS, strict=True):
+            spelt = np.append(0, np.cumsum(codes * _powers(x, place, p) % p))
+            new = _powers(x, self.start, p) * ((spelt[edge[1:]] - spelt[edge[:-1]]) % p) % p
+            event, power = _powers(x, before, p) * new % p, _powers(x, after, p)
+            rest = (event + power * ((s[-1] - s[self.end]) % p)) % p
+            to_next = power * ((s[following] - s[self.end]) % p) % p
+            sums = np.append(0, np.cumsum((event + to_next) % p))
+            value = (s[self.start][i] + _powers(x, -before, p)[i] * ((sums[j] - sums[i] + rest[j]) % p)) % p
+            hashed = hashed << np.uint64(31) | value.astype(np.uint64)
+        return hashed, i, j
+
+    def spelled(self, first: int, last: int, low: int, high: int) -> str:
+        """The bases from low to high, which hold the run's, with the run in them."""
+        out, at = [], low
         for k in range(first, last + 1):
-            out += [self.reference[at : self.start[k]], self.rows[k][3]]
-            at = self.end[k]
-        return "".join([*out, self.reference[at:]])
+            out += [self.reference[at : self.starts[k]], self.rows[k][4]]
+            at = self.ends[k]
+        return "".join([*out, self.reference[at:high]])
+
+    def places(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, values) of the places of the events from first to last, a list for each."""
+        n = last - first + 1
+        return np.append(0, np.cumsum(n)), self.at[np.repeat(first, n) + _within(n)]
+
+
+def _within(lengths: np.ndarray) -> np.ndarray:
+    """0, 1 ... of each length, one after the other."""
+    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def _powers(x: int, exponents: np.ndarray, p: int) -> np.ndarray:
+    some, which = np.unique(exponents, return_inverse=True)
+    return np.array([pow(x, e, p) for e in some.tolist()], np.int64)[which]
 
 
 def prefix_sums(reference: str) -> np.ndarray:
@@ -227,39 +248,62 @@ def least_pairs(pairs: np.ndarray) -> np.ndarray:
     if not len(pairs):
         return pairs
     pairs = _first_of_each(_first_of_each(pairs, (0, 2), (1, 3), 1), (1, 3), (0, 2), -1)
+    # what lies within a pair begins where its truth does or behind, and not behind its end
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    low, high = np.searchsorted(pairs[:, 0], pairs[:, 0]), np.searchsorted(pairs[:, 0], pairs[:, 1], side="right")
     held = []
     for at in range(0, len(pairs), BLOCK):
-        p = pairs[at : at + BLOCK, None, :]
-        within = (pairs[None, :, 0] >= p[..., 0]) & (pairs[None, :, 1] <= p[..., 1]) & (pairs[None, :, 2] >= p[..., 2]) & (pairs[None, :, 3] <= p[..., 3])
+        p, others = pairs[at : at + BLOCK, None, :], pairs[None, low[at] : high[at : at + BLOCK].max(), :]
+        within = (others[..., 0] >= p[..., 0]) & (others[..., 1] <= p[..., 1]) & (others[..., 2] >= p[..., 2]) & (others[..., 3] <= p[..., 3])
         held.append(within.sum(axis=1) == 1)  # itself
     return pairs[np.concatenate(held)]
 
 
-def equal_runs(truth: Side, called: Side) -> list[tuple[list[int], list[int]]]:
-    """Places of the events of each pair of runs that spell the same sequence, unlike one event against one; a pair has no other
-    within it, and none of its events is in another."""
+def _alone(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """Which runs share none of their events, of n, with another."""
+    uses = np.cumsum(np.bincount(first, minlength=n + 1) - np.bincount(last + 1, minlength=n + 1))
+    shared = np.append(0, np.cumsum(uses > 1))
+    return shared[last + 1] == shared[first]
+
+
+def _equal_runs(truth: Side, called: Side) -> np.ndarray:
+    """Rows (truth first, truth last, called first, called last) of equal_runs(), by index of the event, in their order."""
     th, ti, tj = truth.runs()
     ch, ci, cj = called.runs()
+    # a number for each hash of a sample, in place of the two
+    key, of = np.concatenate([th, ch]), np.concatenate([truth.sample[ti], called.sample[ci]])
+    order = np.lexsort((key, of))
+    key, of = key[order], of[order]
+    number = np.zeros(len(order), np.int64)
+    number[order[1:]] = np.cumsum((key[1:] != key[:-1]) | (of[1:] != of[:-1]))
+    th, ch = number[: len(th)], number[len(th) :]
     order = np.argsort(th, kind="stable")
-    first, n = np.searchsorted(th[order], ch), np.searchsorted(th[order], ch, side="right") - np.searchsorted(th[order], ch)
+    first = np.searchsorted(th[order], ch)
+    n = np.searchsorted(th[order], ch, side="right") - first
     row = np.repeat(np.arange(len(ch)), n)
-    other = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
-    pairs = np.stack([ti[other], tj[other], ci[row], cj[row]], axis=1) if len(row) else np.zeros((0, 4), np.int64)
-    pairs = pairs[(pairs[:, 0] < pairs[:, 1]) | (pairs[:, 2] < pairs[:, 3])]
-    pairs = least_pairs(pairs)
-    pairs = pairs[[truth.spelled(a, b) == called.spelled(c, d) for a, b, c, d in pairs.tolist()]] if len(pairs) else pairs
-    uses_t, uses_c = np.zeros(len(truth.at) + 1, np.int64), np.zeros(len(called.at) + 1, np.int64)
-    for a, b, c, d in pairs.tolist():
-        uses_t[a : b + 1] += 1
-        uses_c[c : d + 1] += 1
-    alone = [(a, b, c, d) for a, b, c, d in pairs.tolist() if uses_t[a : b + 1].max() == 1 == uses_c[c : d + 1].max()]
-    return [(truth.at[a : b + 1].tolist(), called.at[c : d + 1].tolist()) for a, b, c, d in sorted(alone)]
+    other = order[_within(n) + np.repeat(first, n)]
+    pairs = np.stack([ti[other], tj[other], ci[row], cj[row]], axis=1)
+    pairs = least_pairs(pairs[(pairs[:, 0] < pairs[:, 1]) | (pairs[:, 2] < pairs[:, 3])])
+
+    def same(a: int, b: int, c: int, d: int) -> bool:
+        low, high = min(truth.starts[a], called.starts[c]), max(truth.ends[b], called.ends[d])
+        return truth.spelled(a, b, low, high) == called.spelled(c, d, low, high)
+
+    pairs = pairs[np.array([same(*x) for x in pairs.tolist()], bool)]
+    pairs = pairs[_alone(pairs[:, 0], pairs[:, 1], len(truth.at)) & _alone(pairs[:, 2], pairs[:, 3], len(called.at))]
+    return pairs[np.lexsort(pairs.T[::-1])]
+
+
+def equal_runs(truth: Side, called: Side) -> list[tuple[list[int], list[int]]]:
+    """Places of the events of each pair of runs of a sample that spell the same sequence, unlike one event against one; a pair
+    has no other within it, and none of its events is in another."""
+    return [(truth.at[a : b + 1].tolist(), called.at[c : d + 1].tolist()) for a, b, c, d in _equal_runs(truth, called).tolist()]
 
 
 def run_pairs(events: DataFrame, reference: str, tasks: int | None = None) -> DataFrame:
     """(sample, group, truth, called): arrays of places of equal_runs(), numbered from 1, among the events (sample, side, at, position, reference,
     alternate) that nothing else has matched. Only samples with both sides are sent; one sample's such events fit a
-    worker, whose work grows with the square of the longest unbroken stretch of them."""
+    worker, whose work grows with the square of the longest unbroken stretch of them. Small samples are worked on together."""
     ship(events.sparkSession)
     if len(reference) > MAX_REFERENCE:
         raise ValueError(f"{len(reference)} bases; at most {MAX_REFERENCE}")
@@ -269,14 +313,33 @@ def run_pairs(events: DataFrame, reference: str, tasks: int | None = None) -> Da
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = prefix_sums(reference)
-        rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
-        for sample, group in groupby(rows, key=itemgetter(0)):
-            sides: dict[str, list] = {"truth": [], "called": []}
+
+        def told(names: list, rows: dict[str, list], of: dict[str, list]) -> pa.RecordBatch:
+            sides = [Side(rows[x], reference, sums, of[x]) for x in rows]
+            pairs = _equal_runs(*sides)
+            sample = sides[0].sample[pairs[:, 0]]
+            group = np.arange(len(pairs)) - np.searchsorted(sample, sample) + 1
+            lists = [side.places(pairs[:, k], pairs[:, k + 1]) for side, k in zip(sides, (0, 2), strict=True)]
+            small = lambda x: pa.array(x).cast(pa.int32())
+            held = [pa.array([names[k] for k in sample.tolist()], schema.field("sample").type), small(group), *(pa.ListArray.from_arrays(small(x), small(y)) for x, y in lists)]
+            return pa.RecordBatch.from_arrays(held, schema=schema)
+
+        names, rows, of, runs = [], {"truth": [], "called": []}, {"truth": [], "called": []}, 0
+        read = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        for sample, group in groupby(read, key=itemgetter(0)):
+            held = {side: len(x) for side, x in rows.items()}
             for r in group:
-                sides[r[1]].append(r[2:])
-            pairs = equal_runs(*[Side(x, reference, sums) for x in sides.values()])
-            if pairs:
-                yield pa.RecordBatch.from_pylist([{"sample": sample, "group": i, "truth": t, "called": c} for i, (t, c) in enumerate(pairs, 1)], schema)
+                rows[r[1]].append(r[2:])
+            for side, x in rows.items():
+                more = len(x) - held[side]
+                of[side] += [len(names)] * more
+                runs += more * more
+            names.append(sample)
+            if runs >= RUNS:
+                yield told(names, rows, of)
+                names, rows, of, runs = [], {"truth": [], "called": []}, {"truth": [], "called": []}, 0
+        if names:
+            yield told(names, rows, of)
 
     out = f"sample {kind}, group int, truth array<int>, called array<int>"
     schema = to_arrow_schema(StructType.fromDDL(out))
@@ -290,8 +353,10 @@ def run_pairs(events: DataFrame, reference: str, tasks: int | None = None) -> Da
 def run_events(events: DataFrame, reference: str) -> DataFrame:
     """The events of run_pairs(), a row each, with the number of their pair in the sample."""
     pairs = run_pairs(events, reference)
-    side = lambda name: pairs.select("sample", "group", F.lit(name).alias("side"), F.explode(name).alias("at"))
-    return side("truth").unionByName(side("called")).join(events, ["sample", "side", "at"]).select("sample", "group", "side", "at", "position", "reference", "alternate")
+    # both sides of a pair from one row of it, so that the pairs are found once
+    side = lambda name: F.struct(F.lit(name).alias("side"), F.col(name).alias("places"))
+    placed = pairs.select("sample", "group", F.explode(F.array(side("truth"), side("called"))).alias("x")).select("sample", "group", "x.side", F.explode("x.places").alias("at"))
+    return placed.join(events, ["sample", "side", "at"]).select("sample", "group", "side", "at", "position", "reference", "alternate")
 
 
 def compare(truth: DataFrame, called: DataFrame, reference: str, circular: bool = False) -> DataFrame:
