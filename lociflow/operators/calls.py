@@ -1,12 +1,13 @@
 """Base calls and locus evidence of traces.
 
-A trace is one row, and its channels never leave it: a worker reads them from Arrow's buffers into numpy, finds peaks, ranks
-and medians of all its calls at once, and gives back one row a call. What is no more than a formula over a call stays a
-column expression.
+A trace is one row, and its channels never leave it: a worker reads them from Arrow's buffers, or decodes them from the trace's
+file, into numpy, finds peaks, ranks and medians of all its calls at once, and gives back one row a call. Wherever `traces`
+are asked for, they are decoded ones or files (path, content); of files the channels never leave the worker.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -16,21 +17,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.functions import expressions as X
+from lociflow.sources import abif
 from lociflow.sources.shipping import ship_bounded
 
 KEYS = ("input_name", "input_sha256")
-#: Rows of runs or loci whose samples are gathered at a time.
-BLOCK = 8_192
+#: Rows of runs or loci whose samples are gathered at a time, and rows of an Arrow batch, about.
+BLOCK, BATCH = 8_192, 16_384
 PEAK = pa.struct([("height", pa.int32()), ("position", pa.int32()), ("source", pa.string())])
-CALL = "call_index int, ploc int, w_start int, w_end int, peaks array<struct<height:int,position:int,source:string>>, primary_pos int, primary_heights array<int>, qualifying array<string>, primary string, ambiguity string"
-RUN = "w_start int, w_end int, min_snr double, max_secondary_snr double"
-EVIDENCE = "call_index int, ploc int, w_start int, w_end int, ctx_call_start int, ctx_call_end int, ctx_sample_start int, ctx_sample_end int, event_position int, heights array<int>, baselines array<double>, noise_sigmas array<double>, corrected array<double>"
+CALL = "call_index int, ploc int, w_start int, w_end int, peaks array<struct<height:int,position:int,source:string>>, primary_pos int, primary_heights array<int>, qualifying array<string>, primary string, ambiguity string, vendor_agrees boolean"
+RUN = "w_start int, w_end int, min_snr double, max_secondary_snr double, noisy boolean"
+EVIDENCE = "call_index int, ploc int, w_start int, w_end int, ctx_call_start int, ctx_call_end int, ctx_sample_start int, ctx_sample_end int, event_position int, heights array<int>, baselines array<double>, noise_sigmas array<double>, corrected array<double>, snrs array<double>, profile array<double>"
+WARNINGS = "ambiguous_calls long, vendor_disagreements long, calls_without_peak long, noisy_regions long"
 NOISE_SCALE = 0.67448975 * 2**0.5
 #: The letters of calls: a base for each channel, N, and the code of two bases by the sum of their channels' bits.
 LETTERS = pa.array([*X.BASES, "N"])
 UNKNOWN = len(X.BASES)
 PAIR_CODES = {sum(1 << X.BASES.index(b) for b in bases): code for code, bases in X.IUPAC.items() if len(bases) == 2}
 CODES = pa.array([PAIR_CODES.get(bits, "N") for bits in range(1 << len(X.BASES))])
+#: Of two bases the code of their bits, of others the letter of their strongest channel, behind the codes.
+AMBIGUITIES, LETTER_BYTES = pa.concat_arrays([CODES, LETTERS]), np.frombuffer("".join(LETTERS.to_pylist()).encode(), np.uint8)
 SOURCES = pa.array(["ploc_fallback", "local_maximum"])
 
 
@@ -57,18 +62,21 @@ def is_maximum(before: np.ndarray, value: np.ndarray, after: np.ndarray) -> np.n
 def peaks(channels: np.ndarray, ploc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, heights, positions, found) of the four channels' highest local maximum in each window, the first of
     equals; the height at the location where a window has none. The last three have a row a call, a column a channel."""
-    n = channels.shape[1]
+    n, calls = channels.shape[1], len(ploc)
     starts, ends = windows(ploc, n)
-    inside = np.zeros(channels.shape, bool)
-    inside[:, 1:-1] = is_maximum(channels[:, :-2], channels[:, 1:-1], channels[:, 2:])
-    # height above, place below: the greatest is the highest, then the first
-    score = np.where(inside, (channels.astype(np.int64) << 32) + (n - np.arange(n)), -1)
-    best = np.maximum.reduceat(score, np.minimum(starts, n - 1), axis=1).T if n else np.zeros((0, 4), np.int64)
-    whole = np.append(starts[1:], ends[-1])  # reduceat runs up to the next start, and the last one to the end
-    if ends[-1] < n:
-        tail = score[:, starts[-1] : ends[-1]]
-        best[-1] = tail.max(axis=1) if tail.shape[1] else -1
-    best[(starts >= ends) | (starts >= whole)] = -1
+    best = np.full(4 * calls, -1)
+    if n > 2:
+        channel, at = np.divmod(np.flatnonzero(is_maximum(channels[:, :-2], channels[:, 1:-1], channels[:, 2:])), n - 2)
+        at += 1
+        window = np.searchsorted(starts, at, side="right") - 1
+        inside = (window >= 0) & (at < ends[window])
+        channel, at, window = channel[inside], at[inside], window[inside]
+        if len(at):
+            # height above, place below: the greatest is the highest, then the first
+            score, which = (channels[channel, at].astype(np.int64) << 32) + (n - at), channel * calls + window
+            first = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
+            best[which[first]] = np.maximum.reduceat(score, first)
+    best = best.reshape(4, calls).T
     found = best >= 0
     position = np.where(found, n - (best & 0xFFFFFFFF), ploc[:, None])
     height = np.where(found, best >> 32, channels[:, ploc].T)
@@ -80,9 +88,13 @@ def noise(channel: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     base, sigma = np.zeros(len(starts)), np.ones(len(starts))
     if not len(starts):
         return base, sigma
-    # a value that more than half of an interval has is its median; so intervals on a flat base need no sort
-    level = np.partition(channel, len(channel) // 2)[len(channel) // 2]
-    flat, still = (np.append(0, np.cumsum(x)) for x in (channel == level, channel[1:] == channel[:-1]))
+    # a value that more than half of an interval has is its median; so intervals on a flat base need no sort. Which value is tried
+    # only decides how many do, so some samples tell it
+    some = channel[:: max(1, len(channel) // 256)]
+    level = np.partition(some, len(some) // 2)[len(some) // 2]
+    flat, still = np.zeros(len(channel) + 1, np.int64), np.zeros(len(channel), np.int64)
+    np.cumsum(channel == level, out=flat[1:])
+    np.cumsum(channel[1:] == channel[:-1], out=still[1:])
     lengths = ends - starts
     told = (2 * (flat[ends] - flat[starts]) > lengths) & (2 * (still[ends - 1] - still[starts]) > lengths - 1)
     base[told], sigma[told] = level, 0.0
@@ -97,14 +109,14 @@ def noise(channel: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return base, np.maximum(sigma, 1.0)
 
 
-def _lists(values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    """A row of each row of a matrix."""
+def _lists(values: np.ndarray, kind: pa.DataType, none: np.ndarray | None = None) -> pa.ListArray:
+    """A row of each row of a matrix; null where `none` says so."""
     n, width = values.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(values).reshape(-1), kind))
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(values).reshape(-1), kind), mask=None if none is None else pa.array(none))
 
 
-def _called(channels: np.ndarray, ploc: np.ndarray, ratio: float) -> list[pa.Array]:
-    starts, ends, height, position, found = peaks(channels, ploc)
+def _called(channels: np.ndarray, ploc: np.ndarray, vendor: str | None, ratio: float, wanted: Sequence[str], known: tuple | None = None) -> list[pa.Array]:
+    starts, ends, height, position, found = known or peaks(channels, ploc)
     n = len(ploc)
     rows = np.arange(n)
     rank = np.argsort(-height, axis=1, kind="stable")
@@ -114,36 +126,66 @@ def _called(channels: np.ndarray, ploc: np.ndarray, ratio: float) -> list[pa.Arr
     clear = (top[:, 0] > 0) & (top[:, 0] != ranked[:, 1])
     reach = lambda h: (h > 0) & (h >= ratio * top)
     holds = reach(ranked) & reach(np.take_along_axis(there, rank, axis=1)) & clear[:, None]
-    k, bits = holds.sum(axis=1), (holds << rank).sum(axis=1)
+    k = holds.sum(axis=1)
     strongest = np.where((k >= 1) & (k <= 3), rank[:, 0], UNKNOWN)
-    one = LETTERS.take(pa.array(np.where(k == 1, rank[:, 0], UNKNOWN)))
-    ambiguity = pc.if_else(pa.array(k == 2), CODES.take(pa.array(bits)), one)
-    qualifying = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(k)).astype(np.int32)), LETTERS.take(pa.array(rank[holds])))
-    flat = pa.StructArray.from_arrays([pa.array(height.reshape(-1).astype(np.int32)), pa.array(position.reshape(-1).astype(np.int32)), SOURCES.take(pa.array(found.reshape(-1).astype(np.int8)))], fields=list(PEAK))
-    top4 = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 4), flat)
     small = lambda x: pa.array(np.asarray(x).astype(np.int32))
-    heights = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 4), small(there.reshape(-1)), mask=pa.array(~clear))
-    return [small(rows), small(ploc), small(starts), small(ends), top4, pa.array(place.astype(np.int32), mask=~clear), heights, qualifying, LETTERS.take(pa.array(strongest)), ambiguity]
 
+    def four() -> pa.Array:
+        flat = pa.StructArray.from_arrays([small(height.reshape(-1)), small(position.reshape(-1)), SOURCES.take(pa.array(found.reshape(-1).astype(np.int8)))], fields=list(PEAK))
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 4), flat)
 
-def _runs(channels: np.ndarray, ploc: np.ndarray, size: int) -> list[pa.Array]:
-    starts, ends, height, _, _ = peaks(channels, ploc)
+    def ambiguity() -> pa.Array:
+        codes = np.where(k == 2, (holds << rank).sum(axis=1), len(CODES) + np.where(k == 1, rank[:, 0], UNKNOWN))
+        return AMBIGUITIES.take(pa.array(codes))
+
+    def agrees() -> pa.Array:
+        said = np.frombuffer((vendor or "").encode("latin-1", "replace"), np.uint8)[:n]
+        return pa.array(np.append(said == LETTER_BYTES[strongest[: len(said)]], np.zeros(n - len(said), bool)), mask=rows >= len(said))
+
+    made = {
+        "call_index": lambda: small(rows), "ploc": lambda: small(ploc), "w_start": lambda: small(starts), "w_end": lambda: small(ends), "peaks": four,
+        "primary_pos": lambda: pa.array(place.astype(np.int32), mask=~clear), "primary_heights": lambda: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 4), small(there.reshape(-1)), mask=pa.array(~clear)),
+        "qualifying": lambda: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(k)).astype(np.int32)), LETTERS.take(pa.array(rank[holds]))),
+        "primary": lambda: LETTERS.take(pa.array(strongest)), "ambiguity": ambiguity, "vendor_agrees": agrees,
+    }
+    return [made[x]() for x in wanted]
+
+
+def _round_metric(x: np.ndarray) -> np.ndarray:
+    """expressions.round_metric() of finite values."""
+    scaled = np.abs(x * 1e6)
+    whole = np.trunc(scaled)
+    return np.copysign(whole + (scaled - whole >= 0.5), x) / 1e6
+
+
+def _runs(channels: np.ndarray, ploc: np.ndarray, size: int, known: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(lowest primary, highest secondary) ratio of each run: of a call's four channels the primary is the highest above its base,
+    of equals the one of the higher ratio, and the secondary the next."""
+    starts, ends, height, _, _ = known or peaks(channels, ploc)
     n = len(ploc) - size + 1
+    if n < 1:
+        return np.zeros(0), np.zeros(0)
     both = [noise(c, starts[:n], ends[size - 1 :]) for c in channels]
-    base, sigma = np.stack([x[0] for x in both], axis=1), np.stack([x[1] for x in both], axis=1)
-    lowest, highest = np.full(n, np.inf), np.full(n, -np.inf)
-    for j in range(size):  # the j-th call of every run
-        above = np.maximum(height[j : j + n] - base, 0.0)
-        snr = above / sigma
-        order = np.lexsort((-snr, -above), axis=1)
-        rows = np.arange(n)
-        lowest = np.minimum(lowest, snr[rows, order[:, 0]])
-        highest = np.maximum(highest, snr[rows, order[:, 1]])
-    at = np.arange(n, dtype=np.int32)
-    return [pa.array(at), pa.array(at + np.int32(size)), pa.array(lowest), pa.array(highest)]
-
-
-def _evidence(channels: np.ndarray, ploc: np.ndarray, size: int) -> list[pa.Array]:
+    lowest, highest = np.empty(n), np.empty(n)
+    step = max(1, 16 * BLOCK // size)
+    for at in range(0, n, step):
+        some = slice(at, at + step)
+        one = two = None
+        for (base, sigma), h in zip(both, height.T, strict=True):
+            calls = np.lib.stride_tricks.sliding_window_view(h, size)[some].T  # a row for each place in the run
+            above = np.maximum(calls - base[some], 0.0)
+            new = above, above / sigma[some]
+            if one is None:
+                one, two = new, (np.full_like(above, -1.0), np.full_like(above, -1.0))
+                continue
+            first, second = ((new[0] > x[0]) | ((new[0] == x[0]) & (new[1] > x[1])) for x in (one, two))
+            two = tuple(np.where(first, a, np.where(second, c, b)) for a, b, c in zip(one, two, new, strict=True))
+            one = tuple(np.where(first, c, a) for a, c in zip(one, new, strict=True))
+        lowest[some], highest[some] = one[1].min(axis=0), two[1].max(axis=0)
+    return _round_metric(lowest), _round_metric(highest)
+
+
+def _evidence(channels: np.ndarray, ploc: np.ndarray, size: int, wanted: Sequence[str]) -> list[pa.Array]:
     n, samples = len(ploc), channels.shape[1]
     starts, ends = windows(ploc, samples)
     index = np.arange(n)
@@ -169,31 +211,81 @@ def _evidence(channels: np.ndarray, ploc: np.ndarray, size: int) -> list[pa.Arra
         has = peak.any(axis=1)
         event[some] = np.where(has, low[some] + chosen, ploc[some])
     heights = channels[:, event].T
+    corrected = np.maximum(heights - base, 0.0)
     small = lambda x: pa.array(np.asarray(x).astype(np.int32))
-    return [
-        small(index), small(ploc), small(starts), small(ends), small(first), small(last + 1), small(starts[first]), small(ends[last]), small(event), _lists(heights.astype(np.int32), pa.int32()),
-        _lists(base, pa.float64()), _lists(sigma, pa.float64()), _lists(np.maximum(heights - base, 0.0), pa.float64()),
-    ]
 
+    def profile() -> pa.Array:
+        total = corrected[:, 0] + corrected[:, 1] + corrected[:, 2] + corrected[:, 3]
+        there = total > 0
+        values = corrected / np.where(there, total, 1.0)[:, None]
+        return _lists(values, pa.float64(), ~there)
+
+    made = {
+        "call_index": lambda: small(index), "ploc": lambda: small(ploc), "w_start": lambda: small(starts), "w_end": lambda: small(ends), "ctx_call_start": lambda: small(first), "ctx_call_end": lambda: small(last + 1),
+        "ctx_sample_start": lambda: small(starts[first]), "ctx_sample_end": lambda: small(ends[last]), "event_position": lambda: small(event), "heights": lambda: _lists(heights.astype(np.int32), pa.int32()),
+        "baselines": lambda: _lists(base, pa.float64()), "noise_sigmas": lambda: _lists(sigma, pa.float64()), "corrected": lambda: _lists(corrected, pa.float64()), "snrs": lambda: _lists(corrected / sigma, pa.float64()), "profile": profile,
+    }
+    return [made[x]() for x in wanted]
+
+
+def _chosen(kind: str, columns: Sequence[str] | None) -> dict[str, str]:
+    """Names and kinds of the columns of `kind` that are wanted."""
+    named = dict(x.split(" ", 1) for x in kind.split(", "))
+    return {n: t for n, t in named.items() if columns is None or n in columns}
+
+
+def _opened(b: pa.RecordBatch, digest: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, str | None, str | None]]:
+    """(row, channels, locations, vendor's letters, digest) of the good traces of a batch of (content), decoded here."""
+    for i, content in enumerate(b.column(0)):
+        data = content.as_py() or b""
+        try:
+            channels, ploc, vendor, _ = abif.decode(data)
+        except abif.TraceError:
+            continue
+        yield i, np.stack(channels), ploc, vendor, hashlib.sha256(data).hexdigest() if digest else None
 
-def _each_trace(traces: DataFrame, least: int, kept: Sequence[str], kind: str, work: Callable[..., list[pa.Array]], given: Sequence[str] = ()) -> DataFrame:
-    """`work` on each good trace of `least` calls or more: one row a call, run or locus, beside the kept columns, which should be
-    short, as each row has them. `work` gets the channels, the locations and the values of the `given` columns."""
+
+def _held(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, str | None, str | None]]:
+    """The same of a batch of (channels, ploc, vendor_primary)."""
+    for i in range(b.num_rows):
+        yield i, b.column(0)[i].values.flatten().to_numpy(zero_copy_only=False).reshape(4, -1), b.column(1)[i].values.to_numpy(zero_copy_only=False), b.column(2)[i].as_py(), None
+
+
+def _each_trace(traces: DataFrame, least: int, kept: Sequence[str], kind: dict[str, str], work: Callable[[np.ndarray, np.ndarray, str | None], list[pa.Array]]) -> DataFrame:
+    """`work` on the channels, locations and vendor's letters of each good trace of `least` calls or more: its rows, beside the kept
+    columns, which should be short, as each row has them."""
     ship_bounded(traces.sparkSession)
-    names = [*kept, *(x.split(" ")[0] for x in kind.split(", "))]
-    kinds = ", ".join(f"`{k}` {traces.schema[k].dataType.simpleString()}" for k in kept)
+    encoded = "channels" not in traces.columns
+    if encoded:
+        traces = traces.withColumnsRenamed({"path": "input_name"}).withColumn("input_sha256", F.lit(None).cast("string"))
+        given = traces.select("content", *kept)
+    else:
+        # the vendor's letters stay with their trace: each call beside all of them would grow with the square of its length
+        given = traces.where("error_class IS NULL").select("channels", "ploc", "vendor_primary", *kept)
+    least, digest, width = max(2, least), "input_sha256" in kept, len(given.columns) - len(kept)
+    kinds = {k: given.schema[k].dataType.simpleString() for k in kept} | kind
+    names = list(kinds)
+
+    def joined(parts: list[list[pa.Array]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([x[0] if len(x) == 1 else pa.concat_arrays(x) for x in zip(*parts, strict=True)], names=names)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, rows = [], 0
         for b in batches:
-            for i in range(b.num_rows):
-                flat, ploc = b.column(0)[i].values, b.column(1)[i].values.to_numpy(zero_copy_only=False).astype(np.int64)
-                channels = flat.flatten().to_numpy(zero_copy_only=False).reshape(4, -1)
-                out = work(channels, ploc, *(b.column(2 + len(kept) + j)[i].as_py() for j in range(len(given))))
-                same = [pa.repeat(b.column(2 + j)[i], len(out[0])) for j in range(len(kept))]
-                yield pa.RecordBatch.from_arrays([*same, *out], names=names)
-
-    good = traces.where(f"error_class IS NULL AND size(ploc) >= {max(2, least)}")
-    return good.select("channels", "ploc", *kept, *given).mapInArrow(each, f"{kinds}, {kind}")
+            for i, channels, ploc, vendor, sha in _opened(b, digest) if encoded else _held(b):
+                if len(ploc) < least:
+                    continue
+                out = work(channels, ploc.astype(np.int64), vendor)
+                same = [pa.repeat(pa.scalar(sha, pa.string()) if encoded and k == "input_sha256" else b.column(width + j)[i], len(out[0])) for j, k in enumerate(kept)]
+                parts.append([*same, *out])
+                rows += len(out[0])
+                if rows >= BATCH:
+                    yield joined(parts)
+                    parts, rows = [], 0
+        if parts:
+            yield joined(parts)
+
+    return given.mapInArrow(each, ", ".join(f"`{k}` {t}" for k, t in kinds.items()))
 
 
 def call_bases(traces: DataFrame, ratio: float = 0.33, keys: tuple[str, ...] = KEYS, columns: Sequence[str] | None = None) -> DataFrame:
@@ -203,33 +295,42 @@ def call_bases(traces: DataFrame, ratio: float = 0.33, keys: tuple[str, ...] = K
     own peak and its height at the strongest peak's place both reach ratio * top. `columns` names those that are wanted
     beside the keys; all without it.
     """
-    fields = CALL.split(", ")
-    names = [x.split(" ")[0] for x in fields]
-    wanted = [i for i, n in enumerate(names) if columns is None or n in columns]
-
-    def called(channels: np.ndarray, ploc: np.ndarray, vendor: str | None) -> list[pa.Array]:
-        found = _called(channels, ploc, ratio)
-        letters = pa.array([*(vendor or "")[: len(ploc)], *[None] * (len(ploc) - len(vendor or ""))], pa.string())
-        return [*(found[i] for i in wanted), pc.equal(letters, found[names.index("primary")])]
-
-    # the vendor's letters stay with their trace: each call beside all of them would grow with the square of its length
-    rows = _each_trace(traces, 2, keys, ", ".join([*(fields[i] for i in wanted), "vendor_agrees boolean"]), called, ["vendor_primary"])
-    return rows.select(*keys, *(names[i] for i in wanted), *(["vendor_agrees"] if columns is None or "vendor_agrees" in columns else []))
+    kind = _chosen(CALL, columns)
+    return _each_trace(traces, 2, keys, kind, lambda channels, ploc, vendor: _called(channels, ploc, vendor, ratio, list(kind)))
 
 
 def call_windows(traces: DataFrame, size: int = 10, least_snr: float = 3.0, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Every run of `size` calls: lowest primary and highest secondary ratio of height to noise; noisy below `least_snr`."""
-    rows = _each_trace(traces, size, keys, RUN, lambda channels, ploc: _runs(channels, ploc, size))
-    rows = rows.withColumns({c: X.round_metric(F.col(c)) for c in ("min_snr", "max_secondary_snr")})
-    return rows.withColumn("noisy", F.col("min_snr") < least_snr)
 
+    def runs(channels: np.ndarray, ploc: np.ndarray, vendor: str | None) -> list[pa.Array]:
+        lowest, highest = _runs(channels, ploc, size)
+        at = np.arange(len(lowest), dtype=np.int32)
+        return [pa.array(x) for x in (at, at + np.int32(size), lowest, highest, lowest < least_snr)]
 
-def locus_evidence(traces: DataFrame, size: int = 10, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    return _each_trace(traces, size, keys, _chosen(RUN, None), runs)
+
+
+def locus_evidence(traces: DataFrame, size: int = 10, keys: tuple[str, ...] = KEYS, columns: Sequence[str] | None = None) -> DataFrame:
     """Evidence of each locus, independent of its call: context of `size` loci, baseline and noise of each channel there, the
     event nearest to the location among maxima of the summed corrected heights (greater total, then lower sample on ties),
-    heights, corrected amplitudes, ratios, and the profile (null without any amplitude)."""
-    rows = _each_trace(traces, 2, keys, EVIDENCE, lambda channels, ploc: _evidence(channels, ploc, size))
-    return rows.withColumn("snrs", F.zip_with("corrected", "noise_sigmas", lambda a, s: a / s)).withColumn("profile", X.profile(F.col("corrected")))
+    heights, corrected amplitudes, ratios, and the profile (null without any amplitude). `columns` as in call_bases()."""
+    kind = _chosen(EVIDENCE, columns)
+    return _each_trace(traces, 2, keys, kind, lambda channels, ploc, vendor: _evidence(channels, ploc, size, list(kind)))
+
+
+def warning_counts(traces: DataFrame, keys: tuple[str, ...] = KEYS, ratio: float = 0.33, size: int = 10, least_snr: float = 3.0, least: int = 2) -> DataFrame:
+    """One row a trace: ambiguous calls, calls that differ from the vendor's, calls without a peak, and noisy regions, which are
+    `least` noisy runs of call_windows() or more one after the other. They are counted where the trace is."""
+
+    def counts(channels: np.ndarray, ploc: np.ndarray, vendor: str | None) -> list[pa.Array]:
+        known = peaks(channels, ploc)
+        ambiguity, place, agrees = _called(channels, ploc, vendor, ratio, ("ambiguity", "primary_pos", "vendor_agrees"), known)
+        edges = np.diff(np.concatenate([[False], _runs(channels, ploc, size, known)[0] < least_snr, [False]]).astype(np.int8))
+        lengths = np.flatnonzero(edges < 0) - np.flatnonzero(edges > 0)
+        ambiguous = len(ploc) - pc.sum(pc.is_in(ambiguity, value_set=LETTERS[:UNKNOWN])).as_py()
+        return [pa.array([int(x)], pa.int64()) for x in (ambiguous, agrees.false_count, place.null_count, (lengths >= least).sum())]
+
+    return _each_trace(traces, 2, keys, _chosen(WARNINGS, None), counts)
 
 
 def trace_integrity(traces: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:

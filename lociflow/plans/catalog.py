@@ -94,13 +94,13 @@ BASES_SQL = B.with_sql("sequences") + ", bases AS (SELECT doc_id, part, name, i
   CASE WHEN call_index <> 5 THEN b WHEN b = 'A' THEN 'A' WHEN b = 'C' THEN 'M' WHEN b = 'G' THEN 'R' ELSE 'W' END AS ambiguity, CASE WHEN call_index <> 5 OR b = 'A' THEN b ELSE b || 'A' END AS qualifying, true AS vendor_agrees FROM bases""")
 def basecall(spark, d):
     names = ("call_index", "ploc", "w_start", "w_end", "primary_pos", "primary", "ambiguity", "qualifying", "vendor_agrees")
-    found = C.call_bases(abif.decode_traces(B.trace_files(spark, d)), keys=("input_name",), columns=names)
+    found = C.call_bases(B.trace_files(spark, d), keys=("input_name",), columns=names)
     return found.withColumn("qualifying", F.array_join("qualifying", ""))
 
 
 @query(BASES_SQL + """ SELECT name AS input_name, call_index, greatest(least(greatest(call_index - 4, 0), n - 10), 0) AS ctx_call_start, 2 + 4 * call_index AS event_position, round(CASE WHEN b = 'A' THEN 1.0 WHEN call_index = 5 THEN 400.0 / 1400.0 ELSE 0.0 END, 6)::DOUBLE AS weight_a FROM bases""")
 def locus_profiles(spark, d):
-    found = C.locus_evidence(abif.decode_traces(B.trace_files(spark, d)), keys=("input_name",))
+    found = C.locus_evidence(B.trace_files(spark, d), keys=("input_name",), columns=("call_index", "ctx_call_start", "event_position", "profile"))
     return found.select("input_name", "call_index", "ctx_call_start", "event_position", F.round(F.col("profile")[0], 6).alias("weight_a"))
 
 
@@ -113,7 +113,7 @@ runs AS (SELECT name AS input_name, call_index AS w_start, call_index + 10 AS w_
 
 @query(RUN_SQL + " SELECT input_name, w_start, w_end, min_snr, max_secondary_snr, noisy FROM runs")
 def call_windows(spark, d):
-    return C.call_windows(abif.decode_traces(B.trace_files(spark, d)), keys=("input_name",)).select("input_name", "w_start", "w_end", "min_snr", "max_secondary_snr", "noisy")
+    return C.call_windows(B.trace_files(spark, d), keys=("input_name",)).select("input_name", "w_start", "w_end", "min_snr", "max_secondary_snr", "noisy")
 
 
 def _reads(spark, d, edit) -> tuple[DataFrame, str]:

@@ -5,7 +5,16 @@ from __future__ import annotations
 import random
 import time
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from lociflow.functions import expressions as X
+from lociflow.operators import audit as U
+from lociflow.operators import calls as C
 from lociflow.operators import matching as M
+from lociflow.operators import windows as W
+from lociflow.plans import audits, catalog  # noqa: F401, audits adds its queries to the catalogue
+from lociflow.sources import abif
 
 
 def _case(rng, reference, n):
@@ -61,3 +70,59 @@ def test_numbers_of_pairs_begin_anew_in_each_sample(spark, monkeypatch):
     for runs in (1, 50, 10**9):
         monkeypatch.setattr(M, "RUNS", runs)
         assert sorted(tuple(r) for r in M.run_pairs(events, reference).collect()) == want
+
+
+# --- traces
+
+
+def _noisy_files(rng, n=40):
+    """Traces of random samples with ties, of calls at uneven places, some of too few calls, one that is none, and one name twice."""
+    files = []
+    for k in range(n):
+        samples, calls = int(rng.integers(40, 400)), int(rng.integers(1, 40))
+        channels = rng.integers(-2, (4, 1000)[k % 2], (4, samples))
+        if k % 3 == 0:
+            channels[rng.random(channels.shape) < 0.8] = 0
+        ploc = np.sort(rng.choice(samples, calls, replace=False))
+        files.append((f"t{k}", abif.encode(list(channels), ploc, calls="".join(rng.choice(list("ACGTN"), max(1, calls - k % 4))))))
+    return [*files, ("bad", b"none"), ("t1", files[5][1])]
+
+
+def _same(left, right):
+    assert left.columns == right.columns and sorted(map(str, left.collect())) == sorted(map(str, right.collect()))
+
+
+def test_files_give_what_their_decoded_traces_give(spark):
+    files = spark.createDataFrame([(n, bytearray(x)) for n, x in _noisy_files(np.random.default_rng(3))], "path string, content binary")
+    traces = abif.decode_traces(files)
+    for work in (C.call_bases, C.call_windows, C.locus_evidence, C.warning_counts):
+        _same(work(files), work(traces))
+    some = C.locus_evidence(files, keys=("input_name",), columns=("call_index", "profile"))
+    _same(some, C.locus_evidence(traces).select("input_name", "call_index", "profile"))
+
+
+def test_channels_of_files_are_decoded_where_they_are_read(spark):
+    for name in ("basecall", "call_windows", "locus_profiles", "read_warnings"):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        # the bridge's writer and one reader; nothing else leaves a worker
+        assert plan.count("MapInArrow") == 2 and "channels" not in plan
+
+
+def test_warnings_are_counted_in_their_trace(spark):
+    traces = abif.decode_traces(spark.createDataFrame([(n, bytearray(x)) for n, x in _noisy_files(np.random.default_rng(4))[:-1]], "path string, content binary"))
+    keys = ["input_name"]
+    noisy = W.noisy_regions(C.call_windows(traces, keys=tuple(keys)), keys, 2).groupBy(*keys).agg(F.count("*").alias("noisy_regions"))
+    calls = C.call_bases(traces, keys=tuple(keys)).groupBy(*keys)
+    own = calls.agg(F.count_if(~X.canonical(F.col("ambiguity"))).alias("ambiguous_calls"), F.count_if(~F.col("vendor_agrees")).alias("vendor_disagreements"), F.count_if(F.col("primary_pos").isNull()).alias("calls_without_peak"))
+    want = own.join(noisy, keys, "left").fillna(0)
+    found = U.read_warnings(traces, keys)
+    _same(found.drop("warnings"), want)
+    assert found.where("noisy_regions > 0 AND ambiguous_calls > 0").count() > 5
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ratios_are_rounded_as_expressions_are(spark):
+    rng = np.random.default_rng(5)
+    values = [*(rng.random(300) * 10.0 ** rng.integers(-7, 7, 300)), 0.0, 5e-7, 4.9999999999999994e-7, 1.5e-6, 2.5e-6, 0.4769362762044699, 1000.0, 2.9999995, 1e12]
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", X.round_metric(F.col("v")).alias("r")).collect()
+    assert C._round_metric(np.array([r.v for r in rows])).tolist() == [r.r for r in rows]
