@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.functions import expressions as X
+from lociflow.operators.calls import warning_counts
 
 EDGE = 10
 
@@ -99,10 +100,11 @@ def sample_metrics(topology: DataFrame, sample: str) -> DataFrame:
     return topology.groupBy(sample).agg(F.count("*").alias("loci"), *[F.sum(c).alias(c) for c in counts])
 
 
-def read_warnings(calls: DataFrame, noisy: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Warnings of a read: ambiguous calls, calls that differ from the vendor's, calls without a peak, noisy regions, and their sum."""
-    own = calls.groupBy(*keys).agg(F.count_if(~X.canonical(F.col("ambiguity"))).alias("ambiguous_calls"), F.count_if(F.col("vendor_agrees") == F.lit(False)).alias("vendor_disagreements"), F.count_if(F.col("primary_pos").isNull()).alias("calls_without_peak"))
-    out = own.join(noisy.groupBy(*keys).agg(F.count("*").alias("noisy_regions")), list(keys), "left").fillna(0, ["noisy_regions"])
+def read_warnings(traces: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Warnings of a read: ambiguous calls, calls that differ from the vendor's, calls without a peak, noisy regions, and their sum.
+    Each trace counts its own, so no row of a call or window leaves its task."""
+    kinds = ("ambiguous_calls", "vendor_disagreements", "calls_without_peak", "noisy_regions")
+    out = warning_counts(traces, tuple(keys)).groupBy(*keys).agg(*[F.sum(k).alias(k) for k in kinds])
     return out.withColumn("warnings", F.col("ambiguous_calls") + F.col("vendor_disagreements") + F.col("calls_without_peak") + F.col("noisy_regions"))
 
 
