@@ -1,7 +1,7 @@
 """Base calls and locus evidence of traces.
 
 A trace is one row, and its channels never leave it: a worker reads them from Arrow's buffers, or decodes them from the trace's
-file, into numpy, finds peaks, ranks and medians of all its calls at once, and gives back one row a call. Wherever `traces`
+file, into numpy, finds peaks, ranks and medians of all calls of some traces at once, and gives back one row a call. Wherever `traces`
 are asked for, they are decoded ones or files (path, content); of files the channels never leave the worker.
 """
 
@@ -21,8 +21,10 @@ from lociflow.sources import abif
 from lociflow.sources.shipping import ship_bounded
 
 KEYS = ("input_name", "input_sha256")
-#: Rows of runs or loci whose samples are gathered at a time, and rows of an Arrow batch, about.
-BLOCK, BATCH = 8_192, 16_384
+#: Rows of runs or loci whose samples are gathered at a time.
+BLOCK = 8_192
+#: Calls and samples of the traces that are worked on together, about.
+CALLS, SAMPLES = 8_192, 131_072
 PEAK = pa.struct([("height", pa.int32()), ("position", pa.int32()), ("source", pa.string())])
 CALL = "call_index int, ploc int, w_start int, w_end int, peaks array<struct<height:int,position:int,source:string>>, primary_pos int, primary_heights array<int>, qualifying array<string>, primary string, ambiguity string, vendor_agrees boolean"
 RUN = "w_start int, w_end int, min_snr double, max_secondary_snr double, noisy boolean"
@@ -45,13 +47,28 @@ def _median(values: Column) -> Column:
     return F.transform(F.array(ordered), middle)[0]
 
 
-def windows(ploc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the half-open windows around two locations or more: halfway to the neighbours."""
-    p = ploc.astype(np.int64)
-    middle = (p[:-1] + p[1:]) // 2
-    first = max(p[0] - (p[1] - p[0]) // 2, 0)
-    last = min(p[-1] + (p[-1] - p[-2] + 1) // 2, n)
-    return np.append(first, middle), np.append(middle, last)
+class Traces:
+    """Some traces of two calls or more, one behind the other: channels (a row for each), locations among all samples, and for each
+    call its trace and the bounds of that one's samples and calls."""
+
+    def __init__(self, some: Sequence[tuple[Sequence[np.ndarray], np.ndarray, str | None]]) -> None:
+        self.samples, self.calls = (np.append(0, np.cumsum(x)) for x in ([len(c[0]) for c, _, _ in some], [len(p) for _, p, _ in some]))
+        self.channels = np.stack([np.concatenate([c[k] for c, _, _ in some]) for k in range(4)])
+        self.of = np.repeat(np.arange(len(some)), np.diff(self.calls))
+        self.low, self.high = self.samples[self.of], self.samples[self.of + 1]
+        self.first, self.behind = self.calls[self.of], self.calls[self.of + 1]
+        self.index = np.arange(len(self.of)) - self.first
+        self.ploc = np.concatenate([p for _, p, _ in some]).astype(np.int64) + self.low
+        self.vendor = [(v or "").encode("latin-1", "replace")[:n] for (_, _, v), n in zip(some, np.diff(self.calls).tolist(), strict=True)]
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the half-open windows around the locations: halfway to the neighbours."""
+        p, first, last = self.ploc, self.calls[:-1], self.calls[1:] - 1
+        middle = (p[:-1] + p[1:]) // 2
+        starts, ends = np.append(0, middle), np.append(middle, 0)
+        starts[first] = np.maximum(p[first] - (p[first + 1] - p[first]) // 2, self.samples[:-1])
+        ends[last] = np.minimum(p[last] + (p[last] - p[last - 1] + 1) // 2, self.samples[1:])
+        return starts, ends
 
 
 def is_maximum(before: np.ndarray, value: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -59,45 +76,60 @@ def is_maximum(before: np.ndarray, value: np.ndarray, after: np.ndarray) -> np.n
     return (value > 0) & (((before <= value) & (value > after)) | ((before < value) & (value >= after)))
 
 
-def peaks(channels: np.ndarray, ploc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def maxima(samples: np.ndarray) -> np.ndarray:
+    """is_maximum() of all samples of each row but its first and last, by steps."""
+    rises, falls = samples[:, 1:] > samples[:, :-1], samples[:, 1:] < samples[:, :-1]
+    # not lower behind a rise, or not higher ahead of a fall
+    return (samples[:, 1:-1] > 0) & ((rises[:, :-1] & ~rises[:, 1:]) | (falls[:, 1:] & ~falls[:, :-1]))
+
+
+def peaks(traces: Traces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, heights, positions, found) of the four channels' highest local maximum in each window, the first of
-    equals; the height at the location where a window has none. The last three have a row a call, a column a channel."""
+    equals; the height at the location where a window has none. The last three have a row a channel, a column a call."""
+    channels, ploc = traces.channels, traces.ploc
     n, calls = channels.shape[1], len(ploc)
-    starts, ends = windows(ploc, n)
-    best = np.full(4 * calls, -1)
+    starts, ends = traces.windows()
+    height, position, found = np.ascontiguousarray(channels[:, ploc]), np.tile(ploc, (4, 1)), np.zeros((4, calls), bool)
     if n > 2:
-        channel, at = np.divmod(np.flatnonzero(is_maximum(channels[:, :-2], channels[:, 1:-1], channels[:, 2:])), n - 2)
+        channel, at = np.nonzero(maxima(channels))
         at += 1
         window = np.searchsorted(starts, at, side="right") - 1
-        inside = (window >= 0) & (at < ends[window])
-        channel, at, window = channel[inside], at[inside], window[inside]
+        # within the window, and not the first or last of the trace
+        inside = (window >= 0) & (at < ends[window]) & (at > traces.low[window]) & (at < traces.high[window] - 1)
+        if not inside.all():
+            channel, at, window = channel[inside], at[inside], window[inside]
         if len(at):
-            # height above, place below: the greatest is the highest, then the first
-            score, which = (channels[channel, at].astype(np.int64) << 32) + (n - at), channel * calls + window
+            which = channel * calls + window
+            high = channels[channel, at]
             first = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
-            best[which[first]] = np.maximum.reduceat(score, first)
-    best = best.reshape(4, calls).T
-    found = best >= 0
-    position = np.where(found, n - (best & 0xFFFFFFFF), ploc[:, None])
-    height = np.where(found, best >> 32, channels[:, ploc].T)
+            if len(first) < len(which):
+                # height above, place below: the greatest is the highest, then the first
+                best = np.maximum.reduceat((high.astype(np.int64) << 32) + (n - at), first)
+                which, high, at = which[first], best >> 32, n - (best & 0xFFFFFFFF)
+            height.reshape(-1)[which], position.reshape(-1)[which], found.reshape(-1)[which] = high, at, True
     return starts, ends, height, position, found
 
 
-def noise(channel: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Median, and scaled median deviation of the steps (1 at least), of each interval of two samples or more."""
+def noise(channel: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Median, and scaled median deviation of the steps (1 at least), of each interval of two samples or more. `bounds` are those of
+    the traces in the channel."""
     base, sigma = np.zeros(len(starts)), np.ones(len(starts))
     if not len(starts):
         return base, sigma
     # a value that more than half of an interval has is its median; so intervals on a flat base need no sort. Which value is tried
-    # only decides how many do, so some samples tell it
-    some = channel[:: max(1, len(channel) // 256)]
-    level = np.partition(some, len(some) // 2)[len(some) // 2]
+    # only decides how many do, so some samples of each trace tell it
+    bounds = np.array([0, len(channel)]) if bounds is None else bounds
+    some = [channel[a : b : max(1, (b - a) // 256)] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    level = np.repeat(np.array([np.partition(x, len(x) // 2)[len(x) // 2] for x in some]), np.diff(bounds))
     flat, still = np.zeros(len(channel) + 1, np.int64), np.zeros(len(channel), np.int64)
     np.cumsum(channel == level, out=flat[1:])
     np.cumsum(channel[1:] == channel[:-1], out=still[1:])
     lengths = ends - starts
     told = (2 * (flat[ends] - flat[starts]) > lengths) & (2 * (still[ends - 1] - still[starts]) > lengths - 1)
-    base[told], sigma[told] = level, 0.0
+    base[told] = level[starts[told]]
+    if told.all():
+        return base, sigma
+    sigma[told] = 0.0
     for length in np.unique(lengths[~told]):
         rows = np.flatnonzero((lengths == length) & ~told)
         for at in range(0, len(rows), BLOCK):
@@ -115,37 +147,55 @@ def _lists(values: np.ndarray, kind: pa.DataType, none: np.ndarray | None = None
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(values).reshape(-1), kind), mask=None if none is None else pa.array(none))
 
 
-def _called(channels: np.ndarray, ploc: np.ndarray, vendor: str | None, ratio: float, wanted: Sequence[str], known: tuple | None = None) -> list[pa.Array]:
-    starts, ends, height, position, found = known or peaks(channels, ploc)
-    n = len(ploc)
+def _called(traces: Traces, ratio: float, wanted: Sequence[str], known: tuple | None = None) -> list[pa.Array]:
+    starts, ends, height, position, found = known or peaks(traces)
+    channels, low, n = traces.channels, traces.low, len(traces.ploc)
     rows = np.arange(n)
-    rank = np.argsort(-height, axis=1, kind="stable")
-    ranked, place = np.take_along_axis(height, rank, axis=1), position[rows, rank[:, 0]]
-    there = channels[:, place].T  # heights at the strongest peak
-    top = ranked[:, :1]
-    clear = (top[:, 0] > 0) & (top[:, 0] != ranked[:, 1])
-    reach = lambda h: (h > 0) & (h >= ratio * top)
-    holds = reach(ranked) & reach(np.take_along_axis(there, rank, axis=1)) & clear[:, None]
-    k = holds.sum(axis=1)
-    strongest = np.where((k >= 1) & (k <= 3), rank[:, 0], UNKNOWN)
-    small = lambda x: pa.array(np.asarray(x).astype(np.int32))
+    # the highest channel, the first of equals, and the next height
+    top, second, first = height[0], np.full(n, np.iinfo(height.dtype).min, height.dtype), np.zeros(n, np.int64)
+    for c in range(1, 4):
+        higher = height[c] > top
+        second = np.where(higher, top, np.maximum(second, height[c]))
+        top, first = np.where(higher, height[c], top), np.where(higher, c, first)
+    place = position[first, rows]
+    there = channels[:, place]  # heights at the strongest peak
+    clear = (top > 0) & (top != second)
+    enough = ratio * top
+    holds = (height > 0) & (height >= enough) & (there > 0) & (there >= enough) & clear
+    k, bits = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for c in range(4):
+        k += holds[c]
+        bits += holds[c].astype(np.int64) << c
+    strongest = np.where((k >= 1) & (k <= 3), first, UNKNOWN)
+    small = lambda x: pa.array(np.asarray(x).astype(np.int32, copy=False))
 
     def four() -> pa.Array:
-        flat = pa.StructArray.from_arrays([small(height.reshape(-1)), small(position.reshape(-1)), SOURCES.take(pa.array(found.reshape(-1).astype(np.int8)))], fields=list(PEAK))
+        flat = pa.StructArray.from_arrays([small(height.T.reshape(-1)), small((position - low).T.reshape(-1)), SOURCES.take(pa.array(found.T.reshape(-1).astype(np.int8)))], fields=list(PEAK))
         return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 4), flat)
 
     def ambiguity() -> pa.Array:
-        codes = np.where(k == 2, (holds << rank).sum(axis=1), len(CODES) + np.where(k == 1, rank[:, 0], UNKNOWN))
-        return AMBIGUITIES.take(pa.array(codes))
+        return AMBIGUITIES.take(pa.array(np.where(k == 2, bits, len(CODES) + np.where(k == 1, first, UNKNOWN))))
+
+    def qualifying() -> pa.Array:
+        edges = np.append(0, np.cumsum(k))
+        letters = np.empty(edges[-1], np.int64)
+        letters[edges[:-1][k == 1]] = first[k == 1]
+        many = np.flatnonzero(k > 1)  # in the order of their heights
+        if len(many):
+            rank = np.argsort(-height[:, many].T.astype(np.int64), axis=1, kind="stable")
+            kept = np.take_along_axis(holds[:, many].T, rank, axis=1)
+            letters[np.repeat(k > 1, k)] = rank[kept]
+        return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), LETTERS.take(pa.array(letters)))
 
     def agrees() -> pa.Array:
-        said = np.frombuffer((vendor or "").encode("latin-1", "replace"), np.uint8)[:n]
-        return pa.array(np.append(said == LETTER_BYTES[strongest[: len(said)]], np.zeros(n - len(said), bool)), mask=rows >= len(said))
+        there = traces.index < np.array([len(v) for v in traces.vendor])[traces.of]
+        said = np.zeros(n, np.uint8)
+        said[there] = np.frombuffer(b"".join(traces.vendor), np.uint8)
+        return pa.array(said == LETTER_BYTES[strongest], mask=~there)
 
     made = {
-        "call_index": lambda: small(rows), "ploc": lambda: small(ploc), "w_start": lambda: small(starts), "w_end": lambda: small(ends), "peaks": four,
-        "primary_pos": lambda: pa.array(place.astype(np.int32), mask=~clear), "primary_heights": lambda: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 4), small(there.reshape(-1)), mask=pa.array(~clear)),
-        "qualifying": lambda: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(k)).astype(np.int32)), LETTERS.take(pa.array(rank[holds]))),
+        "call_index": lambda: small(traces.index), "ploc": lambda: small(traces.ploc - low), "w_start": lambda: small(starts - low), "w_end": lambda: small(ends - low), "peaks": four,
+        "primary_pos": lambda: pa.array((place - low).astype(np.int32), mask=~clear), "primary_heights": lambda: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 4), small(there.T.reshape(-1)), mask=pa.array(~clear)), "qualifying": qualifying,
         "primary": lambda: LETTERS.take(pa.array(strongest)), "ambiguity": ambiguity, "vendor_agrees": agrees,
     }
     return [made[x]() for x in wanted]
@@ -158,50 +208,82 @@ def _round_metric(x: np.ndarray) -> np.ndarray:
     return np.copysign(whole + (scaled - whole >= 0.5), x) / 1e6
 
 
-def _runs(channels: np.ndarray, ploc: np.ndarray, size: int, known: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(lowest primary, highest secondary) ratio of each run: of a call's four channels the primary is the highest above its base,
-    of equals the one of the higher ratio, and the secondary the next."""
-    starts, ends, height, _, _ = known or peaks(channels, ploc)
-    n = len(ploc) - size + 1
-    if n < 1:
-        return np.zeros(0), np.zeros(0)
-    both = [noise(c, starts[:n], ends[size - 1 :]) for c in channels]
-    lowest, highest = np.empty(n), np.empty(n)
-    step = max(1, 16 * BLOCK // size)
-    for at in range(0, n, step):
-        some = slice(at, at + step)
-        one = two = None
-        for (base, sigma), h in zip(both, height.T, strict=True):
-            calls = np.lib.stride_tricks.sliding_window_view(h, size)[some].T  # a row for each place in the run
-            above = np.maximum(calls - base[some], 0.0)
-            new = above, above / sigma[some]
-            if one is None:
-                one, two = new, (np.full_like(above, -1.0), np.full_like(above, -1.0))
-                continue
-            first, second = ((new[0] > x[0]) | ((new[0] == x[0]) & (new[1] > x[1])) for x in (one, two))
-            two = tuple(np.where(first, a, np.where(second, c, b)) for a, b, c in zip(one, two, new, strict=True))
-            one = tuple(np.where(first, c, a) for a, c in zip(one, new, strict=True))
-        lowest[some], highest[some] = one[1].min(axis=0), two[1].max(axis=0)
-    return _round_metric(lowest), _round_metric(highest)
-
-
-def _evidence(channels: np.ndarray, ploc: np.ndarray, size: int, wanted: Sequence[str]) -> list[pa.Array]:
+def _highest(heights: np.ndarray, base: np.ndarray, sigma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ratios (primary, secondary) of calls by the heights, bases and noise of their channels, a row for each: the primary is the
+    highest above its base, of equals the one of the higher ratio, and the secondary the next."""
+    one = two = None
+    for h, b, s in zip(heights, base, sigma, strict=True):
+        above = np.maximum(h - b, 0.0)
+        new = above, above / s
+        if one is None:
+            one, two = new, (np.full_like(above, -1.0), np.full_like(above, -1.0))
+            continue
+        first, second = ((new[0] > x[0]) | ((new[0] == x[0]) & (new[1] > x[1])) for x in (one, two))
+        two = tuple(np.where(first, a, np.where(second, c, b)) for a, b, c in zip(one, two, new, strict=True))
+        one = tuple(np.where(first, c, a) for a, c in zip(one, new, strict=True))
+    return one[1], two[1]
+
+
+def _measured(traces: Traces, starts: np.ndarray, ends: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bases, noise, middle, common): of intervals of the traces `of`, a row a channel; for each trace an interval in its middle, and
+    which intervals have that one's measures."""
+    both = [noise(c, starts, ends, traces.samples) for c in traces.channels]
+    base, sigma = np.stack([x[0] for x in both]), np.stack([x[1] for x in both])
+    n = np.bincount(of, minlength=len(traces.vendor))
+    middle = np.minimum(np.cumsum(n) - n + n // 2, max(0, len(of) - 1))
+    m = middle[of]
+    return base, sigma, middle, ((base == base[:, m]) & (sigma == sigma[:, m])).all(axis=0)
+
+
+def _runs(traces: Traces, size: int, known: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first call, lowest primary, highest secondary ratio) of each run of `size` calls of a trace."""
+    starts, ends, height, _, _ = known or peaks(traces)
+    first = np.flatnonzero(np.arange(len(traces.of)) + size <= traces.behind)
+    if not len(first):
+        return first, np.zeros(0), np.zeros(0)
+    base, sigma, middle, common = _measured(traces, starts[first], ends[first + size - 1], traces.of[first])
+    # runs of one measure share the ratios of their calls, the others have their own
+    m = middle[traces.of]
+    one, two = _highest(height, base[:, m], sigma[:, m])
+    n = len(one) - size + 1
+    lowest, highest = one[:n].copy(), two[:n].copy()
+    for j in range(1, size):
+        np.minimum(lowest, one[j : j + n], out=lowest)
+        np.maximum(highest, two[j : j + n], out=highest)
+    lowest, highest = lowest[first], highest[first]
+    rows, step = np.flatnonzero(~common), max(1, 16 * BLOCK // size)
+    for at in range(0, len(rows), step):
+        some = rows[at : at + step]
+        calls = np.lib.stride_tricks.sliding_window_view(height, size, axis=-1)[:, first[some]]
+        one, two = _highest(calls, base[:, some, None], sigma[:, some, None])
+        lowest[some], highest[some] = one.min(axis=-1), two.max(axis=-1)
+    return first, _round_metric(lowest), _round_metric(highest)
+
+
+def _evidence(traces: Traces, size: int, wanted: Sequence[str]) -> list[pa.Array]:
+    channels, ploc, offset = traces.channels, traces.ploc, traces.low
     n, samples = len(ploc), channels.shape[1]
-    starts, ends = windows(ploc, samples)
-    index = np.arange(n)
-    first = np.maximum(np.minimum(np.maximum(index - (size - 1) // 2, 0), n - size), 0)
-    last = np.minimum(first + size, n) - 1
-    both = [noise(c, starts[first], ends[last]) for c in channels]
-    base, sigma = np.stack([x[0] for x in both], axis=1), np.stack([x[1] for x in both], axis=1)
+    starts, ends = traces.windows()
+    calls = traces.behind - traces.first
+    begin = np.maximum(np.minimum(np.maximum(traces.index - (size - 1) // 2, 0), calls - size), 0)
+    end = np.minimum(begin + size, calls)
+    first, last = traces.first + begin, traces.first + end - 1
+    base, sigma, middle, same = _measured(traces, starts[first], ends[last], traces.of)
+    lengths = np.diff(traces.samples)
+    summed = sum((np.maximum(c - np.repeat(b, lengths), 0.0) for c, b in zip(channels, base[:, middle], strict=True)), np.zeros(samples))
+    base, sigma = base.T, sigma.T
     event = np.zeros(n, np.int64)
-    low, high = np.maximum(starts, 1), np.minimum(ends, samples - 1)  # where maxima may be
+    low, high = np.maximum(starts, offset + 1), np.minimum(ends, traces.high - 1)  # where maxima may be
     for at in range(0, n, BLOCK):
         some = slice(at, at + BLOCK)
         width = int(max(0, (high[some] - low[some]).max()))
         places = low[some][:, None] - 1 + np.arange(width + 2)
-        total = np.zeros(places.shape)
-        for k, c in enumerate(channels):
-            total += np.maximum(c[np.minimum(places, samples - 1)] - base[some, k][:, None], 0.0)
+        within = np.minimum(places, samples - 1)
+        total, own = summed[within], np.flatnonzero(~same[some])  # other bases have their own sums
+        if len(own):
+            total[own] = 0.0
+            for k, c in enumerate(channels):
+                total[own] += np.maximum(c[within[own]] - base[some, k][own, None], 0.0)
         inner = places[:, 1:-1]
         peak = is_maximum(total[:, :-2], total[:, 1:-1], total[:, 2:]) & (inner < high[some][:, None])
         away = np.where(peak, np.abs(inner - ploc[some][:, None]), np.iinfo(np.int64).max)
@@ -221,8 +303,8 @@ def _evidence(channels: np.ndarray, ploc: np.ndarray, size: int, wanted: Sequenc
         return _lists(values, pa.float64(), ~there)
 
     made = {
-        "call_index": lambda: small(index), "ploc": lambda: small(ploc), "w_start": lambda: small(starts), "w_end": lambda: small(ends), "ctx_call_start": lambda: small(first), "ctx_call_end": lambda: small(last + 1),
-        "ctx_sample_start": lambda: small(starts[first]), "ctx_sample_end": lambda: small(ends[last]), "event_position": lambda: small(event), "heights": lambda: _lists(heights.astype(np.int32), pa.int32()),
+        "call_index": lambda: small(traces.index), "ploc": lambda: small(ploc - offset), "w_start": lambda: small(starts - offset), "w_end": lambda: small(ends - offset), "ctx_call_start": lambda: small(begin), "ctx_call_end": lambda: small(end),
+        "ctx_sample_start": lambda: small(starts[first] - offset), "ctx_sample_end": lambda: small(ends[last] - offset), "event_position": lambda: small(event - offset), "heights": lambda: _lists(heights.astype(np.int32), pa.int32()),
         "baselines": lambda: _lists(base, pa.float64()), "noise_sigmas": lambda: _lists(sigma, pa.float64()), "corrected": lambda: _lists(corrected, pa.float64()), "snrs": lambda: _lists(corrected / sigma, pa.float64()), "profile": profile,
     }
     return [made[x]() for x in wanted]
@@ -234,7 +316,7 @@ def _chosen(kind: str, columns: Sequence[str] | None) -> dict[str, str]:
     return {n: t for n, t in named.items() if columns is None or n in columns}
 
 
-def _opened(b: pa.RecordBatch, digest: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, str | None, str | None]]:
+def _opened(b: pa.RecordBatch, digest: bool) -> Iterator[tuple[int, Sequence[np.ndarray], np.ndarray, str | None, str | None]]:
     """(row, channels, locations, vendor's letters, digest) of the good traces of a batch of (content), decoded here."""
     for i, content in enumerate(b.column(0)):
         data = content.as_py() or b""
@@ -242,18 +324,18 @@ def _opened(b: pa.RecordBatch, digest: bool) -> Iterator[tuple[int, np.ndarray,
             channels, ploc, vendor, _ = abif.decode(data)
         except abif.TraceError:
             continue
-        yield i, np.stack(channels), ploc, vendor, hashlib.sha256(data).hexdigest() if digest else None
+        yield i, channels, ploc, vendor, hashlib.sha256(data).hexdigest() if digest else None
 
 
-def _held(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, str | None, str | None]]:
+def _held(b: pa.RecordBatch) -> Iterator[tuple[int, Sequence[np.ndarray], np.ndarray, str | None, str | None]]:
     """The same of a batch of (channels, ploc, vendor_primary)."""
     for i in range(b.num_rows):
         yield i, b.column(0)[i].values.flatten().to_numpy(zero_copy_only=False).reshape(4, -1), b.column(1)[i].values.to_numpy(zero_copy_only=False), b.column(2)[i].as_py(), None
 
 
-def _each_trace(traces: DataFrame, least: int, kept: Sequence[str], kind: dict[str, str], work: Callable[[np.ndarray, np.ndarray, str | None], list[pa.Array]]) -> DataFrame:
-    """`work` on the channels, locations and vendor's letters of each good trace of `least` calls or more: its rows, beside the kept
-    columns, which should be short, as each row has them."""
+def _each_trace(traces: DataFrame, least: int, kept: Sequence[str], kind: dict[str, str], work: Callable[[Traces], tuple[np.ndarray, list[pa.Array]]]) -> DataFrame:
+    """`work` on the good traces of `least` calls or more, some at a time: the trace and the columns of its rows, which stand beside
+    the kept columns. Those should be short, as each row has them."""
     ship_bounded(traces.sparkSession)
     encoded = "channels" not in traces.columns
     if encoded:
@@ -266,24 +348,28 @@ def _each_trace(traces: DataFrame, least: int, kept: Sequence[str], kind: dict[s
     kinds = {k: given.schema[k].dataType.simpleString() for k in kept} | kind
     names = list(kinds)
 
-    def joined(parts: list[list[pa.Array]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([x[0] if len(x) == 1 else pa.concat_arrays(x) for x in zip(*parts, strict=True)], names=names)
-
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, rows = [], 0
+        some, same, calls, samples = [], [], 0, 0
+
+        def worked() -> pa.RecordBatch:
+            of, out = work(Traces(some))
+            row = pa.array(of)
+            beside = [pa.array([x[j] for x in same], schema.field(j).type).take(row) for j in range(len(kept))]
+            return pa.RecordBatch.from_arrays([*beside, *out], names=names)
+
         for b in batches:
+            schema = pa.schema([pa.field(k, pa.string() if encoded and k == "input_sha256" else b.schema.field(width + j).type) for j, k in enumerate(kept)])
             for i, channels, ploc, vendor, sha in _opened(b, digest) if encoded else _held(b):
                 if len(ploc) < least:
                     continue
-                out = work(channels, ploc.astype(np.int64), vendor)
-                same = [pa.repeat(pa.scalar(sha, pa.string()) if encoded and k == "input_sha256" else b.column(width + j)[i], len(out[0])) for j, k in enumerate(kept)]
-                parts.append([*same, *out])
-                rows += len(out[0])
-                if rows >= BATCH:
-                    yield joined(parts)
-                    parts, rows = [], 0
-        if parts:
-            yield joined(parts)
+                some.append((channels, ploc, vendor))
+                same.append([sha if encoded and k == "input_sha256" else b.column(width + j)[i].as_py() for j, k in enumerate(kept)])
+                calls, samples = calls + len(ploc), samples + len(channels[0])
+                if calls >= CALLS or samples >= SAMPLES:
+                    yield worked()
+                    some, same, calls, samples = [], [], 0, 0
+        if some:
+            yield worked()
 
     return given.mapInArrow(each, ", ".join(f"`{k}` {t}" for k, t in kinds.items()))
 
@@ -296,16 +382,16 @@ def call_bases(traces: DataFrame, ratio: float = 0.33, keys: tuple[str, ...] = K
     beside the keys; all without it.
     """
     kind = _chosen(CALL, columns)
-    return _each_trace(traces, 2, keys, kind, lambda channels, ploc, vendor: _called(channels, ploc, vendor, ratio, list(kind)))
+    return _each_trace(traces, 2, keys, kind, lambda t: (t.of, _called(t, ratio, list(kind))))
 
 
 def call_windows(traces: DataFrame, size: int = 10, least_snr: float = 3.0, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Every run of `size` calls: lowest primary and highest secondary ratio of height to noise; noisy below `least_snr`."""
 
-    def runs(channels: np.ndarray, ploc: np.ndarray, vendor: str | None) -> list[pa.Array]:
-        lowest, highest = _runs(channels, ploc, size)
-        at = np.arange(len(lowest), dtype=np.int32)
-        return [pa.array(x) for x in (at, at + np.int32(size), lowest, highest, lowest < least_snr)]
+    def runs(t: Traces) -> tuple[np.ndarray, list[pa.Array]]:
+        first, lowest, highest = _runs(t, size)
+        at = t.index[first].astype(np.int32)
+        return t.of[first], [pa.array(x) for x in (at, at + np.int32(size), lowest, highest, lowest < least_snr)]
 
     return _each_trace(traces, size, keys, _chosen(RUN, None), runs)
 
@@ -315,20 +401,24 @@ def locus_evidence(traces: DataFrame, size: int = 10, keys: tuple[str, ...] = KE
     event nearest to the location among maxima of the summed corrected heights (greater total, then lower sample on ties),
     heights, corrected amplitudes, ratios, and the profile (null without any amplitude). `columns` as in call_bases()."""
     kind = _chosen(EVIDENCE, columns)
-    return _each_trace(traces, 2, keys, kind, lambda channels, ploc, vendor: _evidence(channels, ploc, size, list(kind)))
+    return _each_trace(traces, 2, keys, kind, lambda t: (t.of, _evidence(t, size, list(kind))))
 
 
 def warning_counts(traces: DataFrame, keys: tuple[str, ...] = KEYS, ratio: float = 0.33, size: int = 10, least_snr: float = 3.0, least: int = 2) -> DataFrame:
     """One row a trace: ambiguous calls, calls that differ from the vendor's, calls without a peak, and noisy regions, which are
     `least` noisy runs of call_windows() or more one after the other. They are counted where the trace is."""
 
-    def counts(channels: np.ndarray, ploc: np.ndarray, vendor: str | None) -> list[pa.Array]:
-        known = peaks(channels, ploc)
-        ambiguity, place, agrees = _called(channels, ploc, vendor, ratio, ("ambiguity", "primary_pos", "vendor_agrees"), known)
-        edges = np.diff(np.concatenate([[False], _runs(channels, ploc, size, known)[0] < least_snr, [False]]).astype(np.int8))
-        lengths = np.flatnonzero(edges < 0) - np.flatnonzero(edges > 0)
-        ambiguous = len(ploc) - pc.sum(pc.is_in(ambiguity, value_set=LETTERS[:UNKNOWN])).as_py()
-        return [pa.array([int(x)], pa.int64()) for x in (ambiguous, agrees.false_count, place.null_count, (lengths >= least).sum())]
+    def counts(t: Traces) -> tuple[np.ndarray, list[pa.Array]]:
+        known = peaks(t)
+        ambiguity, place, agrees = _called(t, ratio, ("ambiguity", "primary_pos", "vendor_agrees"), known)
+        first, lowest, _ = _runs(t, size, known)
+        noisy, of = lowest < least_snr, t.of[first]
+        begins = noisy & ~np.append(False, noisy[:-1] & (of[1:] == of[:-1]))[: len(noisy)]
+        lengths = np.bincount(np.cumsum(begins)[noisy] - 1, minlength=1)[: begins.sum()]
+        flags = [pc.invert(pc.is_in(ambiguity, value_set=LETTERS[:UNKNOWN])), pc.invert(agrees).fill_null(False), place.is_null()]
+        n = len(t.vendor)
+        numbers = [np.bincount(t.of[x.to_numpy(zero_copy_only=False)], minlength=n) for x in flags]
+        return np.arange(n), [pa.array(x, pa.int64()) for x in (*numbers, np.bincount(of[begins][lengths >= least], minlength=n))]
 
     return _each_trace(traces, 2, keys, _chosen(WARNINGS, None), counts)
 

@@ -126,3 +126,26 @@ def test_ratios_are_rounded_as_expressions_are(spark):
     values = [*(rng.random(300) * 10.0 ** rng.integers(-7, 7, 300)), 0.0, 5e-7, 4.9999999999999994e-7, 1.5e-6, 2.5e-6, 0.4769362762044699, 1000.0, 2.9999995, 1e12]
     rows = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", X.round_metric(F.col("v")).alias("r")).collect()
     assert C._round_metric(np.array([r.v for r in rows])).tolist() == [r.r for r in rows]
+
+
+def test_traces_worked_on_together_give_the_rows_of_each_alone():
+    some = []
+    for _, data in _noisy_files(np.random.default_rng(6))[:-2]:
+        channels, ploc, vendor, _ = abif.decode(data)
+        if len(ploc) > 1:
+            some.append((channels, ploc, vendor))
+    called, evidence = list(C._chosen(C.CALL, None)), list(C._chosen(C.EVIDENCE, None))
+    for work in (lambda t: C._called(t, 0.33, called), lambda t: C._evidence(t, 10, evidence), lambda t: [t.index[C._runs(t, 10)[0]], *C._runs(t, 10)[1:]]):
+        alone = [[x.tolist() for x in work(C.Traces([one]))] for one in some]
+        together = [x.tolist() for x in work(C.Traces(some))]
+        assert together == [sum(parts, []) for parts in zip(*alone, strict=True)] and len(together[0]) > 300
+
+
+def test_many_traces_take_a_short_time():
+    rng = np.random.default_rng(7)
+    some = [abif.decode(abif.synthetic("".join(rng.choice(list("ACGT"), 50))))[:3] for _ in range(2_000)]
+    began = time.process_time()
+    for at in range(0, len(some), 150):
+        C._runs(C.Traces(some[at : at + 150]), 10)
+    # each trace alone took half a millisecond or more for each of its four channels
+    assert time.process_time() - began < 1.5
